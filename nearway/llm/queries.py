@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearway.llm import mixing, packing, url_filter
+from nearway.llm import mixing, packing, secrets, url_filter
 from nearway.llm.common import table
 
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -15,6 +15,10 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages"), RULES)
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), size=1024, end_id=2)
 
@@ -30,7 +34,7 @@ def tokenizer_path() -> str:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_url_filter, op6_best_fit_packing, op8_mixing)}
+    return {f.__name__: f for f in (op1_url_filter, op4_secret_scan, op6_best_fit_packing, op8_mixing)}
 
 
 OP1_SQL = """
