@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearway.llm import mixing, packing, secrets, topk, url_filter
+from nearway.llm import mixing, packing, secrets, topk, url_filter, vector_dedup
 from nearway.llm.common import table
 
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -23,6 +23,10 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
+def op5_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.93)
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), size=1024, end_id=2)
 
@@ -38,7 +42,7 @@ def tokenizer_path() -> str:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_url_filter, op2_exact_top_k, op4_secret_scan, op6_best_fit_packing, op8_mixing)}
+    return {f.__name__: f for f in (op1_url_filter, op2_exact_top_k, op4_secret_scan, op5_near_vectors, op6_best_fit_packing, op8_mixing)}
 
 
 OP1_SQL = """
@@ -58,6 +62,16 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20
 """
 
+OP5_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, [CAST(x AS DOUBLE) FOR x IN embedding] AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)) >= 0.93),
+r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT e.vec_id, (SELECT count(*) FROM l WHERE l.a = e.vec_id) AS n_links, least(e.vec_id, coalesce((SELECT min(b) FROM r WHERE r.a = e.vec_id), e.vec_id)) AS component_id,
+  e.vec_id <= coalesce((SELECT min(b) FROM r WHERE r.a = e.vec_id), e.vec_id) AS kept FROM embeddings e
+"""
+
 OP8_SQL = r"""
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS key FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CAST([5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS DOUBLE) AS w FROM d GROUP BY source),
@@ -73,4 +87,4 @@ SELECT doc_id, size, source_size, target, CAST(CASE WHEN source_size = 0 THEN 0
 
 
 def oracle_sql() -> dict:
-    return {"op1_url_filter": OP1_SQL, "op2_exact_top_k": OP2_SQL, "op8_mixing": OP8_SQL}
+    return {"op1_url_filter": OP1_SQL, "op2_exact_top_k": OP2_SQL, "op5_near_vectors": OP5_SQL, "op8_mixing": OP8_SQL}
