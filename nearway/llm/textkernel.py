@@ -158,3 +158,20 @@ def occurrences(keys: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.nda
     at = np.flatnonzero(new)
     counts = np.diff(np.append(at, len(k)))
     return k[at], counts, np.searchsorted(t[at], np.arange(len(first)))
+
+
+def slices(offsets: np.ndarray, limit: int = 1 << 22) -> Iterator[tuple[int, int]]:
+    """Runs of whole texts of about limit bytes at most, or one longer text."""
+    at, n = 0, len(offsets) - 1
+    while at < n:
+        to = max(int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1, at + 1)
+        yield at, to
+        at = to
+
+
+def counted(mask: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """How many of each text's bytes (or words) the mask has."""
+    out, full = np.zeros(len(offsets) - 1, np.int64), np.diff(offsets) > 0
+    if full.any():
+        out[full] = np.add.reduceat(mask, offsets[:-1][full], dtype=np.int64)
+    return out
