@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearway.llm import language, mixing, packing, quality, secrets, topk, url_filter, vector_dedup
+from nearway.llm import language, mixing, packing, quality, secrets, substring_dedup, topk, url_filter, vector_dedup
 from nearway.llm.common import table
 
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -39,6 +39,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"), weights=(5, 2, 1), most=3)
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -50,7 +54,7 @@ def tokenizer_path() -> str:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_url_filter, op2_exact_top_k, op4_secret_scan, op5_near_vectors, op6_best_fit_packing, op7_language_id, op8_mixing, op10_quality)}
+    return {f.__name__: f for f in (op1_url_filter, op2_exact_top_k, op4_secret_scan, op5_near_vectors, op6_best_fit_packing, op7_language_id, op8_mixing, op9_substring_dedup, op10_quality)}
 
 
 OP1_SQL = """
