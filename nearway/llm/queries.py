@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearway.llm import language, mixing, packing, quality, secrets, substring_dedup, topk, url_filter, vector_dedup
+from nearway.llm import language, minhash_dedup, mixing, packing, quality, secrets, substring_dedup, topk, url_filter, vector_dedup
 from nearway.llm.common import table
 
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -19,6 +19,10 @@ def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64)
 
 
+def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), similarity=0.8, shingle=5)
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
@@ -54,7 +58,7 @@ def tokenizer_path() -> str:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_url_filter, op2_exact_top_k, op4_secret_scan, op5_near_vectors, op6_best_fit_packing, op7_language_id, op8_mixing, op9_substring_dedup, op10_quality)}
+    return {f.__name__: f for f in (op1_url_filter, op2_exact_top_k, op3_minhash_dedup, op4_secret_scan, op5_near_vectors, op6_best_fit_packing, op7_language_id, op8_mixing, op9_substring_dedup, op10_quality)}
 
 
 OP1_SQL = """
