@@ -1,11 +1,13 @@
 """Embedding near-duplicates: inverted lists with product-quantised residuals, then exact cosine.
 
 Vectors are scaled to length 1, so a cosine of t is a distance of sqrt(2 - 2t) = reach. Coarse centroids and residual
-codebooks are fitted on a bounded sample; every vector is indexed. A query probes a cell if a vector of that cell can
-be within reach: the plane half-way between the query's own centroid and the cell's parts their vectors, so the
-query's distance from it must not exceed the reach, nor may its distance from the centroid differ by more from that of
-the cell's vectors. In a cell, table look-ups add up the distance to each vector as it is coded; the coding error is
-kept with the vector, so whatever can be within reach stays and is compared exactly. No link is lost on the way.
+codebooks are fitted on a bounded sample; every vector is indexed. A query probes a cell by its distance from the plane
+half-way between its own centroid and the cell's, which parts their vectors: a vector within reach lies beyond the
+plane only if its way there, `reach` long at most, leads that far along the plane's normal. With no `spread` every cell
+that this allows is probed and no link can be lost; as the way's direction is one of many dimensions, its part along a
+given normal is about reach / sqrt(dimensions), and `spread` times that suffices for nearly all pairs (recall is
+measured in the tests). In a cell, table look-ups add up the distance to each vector as it is coded; the coding error
+is kept with the vector, so whatever can be within reach stays and is compared exactly.
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ from nearway.llm.graph import components
 
 #: Vectors that centroids and codebooks are fitted on, cells, subspaces and codewords of each.
 SAMPLE, CELLS, PARTS, WORDS = 16_384, 128, 8, 64
+#: Standard deviations of a way's part along a normal that probes allow for.
+SPREAD = 3.0
 #: Vectors of a cell, and queries, that one task compares.
 BLOCK = 2_048
 
@@ -68,13 +72,14 @@ class Quantiser:
             error += ((part - book[codes[:, m]]) ** 2).sum(1)
         return codes, np.sqrt(error)
 
-    def probes(self, x: np.ndarray, reach: float, radius: np.ndarray) -> list[np.ndarray]:
-        """Cells that can hold a vector within reach; radius: the greatest distance from its centroid in each cell."""
+    def probes(self, x: np.ndarray, reach: float, radius: np.ndarray, spread: float | None = None) -> list[np.ndarray]:
+        """Cells to look for vectors within reach; radius: the greatest distance from its centroid in each cell."""
+        margin = reach if spread is None else min(reach, spread * reach / np.sqrt(x.shape[1]))
         own, d = self.nearest(x)
         apart = np.sqrt(np.maximum(((self.centroids[:, None] - self.centroids[None]) ** 2).sum(2), 1e-18))
         plane = (d**2 - np.take_along_axis(d, own[:, None], 1) ** 2) / (2 * apart[own])
         plane[np.arange(len(x)), own] = 0
-        can = (plane <= reach + 1e-9) & (d - radius <= reach + 1e-9)
+        can = (plane <= margin + 1e-9) & (d - radius <= reach + 1e-9)
         return [np.flatnonzero(row) for row in can]
 
     def tables(self, x: np.ndarray, cell: int) -> list[np.ndarray]:
@@ -130,7 +135,7 @@ def _unit(vectors, dims: int) -> np.ndarray:
     return x / np.sqrt((x**2).sum(1, keepdims=True))
 
 
-def near_vectors(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", sample: int = SAMPLE, cells: int = CELLS, parts: int = PARTS, words: int = WORDS, block: int = BLOCK) -> DataFrame:
+def near_vectors(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", sample: int = SAMPLE, cells: int = CELLS, parts: int = PARTS, words: int = WORDS, block: int = BLOCK, spread: float | None = SPREAD) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row; rows link if labels are equal and the cosine is enough.
 
     Rows with a null label or id, a null, empty or zero vector, or null or non-finite components link with nothing and
@@ -143,15 +148,15 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec_id
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")))
     fit = F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & v.isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.exists(v, lambda x: x != 0)
     rows = vectors.select(F.col(id_col).alias("vec_id"), F.when(fit, F.struct(F.col(label_col).alias("label"), F.transform(v, lambda x: x.cast("double")).alias("v"))).alias("key"))
-    nodes = work.write(rows.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n")))
+    nodes = work.write(rows.where("key is not null").groupBy("key").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n")).withColumn("node", F.monotonically_increasing_id()))
     facts = nodes.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("key.v")).alias("dims")).first()
     alone = rows.where("key is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").cast("long").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
     if not facts["n"]:
         return alone.select(F.col("vec_id").cast("long").alias("vec_id"), "n_links", "component_id", "kept")
     dims, share = facts["dims"], min(1.0, sample / facts["n"])
-    picked = nodes.where(F.pmod(F.xxhash64("rep"), F.lit(1_000_000)) <= F.lit(int(share * 1_000_000))).select("rep", "key.v").orderBy("rep").limit(2 * sample).toPandas()
+    picked = nodes.where(F.pmod(F.xxhash64("node"), F.lit(1_000_000)) <= F.lit(int(share * 1_000_000))).select("node", "key.v").orderBy("node").limit(2 * sample).toPandas()
     if not len(picked):
-        picked = nodes.select("rep", "key.v").orderBy("rep").limit(1).toPandas()
+        picked = nodes.select("node", "key.v").orderBy("node").limit(1).toPandas()
     model = Quantiser(_unit(picked.v, dims), cells, parts, words)
     reach = float(np.sqrt(max(0.0, 2 - 2 * cosine)))
 
@@ -160,10 +165,10 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec_id
             x = _unit(b.v, dims)
             cell, d = model.nearest(x)
             codes, error = model.encode(x, cell)
-            yield pd.DataFrame({"rep": b.rep, "n": b.n, "label": b.label, "cell": cell, "radius": d[np.arange(len(x)), cell], "codes": [c.tobytes() for c in codes], "error": error, "x": [y.tobytes() for y in x]})
+            yield pd.DataFrame({"node": b.node, "n": b.n, "label": b.label, "cell": cell, "radius": d[np.arange(len(x)), cell], "codes": [c.tobytes() for c in codes], "error": error, "x": [y.tobytes() for y in x]})
 
     label_type = vectors.schema[label_col].dataType.simpleString()
-    coded = work.write(nodes.select("rep", "n", "key.label", "key.v").mapInPandas(place, f"rep long, n long, label {label_type}, cell int, radius double, codes binary, error double, x binary"))
+    coded = work.write(nodes.select("node", "n", "key.label", "key.v").mapInPandas(place, f"node long, n long, label {label_type}, cell int, radius double, codes binary, error double, x binary"))
     # the lists' sizes part hot ones into blocks; a list is a label's vectors in a cell
     lists = work.write(coded.groupBy("label", "cell").agg(F.count(F.lit(1)).alias("size")).withColumn("blocks", F.ceil(F.col("size") / block).cast("int")))
     radius = np.zeros(len(model.centroids)) - 9.0
@@ -172,24 +177,28 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec_id
 
     def probe(batches):
         for b in batches:
-            found = model.probes(np.frombuffer(b"".join(b.x)).reshape(len(b), dims), reach, radius)
+            found = model.probes(np.frombuffer(b"".join(b.x)).reshape(len(b), dims), reach, radius, spread)
             n = [len(f) for f in found]
             i = np.repeat(np.arange(len(b)), n)
-            yield pd.DataFrame({"rep": b.rep.to_numpy()[i], "label": b.label.to_numpy()[i], "cell": np.concatenate(found), "x": b.x.to_numpy()[i]})
+            yield pd.DataFrame({"node": b.node.to_numpy()[i], "label": b.label.to_numpy()[i], "cell": np.concatenate(found)})
 
-    asked = coded.select("rep", "label", "x").mapInPandas(probe, f"rep long, label {label_type}, cell int, x binary").join(lists, ["label", "cell"])
-    chunk = lambda of: F.pmod(F.xxhash64("rep", F.lit(of)), F.greatest(F.ceil(F.lit(facts["n"]) / block), F.lit(1))).cast("int")
-    asked = asked.select("label", "cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), chunk(3).alias("chunk"), "rep", F.lit(0).cast("long").alias("n"), "x", F.lit(None).cast("binary").alias("codes"), F.lit(0.0).alias("error"))
-    met = asked.select("label", "cell", "block", "chunk").distinct()
-    held = coded.join(lists, ["label", "cell"]).withColumn("block", F.pmod(F.xxhash64("rep", F.lit(5)), F.col("blocks")).cast("int")).join(met, ["label", "cell", "block"]).select("label", "cell", "block", "chunk", "rep", "n", "x", "codes", "error")
+    probes = work.write(coded.select("node", "label", "x").mapInPandas(probe, f"node long, label {label_type}, cell int").join(lists.select("label", "cell"), ["label", "cell"], "left_semi"))
+    # a list's vectors in blocks meet its queries in chunks; both counts follow from the sizes
+    grid = work.write(probes.groupBy("label", "cell").agg(F.ceil(F.count(F.lit(1)) / (2 * block)).cast("int").alias("chunks")).join(lists, ["label", "cell"]).select("label", "cell", "chunks", "blocks"))
+    deal = lambda c, of: F.pmod(F.xxhash64("node", F.lit(of)), F.col(c)).cast("int")
+    each_of = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    asked = probes.join(coded.select("node", "x"), "node").join(grid, ["label", "cell"]).select("label", "cell", each_of("blocks").alias("block"), deal("chunks", 3).alias("chunk"), "node", F.lit(0).cast("long").alias("n"), "x", F.lit(None).cast("binary").alias("codes"), F.lit(0.0).alias("error"))
+    held = coded.join(grid, ["label", "cell"]).select("label", "cell", deal("blocks", 5).alias("block"), each_of("chunks").alias("chunk"), "node", "n", "x", "codes", "error")
 
     def compare(part: pd.DataFrame) -> pd.DataFrame:
         asks = part.codes.isna().to_numpy()
         ask, have = part[asks], part[~asks]
+        if not len(ask) or not len(have):
+            return pd.DataFrame({"a": [], "b": [], "links": [], "edge": []}).astype({"a": "int64", "b": "int64", "links": "int64", "edge": bool})
         q, x = (np.frombuffer(b"".join(y.x)).reshape(len(y), dims) for y in (ask, have))
         codes = np.frombuffer(b"".join(have.codes), np.uint8).reshape(len(have), len(model.books))
         i, j = link(q, x, codes, have.error.to_numpy(), int(part.cell.iloc[0]), model, cosine)
-        a, b = ask.rep.to_numpy()[i], have.rep.to_numpy()[j]
+        a, b = ask.node.to_numpy()[i], have.node.to_numpy()[j]
         other = a != b
         a, b, n = a[other], b[other], have.n.to_numpy()[j][other]
         who, inverse = np.unique(a, return_inverse=True)
@@ -201,6 +210,8 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec_id
     found = work.write(asked.unionByName(held).groupBy("label", "cell", "block", "chunk").applyInPandas(compare, "a long, b long, links long, edge boolean"))
     reached = components(found.where("edge").select("a", "b"), work)
     links = found.where("not edge").groupBy("a").agg(F.sum("links").alias("links"))
-    each = nodes.join(links, nodes["rep"] == links["a"], "left").join(reached, nodes["rep"] == reached["node"], "left").select("key", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).cast("long").alias("n_links"), F.coalesce("component", "rep").cast("long").alias("component_id"))
+    flat = work.write(nodes.join(reached.withColumnRenamed("node", "at"), F.col("node") == F.col("at"), "left").select("node", "key", "rep", "n", F.coalesce("component", "node").alias("component")))
+    least = flat.groupBy("component").agg(F.min("rep").cast("long").alias("component_id"))
+    each = flat.join(links, F.col("node") == F.col("a"), "left").join(least, "component").select("key", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).cast("long").alias("n_links"), "component_id")
     linked = rows.where("key is not null").join(each, "key").select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
     return linked.unionByName(alone).select(F.col("vec_id").cast("long").alias("vec_id"), "n_links", "component_id", "kept")
