@@ -56,8 +56,8 @@ def shared_execution(network: RoadNetwork, asking: DataFrame, answering: DataFra
     """
     work = Workspace(network.edges.sparkSession, "shared")
     chains = work.write(chain_edges(network))
-    kinds = asking.select("obj_id", F.lit(True).alias("asks")).unionByName(answering.select("obj_id", F.lit(False).alias("asks")))
-    on_chain = objects_on_chains(network, chains).join(kinds, "obj_id").drop("is_query").withColumnRenamed("asks", "is_query")
+    asks = asking.select("obj_id", F.lit(True).alias("asks"))
+    on_chain = objects_on_chains(network, chains).join(asks, "obj_id", "left").withColumn("is_query", F.coalesce("asks", F.lit(False))).drop("asks")
     members = work.write(runs(on_chain, "chain_id", "at").where("is_query").select("chain_id", "run", "seq", "n", "at", "obj_id"))
     ends = members.where("seq = 1 or seq = n")
     searched = asking.join(ends.select("obj_id"), "obj_id", "left_semi")
