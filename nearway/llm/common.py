@@ -1,61 +1,20 @@
-"""Shared pieces: written intermediate tables, safe column handling and table access."""
+"""Shared pieces of the operators."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nearway.storage import Workspace, shared_root
+
+__all__ = ["Workspace", "crc_mod", "shared_root", "table"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the tables of a data directory; Spark alone opens the path."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; where unset (tests), a local one is set."""
-    conf = spark.sparkContext.getConf()
-    root = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="nearway-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-class Workspace:
-    """Tables written under the shared folder, so that a lost executor costs a read and not a recomputation.
-
-    A table is dropped by drop() as soon as nothing needs it; what results still read goes when the driver ends.
-    """
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.path = spark, f"{shared_root(spark)}/nearway/{name}-{uuid.uuid4().hex}"
-        self.count = 0
-        atexit.register(self._delete, self.path)
-
-    def _delete(self, path: str) -> None:
-        try:
-            at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
-        except Exception:  # the JVM may be gone when the driver ends; nothing depends on this
-            return
-
-    def write(self, df: DataFrame) -> DataFrame:
-        """df as a table of its own, written once."""
-        self.count += 1
-        path = f"{self.path}/{self.count:03d}"
-        df.write.parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._nearway_path = path
-        return out
-
-    def drop(self, df: DataFrame) -> None:
-        self._delete(df._nearway_path)
-
-
 def crc_mod(column: str, n: int):
     """crc32 of the id as text, modulo n."""
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(n))
