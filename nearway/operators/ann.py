@@ -34,9 +34,9 @@ def _lookup(asking: DataFrame, labels: DataFrame) -> DataFrame:
     return at.join(labels, "node").select("q", (F.col("way") + F.col("dist")).alias("dist"), "obj")
 
 
-def nearest(asking: DataFrame, answering: DataFrame, labels: DataFrame) -> DataFrame:
+def nearest(marked: DataFrame, labels: DataFrame) -> DataFrame:
     """q, dist, obj: the least over the own edge and both its ends; no row if nothing is reached."""
-    found = nearest_on_edge(asking, answering).unionByName(_lookup(asking, labels))
+    found = nearest_on_edge(marked).unionByName(_lookup(marked.where("asks"), labels))
     return found.groupBy("q").agg(F.min(F.struct("dist", "obj")).alias("b")).select("q", "b.dist", "b.obj")
 
 
@@ -50,29 +50,36 @@ def all_nearest(network: RoadNetwork, direction: str = "true_to_false", algorith
     Ties go to the smaller data object; objects at one place are 0 apart.
     """
     kind = query_type(network, direction)
-    placed = network.placed
-    asking, answering = placed.where(F.col("is_query") == kind), placed.where(F.col("is_query") != kind)
+    marked = network.placed.withColumn("asks", F.col("is_query") == kind)
+    asking, answering = marked.where("asks"), marked.where("not asks")
     if algorithm == "voronoi":
-        return _result(asking, nearest(asking, answering, relax(seeds_of(network, answering), network.adjacency)))
+        return _result(asking, nearest(marked, relax(seeds_of(network, answering), network.adjacency)))
     if algorithm == "naive":
-        return _result(asking, _naive(network, asking, answering))
+        return _result(asking, _naive(network, marked))
     if algorithm == "scl":
         from nearway.operators.runs import shared_execution
 
-        return _result(asking, shared_execution(network, asking, answering))
+        return _result(asking, shared_execution(network, marked))
     raise ValueError("algorithm is voronoi, naive or scl")
 
 
+def looked_up(network: RoadNetwork, labels: DataFrame, kind: bool) -> DataFrame:
+    """The answers for objects of a type from a table of node labels that was made before."""
+    marked = network.placed.withColumn("asks", F.col("is_query") == kind)
+    return _result(marked.where("asks"), nearest(marked, labels))
+
+
 def node_labels(network: RoadNetwork, kind: bool) -> DataFrame:
     """node, dist, obj: the nearest object of a type for each node, the table that answers later queries."""
     return relax(seeds_of(network, network.objects.where(F.col("is_query") == kind)), network.adjacency)
 
 
-def _naive(network: RoadNetwork, asking: DataFrame, answering: DataFrame) -> DataFrame:
+def _naive(network: RoadNetwork, marked: DataFrame) -> DataFrame:
     """One expansion from each asking object, which ends where something as near has been found."""
     work = Workspace(network.edges.sparkSession, "naive")
+    asking, answering = marked.where("asks"), marked.where("not asks")
     entry = work.write(seeds_of(network, answering).groupBy("node").agg(F.min(F.struct("dist", "obj")).alias("b")).select("node", F.col("b.dist").alias("rest"), F.col("b.obj").alias("found")))
-    own = work.write(nearest_on_edge(asking, answering))
+    own = work.write(nearest_on_edge(marked))
     starts = seeds_of(network, asking).select(F.col("obj").alias("q"), "node", "dist", F.lit(0).cast("long").alias("obj"))
     first = starts.join(entry, "node").select("q", (F.col("dist") + F.col("rest")).alias("bound")).unionByName(own.select("q", F.col("dist").alias("bound")))
     bound = work.write(first.groupBy("q").agg(F.min("bound").alias("bound")))

@@ -11,15 +11,14 @@ from nearway.network import RoadNetwork
 SLOT_ROWS = 4_096
 
 
-def nearest_on_edge(asking: DataFrame, answering: DataFrame, slot_rows: int = SLOT_ROWS) -> DataFrame:
-    """q, dist, obj: for each asking object the nearest answering one on its edge, ties to the smaller id.
+def nearest_on_edge(marked: DataFrame, slot_rows: int = SLOT_ROWS) -> DataFrame:
+    """q, dist, obj: for each object that asks the nearest one on its edge that doesn't, ties to the smaller id.
 
     A backward and a forward as-of join in one sort: an edge's objects are cut into slots by offset, so that no edge
-    is one task's; what a slot doesn't know of its neighbours comes from a summary with a row for each slot. asking
-    and answering are objects with their edge's length; an object is not its own neighbour.
+    is one task's; what a slot doesn't know of its neighbours comes from a summary with a row for each slot. marked
+    are objects with their edge's length and whether each asks.
     """
-    cols = ["edge_id", F.col("dist_from_start").alias("off"), F.col("obj_id").alias("id"), "length"]
-    rows = asking.select(*cols, F.lit(True).alias("asks")).unionByName(answering.select(*cols, F.lit(False).alias("asks")))
+    rows = marked.select("edge_id", F.col("dist_from_start").alias("off"), F.col("obj_id").alias("id"), "length", "asks")
     counts = rows.groupBy("edge_id").agg(F.ceil(F.count(F.lit(1)) / slot_rows).cast("long").alias("slots"))
     rows = rows.join(counts, "edge_id").withColumn("slot", F.least(F.floor(F.col("off") / F.col("length") * F.col("slots")), F.col("slots") - 1))
     # a place sorts by offset; of equal offsets the least id is wanted, once another one if it is the asker's own
@@ -79,8 +78,11 @@ def offset_from(node: Column) -> Column:
 def edge_segments(network: RoadNetwork) -> DataFrame:
     """edge_id, seq, from_obj, to_obj, segment_length: every edge parted at its objects; null is an end of the edge."""
     w = Window.partitionBy("edge_id").orderBy("dist_from_start", "obj_id")
-    placed = network.placed
-    before = placed.select("edge_id", (F.row_number().over(w) - 1).alias("seq"), F.lag("obj_id").over(w).alias("from_obj"), F.col("obj_id").alias("to_obj"), (F.col("dist_from_start") - F.coalesce(F.lag("dist_from_start").over(w), F.lit(0.0))).alias("segment_length"))
-    last = placed.groupBy("edge_id").agg(F.count(F.lit(1)).cast("int").alias("seq"), F.max(F.struct("dist_from_start", "obj_id", "length")).alias("m")).select("edge_id", "seq", F.col("m.obj_id").alias("from_obj"), F.lit(None).cast("long").alias("to_obj"), (F.col("m.length") - F.col("m.dist_from_start")).alias("segment_length"))
-    whole = network.edges.join(network.objects.select("edge_id"), "edge_id", "left_anti").select("edge_id", F.lit(0).alias("seq"), F.lit(None).cast("long").alias("from_obj"), F.lit(None).cast("long").alias("to_obj"), F.col("length").alias("segment_length"))
-    return before.unionByName(last).unionByName(whole)
+    rows = network.edges.select("edge_id", "length").join(network.objects.select("edge_id", "obj_id", "dist_from_start"), "edge_id", "left")
+    rows = rows.select("edge_id", "length", "obj_id", "dist_from_start", (F.row_number().over(w) - 1).alias("seq"), F.lag("obj_id").over(w).alias("before"), F.coalesce(F.lag("dist_from_start").over(w), F.lit(0.0)).alias("off"), F.lead("obj_id").over(w).isNull().alias("is_last"))
+    part = lambda seq, a, b, length: F.struct(seq.alias("seq"), a.alias("from_obj"), b.alias("to_obj"), length.alias("segment_length"))
+    none, off = F.lit(None).cast("long"), F.col("dist_from_start")
+    own = part(F.col("seq"), F.col("before"), F.col("obj_id"), off - F.col("off"))
+    last = part(F.col("seq") + 1, F.col("obj_id"), none, F.col("length") - off)
+    found = F.when(F.col("obj_id").isNull(), F.array(part(F.lit(0), none, none, F.col("length")))).when(F.col("is_last"), F.array(own, last)).otherwise(F.array(own))
+    return rows.select("edge_id", F.explode(found).alias("s")).select("edge_id", "s.seq", "s.from_obj", "s.to_obj", "s.segment_length")

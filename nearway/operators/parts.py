@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from nearway.network import RoadNetwork
 from nearway.operators.ann import all_nearest
 from nearway.operators.relax import relax
+from nearway.storage import Workspace
 
 
 def by_position(network: RoadNetwork, parts: DataFrame) -> DataFrame:
@@ -85,7 +86,8 @@ def overlay_edges(network: RoadNetwork, parts: DataFrame) -> DataFrame:
     border = border_nodes(network, parts)
     labels = relax(border.select(F.col("node_id").alias("source"), F.col("node_id").alias("node"), F.lit(0.0).alias("dist"), F.lit(0).cast("long").alias("obj")), inner.adjacency, keys=("source",))
     shortcuts = labels.where("source < node").join(border.select(F.col("node_id").alias("node")), "node", "left_semi").select(F.col("source").alias("start_node"), F.col("node").alias("end_node"), F.col("dist").alias("length"), F.lit(False).alias("is_cut"))
-    return cut_edges(network, parts).select("start_node", "end_node", "length", F.lit(True).alias("is_cut")).unionByName(shortcuts)
+    # written, as both sides may be dealt by their end node (see Workspace.write)
+    return cut_edges(network, parts).select("start_node", "end_node", "length", F.lit(True).alias("is_cut")).unionByName(Workspace(network.edges.sparkSession, "overlay").write(shortcuts))
 
 
 def edges_within(network: RoadNetwork, edge_id: int, perimeter: float) -> DataFrame:

@@ -48,7 +48,7 @@ def misplaced_objects(network: RoadNetwork, chains: DataFrame) -> DataFrame:
     return network.objects.join(chains, "edge_id", "left_anti").select("obj_id", "edge_id")
 
 
-def shared_execution(network: RoadNetwork, asking: DataFrame, answering: DataFrame) -> DataFrame:
+def shared_execution(network: RoadNetwork, marked: DataFrame) -> DataFrame:
     """q, dist, obj: the ends of every run are searched, the objects between take the better of two sums.
 
     Between two members of a run there is no answering object on the chain, so a path from an inner one leaves the run
@@ -56,12 +56,12 @@ def shared_execution(network: RoadNetwork, asking: DataFrame, answering: DataFra
     """
     work = Workspace(network.edges.sparkSession, "shared")
     chains = work.write(chain_edges(network))
-    asks = asking.select("obj_id", F.lit(True).alias("asks"))
-    on_chain = objects_on_chains(network, chains).join(asks, "obj_id", "left").withColumn("is_query", F.coalesce("asks", F.lit(False))).drop("asks")
+    answering = marked.where("not asks")
+    on_chain = objects_on_chains(network, chains).drop("is_query").join(marked.select("obj_id", F.col("asks").alias("is_query")), "obj_id")
     members = work.write(runs(on_chain, "chain_id", "at").where("is_query").select("chain_id", "run", "seq", "n", "at", "obj_id"))
     ends = members.where("seq = 1 or seq = n")
-    searched = asking.join(ends.select("obj_id"), "obj_id", "left_semi")
-    found = work.write(nearest(searched, answering, relax(seeds_of(network, answering), network.adjacency)))
+    searched = marked.join(ends.select("obj_id", F.lit(True).alias("is_end")), "obj_id", "left").where("is_end or not asks")
+    found = work.write(nearest(searched, relax(seeds_of(network, answering), network.adjacency)))
     known = ends.join(found, F.col("obj_id") == F.col("q")).select("chain_id", "run", F.col("at").alias("end_at"), "dist", "obj")
     inner = members.where("seq > 1 and seq < n").join(known, ["chain_id", "run"]).select(F.col("obj_id").alias("q"), (F.col("dist") + F.abs(F.col("at") - F.col("end_at"))).alias("dist"), "obj")
     best = inner.groupBy("q").agg(F.min(F.struct("dist", "obj")).alias("b")).select("q", "b.dist", "b.obj")

@@ -74,9 +74,7 @@ on_network("ann_mixed_naive", lambda n: ann.all_nearest(n, "true_to_false", "nai
 
 def _vivet(n):
     """The table of node labels is made first, then looked up."""
-    labels = ann.node_labels(n, False)
-    asking, answering = n.placed.where("is_query"), n.placed.where("not is_query")
-    return ann._result(asking, ann.nearest(asking, answering, labels))
+    return ann.looked_up(n, ann.node_labels(n, False), True)
 
 
 on_network("ann_vivet", _vivet, ann_sql(True))
@@ -157,7 +155,7 @@ on_network("capacity_per_edge", lambda n: n.edges.select("edge_id", objects_that
 
 # objects along edges
 
-on_network("nearest_on_edge_object", lambda n: on_edge.nearest_on_edge(n.placed.where("is_query"), n.placed.where("not is_query")).select(F.col("q").alias("query_obj_id"), F.col("obj").alias("data_obj_id"), F.col("dist").alias("distance")), """
+on_network("nearest_on_edge_object", lambda n: on_edge.nearest_on_edge(n.placed.withColumn("asks", F.col("is_query"))).select(F.col("q").alias("query_obj_id"), F.col("obj").alias("data_obj_id"), F.col("dist").alias("distance")), """
 SELECT q AS query_obj_id, c % 10000000 AS data_obj_id, CAST(c // 10000000 AS DOUBLE) AS distance FROM (SELECT a.obj_id AS q, min(abs(a.dist_from_start - b.dist_from_start) * 10000000 + b.obj_id) AS c
   FROM objects a JOIN objects b ON a.edge_id = b.edge_id AND a.is_query AND NOT b.is_query GROUP BY a.obj_id)""")
 on_network("nearest_on_edge_any", lambda n: on_edge.nearest_other_on_edge(n.objects).select(F.col("q").alias("query_obj_id"), F.col("obj").alias("data_obj_id"), F.col("dist").alias("distance")), """

@@ -9,6 +9,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+UNION = "spark.sql.unionOutputPartitioning"
+
+
 def shared_root(spark: SparkSession) -> str:
     """The shared folder that the cluster names in spark.checkpoint.dir; where unset (tests), a local one is set."""
     conf = spark.sparkContext.getConf()
@@ -41,7 +44,16 @@ class Workspace:
         """df as a table of its own, written once."""
         self.count += 1
         path = f"{self.path}/{self.count:03d}"
-        df.write.parquet(path)
+        # Spark 4.1 lets a union keep the partitioning that its inputs share, even where adaptive execution has since given
+        # them different numbers of partitions; the job then fails. A union of such inputs is planned within write().
+        before = self.spark.conf.get(UNION) if self.spark.version >= "4.1" else None
+        if before == "true":
+            self.spark.conf.set(UNION, "false")
+        try:
+            df.write.parquet(path)
+        finally:
+            if before == "true":
+                self.spark.conf.set(UNION, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = (out, path)
         return out

@@ -42,9 +42,10 @@ def exact(edges, objects, kind=True):
             if other == kind:
                 continue
             _, oa, ob, ow = edges[oe]
-            ways = [dist[oa] + ooff] * (oa in dist) + [dist[ob] + ow - ooff] * (ob in dist) + [abs(off - ooff)] * (oe == e)
-            if ways:
-                best.append((round(min(ways), 6), o))
+            far = float("inf")
+            way = min(dist.get(oa, far) + ooff, dist.get(ob, far) + ow - ooff, abs(off - ooff) if oe == e else far)
+            if way < far:
+                best.append((round(way, 6), o))
         if best:
             out[q] = min(best)
     return out

@@ -30,7 +30,7 @@ def test_cases(spark, name, algorithm):
     assert answers(found) == (exact(edges, objects) if expected is None else expected)
 
 
-@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.integers(0, 10**6))
 def test_algorithms_agree_on_random_networks(spark, seed):
     import random
