@@ -1,7 +1,8 @@
-"""Connected components of any size, on the executors."""
+"""Connected components: of any size on the executors, and what a task's own edges connect."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,3 +35,22 @@ def components(edges: DataFrame, work: Workspace) -> DataFrame:
     work.drop(live)
     least = labels.groupBy("at").agg(F.min("node").alias("component"))
     return labels.join(least, "at").select("node", "component")
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (node, root) that connect what the edges (a, b) connect: one for each node at most."""
+    nodes, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
+    i, j = flat[: len(a)], flat[len(a) :]
+    root = np.arange(len(nodes))
+    while True:
+        low = np.minimum(root[i], root[j])
+        new = root.copy()
+        for end in (i, j):
+            np.minimum.at(new, end, low)
+            np.minimum.at(new, root[end], low)
+        new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    keep = root != np.arange(len(nodes))
+    return nodes[keep], nodes[root[keep]]

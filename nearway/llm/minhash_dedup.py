@@ -9,9 +9,11 @@ in order of time, and a process stops at the latest register time of its documen
 make one point.
 
 Signatures are cut into bands. Documents that agree on a band are compared exactly, on whole multisets: all pairs in a
-small bucket; in a large one, members chosen at random meet those of other components, ever more of them each round,
-until a bucket has one component or all its pairs were compared. So a bucket of thousands of copies costs a few
-comparisons for each, and no pair of a bucket that could join two components is left out.
+small bucket; in a large one first every member with a few chosen ones, which joins most of what belongs together. Then,
+in every large bucket that still holds several components, each member outside the largest meets all members of other
+components: in blocks of bounded size, a task comparing one block with another and returning no more links than it has
+documents. So a bucket of thousands of near copies makes no pairs of rows, and no pair that could join two components
+is left out.
 """
 
 from __future__ import annotations
@@ -19,18 +21,21 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from nearway.llm.common import Workspace
-from nearway.llm.graph import components
+from nearway.llm.common import Workspace, unwrapped, wrapped
+from nearway.llm.graph import components, forest
 from nearway.llm.textkernel import buffers, mix, occurrences, run_digests, shingles, slices, words
 
 #: Registers are bands x rows. A pair at the threshold of 0.8 meets in a band with probability 0.9999.
 BANDS, ROWS = 25, 5
-#: Bucket size up to which all pairs are compared at once; factor by which chosen members grow from round to round.
-SMALL, GROWTH = 24, 8
+#: Bucket size up to which all pairs are compared at once; members chosen from a larger one, about.
+SMALL, CHOSEN = 24, 3
+#: Rows and shingles of a block, at most (a longer document is a block of its own), and rows of a block that asks.
+BLOCK_ROWS, BLOCK_SHINGLES, ASK_ROWS = 1_024, 500_000, 512
 GOLDEN = 0x9E3779B97F4A7C15
 
 
@@ -98,7 +103,7 @@ def _signed(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatc
 
 
 def _multisets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """doc_id and its shingles as numbers of their own for each occurrence, so that multisets compare as sets."""
+    """doc_id, its shingles as numbers of their own for each occurrence, so that multisets compare as sets, and bands."""
     for b in batches:
         data, offsets = buffers(b.column(1))
         for i, j in slices(offsets):
@@ -106,7 +111,7 @@ def _multisets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordB
             keys, counts, own = occurrences(s, first)
             nth = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
             tagged = mix(np.repeat(keys, counts) + nth.astype(np.uint64) * salt(1))
-            yield pa.RecordBatch.from_arrays([b.column(0)[i:j], pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(tagged.view(np.int64)))], ["doc_id", "sh"])
+            yield pa.RecordBatch.from_arrays([b.column(0)[i:j], pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(tagged.view(np.int64))), b.column(2)[i:j]], ["doc_id", "sh", "bands"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -117,6 +122,36 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return both.select("a", "b", shared.alias("shared"), (F.size("sa") + F.size("sb")).alias("total")).where(F.col("shared") >= F.lit(similarity) * (F.col("total") - F.col("shared")) - 1e-9).select("a", "b")
 
 
+def _block_links(part: pd.DataFrame, similarity: float) -> pd.DataFrame:
+    """Links that connect documents of different components in one block of asking rows and one of all rows.
+
+    A pair that meets in an earlier band too is left to that band.
+    """
+    ask, have = part[part.asks], part[~part.asks]
+    found: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64),) * 2]
+    if len(ask) and len(have):
+        ids, comp, n = (have[c].to_numpy() for c in ("doc_id", "at", "n"))
+        bands = np.stack(have.bands.to_list())
+        order = int(np.flatnonzero((bands == part.band.iloc[0]).all(0))[0])
+        tokens, row = np.concatenate(have.sh.to_list()), np.repeat(np.arange(len(have)), n)
+        by = np.argsort(tokens, kind="stable")
+        tokens, row = tokens[by], row[by]
+        for doc, at, size, own, sh in zip(ask.doc_id, ask["at"], ask.n, ask.bands, ask.sh, strict=True):
+            can = (comp != at) & (np.minimum(n, size) >= similarity * np.maximum(n, size) - 1e-9)
+            can &= ~(bands[:, :order] == own[:order]).any(1)
+            if not can.any():
+                continue
+            left, right = np.searchsorted(tokens, sh, "left"), np.searchsorted(tokens, sh, "right")
+            times = right - left
+            hits = np.repeat(left - np.cumsum(times) + times, times) + np.arange(times.sum())
+            shared = np.bincount(row[hits], minlength=len(have))
+            ok = can & (shared >= similarity * (n + size - shared) - 1e-9)
+            found.append((np.full(ok.sum(), doc), ids[ok]))
+    a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+    node, root = forest(a, b)
+    return pd.DataFrame({"a": np.minimum(node, root), "b": np.maximum(node, root)})
+
+
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, class_id (the smallest id of its class) and kept (doc_id = class_id) of every row.
 
@@ -131,35 +166,39 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5,
     given = texts.where("doc_id is not null and text is not null")
     signed = work.write(given.mapInArrow(lambda it: _signed(it, shingle), "doc_id long, n long, d1 long, d2 long, bands array<long>"))
     nodes = work.write(signed.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")))
-    bands = signed.join(nodes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "n", F.explode("bands").alias("band"))
-    sizes = bands.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = work.write(bands.join(sizes, "band"))
-    sets = work.write(given.join(members.select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(lambda it: _multisets(it, shingle), "doc_id long, sh array<long>"))
-
-    # place of a member in its bucket's random order, from 0 to 1: fixed, so that a lost executor changes nothing
+    singles = signed.join(nodes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    keys = singles.select("doc_id", "n", F.explode("bands").alias("band"))
+    sizes = keys.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    members = work.write(keys.join(sizes, "band"))
+    compared = singles.select("doc_id", "bands").join(members.select("doc_id").distinct(), "doc_id", "left_semi")
+    sets = work.write(given.join(compared, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "bands").mapInArrow(lambda it: _multisets(it, shingle), "doc_id long, sh array<long>, bands array<long>"))
+
+    # all pairs of small buckets; of large ones, members chosen by a fixed hash with all
     place = F.pmod(F.xxhash64("doc_id", "band"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    live = members.select("band", "size", "doc_id", "n", place.alias("place"), F.col("doc_id").alias("at"))
-    links, reached, turn = None, None, 0
-    while True:
-        share = F.when(F.col("size") <= SMALL, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.lit(2.0 * GROWTH**turn) / F.col("size")))
-        before = F.when(F.col("size") <= SMALL, F.lit(0.0)).otherwise(F.least(F.lit(1.0), F.lit(2.0 * GROWTH ** (turn - 1)) / F.col("size"))) if turn else F.lit(0.0)
-        # those chosen in an earlier round have met everyone in their bucket
-        rest = live.where(F.col("place") >= before)
-        chosen = rest.where(F.col("place") < share).select("band", F.col("doc_id").alias("c"), F.col("n").alias("cn"), F.col("at").alias("cat"), F.col("place").alias("cplace"))
-        pairs = rest.join(chosen, "band").where((F.col("at") != F.col("cat")) & ((F.col("place") >= share) | (F.col("doc_id") < F.col("c"))) & (F.least("n", "cn") >= F.lit(similarity) * F.greatest("n", "cn") - 1e-9))
-        pairs = work.write(pairs.select(F.least("doc_id", "c").alias("a"), F.greatest("doc_id", "c").alias("b")).distinct())
-        new = _verified(pairs, sets, similarity)
-        links = work.write(new if links is None else links.unionByName(new))
-        reached = work.write(components(links, work))
-        work.drop(pairs)
-        turn += 1
-        # buckets that still have more than one component and members that weren't chosen
-        moved = live.drop("at").join(reached.withColumnRenamed("node", "doc_id").withColumnRenamed("component", "to"), "doc_id", "left").select("band", "size", "doc_id", "n", "place", F.coalesce("to", "doc_id").alias("at"))
-        left = moved.where((F.col("size") > SMALL) & (F.lit(2.0 * GROWTH ** (turn - 1)) < F.col("size")))
-        mixed = left.groupBy("band").agg(F.min("at").alias("lo"), F.max("at").alias("hi")).where("lo < hi").select("band")
-        live = work.write(left.join(mixed, "band", "left_semi"))
-        if live.isEmpty():
-            break
+    live = members.withColumn("picked", (F.col("size") <= SMALL) | (place < F.lit(float(CHOSEN)) / F.col("size")))
+    chosen = live.where("picked").select("band", F.col("doc_id").alias("c"), F.col("n").alias("cn"))
+    pairs = live.join(chosen, "band").where(((F.col("doc_id") < F.col("c")) | (~F.col("picked") & (F.col("doc_id") != F.col("c")))) & (F.least("n", "cn") >= F.lit(similarity) * F.greatest("n", "cn") - 1e-9))
+    pairs = work.write(pairs.select(F.least("doc_id", "c").alias("a"), F.greatest("doc_id", "c").alias("b")).distinct())
+    links = work.write(_verified(pairs, sets, similarity))
+    reached = work.write(components(links, work))
+
+    # what large buckets still hold apart
+    at = members.where(F.col("size") > SMALL).join(reached.withColumnRenamed("node", "doc_id").withColumnRenamed("component", "to"), "doc_id", "left").select("band", "size", "doc_id", "n", F.coalesce("to", "doc_id").alias("at"))
+    at = work.write(at)
+    most = at.groupBy("band", "at").agg(F.count(F.lit(1)).alias("k"), F.max("n").alias("n")).groupBy("band").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("k", "at")).alias("m"), F.max("n").alias("longest")).where("parts > 1")
+    rows = F.greatest(F.lit(1), F.least(F.lit(BLOCK_ROWS), F.floor(F.lit(BLOCK_SHINGLES) / F.col("longest"))))
+    grid = most.select("band", F.col("m.at").alias("main"), rows.alias("rows"), F.least(F.lit(ASK_ROWS), rows).alias("ask_rows"), F.col("m.k").alias("main_size"))
+    apart = at.join(grid, "band").withColumn("blocks", F.ceil(F.col("size") / F.col("rows")).cast("int")).withColumn("chunks", F.ceil((F.col("size") - F.col("main_size")) / F.col("ask_rows")).cast("int"))
+    deal = lambda c, of: F.pmod(F.xxhash64("doc_id", F.lit(of)), F.col(c)).cast("int")
+    each_of = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    asks = apart.where(F.col("at") != F.col("main")).select("band", each_of("blocks").alias("block"), deal("chunks", 3).alias("chunk"), "doc_id", "at", "n", F.lit(True).alias("asks"))
+    met = asks.select("band", "block", "chunk").distinct()
+    have = apart.select("band", deal("blocks", 5).alias("block"), each_of("chunks").alias("chunk"), "doc_id", "at", "n", F.lit(False).alias("asks")).join(met, ["band", "block", "chunk"], "left_semi")
+    met_rows = asks.unionByName(have).join(sets, "doc_id")
+    further = met_rows.groupBy("band", "block", "chunk").applyInPandas(lambda part: _block_links(part, similarity), "a long, b long")
+    reached = work.write(components(links.unionByName(further), work))
+    for done in (pairs, members, sets, at):
+        work.drop(done)
     classes = nodes.join(reached, nodes["rep"] == reached["node"], "left").select("d1", "d2", F.coalesce("component", "rep").alias("class_id"))
     found = signed.select("doc_id", "d1", "d2").join(classes, ["d1", "d2"]).groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
     out = texts.select("doc_id").join(found, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
@@ -167,6 +206,8 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5,
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """One document of each class, that with the smallest id (of rows that share it, one)."""
-    kept = near_duplicates(docs, id_col=id_col, **how).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col(id_col) == F.col("_kept"), "left_semi").dropDuplicates([id_col])
+    """One document of each class, that with the smallest id; of rows that share it the first by a hash of the row."""
+    kept = near_duplicates(docs, id_col=id_col, **how).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    nth = F.row_number().over(Window.partitionBy("id").orderBy("h"))
+    rows = docs.select(wrapped(docs), F.col(id_col).cast("long").alias("id"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("h"))
+    return rows.join(kept, F.col("id") == F.col("kept_id"), "left_semi").withColumn("nth", nth).where("nth = 1").select(*unwrapped(docs))

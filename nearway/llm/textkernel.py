@@ -21,7 +21,7 @@ LOWER[65:91] += 32
 BASE = 0x9E3779B97F4A7C15 | 1
 BASE_INVERSE = pow(BASE, -1, 2**64)
 #: Bytes hashed at a time; longer texts are cut after white space, which never parts a word.
-PIECE = 1 << 21
+PIECE = 1 << 19
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -160,7 +160,7 @@ def occurrences(keys: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.nda
     return k[at], counts, np.searchsorted(t[at], np.arange(len(first)))
 
 
-def slices(offsets: np.ndarray, limit: int = 1 << 22) -> Iterator[tuple[int, int]]:
+def slices(offsets: np.ndarray, limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Runs of whole texts of about limit bytes at most, or one longer text."""
     at, n = 0, len(offsets) - 1
     while at < n:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearway.llm.common import Workspace
-from nearway.llm.graph import components
+from nearway.llm.graph import components, forest
 
 #: Vectors that centroids and codebooks are fitted on, cells, subspaces and codewords of each.
 SAMPLE, CELLS, PARTS, WORDS = 16_384, 128, 8, 64
@@ -104,25 +104,6 @@ def link(q: np.ndarray, x: np.ndarray, codes: np.ndarray, error: np.ndarray, cel
     return np.concatenate(left) if left else np.zeros(0, int), np.concatenate(right) if right else np.zeros(0, int)
 
 
-def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (node, root) that connect what the edges (a, b) connect: one for each node at most."""
-    nodes, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
-    i, j = flat[: len(a)], flat[len(a) :]
-    root = np.arange(len(nodes))
-    while True:
-        low = np.minimum(root[i], root[j])
-        new = root.copy()
-        for end in (i, j):
-            np.minimum.at(new, end, low)
-            np.minimum.at(new, root[end], low)
-        new = new[new]
-        if (new == root).all():
-            break
-        root = new
-    keep = root != np.arange(len(nodes))
-    return nodes[keep], nodes[root[keep]]
-
-
 def _unit(vectors, dims: int) -> np.ndarray:
     sizes = {len(v) for v in vectors}
     if sizes == {dims}:
