@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearway.llm import language, minhash_dedup, mixing, packing, secrets
-from nearway.llm.common import Workspace, table
+from nearway.llm.common import Workspace, table, unwrapped
 from nearway.llm.queries import tokenizer_path
 
 #: A document is rejected if its language can't be told: no letter, or less than this probability for the best.
@@ -18,9 +18,8 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     Documents without an id go as well, since no later stage could name them.
     """
-    told = language.identify(docs).where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
-    names = told.select(F.col("doc_id").alias("_id"), F.col("lang_pred").alias("_lang")).dropDuplicates(["_id"])
-    return docs.join(names, F.col("doc_id") == F.col("_id")).withColumn("lang", F.col("_lang").cast(docs.schema["lang"].dataType)).select(*docs.columns)
+    told = language.identify(docs, with_row=True).where(F.col("doc_id").isNotNull() & (F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    return told.select(*unwrapped(docs, lang=F.col("lang_pred")))
 
 
 def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

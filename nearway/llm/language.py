@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nearway.llm.common import crc_mod
+from nearway.llm.common import crc_mod, wrapped
 from nearway.llm.textkernel import buffers
 
 #: Bytes of a window, filter widths, filters of each width.
@@ -169,20 +169,22 @@ def training_rows(docs: DataFrame, usable, id_col: str, text_col: str, lang_col:
     return sorted((r["id"] or "", r["lang"], r["text"]) for r in rows)
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held_out_of: int = 4, held_out_is: int = 2, texts: int = TRAIN_TEXTS) -> DataFrame:
+def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held_out_of: int = 4, held_out_is: int = 2, texts: int = TRAIN_TEXTS, with_row: bool = False) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every row; the network learns from rows that aren't held out.
 
     Null texts and texts without a letter are `und` with a score of 0, and so is every text if no row is labelled.
-    Repeated rows are judged each; an empty table gives an empty result; other columns play no part.
+    Repeated rows are judged each; an empty table gives an empty result; other columns play no part. with_row adds the
+    whole row of docs as a struct `row`, so that a filter by language needs no join.
     """
-    out = crc_mod(id_col, held_out_of) == held_out_is
-    held = F.coalesce(out, F.lit(False))
+    held = F.coalesce(crc_mod(id_col, held_out_of) == held_out_is, F.lit(False))
     sample = training_rows(docs, ~held, id_col, text_col, lang_col, texts)
-    rows = docs.select(F.col(id_col).alias("doc_id"), held.alias("held_out"), F.when(F.col(text_col).rlike(r"\p{L}"), F.col(text_col)).alias("text"))
+    own = [wrapped(docs)] if with_row else []
+    rows = docs.select(F.col(id_col).alias("doc_id"), held.alias("held_out"), F.when(F.col(text_col).rlike(r"\p{L}"), F.col(text_col)).alias("text"), *own)
+    names = ["row"] * with_row
     if not sample:
-        return rows.select("doc_id", "held_out", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+        return rows.select("doc_id", "held_out", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), *names)
     model = train([t.encode() for _, _, t in sample], [lang for _, lang, _ in sample])
-    schema = T.StructType([*rows.schema.fields[:2], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*rows.schema.fields[:2], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), *rows.schema.fields[3:]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = model.pair_tables()
@@ -190,7 +192,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
             p = predict(model, tables, *buffers(b.column(2)))
             known = ~np.asarray(b.column(2).is_null())
             best = p.argmax(1) if len(p) else np.zeros(0, int)
-            names = pa.array([model.languages[i] if k else UNKNOWN for i, k in zip(best, known, strict=True)], pa.string())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), names, pa.array(np.where(known, p[np.arange(len(p)), best], 0.0))], schema.names)
+            told = pa.array([model.languages[i] if k else UNKNOWN for i, k in zip(best, known, strict=True)], pa.string())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), told, pa.array(np.where(known, p[np.arange(len(p)), best], 0.0)), *b.columns[3:]], schema.names)
 
     return rows.mapInArrow(run, schema)

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from nearway.llm.common import unwrapped, wrapped
+
 #: Rows that a range of keys is meant to hold.
 RANGE_ROWS = 20_000
 
@@ -77,15 +79,18 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: f
 def apply_mix(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs as the mix takes them: each whole copy is a row, and a cut document's last row has its first words only.
 
-    A document of which nothing is taken goes, one without words too (a mix of words takes none of it).
+    A document of which nothing is taken goes, one without words too (a mix of words takes none of it). Rows that share
+    an id and a size are taken alike, as often as the first of them.
     """
-    shares = mixed.where(F.col("taken") > 0).select(F.col("doc_id").alias("mix_id"), F.col("taken").alias("mix_taken"), F.col("size").alias("mix_size"))
-    copies = F.concat(F.array_repeat(F.lit(-1).cast("long"), F.floor(F.col("mix_taken") / F.col("mix_size")).cast("int")), F.when(F.col("mix_taken") % F.col("mix_size") > 0, F.array(F.col("mix_taken") % F.col("mix_size"))).otherwise(F.expr("cast(array() as array<bigint>)")))
-    rows = docs.join(shares, F.col(id_col).eqNullSafe(F.col("mix_id"))).withColumn("mix_words", F.explode(copies))
-    # the first mix_words words with the white space before each; only a cut row is parted into words
-    cut = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), 1, F.greatest(F.col("mix_words"), F.lit(0)).cast("int")), "")
-    text = F.when(F.col("mix_words") < 0, F.col(text_col)).otherwise(cut)
-    out = rows.withColumn(text_col, text)
+    shares = mixed.where(F.col("taken") > 0).groupBy(F.col("doc_id").alias("mix_id"), "size").agg(F.max("taken").alias("taken"))
+    whole, cut_to = F.floor(F.col("taken") / F.col("size")).cast("int"), F.col("taken") % F.col("size")
+    copies = F.concat(F.array_repeat(F.lit(-1).cast("long"), whole), F.when(cut_to > 0, F.array(cut_to)).otherwise(F.expr("cast(array() as array<bigint>)")))
+    rows = docs.select(wrapped(docs), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = rows.join(shares, F.col("id").eqNullSafe(F.col("mix_id")) & (word_count(F.col("text")) == F.col("size"))).withColumn("words", F.explode(copies))
+    # the first words with the white space before each; only a cut row is parted into words
+    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), 1, F.greatest(F.col("words"), F.lit(0)).cast("int")), "")
+    out = rows.withColumn("made", F.when(F.col("words") < 0, F.col("text")).otherwise(cut))
+    instead = {text_col: F.col("made")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length(text_col).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        instead["n_chars"] = F.when(F.col("words") < 0, F.col("row.n_chars")).otherwise(F.length("made"))
+    return out.select(*unwrapped(docs, **instead))

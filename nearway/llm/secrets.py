@@ -13,6 +13,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from nearway.llm.common import unwrapped, wrapped
+
 #: The base kinds in their order; group 2 of assign and group 0 of the others have a least length.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"  # 20 characters and more; a shorter run can hold no later match
@@ -90,17 +92,18 @@ def find_secrets(text: Column, window: int = WINDOW, classes=CLASSES, allowed=AL
 
 
 def scan(docs: DataFrame, text_col: str = "text", **how) -> DataFrame:
-    """docs with base_spans and spans (base and added): arrays of structs start, kind, end in code points, end exclusive.
+    """row (all columns of docs as a struct), text, base_spans and spans (base and added) of every row.
 
-    Added spans that touch a base span are left out. Kinds are numbers, the places in KINDS. Null and empty texts have
-    no spans; rows are kept as they are, repeated ones too; columns of the names added here are replaced.
+    Spans are arrays of structs start, kind, end in code points, end exclusive; kinds are numbers, the places in KINDS.
+    Added spans that touch a base span are left out. Null and empty texts have no spans; rows are kept as they are,
+    repeated ones too; columns of docs may have any names.
     """
-    base, added = find_secrets(F.col(text_col), **how)
+    base, added = find_secrets(F.col("text"), **how)
     plain = lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))
-    out = docs.withColumn("base_spans", base).withColumn("added_spans", added)
+    out = docs.select(wrapped(docs), F.col(text_col).alias("text")).withColumn("base_spans", base).withColumn("added_spans", added)
     out = out.withColumn("base_spans", F.array_sort(F.transform("base_spans", plain)))
     apart = F.filter("added_spans", lambda a: ~F.exists("base_spans", lambda b: (b["start"] < a["end"]) & (a["start"] < b["end"])))
-    return out.withColumn("spans", F.array_sort(F.concat("base_spans", apart))).drop("added_spans")
+    return out.select("row", "text", "base_spans", F.array_sort(F.concat("base_spans", apart)).alias("spans"))
 
 
 def written(spans: str) -> Column:
@@ -111,15 +114,14 @@ def written(spans: str) -> Column:
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Id, base spans by kind, the base spans' digest and all spans as text, for every row."""
-    found = scan(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
+    found = scan(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))).withColumn("doc_id", F.col("row.doc_id"))
     n = lambda k: F.size(F.filter("base_spans", lambda s: s["kind"] == k)).cast("long")
     return found.select("doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"), F.sha2(written("base_spans").cast("binary"), 256).alias("base_sha256"), written("spans").alias("spans"))
 
 
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """docs with every span replaced by the mark (spans that overlap by one mark); n_chars follows if there is one."""
-    found = scan(docs.select("*", F.col(text_col).alias("_text")), "_text")
-    text = F.col("_text")
+    text = F.col("text")
 
     def step(acc: Column, s: Column) -> Column:
         new = s["start"] >= acc["at"]
@@ -127,7 +129,9 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> D
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(new, F.concat(acc["out"], gap, F.lit(mark))).otherwise(acc["out"]).alias("out"))
 
     made = F.aggregate("spans", F.expr("named_struct('at', 0L, 'out', '')"), step, lambda a: F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), F.length(text))))
-    out = found.withColumn(text_col, F.when(F.size("spans") > 0, made).otherwise(text))
+    hit = F.size("spans") > 0
+    out = scan(docs, text_col).withColumn("made", F.when(hit, made).otherwise(text))
+    instead = {text_col: F.col("made")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("spans") > 0, F.length(text_col)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        instead["n_chars"] = F.when(hit, F.length("made")).otherwise(F.col("row.n_chars"))
+    return out.select(*unwrapped(docs, **instead))

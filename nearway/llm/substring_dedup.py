@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from nearway.llm.common import Workspace
+from nearway.llm.common import Workspace, unwrapped, wrapped
 from nearway.llm.textkernel import buffers, mix, run_digests, slices, words
 
 #: One word in so many ends a unit; words of a unit, at least and at most, within a line; words of a span, at least.
@@ -94,9 +94,11 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
     """docs without the spans; what a row lost is in `removed`, an array of its spans with their original offsets."""
     spans = repeated_spans(docs, id_col, text_col, least_words)
-    lists = spans.groupBy(F.col("doc_id").alias("_id")).agg(F.array_sort(F.collect_list(F.struct("start", "end", "kept_doc_id"))).alias("removed"))  # at most as many as a document has units
-    text = F.col(text_col)
+    lists = spans.groupBy(F.col("doc_id").alias("of")).agg(F.array_sort(F.collect_list(F.struct("start", "end", "kept_doc_id"))).alias("removed"))  # at most as many as a document has units
+    text = F.col("text")
     step = lambda acc, s: F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))).alias("out"))
     made = F.aggregate("removed", F.expr("named_struct('at', 0L, 'out', '')"), step, lambda a: F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), F.length(text))))
-    out = docs.drop("removed").join(lists, F.col(id_col) == F.col("_id"), "left").drop("_id")
-    return out.withColumn(text_col, F.when(F.col("removed").isNotNull(), made).otherwise(text))
+    rows = docs.select(wrapped(docs), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    out = rows.join(lists, F.col("id") == F.col("of"), "left").withColumn("made", F.when(F.col("removed").isNotNull(), made).otherwise(text))
+    own = unwrapped(docs, **{text_col: F.col("made")})
+    return out.select(*[c for c, name in zip(own, docs.columns, strict=True) if name != "removed"], "removed")

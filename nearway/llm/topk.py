@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 #: Magnitude to which impacts are cut, so that sums of products stay within 64 bits.
 MOST = 1 << 24
 #: Rows of a shard and queries of a block: what one task holds.
-SHARD_ROWS, BLOCK_QUERIES = 32_768, 4_096
+SHARD_ROWS, BLOCK_QUERIES = 65_536, 16_384
 #: Queries scored together.
 AT_ONCE = 64
 
