@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from nearway.llm.common import unwrapped, wrapped
 
 #: Rows that a range of keys is meant to hold.
-RANGE_ROWS = 20_000
+RANGE_ROWS = 4_000
 
 
 def word_count(text: Column) -> Column:
