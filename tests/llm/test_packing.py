@@ -37,7 +37,7 @@ def test_bins_are_best_fit_and_bounded():
         else:
             assert b == made and offset == 0
             made += 1
-            if len(free) == 4:
+            if len(free) == 4 and n < 32:
                 closed = free.keys() - {x for v in bins.free for x in v}
                 assert len(closed) == 1 and free[min(closed)] == min(free.values())
                 del free[min(closed)]
@@ -78,6 +78,6 @@ def test_round_trip(spark, tokenizer):
     check(rows, [x.asDict() for x in got], tokenizer, 64)
     assert P.pack(df.limit(0), tokenizer_path()).count() == 0
     one = P.pack(df.coalesce(1), tokenizer_path(), size=64).collect()
-    assert len({x["sequence_id"] for x in one}) <= 1.05 * sum(x["length"] for x in one) / 64 + 1
+    assert len({x["sequence_id"] for x in one}) <= 1.01 * sum(x["length"] for x in one) / 64 + 1
     twice = P.pack(df.where("doc_id = 3").union(df.where("doc_id = 3")), tokenizer_path(), end_id=None)
     assert twice.count() == 2
