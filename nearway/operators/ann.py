@@ -6,12 +6,13 @@ Three ways with one answer: `voronoi` labels every node with its nearest data ob
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearway.network import RoadNetwork
 from nearway.operators.on_edge import nearest_on_edge, nearest_other_on_edge
-from nearway.operators.relax import relax, relax_two, seeds_of
+from nearway.operators.relax import Compact, compact, relax, relax_two, seeds_of
 from nearway.storage import Workspace
 
 DIRECTIONS = ("true_to_false", "false_to_true", "auto")
@@ -80,6 +81,9 @@ def _naive(network: RoadNetwork, marked: DataFrame) -> DataFrame:
     asking, answering = marked.where("asks"), marked.where("not asks")
     entry = work.write(seeds_of(network, answering).groupBy("node").agg(F.min(F.struct("dist", "obj")).alias("b")).select("node", F.col("b.dist").alias("rest"), F.col("b.obj").alias("found")))
     own = work.write(nearest_on_edge(marked))
+    if net := compact(network.adjacency):
+        found = _expanded(asking, entry, net).unionByName(own)
+        return found.groupBy("q").agg(F.min(F.struct("dist", "obj")).alias("b")).select("q", "b.dist", "b.obj")
     starts = seeds_of(network, asking).select(F.col("obj").alias("q"), "node", "dist", F.lit(0).cast("long").alias("obj"))
     first = starts.join(entry, "node").select("q", (F.col("dist") + F.col("rest")).alias("bound")).unionByName(own.select("q", F.col("dist").alias("bound")))
     bound = work.write(first.groupBy("q").agg(F.min("bound").alias("bound")))
@@ -92,6 +96,23 @@ def _naive(network: RoadNetwork, marked: DataFrame) -> DataFrame:
     return found.groupBy("q").agg(F.min(F.struct("dist", "obj")).alias("b")).select("q", "b.dist", "b.obj")
 
 
+def _expanded(asking: DataFrame, entry: DataFrame, small: Compact) -> DataFrame:
+    """The expansions for a network that is small enough to be sent to every task: no shuffle, a heap for each query."""
+    at = {int(n): i for i, n in enumerate(small.nodes)}
+    # a row for each node at most
+    rest = {at[r["node"]]: (r["rest"], r["found"]) for r in entry.collect()}
+    sent = asking.sparkSession.sparkContext.broadcast((small, at, rest))
+
+    def expand(batches):
+        net, at, rest = sent.value
+        for b in batches:
+            found = [net.nearest([(off, at[s]), (length - off, at[e])], rest) for s, e, off, length in zip(b.start_node, b.end_node, b.dist_from_start, b.length, strict=True)]
+            some = [f is not None for f in found]
+            yield pd.DataFrame({"q": b.obj_id[some], "dist": [f[0] for f in found if f], "obj": [f[1] for f in found if f]})
+
+    return asking.select("obj_id", "start_node", "end_node", "dist_from_start", "length").mapInPandas(expand, "q long, dist double, obj long")
+
+
 def untyped_nearest(network: RoadNetwork) -> DataFrame:
     """query_obj_id, data_obj_id, distance: the nearest other object of any type for every object."""
     placed = network.placed

@@ -4,12 +4,18 @@ A label says which object is nearest to a node and how far. A round joins the la
 and merges what they reach into the labels in one aggregation, so a round is one shuffle by node and one written table;
 several hops are planned as one job. Ties go to the smallest distance and then to the smallest object, at every node,
 which gives the same answer whatever the order of rounds, partitions or edges.
+
+A network whose edges are few, by a count that is checked, is sent to the tasks instead, and each task searches it from
+its own seeds with a heap; the labels are the same. Beyond that count nothing but the seeds' own keys bounds a task.
 """
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +23,8 @@ from nearway.network import RoadNetwork
 from nearway.storage import Workspace
 
 HOPS = 3
+#: Directed edges, at most, of a network that every task gets (three numbers each).
+LOCAL_EDGES = 500_000
 
 
 def seeds_of(network: RoadNetwork, objects: DataFrame | None = None) -> DataFrame:
@@ -32,6 +40,8 @@ def relax(seeds: DataFrame, adjacency: DataFrame, keys: tuple[str, ...] = (), wi
     `within` ends paths that are longer; prune takes the labels that are to go on and returns those worth it. Nodes
     that aren't reached have no row.
     """
+    if prune is None and (net := compact(adjacency)):
+        return _searched(seeds, net, keys, within)
     work, names = Workspace(seeds.sparkSession, "relax"), [*keys, "node"]
     steps = adjacency.select("src", "dst", "w")
 
@@ -61,6 +71,77 @@ def relax(seeds: DataFrame, adjacency: DataFrame, keys: tuple[str, ...] = (), wi
     return labels.drop("new")
 
 
+class Compact:
+    """A network as arrays: the edges of node i are first[i]:first[i + 1]."""
+
+    def __init__(self, src: np.ndarray, dst: np.ndarray, w: np.ndarray):
+        nodes, at = np.unique(np.concatenate([src, dst]), return_inverse=True)
+        order = np.argsort(at[: len(src)], kind="stable")
+        self.nodes = nodes
+        self.first = np.searchsorted(at[: len(src)][order], np.arange(len(nodes) + 1)).tolist()
+        self.dst, self.w = at[len(src) :][order].tolist(), w[order].tolist()
+
+    def search(self, node: np.ndarray, dist: np.ndarray, obj: np.ndarray, within: float | None) -> tuple[list, list, list]:
+        """Nodes with their least (dist, obj) from the seeds; labels leave the heap in that order."""
+        place = np.searchsorted(self.nodes, node)
+        heap = list(zip(dist.tolist(), obj.tolist(), place.tolist(), strict=True))
+        heapq.heapify(heap)
+        best: dict[int, tuple[float, int]] = {}
+        while heap:
+            d, o, i = heapq.heappop(heap)
+            if i in best or within is not None and d > within:
+                continue
+            best[i] = (d, o)
+            for k in range(self.first[i], self.first[i + 1]):
+                if self.dst[k] not in best:
+                    heapq.heappush(heap, (d + self.w[k], o, self.dst[k]))
+        return self.nodes[list(best)], [d for d, _ in best.values()], [o for _, o in best.values()]
+
+
+    def nearest(self, ends: list[tuple[float, int]], rest: dict[int, tuple[float, int]]) -> tuple[float, int] | None:
+        """The least (dist, obj) that an expansion from places finds; rest: what is nearest from a place on its edges."""
+        heap, seen, best = list(ends), set(), None
+        heapq.heapify(heap)
+        while heap:
+            d, i = heapq.heappop(heap)
+            if best is not None and d > best[0]:
+                break
+            if i in seen:
+                continue
+            seen.add(i)
+            if i in rest:
+                found = (d + rest[i][0], rest[i][1])
+                best = found if best is None else min(best, found)
+            for k in range(self.first[i], self.first[i + 1]):
+                if self.dst[k] not in seen and (best is None or d + self.w[k] <= best[0]):
+                    heapq.heappush(heap, (d + self.w[k], self.dst[k]))
+        return best
+
+
+def compact(adjacency: DataFrame) -> Compact | None:
+    """The network as arrays if it has no more than LOCAL_EDGES directed edges; no more than one over is read."""
+    edges = adjacency.select("src", "dst", "w").limit(LOCAL_EDGES + 1).toPandas()
+    if len(edges) > LOCAL_EDGES:
+        return None
+    return Compact(edges.src.to_numpy(np.int64), edges.dst.to_numpy(np.int64), edges.w.to_numpy(np.float64))
+
+
+def _searched(seeds: DataFrame, small: Compact, keys: tuple[str, ...], within: float | None) -> DataFrame:
+    """relax() for a network that was found small enough to be sent to every task."""
+    spark = seeds.sparkSession
+    net = spark.sparkContext.broadcast(small)
+    # as many seeds as nodes, at most, for each value of the keys
+    start = seeds.groupBy(*keys, "node").agg(F.min(F.struct("dist", "obj")).alias("b")).select(*keys, "node", "b.dist", "b.obj")
+    known = start.join(F.broadcast(spark.createDataFrame(pd.DataFrame({"node": small.nodes}), "node long")), "node", "left_semi")
+    schema = "".join(f"{k} {seeds.schema[k].dataType.simpleString()}, " for k in keys) + "node long, dist double, obj long"
+
+    def search(part: pd.DataFrame) -> pd.DataFrame:
+        node, dist, obj = net.value.search(part.node.to_numpy(np.int64), part.dist.to_numpy(np.float64), part.obj.to_numpy(np.int64), within)
+        return pd.DataFrame({**{k: part[k].iloc[0] for k in keys}, "node": node, "dist": dist, "obj": obj})
+
+    return known.groupBy(*keys).applyInPandas(search, schema)
+
+
 def relax_two(seeds: DataFrame, adjacency: DataFrame) -> DataFrame:
     """node, dist, obj, rank: the two nearest different objects of each node."""
     work = Workspace(seeds.sparkSession, "relax-two")

@@ -3,6 +3,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from networks import answers, exact, network
 
+from nearway.operators import relax
 from nearway.operators.ann import all_nearest, untyped_nearest
 from nearway.operators.chains import bad_chains, chain_edges
 from nearway.operators.runs import misplaced_objects
@@ -30,6 +31,14 @@ def test_cases(spark, name, algorithm):
     assert answers(found) == (exact(edges, objects) if expected is None else expected)
 
 
+@pytest.mark.parametrize("algorithm", ["voronoi", "naive", "scl"])
+@pytest.mark.parametrize("name", ["no relaxation of a closed edge", "not joined", "cycle", "dead end", "ties"])
+def test_cases_of_networks_too_large_to_send(spark, monkeypatch, name, algorithm):
+    monkeypatch.setattr(relax, "LOCAL_EDGES", 0)
+    edges, objects, _ = CASES[name]
+    assert answers(all_nearest(network(spark, edges, objects), "true_to_false", algorithm)) == exact(edges, objects)
+
+
 @settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.integers(0, 10**6))
 def test_algorithms_agree_on_random_networks(spark, seed):
