@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearway.functions.scalar import euclidean, is_integer, objects_that_fit, round_half_up
-from nearway.operators import ann, chains, generate, on_edge, parts, relax, runs, stats
+from nearway.operators import ann, chains, generate, lookup, on_edge, parts, relax, runs, stats
 from nearway.plans import derived
 from nearway.sources.readers import word_count
 from nearway.sources.writers import hgr_rows, metis_rows, reindexed_edges, without_reverse_edges
@@ -179,6 +179,20 @@ SELECT edge_id, CAST(k - 1 AS INTEGER) AS seq, f AS from_obj, obj_id AS to_obj,
 UNION ALL SELECT edge_id, CAST(n AS INTEGER), obj_id, NULL, CAST(length - off AS DOUBLE) FROM s WHERE k = n
 UNION ALL SELECT edge_id, 0, NULL, NULL, CAST(length AS DOUBLE) FROM edges WHERE edge_id NOT IN (SELECT edge_id FROM objects)""")
 
+_pairs = lambda n: n.edges.where("edge_id % 10 = 0").selectExpr("CASE WHEN edge_id % 20 = 0 THEN start_node ELSE end_node END AS a", "CASE WHEN edge_id % 20 = 0 THEN end_node ELSE start_node END AS b")
+_pairs_sql = ", pairs AS (SELECT CASE WHEN edge_id % 20 = 0 THEN start_node ELSE end_node END AS a, CASE WHEN edge_id % 20 = 0 THEN end_node ELSE start_node END AS b FROM edges WHERE edge_id % 10 = 0)"
+on_network("edges_between_nodes", lambda n: lookup.edges_between(n, _pairs(n)), _pairs_sql + " SELECT a, b, edge_id, CAST(length AS DOUBLE) AS length FROM pairs JOIN edges ON least(a, b) = least(start_node, end_node) AND greatest(a, b) = greatest(start_node, end_node)")
+on_network("edges_from_to_nodes", lambda n: lookup.edges_between(n, _pairs(n), either_way=False), _pairs_sql + " SELECT a, b, edge_id, CAST(length AS DOUBLE) AS length FROM pairs JOIN edges ON a = start_node AND b = end_node")
+on_network("objects_between_nodes", lambda n: lookup.objects_between_nodes(n, _pairs(n)), _pairs_sql + " SELECT a, b, obj_id, CAST(CASE WHEN start_node = a THEN dist_from_start ELSE length - dist_from_start END AS DOUBLE) AS distance FROM pairs JOIN objects ON least(a, b) = least(start_node, end_node) AND greatest(a, b) = greatest(start_node, end_node)")
+on_network("objects_by_ids", lambda n: lookup.objects_by_ids(n, lookup.ids_by_edge(n, True).withColumnRenamed("edge_id", "list_id")).select("list_id", "pos", "obj_id"), " SELECT edge_id AS list_id, CAST(row_number() OVER (PARTITION BY edge_id ORDER BY dist_from_start, obj_id) - 1 AS INTEGER) AS pos, obj_id FROM objects WHERE is_query")
+
+
+@query("objects_with_category", "SELECT p_partkey AS obj_id, p_size % 7 AS category_id, CASE WHEN p_size % 7 < 5 THEN r_name END AS category_name FROM part LEFT JOIN region ON r_regionkey = p_size % 7")
+def _objects_with_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("p_partkey AS obj_id", "p_size % 7 AS category_id")
+    return lookup.with_categories(parts, spark.read.parquet(f"{sf_dir}/region.parquet").selectExpr("r_regionkey AS category_id", "r_name AS name")).select("obj_id", "category_id", "category_name")
+
+
 # chains and runs
 
 WALK = """,
