@@ -1 +1 @@
-"""Part of the nearway engine."""
+"""Scalar functions."""

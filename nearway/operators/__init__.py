@@ -1 +1 @@
-"""Part of the nearway engine."""
+"""Operators over road networks."""

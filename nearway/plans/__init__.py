@@ -1 +1 @@
-"""Part of the nearway engine."""
+"""Named queries."""

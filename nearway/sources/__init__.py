@@ -1 +1 @@
-"""Part of the nearway engine."""
+"""Readers and writers of network files."""

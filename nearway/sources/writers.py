@@ -5,10 +5,11 @@ A writer makes a folder of part files, in order where the format has one, unless
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearway.network import RoadNetwork
+from nearway.operators.numbering import numbered
 
 
 def _text(df: DataFrame, path: str, columns: list[str], separator: str, single: bool = False) -> None:
@@ -47,19 +48,13 @@ def without_reverse_edges(edges: DataFrame, adjacent_only: bool = False) -> Data
 
     adjacent_only leaves out only the repeat of the edge before it by id.
     """
-    from pyspark.sql import Window
-
+    edges = edges.select("edge_id", "start_node", "end_node", "length")
     if adjacent_only:
-        before = edges.select((F.col("_n") + 1).alias("_n"), F.col("start_node").alias("_s"), F.col("end_node").alias("_e")) if "_n" in edges.columns else None
-        if before is None:
-            from nearway.operators.numbering import numbered
-
-            edges = numbered(edges, ["edge_id"], "_n")
-            before = edges.select((F.col("_n") + 1).alias("_n"), F.col("start_node").alias("_s"), F.col("end_node").alias("_e"))
-        kept = edges.join(before, "_n", "left").where("not coalesce(start_node = _e and end_node = _s, false)")
-        return kept.select("edge_id", "start_node", "end_node", "length")
+        rows = numbered(edges, ["edge_id"], "n")
+        before = rows.select((F.col("n") + 1).alias("n"), F.col("start_node").alias("s"), F.col("end_node").alias("e"))
+        return rows.join(before, "n", "left").where("not coalesce(start_node = e and end_node = s, false)").drop("n", "s", "e")
     pair = Window.partitionBy(F.least("start_node", "end_node"), F.greatest("start_node", "end_node")).orderBy("edge_id")
-    return edges.withColumn("_n", F.row_number().over(pair)).where("_n = 1").drop("_n")
+    return edges.withColumn("n", F.row_number().over(pair)).where("n = 1").drop("n")
 
 
 def metis_rows(network: RoadNetwork) -> DataFrame:

@@ -1 +1 @@
-"""Part of the nearway engine."""
+"""Streams against networks that stand still."""
