@@ -28,7 +28,7 @@ def exact(edges, objects, kind=True):
         if is_query != kind:
             continue
         _, a, b, w = edges[e]
-        dist, heap = {}, [(off, a), (w - off, b)]
+        dist, heap = {}, sorted([(off, a), (w - off, b)])
         while heap:
             d, n = heapq.heappop(heap)
             if n in dist:
