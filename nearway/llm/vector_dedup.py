@@ -3,11 +3,12 @@
 Vectors are scaled to length 1, so a cosine of t is a distance of sqrt(2 - 2t) = reach. Coarse centroids and residual
 codebooks are fitted on a bounded sample; every vector is indexed. A query probes a cell by its distance from the plane
 half-way between its own centroid and the cell's, which parts their vectors: a vector within reach lies beyond the
-plane only if its way there, `reach` long at most, leads that far along the plane's normal. With no `spread` every cell
-that this allows is probed and no link can be lost; as the way's direction is one of many dimensions, its part along a
-given normal is about reach / sqrt(dimensions), and `spread` times that suffices for nearly all pairs (recall is
-measured in the tests). In a cell, table look-ups add up the distance to each vector as it is coded; the coding error
-is kept with the vector, so whatever can be within reach stays and is compared exactly.
+plane only if its way there, `reach` long at most, leads that far along the plane's normal. Every list that this and
+the distances of its vectors from the centroid allow is probed, so no link can be lost; of two cells the lower asks the
+higher, and a link counts for both its ends. A `spread` cuts probes to that many times reach / sqrt(dimensions), a
+way's usual part along a normal, which loses links unless the vectors fill their dimensions evenly; it isn't the
+default. In a cell, table look-ups add up the distance to each vector as it is coded; the coding error is kept with the
+vector, so whatever can be within reach stays and is compared exactly.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ from nearway.llm.graph import components, forest
 
 #: Vectors that centroids and codebooks are fitted on, cells, subspaces and codewords of each.
 SAMPLE, CELLS, PARTS, WORDS = 16_384, 128, 8, 64
-#: Standard deviations of a way's part along a normal that probes allow for.
-SPREAD = 3.0
+#: Standard deviations of a way's part along a normal that probes allow for; None: whatever geometry allows.
+SPREAD: float | None = None
 #: Vectors of a cell, and queries, that one task compares.
 BLOCK = 2_048
 
@@ -151,25 +152,28 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec_id
     label_type = vectors.schema[label_col].dataType.simpleString()
     coded = work.write(nodes.select("node", "n", "key.label", "key.v").mapInPandas(place, f"node long, n long, label {label_type}, cell int, radius double, codes binary, error double, x binary"))
     # the lists' sizes part hot ones into blocks; a list is a label's vectors in a cell
-    lists = work.write(coded.groupBy("label", "cell").agg(F.count(F.lit(1)).alias("size")).withColumn("blocks", F.ceil(F.col("size") / block).cast("int")))
+    lists = work.write(coded.groupBy("label", "cell").agg(F.count(F.lit(1)).alias("size"), F.min("radius").alias("least"), F.max("radius").alias("most")).withColumn("blocks", F.ceil(F.col("size") / block).cast("int")))
     radius = np.zeros(len(model.centroids)) - 9.0
     for r in coded.groupBy("cell").agg(F.max("radius").alias("r")).collect():  # as many as there are cells
         radius[r["cell"]] = r["r"]
 
     def probe(batches):
         for b in batches:
-            found = model.probes(np.frombuffer(b"".join(b.x)).reshape(len(b), dims), reach, radius, spread)
-            n = [len(f) for f in found]
-            i = np.repeat(np.arange(len(b)), n)
-            yield pd.DataFrame({"node": b.node.to_numpy()[i], "label": b.label.to_numpy()[i], "cell": np.concatenate(found)})
-
-    probes = work.write(coded.select("node", "label", "x").mapInPandas(probe, f"node long, label {label_type}, cell int").join(lists.select("label", "cell"), ["label", "cell"], "left_semi"))
+            x, own = np.frombuffer(b"".join(b.x)).reshape(len(b), dims), b.cell.to_numpy()
+            # of two cells the lower asks, so that a link is found once, for both its ends
+            found = [f[f >= c] for f, c in zip(model.probes(x, reach, radius, spread), own, strict=True)]
+            i, cell = np.repeat(np.arange(len(b)), [len(f) for f in found]), np.concatenate(found)
+            yield pd.DataFrame({"node": b.node.to_numpy()[i], "label": b.label.to_numpy()[i], "cell": cell, "far": cell != own[i], "d": model.distances(x)[i, cell]})
+
+    # a list's vectors lie between two spheres round its centroid
+    within = F.col("d").between(F.col("least") - reach - 1e-6, F.col("most") + reach + 1e-6)
+    probes = work.write(coded.select("node", "label", "cell", "x").mapInPandas(probe, f"node long, label {label_type}, cell int, far boolean, d double").join(lists, ["label", "cell"]).where(within).select("label", "cell", "node", "far"))
     # a list's vectors in blocks meet its queries in chunks; both counts follow from the sizes
     grid = work.write(probes.groupBy("label", "cell").agg(F.ceil(F.count(F.lit(1)) / (2 * block)).cast("int").alias("chunks")).join(lists, ["label", "cell"]).select("label", "cell", "chunks", "blocks"))
     deal = lambda c, of: F.pmod(F.xxhash64("node", F.lit(of)), F.col(c)).cast("int")
     each_of = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    asked = probes.join(coded.select("node", "x"), "node").join(grid, ["label", "cell"]).select("label", "cell", each_of("blocks").alias("block"), deal("chunks", 3).alias("chunk"), "node", F.lit(0).cast("long").alias("n"), "x", F.lit(None).cast("binary").alias("codes"), F.lit(0.0).alias("error"))
-    held = coded.join(grid, ["label", "cell"]).select("label", "cell", deal("blocks", 5).alias("block"), each_of("chunks").alias("chunk"), "node", "n", "x", "codes", "error")
+    asked = probes.join(coded.select("node", "n", "x"), "node").join(grid, ["label", "cell"]).select("label", "cell", each_of("blocks").alias("block"), deal("chunks", 3).alias("chunk"), "node", "n", "far", "x", F.lit(None).cast("binary").alias("codes"), F.lit(0.0).alias("error"))
+    held = coded.join(grid, ["label", "cell"]).select("label", "cell", deal("blocks", 5).alias("block"), each_of("chunks").alias("chunk"), "node", "n", F.lit(False).alias("far"), "x", "codes", "error")
 
     def compare(part: pd.DataFrame) -> pd.DataFrame:
         asks = part.codes.isna().to_numpy()
@@ -181,8 +185,10 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, id_col: str = "vec_id
         i, j = link(q, x, codes, have.error.to_numpy(), int(part.cell.iloc[0]), model, cosine)
         a, b = ask.node.to_numpy()[i], have.node.to_numpy()[j]
         other = a != b
-        a, b, n = a[other], b[other], have.n.to_numpy()[j][other]
-        who, inverse = np.unique(a, return_inverse=True)
+        far = ask.far.to_numpy(bool)[i]  # the other end doesn't ask; within a cell both do
+        ends, n = np.concatenate([a[other], b[far]]), np.concatenate([have.n.to_numpy()[j][other], ask.n.to_numpy()[i][far]])
+        a, b = a[other], b[other]
+        who, inverse = np.unique(ends, return_inverse=True)
         count = np.bincount(inverse, weights=n, minlength=len(who)).astype(np.int64)
         node, root = forest(a, b)
         none = np.full(len(who), -1, np.int64)

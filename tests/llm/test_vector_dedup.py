@@ -66,6 +66,20 @@ def test_recall_of_probes():
         assert {(a, a) for a in range(k.sum())} <= set(zip(i.tolist(), j.tolist()))
 
 
+@pytest.mark.parametrize("effective", [3, 6])
+def test_no_link_is_lost_where_vectors_fill_few_of_their_dimensions(spark, effective):
+    r = np.random.default_rng(8)
+    turn = np.linalg.qr(r.normal(0, 1, (64, 64)))[0][:effective]
+    x = r.normal(0, 1, (400, effective)) @ turn
+    way = r.normal(0, 1, (400, effective)) @ turn
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    way -= (way * x).sum(1, keepdims=True) * x
+    y = 0.932 * x + np.sqrt(1 - 0.932**2) * way / np.linalg.norm(way, axis=1, keepdims=True)
+    rows = [(i, [float(c) for c in v], i % 2) for i, v in enumerate(np.stack([x, x, y, y], 1).reshape(-1, 64))]
+    got = V.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), 0.93)
+    assert sorted(tuple(g) for g in got.collect()) == brute(rows, 0.93)
+
+
 def test_no_usable_vectors(spark):
     df = spark.createDataFrame([(1, None, 1), (2, [1.0], None)], "vec_id long, embedding array<float>, label int")
     assert sorted(tuple(x) for x in V.near_vectors(df).collect()) == [(1, 0, 1, True), (2, 0, 2, True)]
