@@ -5,6 +5,11 @@ is thus parted alike in both, wherever its line begins. A unit is normalised (wh
 and gets a 128-bit digest; digests are grouped over all documents, the occurrence with the smallest (document, place)
 is kept and the others go, with the offsets they had. Neighbouring units that go make one span; a span of fewer than
 `least_words` words, such as a phrase that happens to recur, stays.
+
+Ends of units leave the edges of a passage, and now and then a whole one, so `repeated_passages` also looks at every
+run of RUN words, wherever lines end: the least hash of GRAM words within a run is its anchor, the same in every copy,
+and the runs of an anchor are neighbours. Anchors are grouped with all the words of their runs first; runs themselves
+are grouped only of the first such stretch, and only if its anchor recurs with other words round it. No copy is missed.
 """
 
 from __future__ import annotations
@@ -13,14 +18,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearway.llm.common import Workspace, unwrapped, wrapped
-from nearway.llm.textkernel import buffers, mix, run_digests, slices, words
+from nearway.llm.textkernel import Words, buffers, mix, run_digests, slices, words
 
 #: One word in so many ends a unit; words of a unit, at least and at most, within a line; words of a span, at least.
 ENDS, SHORTEST, LONGEST, LEAST_WORDS = 6, 3, 24, 20
+#: Words of a run that is a passage, over 50; words whose hash is an anchor.
+RUN, GRAM = 51, 16
 
 
 def units(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
@@ -29,7 +37,7 @@ def units(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     n = len(w.hash)
     none = np.zeros(0, np.int64)
     if not n:
-        return dict.fromkeys(("text", "place", "start", "end", "n"), none) | {"d1": none, "d2": none, "fresh": np.zeros(0, bool)}
+        return dict.fromkeys(("text", "place", "word", "start", "end", "n"), none) | {"d1": none, "d2": none, "fresh": np.zeros(0, bool)}
     text = np.repeat(np.arange(len(offsets) - 1), np.diff(w.first))
     # hard ends: of a text and of a line
     newline = np.concatenate([[0], np.cumsum(data == 10)])
@@ -61,18 +69,29 @@ def units(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     fresh = np.ones(len(start), bool)
     same = (d1[order][1:] == d1[order][:-1]) & (d2[order][1:] == d2[order][:-1]) & (own[order][1:] == own[order][:-1])
     fresh[order[1:][same]] = False
-    return {"text": own, "place": np.arange(len(start)) - first_unit[own], "start": points[w.start[start]] - base, "end": points[w.end[stop]] - base, "n": stop + 1 - start, "d1": d1.view(np.int64), "d2": d2.view(np.int64), "fresh": fresh}
+    return {"text": own, "place": np.arange(len(start)) - first_unit[own], "word": start - w.first[own], "start": points[w.start[start]] - base, "end": points[w.end[stop]] - base, "n": stop + 1 - start, "d1": d1.view(np.int64), "d2": d2.view(np.int64), "fresh": fresh}
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
-    """A row for each span that goes: doc_id, start and end (code points, end exclusive), words, kept_doc_id, copies.
+def anchors(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """text and first word of every run of RUN words, its anchor's first word, and the hashes by an anchor's place."""
+    n = len(w.hash)
+    at = np.arange(max(n - RUN + 1, 0))
+    if not len(at):
+        return at, at, at, np.zeros(0, np.uint64)
+    gram = np.arange(n - GRAM + 1)
+    hashes, _ = run_digests(w.hash, gram, gram + GRAM)
+    text = np.searchsorted(w.first, at, "right") - 1
+    inside = at + RUN <= w.first[text + 1]
+    text, at = text[inside], at[inside]
+    least = np.lib.stride_tricks.sliding_window_view(hashes, RUN - GRAM + 1)
+    place = np.empty(len(at), np.int64)
+    for i in range(0, len(at), 8_192):
+        place[i : i + 8_192] = least[at[i : i + 8_192]].argmin(1)
+    return text, at, at + place, hashes
 
-    kept_doc_id is the document that keeps the span's first unit, copies the number of that unit's occurrences. Rows
-    that share an id are one document; rows without an id, null and empty texts have no spans and keep nothing for
-    others; an empty table gives an empty result; other columns play no part, whatever their names.
-    """
-    work = Workspace(docs.sparkSession, "units")
-    rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+
+def _gone_units(rows: DataFrame, work: Workspace) -> DataFrame:
+    """doc_id, place, word, start, end, n, kept_doc_id and copies of every unit that is kept elsewhere."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -80,12 +99,112 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             data, offsets = buffers(b.column(1))
             for i, j in slices(offsets):
                 u = units(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i:j][u["text"]], pa.int64()), *(pa.array(u[c].astype(np.int32)) for c in ("place", "start", "end", "n")), *(pa.array(u[c]) for c in ("d1", "d2", "fresh"))], ["doc_id", "place", "start", "end", "n", "d1", "d2", "fresh"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i:j][u["text"]], pa.int64()), *(pa.array(u[c].astype(np.int32)) for c in ("place", "word", "start", "end", "n")), *(pa.array(u[c]) for c in ("d1", "d2", "fresh"))], ["doc_id", "place", "word", "start", "end", "n", "d1", "d2", "fresh"])
 
-    all_units = rows.mapInArrow(part, "doc_id long, place int, start int, end int, n int, d1 long, d2 long, fresh boolean")
+    all_units = rows.mapInArrow(part, "doc_id long, place int, word int, start int, end int, n int, d1 long, d2 long, fresh boolean")
     # counts and least ids are pre-aggregated, so a unit that a third of all documents share costs each task one row
     groups = all_units.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("kept_doc_id")).where("copies > 1")
-    gone = work.write(all_units.join(groups, ["d1", "d2"]).where("not (doc_id = kept_doc_id and fresh)").select("doc_id", "place", "start", "end", "n", "kept_doc_id", "copies").dropDuplicates(["doc_id", "place", "start"]))
+    return work.write(all_units.join(groups, ["d1", "d2"]).where("not (doc_id = kept_doc_id and fresh)").select("doc_id", "place", "word", "start", "end", "n", "kept_doc_id", "copies").dropDuplicates(["doc_id", "place", "start"]))
+
+
+def _gone_runs(rows: DataFrame, work: Workspace) -> DataFrame:
+    """doc_id, word, start, end, n, kept_doc_id and copies of every run of RUN words that stands at an earlier place.
+
+    Neighbouring runs of one anchor that all stand at an earlier place together are one row.
+    """
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = b.column(0).to_numpy(zero_copy_only=False)
+            data, offsets = buffers(b.column(1))
+            for i, j in slices(offsets):
+                own, ends = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+                w = words(own, ends)
+                text, at, anchor, hashes = anchors(w)
+                new = np.flatnonzero(np.diff(anchor, prepend=-1))  # anchors of later runs are never before
+                last = np.append(new[1:], len(at)) - 1 if len(at) else new
+                text, begin, end, anchor = text[new], at[new], at[last] + RUN, anchor[new]
+                d1, d2 = run_digests(w.hash, begin, end)
+                points = np.concatenate([[0], np.cumsum((own & 0xC0) != 0x80)])
+                base = points[ends[:-1]][text]
+                ints = begin - w.first[text], anchor - begin, end - begin, points[w.start[begin]] - base, points[w.end[end - 1]] - base
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i:j][text], pa.int64()), *(pa.array(c.astype(np.int32)) for c in ints), *(pa.array(d.view(np.int64)) for d in (hashes[anchor], d1, d2))], ["doc_id", "word", "lead", "n", "start", "end", "h", "d1", "d2"])
+
+    ints = "doc_id long, word int, lead int, n int, start int, end int"
+    marks = work.write(rows.mapInArrow(mark, f"{ints}, h long, d1 long, d2 long"))
+    first = work.write(marks.groupBy("d1", "d2", "lead").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "word")).alias("kept"), F.min("h").alias("h")))
+    # of what has the same words as an earlier stretch all runs go, unless the two overlap
+    copied = marks.join(first.where("copies > 1").drop("h"), ["d1", "d2", "lead"])
+    apart = "doc_id <> kept.doc_id or word >= kept.word + n"
+    whole = copied.where(apart).select("doc_id", "word", "start", "end", "n", F.col("kept.doc_id").alias("kept_doc_id"), "copies")
+    # the rest are firsts, and what overlaps them; their runs are looked at if their anchor has other words round it too
+    mixed = first.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("h")
+    rest = first.select("h", F.col("kept.doc_id").alias("of"), F.col("kept.word").alias("at"), F.col("copies").alias("times")).join(mixed, "h").select("of", "at", "times")
+    overlap = copied.where(f"not ({apart}) and not (doc_id = kept.doc_id and word = kept.word)").select(F.col("doc_id").alias("of"), F.inline(F.array(F.struct(F.col("kept.word").alias("at"), F.col("copies").alias("times")), F.struct(F.col("word").alias("at"), F.lit(0).cast("long").alias("times")))))  # counted with the first
+    lists = rest.unionByName(overlap).groupBy("of").agg(F.collect_set(F.struct("at", "times")).alias("begins"))  # at most as many as a document has words
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = b.column(0).to_numpy(zero_copy_only=False)
+            data, offsets = buffers(b.column(1))
+            held, times = (b.column(2).flatten().field(c).to_numpy(zero_copy_only=False) for c in ("at", "times"))
+            bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(b.column(2)).to_numpy())])
+            for i, j in slices(offsets):
+                own, ends = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+                w = words(own, ends)
+                text, at, anchor, _ = anchors(w)
+                asked = np.full(len(w.hash) + 1, -1, np.int64)
+                of = np.repeat(np.arange(j - i), np.diff(bounds[i : j + 1]))
+                begin = held[bounds[i] : bounds[j]] + w.first[of]
+                inside = begin < w.first[of + 1]
+                asked[begin[inside]] = times[bounds[i] : bounds[j]][inside]
+                new = np.diff(anchor, prepend=-1) != 0
+                stands = asked[at[new]][np.cumsum(new) - 1]
+                text, at, stands = text[stands >= 0], at[stands >= 0], stands[stands >= 0]
+                d1, d2 = run_digests(w.hash, at, at + RUN)
+                points = np.concatenate([[0], np.cumsum((own & 0xC0) != 0x80)])
+                base = points[ends[:-1]][text]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i:j][text], pa.int64()), *(pa.array(c.astype(np.int32)) for c in (at - w.first[text], points[w.start[at]] - base, points[w.end[at + RUN - 1]] - base)), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array(stands)], ["doc_id", "word", "start", "end", "d1", "d2", "times"])
+
+    found = rows.join(lists, F.col("doc_id") == F.col("of")).select("doc_id", "text", "begins")
+    runs = work.write(found.mapInArrow(part, "doc_id long, word int, start int, end int, d1 long, d2 long, times long"))
+    earliest = runs.groupBy("d1", "d2").agg(F.sum("times").alias("copies"), F.min(F.struct("doc_id", "word")).alias("kept")).where("copies > 1")
+    # a run that overlaps the one that is kept stays
+    gone = runs.join(earliest, ["d1", "d2"]).where(f"doc_id <> kept.doc_id or word >= kept.word + {RUN}")
+    gone = gone.select("doc_id", "word", "start", "end", F.lit(RUN).alias("n"), F.col("kept.doc_id").alias("kept_doc_id"), "copies")
+    return work.write(whole).unionByName(work.write(gone))
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+
+
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
+    """As repeated_spans, but a span also has every word of a run of RUN words or more that stands at an earlier place.
+
+    Places are ordered by document, then by word. A passage of RUN words or more is thus found whole wherever it begins
+    and however its lines are broken; what units find besides, such as shorter lines, goes as well. kept_doc_id and
+    copies are those of the span's first unit, run or stretch of runs.
+    """
+    work, rows = Workspace(docs.sparkSession, "passages"), _rows(docs, id_col, text_col)
+    columns = ["doc_id", "word", "start", "end", "n", "kept_doc_id", "copies"]
+    pieces = _gone_units(rows, work).select(columns).unionByName(_gone_runs(rows, work).select(columns))
+    before = Window.partitionBy("doc_id").orderBy("word", "start", "n")
+    reach = F.max(F.col("word") + F.col("n")).over(before.rowsBetween(Window.unboundedPreceding, -1))
+    spans = pieces.withColumn("new", F.when(F.col("word") > reach, 1).otherwise(0)).withColumn("span", F.sum("new").over(before.rowsBetween(Window.unboundedPreceding, 0)))
+    made = spans.groupBy("doc_id", "span").agg(F.min("start").cast("long").alias("start"), F.max("end").cast("long").alias("end"), (F.max(F.col("word") + F.col("n")) - F.min("word")).cast("long").alias("words"), F.min_by(F.struct("kept_doc_id", "copies"), F.struct("word", "n")).alias("first"))
+    return made.where(F.col("words") >= least_words).select("doc_id", "start", "end", "words", "first.kept_doc_id", "first.copies")
+
+
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
+    """A row for each span that goes: doc_id, start and end (code points, end exclusive), words, kept_doc_id, copies.
+
+    kept_doc_id is the document that keeps the span's first unit, copies the number of that unit's occurrences. Rows
+    that share an id are one document; rows without an id, null and empty texts have no spans and keep nothing for
+    others; an empty table gives an empty result; other columns play no part, whatever their names.
+    """
+    work = Workspace(docs.sparkSession, "units")
+    gone = _gone_units(_rows(docs, id_col, text_col), work)
     order = Window.partitionBy("doc_id").orderBy("place", "start")
     runs = gone.withColumn("run", F.col("place") - F.row_number().over(order)).groupBy("doc_id", "run").agg(F.min("start").cast("long").alias("start"), F.max("end").cast("long").alias("end"), F.sum("n").cast("long").alias("words"), F.min_by(F.struct("kept_doc_id", "copies"), "place").alias("first"))
     return runs.where(F.col("words") >= least_words).select("doc_id", "start", "end", "words", "first.kept_doc_id", "first.copies")

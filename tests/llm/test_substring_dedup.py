@@ -83,3 +83,66 @@ def test_units_cover_all_words_once():
         assert len(part.split()) == n and n <= S.LONGEST + S.SHORTEST and "\n" not in part
         got[t] += n
     assert all(got[i] == len(t.split()) for i, t in enumerate(made))
+
+
+def test_query_finds_every_passage_of_over_50_words_whole(spark, tmp_path):
+    from nearway.llm.queries import op9_substring_dedup
+
+    r = random.Random(11)
+    rows, where = [], {}
+    for k in range(300):
+        passage = [word(r) for _ in range(r.choice([51, 52, 55, 60, 80]))]
+        for copy in (0, 1):
+            before, after = ([word(r) for _ in range(r.randint(5, 30))] for _ in range(2))
+            rows.append((2 * k + copy, " ".join(before + passage + after)))
+            at = len(" ".join(before)) + 1
+            where[2 * k + copy] = (at, at + len(" ".join(passage)), len(passage))
+    rows.append((1000, "\n".join(rows[0][1].split())))  # the same words in lines of their own
+    rows.append((1001, "one two three " * 60))  # of what repeats itself one run stays
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {}
+    for x in op9_substring_dedup(spark, str(tmp_path)).collect():
+        got.setdefault(x["doc_id"], []).append(tuple(x)[1:])
+    for k in range(300):
+        assert 2 * k not in got
+        a, b, n = where[2 * k + 1]
+        assert got[2 * k + 1] == [(a, b, n, 2 * k, 3 if k == 0 else 2)]
+    assert [(x[0], x[1]) for x in got[1000]] == [(0, len(rows[0][1]))]
+    (start, end, n, *_), = got[1001]
+    assert end == len("one two three " * 60) - 1 and 180 - S.RUN - 2 <= n <= 180 - S.LONGEST
+
+
+def test_short_lines_go_beside_passages(spark):
+    made, _ = texts()
+    rows = [*enumerate(made), (100, made[1]), (101, made[1])]
+    df = spark.createDataFrame([(d, t) for d, t in [*rows, (200, None), (None, made[3])]], "doc_id long, text string")
+    got = S.repeated_passages(df).collect()
+    for x in S.repeated_spans(df).collect():
+        assert any(g["doc_id"] == x["doc_id"] and g["start"] <= x["start"] and x["end"] <= g["end"] for g in got)
+    assert S.repeated_passages(df.limit(0)).count() == 0
+
+
+def test_every_run_that_stands_earlier_goes_and_no_other(spark):
+    r = random.Random(3)
+    base = [[word(r) for _ in range(150)] for _ in range(3)]
+    rows = []
+    for d in range(60):
+        parts = []
+        for _ in range(r.randint(1, 4)):
+            b, at = r.choice(base), r.randint(0, 110)
+            parts += b[at : at + r.randint(20, 120)] + [word(r) for _ in range(r.choice([0, 3, 30]))]
+        rows.append((d, " ".join(parts)))
+    rows.append((60, " ".join(base[0][:40] * 6)))
+    first, gone, ends = {}, set(), {}
+    for d, t in rows:
+        w, at = t.split(" "), 0
+        for k, x in enumerate(w):
+            ends[d, at], at = k, at + len(x) + 1
+        for k in range(len(w) - S.RUN + 1):
+            kept = first.setdefault(tuple(w[k : k + S.RUN]), (d, k))
+            if kept[0] != d or k >= kept[1] + S.RUN:
+                gone |= {(d, i) for i in range(k, k + S.RUN)}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    cover = lambda found: {(x["doc_id"], i) for x in found for k in [ends[x["doc_id"], x["start"]]] for i in range(k, k + x["words"])}
+    got, units = cover(S.repeated_passages(df).collect()), cover(S.repeated_spans(df, least_words=1).collect())
+    assert gone <= got <= gone | units and len(gone) > 3000
