@@ -18,8 +18,13 @@ def base(t):
 
 
 def added(t):
-    out = []
-    for m in re.finditer(S.CANDIDATE, t):
+    """Windows of high entropy in what lies outside base spans and outside parts of paths with an allowed word."""
+    out, shown = [], list(t)
+    for a, _, b in base(t):
+        shown[a:b] = [S.HIDDEN] * (b - a)
+    shown = "".join(shown)
+    shown = re.sub("[A-Za-z0-9+_=-]+", lambda m: " " * len(m[0]) if any(w in m[0].lower() for w in S.ALLOWED_WORDS) else m[0], shown)
+    for m in re.finditer(S.CANDIDATE, shown):
         c = m[0]
         if any(re.search(p, c) for p in S.ALLOWED):
             continue
@@ -28,7 +33,7 @@ def added(t):
         hits = [i for i in range(len(c) - S.WINDOW + 1) if entropy(c[i : i + S.WINDOW]) >= bits - 1e-9]
         if hits:
             out.append((m.start() + hits[0], 3, m.start() + hits[-1] + S.WINDOW))
-    return [a for a in out if not any(b[0] < a[2] and a[0] < b[2] for b in base(t))]
+    return out
 
 
 def told(spans):
@@ -67,7 +72,7 @@ def test_redact(spark):
     for i, t, n in rows:
         spans, made, at = sorted(base(t or "") + added(t or "")), "", 0
         for a, _, b in spans:
-            if a >= at:
+            if a > at or not made:
                 made += t[at:a] + "[SECRET]"
             at = max(at, b)
         assert got[i] == ((made + t[at:], len(made + t[at:])) if spans else (t, n)), t
@@ -81,3 +86,27 @@ def test_plan_has_no_python(spark, capsys):
 
 def test_empty(spark):
     assert S.report(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_long_candidates_and_many_matches(spark):
+    r = random.Random(2)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    dull, run = "a1" * 6_000, "".join(r.choice(letters) for _ in range(9_000))
+    texts = [f"x {run} y", f"{dull}{run[:30]}{dull}", f"{dull}-{run[:4100]}", run[:5000] + " token=" + run[:30] + "/" + run[:40], f"AKIA{'B2' * 8}/{run[:40]}", f"com/example/{run[:24]}", "token=abc%03d/x " * 3_000 % tuple(range(3_000))]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    got = {x["doc_id"]: x for x in S.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in rows:
+        assert got[i]["spans"] == told(base(t) + added(t)), i
+    # far longer ones take no longer in proportion
+    long = "".join(r.choice(letters) for _ in range(300_000))
+    rows = [(0, f"( {long} )"), (1, "secret=abcdef " * 40_000)]
+    got = {x["doc_id"]: x for x in S.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0]["spans"] == "entropy:2:300002" and got[1]["n_assign"] == 40_000
+    made = {x["doc_id"]: x["text"] for x in S.redact(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert made == {0: "( [SECRET] )", 1: "[SECRET] " * 40_000}
+
+
+def test_redacts_texts_that_hold_the_sign_for_hidden_characters(spark):
+    t = f"a{S.HIDDEN}b token=abcdefg {S.HIDDEN}{S.HIDDEN} {'f' * 30}{S.HIDDEN}"
+    out = S.redact(spark.createDataFrame([(1, t)], "doc_id long, text string")).collect()
+    assert out[0]["text"] == f"a{S.HIDDEN}b [SECRET] {S.HIDDEN}{S.HIDDEN} [SECRET]{S.HIDDEN}"
