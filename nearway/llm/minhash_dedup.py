@@ -13,7 +13,7 @@ small bucket; in a large one first every member with a few chosen ones, which jo
 in every large bucket that still holds several components, each member outside the largest meets all members of other
 components: in blocks of bounded size, a task comparing one block with another and returning no more links than it has
 documents. So a bucket of thousands of near copies makes no pairs of rows, and no pair that could join two components
-is left out.
+is left out. Buckets, texts and chosen members with a great share of all rows are dealt over many tasks (join_hot).
 """
 
 from __future__ import annotations
@@ -23,10 +23,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearway.llm.common import Workspace, unwrapped, wrapped
+from nearway.llm.common import Workspace, join_hot, unwrapped, wrapped
 from nearway.llm.graph import components, forest
 from nearway.llm.textkernel import buffers, mix, occurrences, run_digests, shingles, slices, words
 
@@ -37,6 +37,8 @@ SMALL, CHOSEN = 24, 3
 #: Rows and shingles of a block, at most (a longer document is a block of its own), and rows of a block that asks.
 BLOCK_ROWS, BLOCK_SHINGLES, ASK_ROWS = 1_024, 500_000, 512
 GOLDEN = 0x9E3779B97F4A7C15
+#: Stands for a null id where rows are joined.
+NO_ID = -(1 << 63)
 
 
 def salt(k: int) -> np.uint64:
@@ -88,22 +90,20 @@ def band_keys(signatures: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> n
 
 
 def _signed(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """doc_id, number of shingles, 128-bit digest of the words and band keys; texts without words have no row."""
+    """The first three columns of the rows, number of shingles, 128-bit digest of the words and band keys of the fourth."""
     for b in batches:
-        ids = b.column(0)
-        data, offsets = buffers(b.column(1))
+        data, offsets = buffers(b.column(3))
         for i, j in slices(offsets):
             w = words(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
             s, first = shingles(w, k)
             keys, counts, own = occurrences(s, first)
-            some = np.flatnonzero(np.diff(first) > 0)
             d1, d2 = run_digests(w.hash, w.first[:-1], w.first[1:])
-            bands = band_keys(bag_minhash(keys, counts, own))[some]
-            yield pa.RecordBatch.from_arrays([ids[i:j].take(pa.array(some)), pa.array(np.diff(first)[some], pa.int64()), pa.array(d1.view(np.int64)[some]), pa.array(d2.view(np.int64)[some]), pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1) * BANDS, pa.int32()), pa.array(bands.ravel()))], ["doc_id", "n", "d1", "d2", "bands"])
+            bands = band_keys(bag_minhash(keys, counts, own))
+            yield pa.RecordBatch.from_arrays([*(c[i:j] for c in b.columns[:3]), pa.array(np.diff(first), pa.int64()), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1) * BANDS, pa.int32()), pa.array(bands.ravel()))], ["doc_id", "rid", "key", "n", "d1", "d2", "bands"])
 
 
 def _multisets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """doc_id, its shingles as numbers of their own for each occurrence, so that multisets compare as sets, and bands."""
+    """node, its shingles as numbers of their own for each occurrence, so that multisets compare as sets, and bands."""
     for b in batches:
         data, offsets = buffers(b.column(1))
         for i, j in slices(offsets):
@@ -111,13 +111,13 @@ def _multisets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordB
             keys, counts, own = occurrences(s, first)
             nth = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
             tagged = mix(np.repeat(keys, counts) + nth.astype(np.uint64) * salt(1))
-            yield pa.RecordBatch.from_arrays([b.column(0)[i:j], pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(tagged.view(np.int64))), b.column(2)[i:j]], ["doc_id", "sh", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0)[i:j], pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(tagged.view(np.int64))), b.column(2)[i:j]], ["node", "sh", "bands"])
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose multisets overlap enough."""
-    left, right = sets.select(F.col("doc_id").alias("a"), F.col("sh").alias("sa")), sets.select(F.col("doc_id").alias("b"), F.col("sh").alias("sb"))
-    both = pairs.join(left, "a").join(right, "b")
+    """The pairs (a, b) whose multisets overlap enough; a node that was chosen in a large bucket has very many."""
+    left, right = sets.select(F.col("node").alias("a"), F.col("sh").alias("sa")), sets.select(F.col("node").alias("b"), F.col("sh").alias("sb"))
+    both = join_hot(join_hot(pairs, left, ["a"], "b"), right, ["b"], "a", counted=pairs)
     shared = F.size(F.array_intersect("sa", "sb"))
     return both.select("a", "b", shared.alias("shared"), (F.size("sa") + F.size("sb")).alias("total")).where(F.col("shared") >= F.lit(similarity) * (F.col("total") - F.col("shared")) - 1e-9).select("a", "b")
 
@@ -130,13 +130,13 @@ def _block_links(part: pd.DataFrame, similarity: float) -> pd.DataFrame:
     ask, have = part[part.asks], part[~part.asks]
     found: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64),) * 2]
     if len(ask) and len(have):
-        ids, comp, n = (have[c].to_numpy() for c in ("doc_id", "at", "n"))
+        ids, comp, n = (have[c].to_numpy() for c in ("node", "at", "n"))
         bands = np.stack(have.bands.to_list())
         order = int(np.flatnonzero((bands == part.band.iloc[0]).all(0))[0])
         tokens, row = np.concatenate(have.sh.to_list()), np.repeat(np.arange(len(have)), n)
         by = np.argsort(tokens, kind="stable")
         tokens, row = tokens[by], row[by]
-        for doc, at, size, own, sh in zip(ask.doc_id, ask["at"], ask.n, ask.bands, ask.sh, strict=True):
+        for doc, at, size, own, sh in zip(ask.node, ask["at"], ask.n, ask.bands, ask.sh, strict=True):
             can = (comp != at) & (np.minimum(n, size) >= similarity * np.maximum(n, size) - 1e-9)
             can &= ~(bands[:, :order] == own[:order]).any(1)
             if not can.any():
@@ -152,62 +152,97 @@ def _block_links(part: pd.DataFrame, similarity: float) -> pd.DataFrame:
     return pd.DataFrame({"a": np.minimum(node, root), "b": np.maximum(node, root)})
 
 
-def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, class_id (the smallest id of its class) and kept (doc_id = class_id) of every row.
+def _linked(docs: DataFrame, similarity: float, shingle: int, id_col: str, text_col: str, work: Workspace) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (doc_id, rid, key, n, d1, d2, bands), nodes (the different texts, with the first row of each) and links.
 
-    Documents are in a class if links lead from one to the other; a link is a weighted Jaccard similarity of at least
-    `similarity` of their shingles (texts of fewer words make one shingle). Equal texts (up to white space and A-Z)
-    are one node, so copies cost no pairs. Null texts and texts without words are classes of their own, rows without
-    an id have none; repeated rows have the same class each; an empty table gives an empty result; other columns play
-    no part, whatever their names.
+    A row is known by its id (rid; a null has a number of its own) and a hash of its text (key), so rows that share an
+    id but not their text are kept apart.
     """
-    work = Workspace(docs.sparkSession, "minhash")
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    given = texts.where("doc_id is not null and text is not null")
-    signed = work.write(given.mapInArrow(lambda it: _signed(it, shingle), "doc_id long, n long, d1 long, d2 long, bands array<long>"))
-    nodes = work.write(signed.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep")))
-    singles = signed.join(nodes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    keys = singles.select("doc_id", "n", F.explode("bands").alias("band"))
-    sizes = keys.groupBy("band").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = work.write(keys.join(sizes, "band"))
-    compared = singles.select("doc_id", "bands").join(members.select("doc_id").distinct(), "doc_id", "left_semi")
-    sets = work.write(given.join(compared, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "bands").mapInArrow(lambda it: _multisets(it, shingle), "doc_id long, sh array<long>, bands array<long>"))
-
-    # all pairs of small buckets; of large ones, members chosen by a fixed hash with all
-    place = F.pmod(F.xxhash64("doc_id", "band"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    live = members.withColumn("picked", (F.col("size") <= SMALL) | (place < F.lit(float(CHOSEN)) / F.col("size")))
-    chosen = live.where("picked").select("band", F.col("doc_id").alias("c"), F.col("n").alias("cn"))
-    pairs = live.join(chosen, "band").where(((F.col("doc_id") < F.col("c")) | (~F.col("picked") & (F.col("doc_id") != F.col("c")))) & (F.least("n", "cn") >= F.lit(similarity) * F.greatest("n", "cn") - 1e-9))
-    pairs = work.write(pairs.select(F.least("doc_id", "c").alias("a"), F.greatest("doc_id", "c").alias("b")).distinct())
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("rid"), F.xxhash64(F.col(text_col)).alias("key"), F.col(text_col).alias("text"))
+    signed = work.write(texts.mapInArrow(lambda it: _signed(it, shingle), "doc_id long, rid long, key long, n long, d1 long, d2 long, bands array<long>"))
+    # a text that a third of all rows share is one row of each task's before it is sent
+    first_row = F.min(F.struct(F.col("doc_id").isNull().alias("z"), "rid", "key"))
+    nodes = signed.where("n > 0").groupBy("d1", "d2").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.min("doc_id").alias("least_id"), first_row.alias("r"))
+    nodes = work.write(nodes.select(F.monotonically_increasing_id().alias("node"), "d1", "d2", "n", "bands", "least_id", "r.rid", "r.key"))
+    keys = nodes.select("node", "n", F.explode("bands").alias("band"))
+    order = F.xxhash64("node")
+    sizes = work.write(keys.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min(order).alias("least")).where("size > 1"))
+    members = work.write(join_hot(keys, sizes, ["band"], "node"))
+    compared = nodes.join(members.select("node").distinct(), "node", "left_semi").select("rid", "key", "node", "bands")
+    held = texts.select("rid", "key", "text").join(compared, ["rid", "key"]).dropDuplicates(["rid", "key"])
+    sets = work.write(held.select("node", "text", "bands").mapInArrow(lambda it: _multisets(it, shingle), "node long, sh array<long>, bands array<long>"))
+
+    # all pairs of small buckets; of large ones, members chosen by a fixed hash with all. The hash is the same in every
+    # bucket, so buckets of the same documents choose the same, and each has one chosen member at least
+    place = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    live = members.withColumn("picked", (F.col("size") <= SMALL) | (order == F.col("least")) | (place < F.lit(float(CHOSEN)) / F.col("size")))
+    chosen = live.where("picked").select("band", F.col("node").alias("c"), F.col("n").alias("cn"))
+    pairs = join_hot(live, chosen, ["band"], "node").where(((F.col("node") < F.col("c")) | (~F.col("picked") & (F.col("node") != F.col("c")))) & (F.least("n", "cn") >= F.lit(similarity) * F.greatest("n", "cn") - 1e-9))
+    pairs = work.write(pairs.select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b")).distinct())
     links = work.write(_verified(pairs, sets, similarity))
     reached = work.write(components(links, work))
 
     # what large buckets still hold apart
-    at = members.where(F.col("size") > SMALL).join(reached.withColumnRenamed("node", "doc_id").withColumnRenamed("component", "to"), "doc_id", "left").select("band", "size", "doc_id", "n", F.coalesce("to", "doc_id").alias("at"))
+    at = members.where(F.col("size") > SMALL).join(reached.withColumnRenamed("component", "to"), "node", "left").select("band", "size", "node", "n", F.coalesce("to", "node").alias("at"))
     at = work.write(at)
     most = at.groupBy("band", "at").agg(F.count(F.lit(1)).alias("k"), F.max("n").alias("n")).groupBy("band").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("k", "at")).alias("m"), F.max("n").alias("longest")).where("parts > 1")
     rows = F.greatest(F.lit(1), F.least(F.lit(BLOCK_ROWS), F.floor(F.lit(BLOCK_SHINGLES) / F.col("longest"))))
-    grid = most.select("band", F.col("m.at").alias("main"), rows.alias("rows"), F.least(F.lit(ASK_ROWS), rows).alias("ask_rows"), F.col("m.k").alias("main_size"))
-    apart = at.join(grid, "band").withColumn("blocks", F.ceil(F.col("size") / F.col("rows")).cast("int")).withColumn("chunks", F.ceil((F.col("size") - F.col("main_size")) / F.col("ask_rows")).cast("int"))
-    deal = lambda c, of: F.pmod(F.xxhash64("doc_id", F.lit(of)), F.col(c)).cast("int")
-    each_of = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    asks = apart.where(F.col("at") != F.col("main")).select("band", each_of("blocks").alias("block"), deal("chunks", 3).alias("chunk"), "doc_id", "at", "n", F.lit(True).alias("asks"))
-    met = asks.select("band", "block", "chunk").distinct()
-    have = apart.select("band", deal("blocks", 5).alias("block"), each_of("chunks").alias("chunk"), "doc_id", "at", "n", F.lit(False).alias("asks")).join(met, ["band", "block", "chunk"], "left_semi")
-    met_rows = asks.unionByName(have).join(sets, "doc_id")
-    further = met_rows.groupBy("band", "block", "chunk").applyInPandas(lambda part: _block_links(part, similarity), "a long, b long")
-    reached = work.write(components(links.unionByName(further), work))
-    for done in (pairs, members, sets, at):
+    grid = work.write(most.select("band", F.col("m.at").alias("main"), rows.alias("rows"), F.least(F.lit(ASK_ROWS), rows).alias("ask_rows"), F.col("m.k").alias("main_size")))
+    if not grid.isEmpty():
+        apart = join_hot(at, grid, ["band"], "node").withColumn("blocks", F.ceil(F.col("size") / F.col("rows")).cast("int")).withColumn("chunks", F.ceil((F.col("size") - F.col("main_size")) / F.col("ask_rows")).cast("int"))
+        deal = lambda c, of: F.pmod(F.xxhash64("node", F.lit(of)), F.col(c)).cast("int")
+        each_of = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+        asks = apart.where(F.col("at") != F.col("main")).select("band", each_of("blocks").alias("block"), deal("chunks", 3).alias("chunk"), "node", "at", "n", F.lit(True).alias("asks"))
+        met = asks.select("band", "block", "chunk").distinct()
+        have = apart.select("band", deal("blocks", 5).alias("block"), each_of("chunks").alias("chunk"), "node", "at", "n", F.lit(False).alias("asks")).join(met, ["band", "block", "chunk"], "left_semi")
+        met_rows = asks.unionByName(have).join(sets, "node")
+        further = met_rows.groupBy("band", "block", "chunk").applyInPandas(lambda part: _block_links(part, similarity), "a long, b long")
+        links = work.write(links.unionByName(further))
+    for done in (pairs, members, sets, at, sizes, reached):
         work.drop(done)
-    classes = nodes.join(reached, nodes["rep"] == reached["node"], "left").select("d1", "d2", F.coalesce("component", "rep").alias("class_id"))
-    found = signed.select("doc_id", "d1", "d2").join(classes, ["d1", "d2"]).groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
-    out = texts.select("doc_id").join(found, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
+    return signed, nodes, links
+
+
+def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, class_id (the smallest id of its class) and kept (doc_id = class_id) of every row.
+
+    Documents are in a class if links lead from one to the other; a link is a weighted Jaccard similarity of at least
+    `similarity` of their shingles (texts of fewer words make one shingle). Equal texts (up to white space and A-Z)
+    are one node, so copies cost no pairs. Rows that share an id are one document: their classes are one, whatever
+    their texts, and repeated rows have the same class each. Null texts and texts without words are classes of their
+    own; rows without an id have none, but their texts link others; an empty table gives an empty result; other columns
+    play no part, whatever their names.
+    """
+    work = Workspace(docs.sparkSession, "minhash")
+    signed, nodes, links = _linked(docs, similarity, shingle, id_col, text_col, work)
+    # ids with several texts link these
+    several = signed.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("d1").alias("d"), F.max("d1").alias("e")).where("d <> e").select("doc_id")
+    theirs = work.write(signed.join(several, "doc_id", "left_semi").where("n > 0").select("doc_id", "d1", "d2").distinct().join(nodes.select("d1", "d2", "node"), ["d1", "d2"]).select("doc_id", "node"))
+    if not theirs.isEmpty():
+        links = links.unionByName(theirs.join(theirs.groupBy("doc_id").agg(F.min("node").alias("a")), "doc_id").select("a", F.col("node").alias("b")))
+    classes = _least_of_classes(nodes, links, F.min("least_id").alias("class_id"), work)
+    found = join_hot(signed.where("n > 0").select("doc_id", "d1", "d2"), classes.select("d1", "d2", "class_id"), ["d1", "d2"], "doc_id").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"))
+    out = found.unionByName(signed.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id")))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(False)))
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """One document of each class, that with the smallest id; of rows that share it the first by a hash of the row."""
-    kept = near_duplicates(docs, id_col=id_col, **how).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    nth = F.row_number().over(Window.partitionBy("id").orderBy("h"))
-    rows = docs.select(wrapped(docs), F.col(id_col).cast("long").alias("id"), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).alias("h"))
-    return rows.join(kept, F.col("id") == F.col("kept_id"), "left_semi").withColumn("nth", nth).where("nth = 1").select(*unwrapped(docs))
+def _least_of_classes(nodes: DataFrame, links: DataFrame, least, work: Workspace) -> DataFrame:
+    """nodes with the aggregate `least` of all nodes of their class; most classes are one node."""
+    flat = work.write(nodes.drop("bands").join(components(links, work), "node", "left").withColumn("component", F.coalesce("component", "node")))
+    return work.write(join_hot(flat.drop("class_id"), flat.groupBy("component").agg(least), ["component"], "node"))
+
+
+def drop_near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each class of texts: that with the smallest id, then by a hash of the text.
+
+    Rows without an id come last. A row goes only if another one that links to it is kept, so rows that share an id but
+    no text stay each; of repeated rows one stays. Texts without words are no duplicates, but for repeated rows.
+    """
+    work = Workspace(docs.sparkSession, "distinct")
+    signed, nodes, links = _linked(docs, similarity, shingle, id_col, text_col, work)
+    first = F.min(F.struct((F.col("rid") == F.lit(NO_ID)).alias("z"), "rid", "key")).alias("first")
+    kept = _least_of_classes(nodes, links, first, work).where("rid = first.rid and key = first.key").select("rid", "key").unionByName(signed.where("n = 0").select("rid", "key").distinct())
+    hashed = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"]
+    rows = docs.select(wrapped(docs), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("rid"), F.xxhash64(F.col(text_col)).alias("key"), F.xxhash64(*hashed).alias("h"))
+    # repeated rows are one row of each task's before they are sent
+    return rows.groupBy("rid", "key").agg(F.min_by("row", "h").alias("row")).join(kept, ["rid", "key"], "left_semi").select(*unwrapped(docs))

@@ -74,11 +74,45 @@ def test_matches_brute_force(spark, monkeypatch):
     assert {(d, c) for d, c, _ in got if d is not None and d != 700} == brute(rows)
     assert (700, 700, True) in got and (None, None, False) in got and all(k == (d == c) for d, c, k in got if d is not None)
     kept = M.drop_near_duplicates(df)
-    assert sorted(x["doc_id"] for x in kept.collect()) == sorted({c for _, c, _ in got if c is not None}) and kept.columns == df.columns
-
-
-def test_empty(spark):
-    df = spark.createDataFrame([], "doc_id long, text string")
-    assert M.near_duplicates(df).count() == 0
-    lone = spark.createDataFrame([(1, "some words here")], "doc_id long, text string")
-    assert [tuple(x) for x in M.near_duplicates(lone).collect()] == [(1, 1, True)]
+    assert kept.columns == df.columns
+    # ids 600, 601 and the row without an id are one text; 700 has none; what is kept is each class's first
+    assert sorted(x["doc_id"] for x in kept.collect()) == sorted({c for _, c, _ in got if c is not None})
+
+
+def test_ids_that_repeat_with_other_texts(spark):
+    r = random.Random(3)
+    a, b = (" ".join("".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(60)) for _ in range(2))
+    df = spark.createDataFrame([(1, a), (1, b), (2, a + " x"), (3, b + " y"), (4, "else"), (None, b + " z"), (None, "alone")], "doc_id long, text string")
+    assert {(x["doc_id"], x["class_id"]) for x in M.near_duplicates(df).collect()} == {(1, 1), (2, 1), (3, 1), (4, 4), (None, None)}
+    # as texts they are two classes, and the row without an id that is like no other stays
+    assert sorted((x["doc_id"] or 0, x["text"]) for x in M.drop_near_duplicates(df).collect()) == sorted([(1, a), (1, b), (4, "else"), (0, "alone")])
+
+
+def test_hot_texts_and_buckets_are_dealt_over_tasks(spark, monkeypatch):
+    from nearway.llm import common
+
+    monkeypatch.setattr(common, "FEW", 16)
+    r = random.Random(5)
+    base = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(90)]
+    rows = [(k, " ".join(base)) for k in range(400)]  # one text
+    rows += [(1000 + k, " ".join([*base[:40], f"w{k}", *base[41:]])) for k in range(300)]  # one large bucket
+    rows += [(5000 + k, f"text {k} on its own " * 3) for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(x["doc_id"], x["class_id"]) for x in M.near_duplicates(df).collect()} == {(d, 0 if d < 5000 else d) for d, _ in rows}
+    # the rows of one key take many places
+    keys = spark.range(4000).selectExpr("id", "0L as k").unionByName(spark.range(50).selectExpr("id", "id + 1 as k"))
+    joined = common.join_hot(keys, spark.range(60).selectExpr("id as k", "id * 2 as v"), ["k"], "id")
+    assert joined.count() == 4050 and joined.where("v <> k * 2").isEmpty()
+    assert "_salt" in joined._jdf.queryExecution().toString()
+
+
+def test_recall_on_the_given_documents(spark):
+    """All pairs of different texts with a similarity of 0.8 or more, by brute force, are in one class."""
+    from pathlib import Path
+
+    path = Path("/root/testdata/sf0.001/documents.parquet")
+    if not path.exists():
+        pytest.skip("the tables aren't here")
+    docs = spark.read.parquet(str(path))
+    rows = [(x["doc_id"], x["text"]) for x in docs.collect()]
+    assert {(x["doc_id"], x["class_id"]) for x in M.near_duplicates(docs).collect()} == brute(rows) | {(d, d) for d, t in rows if not shingles(t)}
