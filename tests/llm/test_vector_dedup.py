@@ -27,7 +27,7 @@ def brute(rows, cosine):
     return sorted((u[k][0], len(links[k]), least[comp[k]], u[k][0] == least[comp[k]]) for k in range(len(u)))
 
 
-@pytest.mark.parametrize("how", [{"spread": None, "block": 16}, {}])
+@pytest.mark.parametrize("how", [{"cells": 8, "block": 16}, {"cells": 8}, {}])
 def test_matches_brute_force(spark, how):
     r = np.random.default_rng(2)
     rows, n = [], 0
@@ -39,31 +39,58 @@ def test_matches_brute_force(spark, how):
     rows += [(1000 + i, rows[4][1], 0) for i in range(60)]  # a hot vector
     rows += [(2000, [x * 5 for x in rows[4][1]], 0), (2001, rows[4][1], 1), (2002, rows[4][1], None), (2003, None, 0), (2004, [0.0] * 16, 0), (2005, [float("nan")] * 16, 0), (2006, [1.0, None] * 8, 0), (2007, [], 0)]
     df = spark.createDataFrame([(i, v, lab, 1) for i, v, lab in rows], "vec_id long, embedding array<double>, label int, n long")
-    got = sorted(tuple(x) for x in V.near_vectors(df, 0.93, cells=8, words=16, **how).collect())
+    got = sorted(tuple(x) for x in V.near_vectors(df, 0.93, words=16, **how).collect())
     assert got == brute(rows, 0.93)
 
 
-def test_recall_of_probes():
-    r = np.random.default_rng(4)
-    x = r.normal(0, 1, (3000, 64))
+def pairs_at(r, n, dims, cosine, spread):
+    """n vectors and one for each at that cosine; spread: how unequal their dimensions are."""
+    scale = spread ** np.arange(dims)
+    x, way = r.normal(0, 1, (n, dims)) * scale, r.normal(0, 1, (n, dims)) * scale
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    # pairs at the threshold itself, the hardest
-    way = r.normal(0, 1, x.shape)
     way -= (way * x).sum(1, keepdims=True) * x
-    way /= np.linalg.norm(way, axis=1, keepdims=True)
-    y = 0.93 * x + np.sqrt(1 - 0.93**2) * way
-    model = V.Quantiser(np.concatenate([x, y]), 64, 8, 64)
-    own, _ = model.nearest(y)
+    return x, cosine * x + np.sqrt(1 - cosine**2) * way / np.linalg.norm(way, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("spread", [1.0, 0.9])
+def test_every_link_is_probed_and_passes_the_codes(spread):
+    r = np.random.default_rng(4)
+    x, y = pairs_at(r, 3000, 64, 0.93, spread)  # at the threshold itself, the hardest
+    model = V.Quantiser(np.concatenate([x, y]), 128, 8, 64)
+    every = np.concatenate([x, y])
+    own, d = model.nearest(every)
+    radius = d[np.arange(len(d)), own]
+    least, most = (np.array([f(radius[own == c], initial=i) for c in range(128)]) for f, i in ((np.min, 9), (np.max, 0)))
     reach = np.sqrt(2 - 2 * 0.93)
-    radius = np.full(64, 2.0)
-    probes = model.probes(x, reach, radius, V.SPREAD)
-    assert np.mean([c in p for c, p in zip(own, probes)]) >= 0.97
-    assert all(c in p for c, p in zip(own, model.probes(x, reach, radius)))
-    codes, error = model.encode(y, own)
-    for c in np.unique(own)[:5]:
-        k = own == c
-        i, j = V.link(x[k], y[k], codes[k], error[k], int(c), model, 0.93 - 1e-9)
-        assert {(a, a) for a in range(k.sum())} <= set(zip(i.tolist(), j.tolist()))
+    can = model.probes(d, own, reach, least, most)
+    a, b = np.arange(3000), np.arange(3000, 6000)
+    swap = own[a] > own[b]
+    asks, has = np.where(swap, b, a), np.where(swap, a, b)
+    assert can[asks, own[has]].all()
+    i, j = V.link(every, d, can, every, own, model.encode(every, own), model, 0.93 - 1e-9)
+    found = set(zip(i.tolist(), j.tolist()))
+    assert set(zip(asks.tolist(), has.tolist())) <= found
+    near = np.argwhere(np.triu(every @ every.T >= 0.93 + 1e-9, 1))
+    assert {tuple(p) for p in near.tolist()} <= found | {(q, p) for p, q in found}
+
+
+def test_the_querys_own_settings_on_thousands_of_vectors_with_links(spark):
+    """6,000 vectors, 77 cells as the query would take, pairs and a large cluster: recall is 1."""
+    r = np.random.default_rng(6)
+    x, y = pairs_at(r, 2400, 64, 0.94, 0.97)
+    centre = r.normal(0, 1, 64)
+    z = centre + r.normal(0, 0.28, (1200, 64))
+    rows = [(i, [float(c) for c in v], int(i % 4 if i < 4800 else 1)) for i, v in enumerate(np.concatenate([np.stack([x, y], 1).reshape(-1, 64), z]))]
+    rows = [(i, v, int(i // 2 % 4) if i < 4800 else lab) for i, v, lab in rows]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = {x["vec_id"]: (x["n_links"], x["component_id"]) for x in V.near_vectors(df, 0.93, block=700).collect()}
+    exact = np.array([v for _, v, _ in rows], np.float32).astype(np.float64)
+    exact /= np.linalg.norm(exact, axis=1, keepdims=True)
+    label = np.array([lab for _, _, lab in rows])
+    near = (exact @ exact.T >= 0.93) & (label[:, None] == label)
+    expected = near.sum(1) - 1
+    assert (expected > 0).mean() > 0.8 and expected.max() > 20
+    assert [got[i][0] for i in range(len(rows))] == expected.tolist()
 
 
 @pytest.mark.parametrize("effective", [3, 6])
