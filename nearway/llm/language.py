@@ -2,8 +2,8 @@
 
 One-hot bytes are convolved with filters of several widths, filters are rectified and max-pooled over a window of fixed
 length, and a softmax gives the language. A convolution over one-hot bytes is a sum of table rows, so applying it is a
-few look-ups for each byte (two neighbouring bytes at a time). A text's windows cover it from end to end; their
-log-probabilities are summed.
+few look-ups for each byte (two neighbouring bytes at a time). A text's windows cover it from end to end; their mean
+log-probabilities decide, so a long text scores high only if its windows do.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,7 +23,7 @@ from nearway.llm.textkernel import buffers
 #: Bytes of a window, filter widths, filters of each width.
 WINDOW, WIDTHS, FILTERS = 128, (2, 3, 4), 16
 #: Labelled texts of each language, at most about, that training sees, and windows from each.
-TRAIN_TEXTS, TRAIN_WINDOWS, MAX_LANGUAGES = 600, 4, 512
+TRAIN_TEXTS, TRAIN_WINDOWS = 600, 4
 UNKNOWN = "und"
 
 
@@ -138,7 +138,7 @@ def train(texts: list[bytes], labels: list[str], rounds: int = 6, batch: int = 6
 
 def predict(m: Model, tables, data: np.ndarray, offsets: np.ndarray, at_once: int = 512) -> np.ndarray:
     """Probability of each language for each text."""
-    total = np.zeros((len(offsets) - 1, len(m.languages)))
+    total, count = np.zeros((len(offsets) - 1, len(m.languages))), np.zeros(len(offsets) - 1)
     k, n = 0, len(offsets) - 1
     while k < n:
         # so many texts that their windows stay small; a long text goes in parts
@@ -147,26 +147,31 @@ def predict(m: Model, tables, data: np.ndarray, offsets: np.ndarray, at_once: in
             b = min(int(offsets[end]), a + WINDOW * at_once * 4) if end == k + 1 else int(offsets[end])
             cuts = np.clip(offsets[k : end + 1], a, b) - a
             x, text = windows(data[a:b], cuts)
+            count[k:end] += np.bincount(text, minlength=end - k)
             for i in range(0, len(x), at_once):
                 hidden = np.maximum(_pooled(x[i : i + at_once], tables) + m.bias, 0)
                 np.add.at(total, k + text[i : i + at_once], _log_softmax(hidden @ m.weights + m.offset))
         k = end
-    return np.exp(_log_softmax(total))
+    return np.exp(_log_softmax(total / np.maximum(count, 1)[:, None]))
 
 
 def training_rows(docs: DataFrame, usable, id_col: str, text_col: str, lang_col: str, texts: int = TRAIN_TEXTS) -> list:
-    """At most about `texts` rows of each language that occurs, picked by a hash of the id, in the order of the ids."""
+    """At most 2 * `texts` rows of each language that occurs, about `texts`, picked by a hash, in the order of the ids.
+
+    However many languages there are, all are learned. Rows of one hash beyond the bound, such as one row that is
+    repeated, are cut in the order of another hash, so the same rows give the same sample.
+    """
+    key = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col))
     labelled = docs.where(usable & F.col(text_col).isNotNull() & (F.col(text_col) != "") & F.col(lang_col).isNotNull())
-    counts = labelled.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "lang").limit(MAX_LANGUAGES).collect()
-    if not counts:
-        return []
-    shares = {r["lang"]: min(1.0, texts / r["n"]) for r in counts}
-    mapped = F.create_map(*[c for k, v in shares.items() for c in (F.lit(k), F.lit(int(v * (1 << 30))))])
-    picked = labelled.where(F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 30)) < F.element_at(mapped, F.col(lang_col)))
+    counts = labelled.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n"))
     # a training window comes from these bytes; the bound keeps the sample small on the driver
     part = F.substring(F.col(text_col), (1 + F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(1)), F.greatest(F.length(text_col) - 2000, F.lit(1)))).cast("int"), F.lit(2000))
-    rows = picked.select(F.col(id_col).cast("string").alias("id"), part.alias("text"), F.col(lang_col).alias("lang")).limit(2 * texts * len(shares)).collect()
-    return sorted((r["id"] or "", r["lang"], r["text"]) for r in rows)
+    rows = labelled.select(F.col(id_col).cast("string").alias("id"), part.alias("text"), F.col(lang_col).alias("lang"), F.pmod(key, F.lit(1 << 30)).alias("at"), F.xxhash64(key, F.lit(2)).alias("h"))
+    # the network has an output for each language, so a row for each is no more than what training holds anyway
+    picked = rows.join(F.broadcast(counts), "lang").where(F.col("at") < F.lit(float(texts)) / F.col("n") * (1 << 30))
+    best = Window.partitionBy("lang").orderBy("h", "id", "text")
+    found = picked.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= 2 * texts).select("id", "lang", "text").collect()
+    return sorted((r["id"] or "", r["lang"], r["text"]) for r in found)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", held_out_of: int = 4, held_out_is: int = 2, texts: int = TRAIN_TEXTS, with_row: bool = False) -> DataFrame:

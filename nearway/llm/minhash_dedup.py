@@ -34,6 +34,8 @@ from nearway.llm.textkernel import buffers, mix, occurrences, run_digests, shing
 BANDS, ROWS = 25, 5
 #: Bucket size up to which all pairs are compared at once; members chosen from a larger one, about.
 SMALL, CHOSEN = 24, 3
+#: Hashes that choose members: the buckets of a group of copies choose about so many times CHOSEN of them together.
+CHOICES = 8
 #: Rows and shingles of a block, at most (a longer document is a block of its own), and rows of a block that asks.
 BLOCK_ROWS, BLOCK_SHINGLES, ASK_ROWS = 1_024, 500_000, 512
 GOLDEN = 0x9E3779B97F4A7C15
@@ -165,16 +167,16 @@ def _linked(docs: DataFrame, similarity: float, shingle: int, id_col: str, text_
     nodes = signed.where("n > 0").groupBy("d1", "d2").agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.min("doc_id").alias("least_id"), first_row.alias("r"))
     nodes = work.write(nodes.select(F.monotonically_increasing_id().alias("node"), "d1", "d2", "n", "bands", "least_id", "r.rid", "r.key"))
     keys = nodes.select("node", "n", F.explode("bands").alias("band"))
-    order = F.xxhash64("node")
+    # members are chosen by one of a few hashes, so buckets of the same documents choose some of the same, not all
+    order = F.xxhash64("node", F.pmod("band", F.lit(CHOICES)))
     sizes = work.write(keys.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min(order).alias("least")).where("size > 1"))
     members = work.write(join_hot(keys, sizes, ["band"], "node"))
     compared = nodes.join(members.select("node").distinct(), "node", "left_semi").select("rid", "key", "node", "bands")
     held = texts.select("rid", "key", "text").join(compared, ["rid", "key"]).dropDuplicates(["rid", "key"])
     sets = work.write(held.select("node", "text", "bands").mapInArrow(lambda it: _multisets(it, shingle), "node long, sh array<long>, bands array<long>"))
 
-    # all pairs of small buckets; of large ones, members chosen by a fixed hash with all. The hash is the same in every
-    # bucket, so buckets of the same documents choose the same, and each has one chosen member at least
-    place = F.pmod(F.xxhash64("node", F.lit(1)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    # all pairs of small buckets; of large ones, members chosen by a fixed hash (one at least) with all
+    place = F.pmod(order, F.lit(1 << 40)) / F.lit(float(1 << 40))
     live = members.withColumn("picked", (F.col("size") <= SMALL) | (order == F.col("least")) | (place < F.lit(float(CHOSEN)) / F.col("size")))
     chosen = live.where("picked").select("band", F.col("node").alias("c"), F.col("n").alias("cn"))
     pairs = join_hot(live, chosen, ["band"], "node").where(((F.col("node") < F.col("c")) | (~F.col("picked") & (F.col("node") != F.col("c")))) & (F.least("n", "cn") >= F.lit(similarity) * F.greatest("n", "cn") - 1e-9))

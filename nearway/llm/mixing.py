@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from nearway.llm.common import unwrapped, wrapped
+from nearway.llm.common import Workspace, unwrapped, wrapped
 
 #: Rows that a range of keys is meant to hold.
 RANGE_ROWS = 4_000
@@ -50,43 +50,56 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: f
     """Id, size, source_size, target and taken (words taken, repeats counted) of every document.
 
     A source gives whole epochs of all its documents first, then documents by key until its budget is met exactly; the
-    last of these is cut. A null text has no words and gives none; a null source is a source of its own, after the
-    others; repeated rows count each, and stand together; an empty table gives an empty result, and a table without
-    words targets of 0. Other columns play no part, whatever their names.
+    last of these is cut. A document without an id is known by its text. A null text has no words and gives none; a null
+    source is a source of its own, after the others; repeated rows count each, and stand together; an empty table gives
+    an empty result, and a table without words targets of 0. Other columns play no part, whatever their names.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
-    rows = rows.withColumn("key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
+    # words are counted once, into a table of numbers
+    work = Workspace(docs.sparkSession, "mixing")
+    rows = work.write(_sized(docs, id_col, text_col, source_col).drop("text"))
+    return _taken(rows, rows, weights, most, range_rows).select("doc_id", "size", "source_size", F.coalesce("target", F.lit(0.0)).alias("target"), "taken")
+
+
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, *more: Column) -> DataFrame:
+    """doc_id, source, text, size and key of every row, and more."""
+    text = F.col(text_col)
+    key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.md5(F.coalesce(text, F.lit("")).cast("binary"))).cast("binary"))
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), text.alias("text"), word_count(text).alias("size"), key.alias("key"), *more)
+
+
+def _taken(rows: DataFrame, sizes: DataFrame, weights: tuple[float, ...], most: float, range_rows: int) -> DataFrame:
+    """rows with source_size, target and taken; sizes are the same rows' sources, sizes and keys, written."""
     # as many key ranges as there are range_rows of rows; the count is one number
-    n_ranges = max(1, -(-docs.count() // range_rows))
-    rows = rows.withColumn("slot", (F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * n_ranges / 2**32).cast("long"))
-    ranges = rows.groupBy("source", "slot").agg(F.sum("size").alias("slot_size"))
+    n_ranges = max(1, -(-sizes.count() // range_rows))
+    slot = (F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * n_ranges / 2**32).cast("long")
+    ranges = sizes.groupBy("source", slot.alias("slot")).agg(F.sum("size").alias("slot_size"))
     aims = targets(ranges.groupBy("source").agg(F.sum("slot_size").alias("source_size")), weights, most)
     earlier = Window.partitionBy("source").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.withColumn("slots_before", F.coalesce(F.sum("slot_size").over(earlier), F.lit(0))).drop("slot_size")
     plan = ranges.join(aims.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     # the same partitioning serves the window and the join
     inside = Window.partitionBy("source", "slot").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("in_slot", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    rows = rows.withColumn("slot", slot).withColumn("in_slot", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     plan = plan.select(F.col("source").alias("p_source"), F.col("slot").alias("p_slot"), "slots_before", "source_size", "target")
     out = rows.join(plan, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("slot") == F.col("p_slot")))
     size, budget = F.col("size"), F.floor("target")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     rest = budget - epochs * F.col("source_size") - F.col("slots_before") - F.col("in_slot")
-    taken = (epochs * size + F.greatest(F.lit(0), F.least(size, rest))).cast("long")
-    return out.select("doc_id", "size", "source_size", F.coalesce("target", F.lit(0.0)).alias("target"), taken.alias("taken"))
+    return out.withColumn("taken", (epochs * size + F.greatest(F.lit(0), F.least(size, rest))).cast("long"))
 
 
-def apply_mix(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs as the mix takes them: each whole copy is a row, and a cut document's last row has its first words only.
+def mixed_rows(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", range_rows: int = RANGE_ROWS) -> DataFrame:
+    """docs as the mix of mix_sources takes them: each whole copy is a row, and a cut document's last row has its first words.
 
-    A document of which nothing is taken goes, one without words too (a mix of words takes none of it). Rows that share
-    an id and a size are taken alike, as often as the first of them.
+    A document of which nothing is taken goes, one without words too (a mix of words takes none of it). Every row is
+    taken on its own, those that share an id or have none too. Rows move once, with their texts, to their key ranges.
     """
-    shares = mixed.where(F.col("taken") > 0).groupBy(F.col("doc_id").alias("mix_id"), "size").agg(F.max("taken").alias("taken"))
+    work = Workspace(docs.sparkSession, "mixed")
+    sizes = work.write(_sized(docs, id_col, text_col, source_col).drop("text", "doc_id"))
+    rows = _taken(_sized(docs, id_col, text_col, source_col, wrapped(docs)), sizes, weights, most, range_rows).where("taken > 0")
     whole, cut_to = F.floor(F.col("taken") / F.col("size")).cast("int"), F.col("taken") % F.col("size")
     copies = F.concat(F.array_repeat(F.lit(-1).cast("long"), whole), F.when(cut_to > 0, F.array(cut_to)).otherwise(F.expr("cast(array() as array<bigint>)")))
-    rows = docs.select(wrapped(docs), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = rows.join(shares, F.col("id").eqNullSafe(F.col("mix_id")) & (word_count(F.col("text")) == F.col("size"))).withColumn("words", F.explode(copies))
+    rows = rows.select("row", "text", F.explode(copies).alias("words"))
     # the first words with the white space before each; only a cut row is parted into words
     cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0)), 1, F.greatest(F.col("words"), F.lit(0)).cast("int")), "")
     out = rows.withColumn("made", F.when(F.col("words") < 0, F.col("text")).otherwise(cut))

@@ -1,15 +1,16 @@
-"""Substring dedup by hashing lines and parts of lines.
-
-Units are lines, and longer lines are parted after words whose own hash says so: a passage that stands in two documents
-is thus parted alike in both, wherever its line begins. A unit is normalised (white space between words, capitals A-Z)
-and gets a 128-bit digest; digests are grouped over all documents, the occurrence with the smallest (document, place)
-is kept and the others go, with the offsets they had. Neighbouring units that go make one span; a span of fewer than
-`least_words` words, such as a phrase that happens to recur, stays.
-
-Ends of units leave the edges of a passage, and now and then a whole one, so `repeated_passages` also looks at every
-run of RUN words, wherever lines end: the least hash of GRAM words within a run is its anchor, the same in every copy,
-and the runs of an anchor are neighbours. Anchors are grouped with all the words of their runs first; runs themselves
-are grouped only of the first such stretch, and only if its anchor recurs with other words round it. No copy is missed.
+"""Substring dedup by hashing lines, and runs of words within them.
+
+Units are lines. A unit is normalised (white space between words, capitals A-Z) and gets a 128-bit digest; digests are
+grouped over all documents, the occurrence with the smallest (document, line) is kept and the others go, with the
+offsets they had, however short they are. Neighbouring lines that go make one span.
+
+A passage may begin and end within lines, so `repeated_passages` also looks at every run of RUN words, wherever lines
+end: the least hash of GRAM words within a run is its anchor, the same in every copy, and the runs of an anchor are
+neighbours. Anchors are grouped with all the words of their runs first; runs themselves are grouped only of the first
+such stretch, and only if its anchor recurs with other words round it. No copy is missed.
+
+Texts are hashed once for lines and once for stretches, into written tables. A digest that a great share of all rows
+have is grouped where its rows are before it is sent, and its rows are dealt over many tasks where they meet the group.
 """
 
 from __future__ import annotations
@@ -21,55 +22,38 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from nearway.llm.common import Workspace, unwrapped, wrapped
-from nearway.llm.textkernel import Words, buffers, mix, run_digests, slices, words
+from nearway.llm.common import Workspace, join_hot, unwrapped, wrapped
+from nearway.llm.textkernel import Words, buffers, run_digests, slices, words
 
-#: One word in so many ends a unit; words of a unit, at least and at most, within a line; words of a span, at least.
-ENDS, SHORTEST, LONGEST, LEAST_WORDS = 6, 3, 24, 20
-#: Words of a run that is a passage, over 50; words whose hash is an anchor.
-RUN, GRAM = 51, 16
+#: Words of a run that is a passage, over 50; words whose hash is an anchor; words of a reported span, at least. Half of
+#: all documents have a shorter line by chance in common with others, a word or two, which is no passage.
+RUN, GRAM, LEAST_WORDS = 51, 16, 20
 
 
-def units(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
-    """text, place, start and end (code points), words, digest and whether it is the text's first such unit."""
+def lines(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
+    """text, line, first word, start and end (code points), words and digest of every line with words, and whether it is
+    the text's first such line. Line numbers leave out lines without words."""
     w = words(data, offsets)
     n = len(w.hash)
-    none = np.zeros(0, np.int64)
     if not n:
-        return dict.fromkeys(("text", "place", "word", "start", "end", "n"), none) | {"d1": none, "d2": none, "fresh": np.zeros(0, bool)}
+        return dict.fromkeys(("text", "line", "word", "start", "end", "n", "d1", "d2"), np.zeros(0, np.int64)) | {"fresh": np.zeros(0, bool)}
     text = np.repeat(np.arange(len(offsets) - 1), np.diff(w.first))
-    # hard ends: of a text and of a line
     newline = np.concatenate([[0], np.cumsum(data == 10)])
-    hard = np.ones(n, bool)
-    hard[:-1] = (text[1:] != text[:-1]) | (newline[w.start[1:]] > newline[w.end[:-1]])
-    begin = np.concatenate([[0], np.flatnonzero(hard[:-1]) + 1])
-    line = np.cumsum(np.concatenate([[0], hard[:-1]]))
-    in_line = np.arange(n) - begin[line]
-    left = np.append(begin[1:], n)[line] - 1 - np.arange(n)
-    # soft ends by the hash of the word and the one before; not within SHORTEST words of another end
-    before = np.concatenate([w.hash[:1], w.hash[:-1]])
-    soft = (mix(w.hash + before * np.uint64(3)) % np.uint64(ENDS) == 0) & (left >= SHORTEST) & (in_line >= SHORTEST - 1)
-    at = np.flatnonzero(soft | hard)
-    near = np.zeros(len(at), bool)
-    near[1:] = (at[1:] - at[:-1] < SHORTEST) & ~hard[at[1:]] & ~hard[at[:-1]]
-    stop = at[~near]
-    # what is still too long is cut at even distances from its start
-    start = np.concatenate([[0], stop[:-1] + 1])
-    extra = (stop - start) // LONGEST
-    cut = np.repeat(start, extra) + LONGEST * (1 + np.arange(extra.sum()) - np.repeat(np.cumsum(extra) - extra, extra)) - 1
-    stop = np.unique(np.concatenate([stop, cut]))
-    start = np.concatenate([[0], stop[:-1] + 1])
-    d1, d2 = run_digests(w.hash, start, stop + 1)
+    ends = np.ones(n, bool)
+    ends[:-1] = (text[1:] != text[:-1]) | (newline[w.start[1:]] > newline[w.end[:-1]])
+    last = np.flatnonzero(ends)
+    first = np.concatenate([[0], last[:-1] + 1])
+    d1, d2 = run_digests(w.hash, first, last + 1)
     points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-    own = text[start]
+    own = text[first]
     base = points[offsets[:-1]][own]
-    first_unit = np.searchsorted(own, np.arange(len(offsets)))
-    order = np.lexsort((np.arange(len(start)), d2, d1, own))
-    fresh = np.ones(len(start), bool)
+    order = np.lexsort((np.arange(len(first)), d2, d1, own))
+    fresh = np.ones(len(first), bool)
     same = (d1[order][1:] == d1[order][:-1]) & (d2[order][1:] == d2[order][:-1]) & (own[order][1:] == own[order][:-1])
     fresh[order[1:][same]] = False
-    return {"text": own, "place": np.arange(len(start)) - first_unit[own], "word": start - w.first[own], "start": points[w.start[start]] - base, "end": points[w.end[stop]] - base, "n": stop + 1 - start, "d1": d1.view(np.int64), "d2": d2.view(np.int64), "fresh": fresh}
+    return {"text": own, "line": np.arange(len(first)) - np.searchsorted(own, np.arange(len(offsets)))[own], "word": first - w.first[own], "start": points[w.start[first]] - base, "end": points[w.end[last]] - base, "n": last + 1 - first, "d1": d1.view(np.int64), "d2": d2.view(np.int64), "fresh": fresh}
 
 
 def anchors(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -90,21 +74,21 @@ def anchors(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return text, at, at + place, hashes
 
 
-def _gone_units(rows: DataFrame, work: Workspace) -> DataFrame:
-    """doc_id, place, word, start, end, n, kept_doc_id and copies of every unit that is kept elsewhere."""
+def _gone_lines(rows: DataFrame, work: Workspace) -> DataFrame:
+    """doc_id, line, word, start, end, n, kept_doc_id and copies of every line that is kept elsewhere."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False)
             data, offsets = buffers(b.column(1))
             for i, j in slices(offsets):
-                u = units(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i:j][u["text"]], pa.int64()), *(pa.array(u[c].astype(np.int32)) for c in ("place", "word", "start", "end", "n")), *(pa.array(u[c]) for c in ("d1", "d2", "fresh"))], ["doc_id", "place", "word", "start", "end", "n", "d1", "d2", "fresh"])
+                u = lines(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i:j][u["text"]], pa.int64()), *(pa.array(u[c].astype(np.int32)) for c in ("line", "word", "start", "end", "n")), *(pa.array(u[c]) for c in ("d1", "d2", "fresh"))], ["doc_id", "line", "word", "start", "end", "n", "d1", "d2", "fresh"])
 
-    all_units = rows.mapInArrow(part, "doc_id long, place int, word int, start int, end int, n int, d1 long, d2 long, fresh boolean")
-    # counts and least ids are pre-aggregated, so a unit that a third of all documents share costs each task one row
-    groups = all_units.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("kept_doc_id")).where("copies > 1")
-    return work.write(all_units.join(groups, ["d1", "d2"]).where("not (doc_id = kept_doc_id and fresh)").select("doc_id", "place", "word", "start", "end", "n", "kept_doc_id", "copies").dropDuplicates(["doc_id", "place", "start"]))
+    all_lines = work.write(rows.mapInArrow(part, "doc_id long, line int, word int, start int, end int, n int, d1 long, d2 long, fresh boolean"))
+    groups = work.write(all_lines.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("kept_doc_id")).where("copies > 1"))
+    gone = join_hot(all_lines, groups, ["d1", "d2"], "doc_id").where("not (doc_id = kept_doc_id and fresh)")
+    return work.write(gone.select("doc_id", "line", "word", "start", "end", "n", "kept_doc_id", "copies").dropDuplicates(["doc_id", "line", "start"]))
 
 
 def _gone_runs(rows: DataFrame, work: Workspace) -> DataFrame:
@@ -134,12 +118,12 @@ def _gone_runs(rows: DataFrame, work: Workspace) -> DataFrame:
     marks = work.write(rows.mapInArrow(mark, f"{ints}, h long, d1 long, d2 long"))
     first = work.write(marks.groupBy("d1", "d2", "lead").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "word")).alias("kept"), F.min("h").alias("h")))
     # of what has the same words as an earlier stretch all runs go, unless the two overlap
-    copied = marks.join(first.where("copies > 1").drop("h"), ["d1", "d2", "lead"])
+    copied = work.write(join_hot(marks, first.where("copies > 1").drop("h"), ["d1", "d2", "lead"], "doc_id"))
     apart = "doc_id <> kept.doc_id or word >= kept.word + n"
     whole = copied.where(apart).select("doc_id", "word", "start", "end", "n", F.col("kept.doc_id").alias("kept_doc_id"), "copies")
     # the rest are firsts, and what overlaps them; their runs are looked at if their anchor has other words round it too
     mixed = first.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("h")
-    rest = first.select("h", F.col("kept.doc_id").alias("of"), F.col("kept.word").alias("at"), F.col("copies").alias("times")).join(mixed, "h").select("of", "at", "times")
+    rest = join_hot(first.select("h", "d1", F.col("kept.doc_id").alias("of"), F.col("kept.word").alias("at"), F.col("copies").alias("times")), mixed, ["h"], "d1").select("of", "at", "times")
     overlap = copied.where(f"not ({apart}) and not (doc_id = kept.doc_id and word = kept.word)").select(F.col("doc_id").alias("of"), F.inline(F.array(F.struct(F.col("kept.word").alias("at"), F.col("copies").alias("times")), F.struct(F.col("word").alias("at"), F.lit(0).cast("long").alias("times")))))  # counted with the first
     lists = rest.unionByName(overlap).groupBy("of").agg(F.collect_set(F.struct("at", "times")).alias("begins"))  # at most as many as a document has words
 
@@ -170,7 +154,7 @@ def _gone_runs(rows: DataFrame, work: Workspace) -> DataFrame:
     runs = work.write(found.mapInArrow(part, "doc_id long, word int, start int, end int, d1 long, d2 long, times long"))
     earliest = runs.groupBy("d1", "d2").agg(F.sum("times").alias("copies"), F.min(F.struct("doc_id", "word")).alias("kept")).where("copies > 1")
     # a run that overlaps the one that is kept stays
-    gone = runs.join(earliest, ["d1", "d2"]).where(f"doc_id <> kept.doc_id or word >= kept.word + {RUN}")
+    gone = join_hot(runs, earliest, ["d1", "d2"], "doc_id").where(f"doc_id <> kept.doc_id or word >= kept.word + {RUN}")
     gone = gone.select("doc_id", "word", "start", "end", F.lit(RUN).alias("n"), F.col("kept.doc_id").alias("kept_doc_id"), "copies")
     return work.write(whole).unionByName(work.write(gone))
 
@@ -183,12 +167,16 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """As repeated_spans, but a span also has every word of a run of RUN words or more that stands at an earlier place.
 
     Places are ordered by document, then by word. A passage of RUN words or more is thus found whole wherever it begins
-    and however its lines are broken; what units find besides, such as shorter lines, goes as well. kept_doc_id and
-    copies are those of the span's first unit, run or stretch of runs.
+    and however its lines are broken; lines that go beside it are of its span, and lines of `least_words` words or more
+    together are a span of their own. kept_doc_id and copies are those of the span's first line, run or stretch of runs.
     """
     work, rows = Workspace(docs.sparkSession, "passages"), _rows(docs, id_col, text_col)
     columns = ["doc_id", "word", "start", "end", "n", "kept_doc_id", "copies"]
-    pieces = _gone_units(rows, work).select(columns).unionByName(_gone_runs(rows, work).select(columns))
+    return _spans(_gone_lines(rows, work).select(columns).unionByName(_gone_runs(rows, work).select(columns)), least_words)
+
+
+def _spans(pieces: DataFrame, least_words: int) -> DataFrame:
+    """Pieces that touch or overlap as one span; a document's pieces are at most as many as its words."""
     before = Window.partitionBy("doc_id").orderBy("word", "start", "n")
     reach = F.max(F.col("word") + F.col("n")).over(before.rowsBetween(Window.unboundedPreceding, -1))
     spans = pieces.withColumn("new", F.when(F.col("word") > reach, 1).otherwise(0)).withColumn("span", F.sum("new").over(before.rowsBetween(Window.unboundedPreceding, 0)))
@@ -196,28 +184,44 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return made.where(F.col("words") >= least_words).select("doc_id", "start", "end", "words", "first.kept_doc_id", "first.copies")
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
-    """A row for each span that goes: doc_id, start and end (code points, end exclusive), words, kept_doc_id, copies.
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = 1) -> DataFrame:
+    """A row for each span of whole lines that goes: doc_id, start and end (code points, end exclusive), words, kept_doc_id, copies.
 
-    kept_doc_id is the document that keeps the span's first unit, copies the number of that unit's occurrences. Rows
+    kept_doc_id is the document that keeps the span's first line, copies the number of that line's occurrences. Every
+    line that stands at an earlier place goes, one of a single word too, unless spans of fewer words are to stay. Rows
     that share an id are one document; rows without an id, null and empty texts have no spans and keep nothing for
     others; an empty table gives an empty result; other columns play no part, whatever their names.
     """
-    work = Workspace(docs.sparkSession, "units")
-    gone = _gone_units(_rows(docs, id_col, text_col), work)
-    order = Window.partitionBy("doc_id").orderBy("place", "start")
-    runs = gone.withColumn("run", F.col("place") - F.row_number().over(order)).groupBy("doc_id", "run").agg(F.min("start").cast("long").alias("start"), F.max("end").cast("long").alias("end"), F.sum("n").cast("long").alias("words"), F.min_by(F.struct("kept_doc_id", "copies"), "place").alias("first"))
-    return runs.where(F.col("words") >= least_words).select("doc_id", "start", "end", "words", "first.kept_doc_id", "first.copies")
-
-
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
-    """docs without the spans; what a row lost is in `removed`, an array of its spans with their original offsets."""
-    spans = repeated_spans(docs, id_col, text_col, least_words)
-    lists = spans.groupBy(F.col("doc_id").alias("of")).agg(F.array_sort(F.collect_list(F.struct("start", "end", "kept_doc_id"))).alias("removed"))  # at most as many as a document has units
-    text = F.col("text")
-    step = lambda acc, s: F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))).alias("out"))
-    made = F.aggregate("removed", F.expr("named_struct('at', 0L, 'out', '')"), step, lambda a: F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), F.length(text))))
-    rows = docs.select(wrapped(docs), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    out = rows.join(lists, F.col("id") == F.col("of"), "left").withColumn("made", F.when(F.col("removed").isNotNull(), made).otherwise(text))
-    own = unwrapped(docs, **{text_col: F.col("made")})
-    return out.select(*[c for c, name in zip(own, docs.columns, strict=True) if name != "removed"], "removed")
+    return _spans(_gone_lines(_rows(docs, id_col, text_col), Workspace(docs.sparkSession, "lines")), least_words)
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = 1, passages: bool = True) -> DataFrame:
+    """docs without the spans of repeated_passages (or of repeated_spans), and what each row lost.
+
+    The last column, `removed` (with an underscore more for each such name that docs has), is an array of its spans with
+    their original offsets; a row that lost nothing has a null there and keeps its text as it is.
+    """
+    spans = (repeated_passages if passages else repeated_spans)(docs, id_col, text_col, least_words)
+    name = "removed"
+    while name in docs.columns:
+        name += "_"
+    lists = spans.groupBy(F.col("doc_id").alias("of")).agg(F.array_sort(F.collect_list(F.struct("start", "end", "kept_doc_id"))).alias("removed"))  # at most as many as a document has words
+    rows = docs.select(wrapped(docs), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    found = rows.join(lists, F.col("id") == F.col("of"), "left").select("row", "text", "removed")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = []
+            for text, spans in zip(b.column(1), b.column(2), strict=True):
+                whole, gone, at = text.as_py(), spans.as_py(), 0
+                if gone and whole:
+                    kept = []
+                    for x in gone:
+                        kept.append(whole[at : x["start"]])
+                        at = x["end"]
+                    whole = "".join([*kept, whole[at:]])
+                made.append(whole)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, b.column(1).type), b.column(2)], ["row", "text", "removed"])
+
+    out = found.mapInArrow(cut, T.StructType(found.schema.fields))
+    return out.select(*unwrapped(docs, **{text_col: F.col("text")}), F.col("removed").alias(name))

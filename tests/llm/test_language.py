@@ -48,3 +48,34 @@ def test_parts_of_a_long_text_count_alike():
     assert L.predict(m, tables, data, offsets, at_once=3).argmax(1)[2:].tolist() == one.argmax(1)[2:].tolist() == [0, 1, 2]
     windows, of = L.windows(data, offsets)
     assert windows.shape[1] == L.WINDOW and [int((of == i).sum()) for i in range(5)] == [max(1, -(-len(t.encode()) // L.WINDOW)) for t in texts]
+
+
+def naive(m, text):
+    """Mean window log-probabilities by a convolution written out byte by byte."""
+    b = text.encode()
+    starts = [min(k * L.WINDOW, max(len(b) - L.WINDOW, 0)) for k in range(max(-(-len(b) // L.WINDOW), 1))]
+    out = []
+    for s in starts:
+        x = list(b[s : s + L.WINDOW]) + [0] * (L.WINDOW - len(b[s : s + L.WINDOW]))
+        pooled = [max(sum(t[j][x[p + j]][f] for j in range(w)) for p in range(L.WINDOW - w + 1)) for w, t in zip(L.WIDTHS, m.tables) for f in range(L.FILTERS)]
+        z = np.maximum(np.array(pooled) + m.bias, 0) @ m.weights + m.offset
+        out.append(z - np.log(np.exp(z - z.max()).sum()) - z.max())
+    p = np.exp(np.mean(out, 0))
+    return p / p.sum()
+
+
+def test_tables_of_pairs_give_a_plain_convolution():
+    r = random.Random(3)
+    m = L.train([text(r, lang, 40).encode() for lang in SYLLABLES for _ in range(20)], [lang for lang in SYLLABLES for _ in range(20)], rounds=2)
+    texts = ["x", text(r, "aa", 9), text(r, "bb", 60), "é\x00日"]
+    got = L.predict(m, m.pair_tables(), *buffers(pa.array(texts)))
+    for i, t in enumerate(texts):
+        assert got[i] == pytest.approx(naive(m, t), abs=1e-4)
+
+
+def test_many_languages_and_one_row_repeated(spark):
+    rows = [(i, f"word{i % 700} text", f"l{i % 700}") for i in range(1400)] + [(5000, "the same row again", "hot")] * 900
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample = L.training_rows(df, df.doc_id >= 0, "doc_id", "text", "lang", texts=10)
+    assert {lang for _, lang, _ in sample} >= {f"l{k}" for k in range(700)} and sum(lang == "hot" for _, lang, _ in sample) <= 20
+    assert sample == L.training_rows(df.repartition(7), df.doc_id >= 0, "doc_id", "text", "lang", texts=10)

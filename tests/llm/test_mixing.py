@@ -66,10 +66,27 @@ def test_apply_takes_what_the_mix_says(spark):
     rows = rows_of(1, 120)
     df = spark.createDataFrame([(i, s, t, len(t or ""), 1) for i, s, t in rows], "doc_id long, source string, text string, n_chars long, mix_words int").drop("mix_words")
     mixed = M.mix_sources(df)
-    out = M.apply_mix(df, mixed)
+    out = M.mixed_rows(df)
     assert out.columns == df.columns
     words = {}
     for x in out.collect():
         assert x["n_chars"] == len(x["text"])
         words[x["doc_id"]] = words.get(x["doc_id"], 0) + len(re.findall(r"[^\x20\x09-\x0D]+", x["text"]))
     assert words == {x["doc_id"]: x["taken"] for x in mixed.collect() if x["taken"]}
+
+
+def test_rows_that_share_an_id_or_have_none_are_taken_on_their_own(spark):
+    rows = [(None, "a", "p q r", 5), (None, "a", "s t u", 5), (7, "a", "v w x", 5), (7, "a", "y z", 3), (8, "b", "long " * 60, 300)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string, n_chars long")
+    mixed, out = M.mix_sources(df).collect(), [x["text"] for x in M.mixed_rows(df).collect()]
+    words = lambda t: len(t.split())
+    assert sum(map(words, out)) == sum(x["taken"] for x in mixed)
+    assert all(out.count(t) <= 3 for _, _, t, _ in rows) and {"p q r", "s t u", "v w x", "y z"} <= set(out)
+    assert M.mixed_rows(df.limit(0)).count() == 0
+
+
+def test_a_very_long_text(spark):
+    df = spark.createDataFrame([(1, "a", "w\u00e9 " * 200_000, 1), (2, "b", "x " * 100_000, 1)], "doc_id long, source string, text string, n_chars long")
+    got = {x["doc_id"]: x for x in M.mix_sources(df).collect()}
+    assert (got[1]["size"], got[2]["size"]) == (200_000, 100_000)
+    assert sum(len(x["text"].split()) for x in M.mixed_rows(df).collect()) == got[1]["taken"] + got[2]["taken"]

@@ -81,3 +81,10 @@ def test_round_trip(spark, tokenizer):
     assert len({x["sequence_id"] for x in one}) <= 1.01 * sum(x["length"] for x in one) / 64 + 1
     twice = P.pack(df.where("doc_id = 3").union(df.where("doc_id = 3")), tokenizer_path(), end_id=None)
     assert twice.count() == 2
+
+
+def test_columns_of_odd_names_and_arrival_order(spark):
+    df = spark.createDataFrame([(i, "a b " * (i % 7), "x") for i in range(50)], "`doc-id` long, `the text` string, doc_id string")
+    for batch_order in (True, False):
+        got = P.pack(df, tokenizer_path(), size=16, id_col="doc-id", text_col="the text", batch_order=batch_order).collect()
+        assert {x["doc_id"] for x in got} == set(range(50)) and all(x["offset"] + x["length"] <= 16 for x in got)

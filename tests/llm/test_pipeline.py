@@ -28,10 +28,10 @@ def test_each_stage_on_what_the_one_before_kept(spark, tmp_path):
     df.write.parquet(str(tmp_path / "documents.parquet"))
     told = corpus_pipeline.known_language(spark, df, str(tmp_path)).cache()
     ids = {x["doc_id"] for x in told.collect()}
-    assert told.columns == df.columns and not ids & {502, 503, 504, None} and ids >= set(range(160)) | {500, 501}
+    assert told.columns == df.columns and not ids & {502, 503, 504} and ids >= set(range(160)) | {500, 501, None}
     distinct = corpus_pipeline.distinct_texts(spark, told, str(tmp_path)).cache()
     classes = {x["class_id"] for x in minhash_dedup.near_duplicates(told).collect()}
-    assert sorted(x["doc_id"] for x in distinct.collect()) == sorted(classes) and 500 not in classes and 501 not in classes and 3 in classes
+    assert sorted(x["doc_id"] or -1 for x in distinct.collect()) == sorted(c or -1 for c in classes) and 500 not in classes and 501 not in classes and 3 in classes
     clean = corpus_pipeline.without_secrets(spark, distinct, str(tmp_path)).cache()
     assert clean.count() == distinct.count() and clean.schema == distinct.schema and clean.where(clean.text.rlike("[0-9a-f]{24}")).isEmpty()
     assert secrets.report(clean).where("n_hex > 0 or n_access > 0").isEmpty()
@@ -42,5 +42,20 @@ def test_each_stage_on_what_the_one_before_kept(spark, tmp_path):
     got = corpus_pipeline.run(spark, str(tmp_path))
     key = ["doc_id", "piece", "start", "length", "ids_crc32"]
     assert got.columns == packed.columns
-    assert sorted(map(tuple, got.select(*key).collect())) == sorted(map(tuple, packing.pack(mixed, tokenizer_path()).select(*key).collect()))
+    assert sorted(map(repr, map(tuple, got.select(*key).collect()))) == sorted(map(repr, map(tuple, packing.pack(mixed, tokenizer_path()).select(*key).collect())))
     assert len(corpus_pipeline.STAGES) == 5
+
+
+def test_empty_table(spark, tmp_path):
+    df = documents(spark).limit(0)
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    docs = df
+    for name, stage in corpus_pipeline.STAGES:
+        made = stage(spark, docs, str(tmp_path))
+        assert made.count() == 0, name
+        if name != "packing":
+            assert made.columns == df.columns
+            made.write.parquet(str(tmp_path / name))
+            docs = spark.read.parquet(str(tmp_path / name))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    assert all(stage.__doc__ for _, stage in corpus_pipeline.STAGES)

@@ -1,10 +1,8 @@
 import random
-from collections import Counter, defaultdict
-
-import pyarrow as pa
+import re
+from collections import defaultdict
 
 from nearway.llm import substring_dedup as S
-from nearway.llm.textkernel import buffers
 
 
 def word(r):
@@ -27,62 +25,69 @@ def texts():
     return out, passage
 
 
-def brute(rows, least):
-    """The same rule, unit by unit, in plain Python."""
-    where, parts = defaultdict(list), {}
+def brute(rows, least=1):
+    """Lines cut, normalised and compared as strings, in plain Python."""
+    where, parts = defaultdict(list), defaultdict(list)
     for d, t in rows:
-        u = S.units(*buffers(pa.array([t])))
-        parts[d] = [(" ".join(t[a:b].split()).lower(), int(a), int(b), int(n)) for a, b, n in zip(u["start"], u["end"], u["n"])]
-        for k, p in enumerate(parts[d]):
-            where[p[0]].append((d, k))
+        for m in re.finditer("[^\\n]+", t):
+            held = re.search(r"[^\x09-\x0d\x20](?:.*[^\x09-\x0d\x20])?", m[0], re.S)
+            if held:
+                w = re.findall(r"[^\x09-\x0d\x20]+", re.sub("[A-Z]", lambda x: x[0].lower(), held[0]))
+                parts[d].append((" ".join(w), m.start() + held.start(), m.start() + held.end(), len(w)))
+                where[parts[d][-1][0]].append((d, len(parts[d]) - 1))
     out = []
-    for d, units in parts.items():
-        gone = [len(where[p[0]]) > 1 and (d, k) != min(where[p[0]]) for k, p in enumerate(units)]
+    for d, lines in parts.items():
         k = 0
-        while k < len(units):
+        while k < len(lines):
             j = k
-            while j < len(units) and gone[j]:
+            while j < len(lines) and (d, j) != min(where[lines[j][0]]):
                 j += 1
-            if j > k:
-                n = sum(p[3] for p in units[k:j])
-                if n >= least:
-                    out.append((d, units[k][1], units[j - 1][2], n, min(where[units[k][0]])[0], len(where[units[k][0]])))
+            if j > k and sum(p[3] for p in lines[k:j]) >= least:
+                first = where[lines[k][0]]
+                out.append((d, lines[k][1], lines[j - 1][2], sum(p[3] for p in lines[k:j]), min(first)[0], len(first)))
             k = max(j, k + 1)
     return sorted(out)
 
 
-def test_matches_brute_force_and_finds_passages(spark):
-    made, passage = texts()
-    rows = list(enumerate(made)) + [(100, made[1]), (101, made[1]), (102, "é " * 90), (103, "é " * 80), (104, "short")]
-    df = spark.createDataFrame([(d, t, 1, 2) for d, t in [*rows, (200, None), (201, ""), (None, made[3])]], "doc_id long, text string, place int, words int")
-    got = sorted(tuple(x) for x in S.repeated_spans(df).collect())
-    assert got == brute(rows, S.LEAST_WORDS)
-    hit = {x[0] for x in got}
-    assert hit >= {i for i in range(3, 60, 3)} | {100, 101} and not hit & {1, 2, 4, 5, 7, 104, 0}
-    by = dict(rows)
-    for d, a, b, *_ in got:
-        if d < 60 and d % 3 == 0:
-            assert by[d][a:b] in passage
-    whole = {x["doc_id"]: x for x in S.remove_repeats(df).collect() if x["doc_id"] is not None}
-    for d, t in rows:
-        at, out = 0, ""
-        for _, a, b, *_ in [x for x in got if x[0] == d]:
-            out, at = out + t[at:a], b
-        assert whole[d]["text"] == out + t[at:]
-        assert [(s["start"], s["end"]) for s in whole[d]["removed"] or []] == [(a, b) for x, a, b, *_ in got if x == d]
+def test_lines_match_brute_force(spark):
+    r = random.Random(9)
+    made, _ = texts()
+    rows = list(enumerate(made)) + [(100, made[1]), (101, made[1]), (102, "é é\n" * 3), (103, " É é \n\n\té  é\r\n"), (104, "short"), (105, "Short\nof\n\nof\nSHORT x")]
+    for d in range(200, 260):
+        rows.append((d, "\n".join(" ".join(r.choice("ab") for _ in range(r.randint(0, 4))) for _ in range(r.randint(1, 8)))))
+    df = spark.createDataFrame([(d, t, 1, 2) for d, t in [*rows, (300, None), (301, ""), (None, made[3])]], "doc_id long, text string, place int, words int")
+    for least in (1, 5):
+        assert sorted(tuple(x) for x in S.repeated_spans(df, least_words=least).collect()) == brute(rows, least)
     assert S.repeated_spans(df.limit(0)).count() == 0
 
 
-def test_units_cover_all_words_once():
-    made, _ = texts()
-    made += ["", "a", "a\n\nb", "of " * 100, "x\ty\n z"]
-    u = S.units(*buffers(pa.array(made)))
-    got = Counter()
-    for t, a, b, n in zip(u["text"], u["start"], u["end"], u["n"]):
-        part = made[t][a:b]
-        assert len(part.split()) == n and n <= S.LONGEST + S.SHORTEST and "\n" not in part
-        got[t] += n
-    assert all(got[i] == len(t.split()) for i, t in enumerate(made))
+def test_a_short_licence_line_goes_from_all_but_the_first(spark):
+    r = random.Random(1)
+    rows = [(d, f"{word(r)} {word(r)}\n" + ("All Rights  Reserved here\n" if d % 2 else "all rights reserved here\n") + f"end{d}", d, "kept") for d in range(1000)]
+    rows += [(2000, None, 1, "kept"), (2001, "", 1, "kept"), (None, rows[0][1], 1, "kept"), (2002, "long " + "line\n" * 30_000, 1, "kept")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, removed int, `a.b` string")
+    out = S.remove_repeats(df)
+    assert out.columns == ["doc_id", "text", "removed", "a.b", "removed_"]
+    got = {x["doc_id"]: x for x in out.collect()}
+    assert len(got) == len(rows) and all(got[d]["removed"] == n and got[d]["a.b"] == "kept" for d, _, n, _ in rows)
+    for d, t, *_ in rows[1:1000]:
+        line = t.split("\n")[1]
+        assert got[d]["text"] == t.replace(line, "") and [t[s["start"] : s["end"]] for s in got[d]["removed_"]] == [line]
+    assert got[0]["text"] == rows[0][1] and got[None]["text"] == rows[0][1] and got[0]["removed_"] is None
+    assert got[2000]["text"] is None and got[2001]["text"] == "" and got[2002]["text"].split() == ["long", "line", "line"]
+
+
+def test_hot_lines_are_dealt_over_tasks(spark, monkeypatch):
+    from nearway.llm import common
+
+    monkeypatch.setattr(common, "FEW", 16)
+    r = random.Random(1)
+    passage = " ".join(word(r) for _ in range(60))
+    rows = [(d, f"{word(r)} {passage} {100000 + d}\nthe same line") for d in range(300)] + [(d, word(r)) for d in range(300, 400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x["doc_id"]: (x["start"], x["end"], x["words"]) for x in S.repeated_passages(df).collect()}
+    assert got == {d: (7, 7 + len(passage), 60) for d in range(1, 300)}
+    assert sorted(tuple(x) for x in S.repeated_spans(df).collect()) == brute(rows)
 
 
 def test_query_finds_every_passage_of_over_50_words_whole(spark, tmp_path):
@@ -109,7 +114,7 @@ def test_query_finds_every_passage_of_over_50_words_whole(spark, tmp_path):
         assert got[2 * k + 1] == [(a, b, n, 2 * k, 3 if k == 0 else 2)]
     assert [(x[0], x[1]) for x in got[1000]] == [(0, len(rows[0][1]))]
     (start, end, n, *_), = got[1001]
-    assert end == len("one two three " * 60) - 1 and 180 - S.RUN - 2 <= n <= 180 - S.LONGEST
+    assert end == len("one two three " * 60) - 1 and 180 - S.RUN - 2 <= n <= 180 - S.RUN
 
 
 def test_short_lines_go_beside_passages(spark):
@@ -117,7 +122,7 @@ def test_short_lines_go_beside_passages(spark):
     rows = [*enumerate(made), (100, made[1]), (101, made[1])]
     df = spark.createDataFrame([(d, t) for d, t in [*rows, (200, None), (None, made[3])]], "doc_id long, text string")
     got = S.repeated_passages(df).collect()
-    for x in S.repeated_spans(df).collect():
+    for x in S.repeated_spans(df, least_words=S.LEAST_WORDS).collect():
         assert any(g["doc_id"] == x["doc_id"] and g["start"] <= x["start"] and x["end"] <= g["end"] for g in got)
     assert S.repeated_passages(df.limit(0)).count() == 0
 
@@ -144,5 +149,5 @@ def test_every_run_that_stands_earlier_goes_and_no_other(spark):
                 gone |= {(d, i) for i in range(k, k + S.RUN)}
     df = spark.createDataFrame(rows, "doc_id long, text string")
     cover = lambda found: {(x["doc_id"], i) for x in found for k in [ends[x["doc_id"], x["start"]]] for i in range(k, k + x["words"])}
-    got, units = cover(S.repeated_passages(df).collect()), cover(S.repeated_spans(df, least_words=1).collect())
+    got, units = cover(S.repeated_passages(df).collect()), cover(S.repeated_spans(df).collect())
     assert gone <= got <= gone | units and len(gone) > 3000
