@@ -16,27 +16,34 @@ LEAST_SCORE = 0.3
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told, with that language; the network learns from docs' own labels.
 
-    Documents without an id go as well, since no later stage could name them.
+    Null texts and texts without a letter go, and those of which the network is not sure enough. Documents without an id,
+    repeated rows and very long texts are judged as any other; where no row is labelled, nothing can be told and all go.
     """
-    told = language.identify(docs, with_row=True).where(F.col("doc_id").isNotNull() & (F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    told = language.identify(docs, with_row=True).where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
     return told.select(*unwrapped(docs, lang=F.col("lang_pred")))
 
 
 def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near duplicates: that with the smallest id.
+
+    Rows that share an id but no text stay each, rows without an id come last in their class, of repeated rows one stays,
+    and texts without words are no duplicates of each other.
+    """
     return minhash_dedup.drop_near_duplicates(docs, similarity=0.8, shingle=5)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with their secrets replaced by a mark."""
+    """All documents, with their secrets replaced by a mark; null and empty texts and texts without one stay as they are."""
     return secrets.redact(docs)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
-    return mixing.apply_mix(docs, mixing.mix_sources(docs))
+    """Documents as often as the mix takes them, the last copy cut; documents without words go, a null source is one."""
+    return mixing.mixed_rows(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places in sequences of 1024 tokens; each repeated row is packed."""
     return packing.pack(docs, tokenizer_path())
 
 
