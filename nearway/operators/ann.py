@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearway.network import RoadNetwork
+from nearway.operators.contract import Contracted
 from nearway.operators.on_edge import nearest_on_edge, nearest_other_on_edge
 from nearway.operators.relax import Compact, compact, relax, relax_two, seeds_of
 from nearway.storage import Workspace
@@ -45,18 +46,19 @@ def _result(asking: DataFrame, found: DataFrame) -> DataFrame:
     return asking.join(found, asking["obj_id"] == found["q"], "left").select(F.col("obj_id").alias("query_obj_id"), F.col("obj").alias("data_obj_id"), F.col("dist").alias("distance"))
 
 
-def all_nearest(network: RoadNetwork, direction: str = "true_to_false", algorithm: str = "voronoi") -> DataFrame:
+def all_nearest(network: RoadNetwork, direction: str = "true_to_false", algorithm: str = "voronoi", in_tasks: bool = False) -> DataFrame:
     """query_obj_id, data_obj_id, distance for every query object; null if no data object can be reached.
 
-    Ties go to the smaller data object; objects at one place are 0 apart.
+    Ties go to the smaller data object; objects at one place are 0 apart. in_tasks sends a network of few edges (by a
+    count that is checked) to the tasks, for voronoi and naive, in place of searching by joins.
     """
     kind = query_type(network, direction)
     marked = network.placed.withColumn("asks", F.col("is_query") == kind)
     asking, answering = marked.where("asks"), marked.where("not asks")
     if algorithm == "voronoi":
-        return _result(asking, nearest(marked, relax(seeds_of(network, answering), network.adjacency)))
+        return _result(asking, nearest(marked, _labels(network, seeds_of(network, answering), in_tasks)))
     if algorithm == "naive":
-        return _result(asking, _naive(network, marked))
+        return _result(asking, _naive(network, marked, in_tasks))
     if algorithm == "scl":
         from nearway.operators.runs import shared_execution
 
@@ -72,16 +74,20 @@ def looked_up(network: RoadNetwork, labels: DataFrame, kind: bool) -> DataFrame:
 
 def node_labels(network: RoadNetwork, kind: bool) -> DataFrame:
     """node, dist, obj: the nearest object of a type for each node, the table that answers later queries."""
-    return relax(seeds_of(network, network.objects.where(F.col("is_query") == kind)), network.adjacency)
+    return _labels(network, seeds_of(network, network.objects.where(F.col("is_query") == kind)))
 
 
-def _naive(network: RoadNetwork, marked: DataFrame) -> DataFrame:
+def _labels(network: RoadNetwork, seeds: DataFrame, in_tasks: bool = False) -> DataFrame:
+    return relax(seeds, network.adjacency, in_tasks=True) if in_tasks else Contracted(network).labels(seeds)
+
+
+def _naive(network: RoadNetwork, marked: DataFrame, in_tasks: bool = False) -> DataFrame:
     """One expansion from each asking object, which ends where something as near has been found."""
     work = Workspace(network.edges.sparkSession, "naive")
     asking, answering = marked.where("asks"), marked.where("not asks")
     entry = work.write(seeds_of(network, answering).groupBy("node").agg(F.min(F.struct("dist", "obj")).alias("b")).select("node", F.col("b.dist").alias("rest"), F.col("b.obj").alias("found")))
     own = work.write(nearest_on_edge(marked))
-    if net := compact(network.adjacency):
+    if in_tasks and (net := compact(network.adjacency)):
         found = _expanded(asking, entry, net).unionByName(own)
         return found.groupBy("q").agg(F.min(F.struct("dist", "obj")).alias("b")).select("q", "b.dist", "b.obj")
     starts = seeds_of(network, asking).select(F.col("obj").alias("q"), "node", "dist", F.lit(0).cast("long").alias("obj"))

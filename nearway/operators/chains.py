@@ -32,17 +32,22 @@ def first_intersection(network: RoadNetwork) -> DataFrame:
 def _doubled(darts: DataFrame, work: Workspace, n_edges: int) -> DataFrame:
     """darts with last (null on a cycle), hops and way to it, and the least edge and node on the way."""
     d = work.write(darts.select("dart", F.coalesce("next", "dart").alias("last"), F.col("next").isNull().alias("ended"), F.when(F.col("next").isNull(), 0).otherwise(1).cast("long").alias("hops"), F.col("w").alias("way"), F.col("edge_id").alias("least_edge"), F.col("tail").alias("least_node")))
-    for _ in range(max(1, math.ceil(math.log2(max(n_edges, 2))) + 1)):
+    # two doublings a table: a job costs more than a join
+    for _ in range(max(1, math.ceil(math.log2(max(n_edges, 2)) / 2) + 1)):
         if d.where("not ended").isEmpty():
             break
-        to = d.select(F.col("dart").alias("t"), F.col("last").alias("t_last"), F.col("ended").alias("t_ended"), F.col("hops").alias("t_hops"), F.col("way").alias("t_way"), F.col("least_edge").alias("t_edge"), F.col("least_node").alias("t_node"))
-        # `way` counts the dart itself and those up to, but not with, `last`, unless it has ended
-        nxt = d.where("not ended").join(to, F.col("last") == F.col("t")).select("dart", F.col("t_last").alias("last"), F.col("t_ended").alias("ended"), (F.col("hops") + F.col("t_hops")).alias("hops"), (F.col("way") + F.col("t_way")).alias("way"), F.least("least_edge", "t_edge").alias("least_edge"), F.least("least_node", "t_node").alias("least_node"))
-        old, d = d, work.write(d.where("ended").unionByName(nxt))
+        old, d = d, work.write(_twice(_twice(d)))
         work.drop(old)
     return d
 
 
+def _twice(d: DataFrame) -> DataFrame:
+    to = d.select(F.col("dart").alias("t"), F.col("last").alias("t_last"), F.col("ended").alias("t_ended"), F.col("hops").alias("t_hops"), F.col("way").alias("t_way"), F.col("least_edge").alias("t_edge"), F.col("least_node").alias("t_node"))
+    # `way` counts the dart itself and those up to, but not with, `last`, unless it has ended
+    nxt = d.where("not ended").join(to, F.col("last") == F.col("t")).select("dart", F.col("t_last").alias("last"), F.col("t_ended").alias("ended"), (F.col("hops") + F.col("t_hops")).alias("hops"), (F.col("way") + F.col("t_way")).alias("way"), F.least("least_edge", "t_edge").alias("least_edge"), F.least("least_node", "t_node").alias("least_node"))
+    return d.where("ended").unionByName(nxt)
+
+
 def _darts(network: RoadNetwork, inner: DataFrame) -> DataFrame:
     """dart (2 * edge, one more if reversed), edge_id, reversed, tail, head, w, next."""
     both = network.edges.select("edge_id", F.explode(F.array(F.struct(F.lit(0).alias("r"), F.col("start_node").alias("tail"), F.col("end_node").alias("head")), F.struct(F.lit(1).alias("r"), F.col("end_node").alias("tail"), F.col("start_node").alias("head")))).alias("d"), F.col("length").alias("w"))
@@ -104,3 +109,29 @@ def objects_on_chains(network: RoadNetwork, chains: DataFrame) -> DataFrame:
     """Objects with their chain and place along it (the distance from the chain's start)."""
     at = F.col("start_at") + F.when(F.col("reversed"), F.col("length") - F.col("dist_from_start")).otherwise(F.col("dist_from_start"))
     return network.objects.join(chains, "edge_id").select("chain_id", "pos", at.alias("at"), "obj_id", "is_query", "edge_id", "is_cycle")
+
+
+def nodes_per_chain(network: RoadNetwork, chains: DataFrame | None = None) -> DataFrame:
+    """chain_id, n_nodes: nodes along every chain, both ends counted."""
+    return chain_nodes(network, chains).groupBy("chain_id").agg(F.count(F.lit(1)).alias("n_nodes"))
+
+
+def to_chain_ends(network: RoadNetwork, chains: DataFrame | None = None) -> DataFrame:
+    """obj_id, chain_id, to_first, to_last: each object's way along its chain to both of its ends."""
+    chains = chain_edges(network) if chains is None else chains
+    total = chains.groupBy("chain_id").agg(F.max(F.col("start_at") + F.col("length")).alias("total"))
+    return objects_on_chains(network, chains).join(total, "chain_id").select("obj_id", "chain_id", F.col("at").alias("to_first"), (F.col("total") - F.col("at")).alias("to_last"))
+
+
+def closed_ends(network: RoadNetwork, chains: DataFrame) -> DataFrame:
+    """chain_id, first_closed, last_closed of chains an end of which has one edge alone."""
+    tips = degrees(network).where("n_edges = 1").select("node_id")
+    at = chain_nodes(network, chains).join(tips, "node_id")
+    return at.groupBy("chain_id").agg(F.max(F.col("pos") == 0).alias("first_closed"), F.max(F.col("pos") > 0).alias("last_closed"))
+
+
+def dead_ends(network: RoadNetwork, chains: DataFrame | None = None) -> DataFrame:
+    """chain_id and tip of chains an end of which has one edge alone; of two such ends the lesser node."""
+    nodes = chain_nodes(network, chains)
+    tips = degrees(network).where("n_edges = 1").select("node_id")
+    return nodes.join(tips, "node_id").groupBy("chain_id").agg(F.min("node_id").alias("tip"))

@@ -6,10 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearway.network import RoadNetwork
-
-#: Objects that a slot of an edge is meant to hold.
-SLOT_ROWS = 4_096
-
+from nearway.skew import SLOT_ROWS, in_order
 
 def nearest_on_edge(marked: DataFrame, slot_rows: int = SLOT_ROWS) -> DataFrame:
     """q, dist, obj: for each object that asks the nearest one on its edge that doesn't, ties to the smaller id.
@@ -37,20 +34,32 @@ def nearest_on_edge(marked: DataFrame, slot_rows: int = SLOT_ROWS) -> DataFrame:
     return near.select(F.col("id").alias("q"), best.alias("best")).where("best is not null").select("q", "best.dist", "best.obj")
 
 
-def nearest_other_on_edge(objects: DataFrame) -> DataFrame:
+def nearest_other_on_edge(objects: DataFrame, slot_rows: int | None = None) -> DataFrame:
     """q, dist, obj: the nearest other object of any type on the same edge, ties to the smaller id."""
-    w = Window.partitionBy("edge_id").orderBy("dist_from_start", "obj_id")
-    at = F.col("dist_from_start").alias("off")
-    rows = objects.select("edge_id", "dist_from_start", "obj_id", F.max(F.struct(at, (-F.col("obj_id")).alias("i"))).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("l"), F.min(F.struct(at, F.col("obj_id").alias("i"))).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("r"))
-    gap = lambda s, i: F.when(s.isNotNull(), F.struct(F.abs(F.col("dist_from_start") - s["off"]).alias("dist"), i.alias("obj")))
-    best = F.least(gap(F.col("l"), -F.col("l.i")), gap(F.col("r"), F.col("r.i")))
-    return rows.select(F.col("obj_id").alias("q"), best.alias("best")).where("best is not null").select("q", "best.dist", "best.obj")
-
-
-def ranked_objects(network: RoadNetwork, by: str = "dist_from_start", descending: bool = False) -> DataFrame:
-    """Objects with their rank on their edge by offset, id or rating; ties to the smaller id."""
+    off, place = F.col("dist_from_start"), F.struct("dist_from_start", "obj_id")
+    rows = objects.select("edge_id", "dist_from_start", "obj_id")
+    # of the objects at the place before the least id is wanted, so what counts is that place's first object
+    here = rows.groupBy("edge_id", "dist_from_start").agg(F.count(F.lit(1)).alias("k"), F.min("obj_id").alias("least"))
+    places = in_order(here, "edge_id", "dist_from_start", ["dist_from_start"], F.struct("dist_from_start", F.col("least").alias("obj_id")), slot_rows=slot_rows)
+    found = rows.join(places.select("edge_id", "dist_from_start", "k", "least", "before", "after"), ["edge_id", "dist_from_start"])
+    gap = lambda s: F.when(s.isNotNull(), F.struct(F.abs(off - s["dist_from_start"]).alias("dist"), s["obj_id"].alias("obj")))
+    first = F.when(F.col("obj_id") != F.col("least"), F.struct(F.lit(0.0).alias("dist"), F.col("least").alias("obj")))
+    # the least object of a place with several is nearest to the next one by id
+    second = in_order(rows.join(here.where("k > 1").select("edge_id", "dist_from_start"), ["edge_id", "dist_from_start"]), "edge_id", "dist_from_start", ["dist_from_start", "obj_id"], place, slot_rows=slot_rows)
+    second = second.where(F.col("after.dist_from_start") == off).select(F.col("obj_id").alias("s_obj"), F.struct(F.lit(0.0).alias("dist"), F.col("after.obj_id").alias("obj")).alias("next"))
+    found = found.join(second, F.col("obj_id") == F.col("s_obj"), "left").withColumn("best", F.coalesce(first, "next", F.least(gap(F.col("before")), gap(F.col("after")))))
+    return found.select(F.col("obj_id").alias("q"), "best").where("best is not null").select("q", "best.dist", "best.obj")
+
+
+def ranked_objects(network: RoadNetwork, by: str = "dist_from_start", descending: bool = False, slot_rows: int | None = None) -> DataFrame:
+    """Objects with their rank on their edge by offset, id or rating, nulls last; ties to the smaller id."""
     order = F.col(by).desc_nulls_last() if descending else F.col(by).asc_nulls_last()
-    return network.objects.withColumn("rank_on_edge", F.row_number().over(Window.partitionBy("edge_id").orderBy(order, "obj_id")))
+    known = network.objects.where(F.col(by).isNotNull())
+    ranked = in_order(known, "edge_id", by, [order, "obj_id"], F.lit(0), descending, slot_rows).withColumn("rank_on_edge", F.col("nth").cast("int")).select(*network.objects.columns, "rank_on_edge")
+    # those without a value follow in the order of their ids
+    others = in_order(network.objects.where(F.col(by).isNull()), "edge_id", "obj_id", ["obj_id"], F.lit(0), slot_rows=slot_rows)
+    others = others.join(known.groupBy("edge_id").agg(F.count(F.lit(1)).alias("_known")), "edge_id", "left").withColumn("rank_on_edge", (F.col("nth") + F.coalesce("_known", F.lit(0))).cast("int"))
+    return ranked.unionByName(others.select(*network.objects.columns, "rank_on_edge"))
 
 
 def _typed(kind: bool | None) -> Column:
@@ -75,14 +84,14 @@ def offset_from(node: Column) -> Column:
     return F.when(node == F.col("start_node"), F.col("dist_from_start")).when(node == F.col("end_node"), F.col("length") - F.col("dist_from_start"))
 
 
-def edge_segments(network: RoadNetwork) -> DataFrame:
+def edge_segments(network: RoadNetwork, slot_rows: int | None = None) -> DataFrame:
     """edge_id, seq, from_obj, to_obj, segment_length: every edge parted at its objects; null is an end of the edge."""
-    w = Window.partitionBy("edge_id").orderBy("dist_from_start", "obj_id")
-    rows = network.edges.select("edge_id", "length").join(network.objects.select("edge_id", "obj_id", "dist_from_start"), "edge_id", "left")
-    rows = rows.select("edge_id", "length", "obj_id", "dist_from_start", (F.row_number().over(w) - 1).alias("seq"), F.lag("obj_id").over(w).alias("before"), F.coalesce(F.lag("dist_from_start").over(w), F.lit(0.0)).alias("off"), F.lead("obj_id").over(w).isNull().alias("is_last"))
-    part = lambda seq, a, b, length: F.struct(seq.alias("seq"), a.alias("from_obj"), b.alias("to_obj"), length.alias("segment_length"))
+    objects = network.objects.select("edge_id", "obj_id", "dist_from_start")
+    rows = in_order(objects, "edge_id", "dist_from_start", ["dist_from_start", "obj_id"], F.struct("dist_from_start", "obj_id"), slot_rows=slot_rows)
+    rows = network.edges.select("edge_id", "length").join(rows, "edge_id", "left")
+    part = lambda seq, a, b, length: F.struct(seq.cast("int").alias("seq"), a.alias("from_obj"), b.alias("to_obj"), length.alias("segment_length"))
     none, off = F.lit(None).cast("long"), F.col("dist_from_start")
-    own = part(F.col("seq"), F.col("before"), F.col("obj_id"), off - F.col("off"))
-    last = part(F.col("seq") + 1, F.col("obj_id"), none, F.col("length") - off)
-    found = F.when(F.col("obj_id").isNull(), F.array(part(F.lit(0), none, none, F.col("length")))).when(F.col("is_last"), F.array(own, last)).otherwise(F.array(own))
+    own = part(F.col("nth") - 1, F.col("before.obj_id"), F.col("obj_id"), off - F.coalesce("before.dist_from_start", F.lit(0.0)))
+    last = part(F.col("nth"), F.col("obj_id"), none, F.col("length") - off)
+    found = F.when(F.col("obj_id").isNull(), F.array(part(F.lit(0), none, none, F.col("length")))).when(F.col("after").isNull(), F.array(own, last)).otherwise(F.array(own))
     return rows.select("edge_id", F.explode(found).alias("s")).select("edge_id", "s.seq", "s.from_obj", "s.to_obj", "s.segment_length")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from nearway.network import RoadNetwork
 from nearway.operators.ann import all_nearest
+from nearway.operators.contract import Contracted
 from nearway.operators.numbering import numbered
 from nearway.operators.relax import relax
 from nearway.storage import Workspace
@@ -57,18 +58,26 @@ def inside_parts(network: RoadNetwork, parts: DataFrame) -> RoadNetwork:
     return network.without_edges(cut_edges(network, parts).select("edge_id"))
 
 
-def part_local_nearest(network: RoadNetwork, parts: DataFrame, direction: str = "true_to_false") -> DataFrame:
+def part_local_nearest(network: RoadNetwork, parts: DataFrame, direction: str = "true_to_false", algorithm: str = "voronoi") -> DataFrame:
     """Nearest neighbours within each part alone: approximate, since no path and no object may be on a cut edge."""
-    return all_nearest(inside_parts(network, parts), direction)
+    return all_nearest(inside_parts(network, parts), direction, algorithm)
+
+
+def _from_borders(border: DataFrame) -> DataFrame:
+    return border.select(F.col("node_id").alias("source"), F.col("node_id").alias("node"), F.lit(0.0).alias("dist"), F.lit(0).cast("long").alias("obj"))
 
 
 def border_paths(network: RoadNetwork, parts: DataFrame, across: bool | None = None) -> DataFrame:
     """a, b (a < b), a_part, b_part, distance of every two border nodes that are joined.
 
-    across: only pairs of different parts, or only of the same; None: both.
+    across: only pairs of different parts, or only of the same; None: both. The search is within parts first, from their
+    own border nodes, and then over the overlay of border nodes alone.
     """
-    border = border_nodes(network, parts)
-    labels = relax(border.select(F.col("node_id").alias("source"), F.col("node_id").alias("node"), F.lit(0.0).alias("dist"), F.lit(0).cast("long").alias("obj")), network.adjacency, keys=("source",))
+    work = Workspace(network.edges.sparkSession, "borders")
+    border, overlay = work.write(border_nodes(network, parts)), work.write(overlay_edges(network, parts))
+    both = F.explode(F.array(F.struct(F.col("start_node").alias("src"), F.col("end_node").alias("dst")), F.struct(F.col("end_node").alias("src"), F.col("start_node").alias("dst"))))
+    adjacency = work.write(overlay.select(both.alias("e"), "length").groupBy("e.src", "e.dst").agg(F.min("length").alias("w")))
+    labels = relax(_from_borders(border), adjacency, keys=("source",))
     a, b = border.select(F.col("node_id").alias("source"), F.col("part_id").alias("a_part")), border.select(F.col("node_id").alias("node"), F.col("part_id").alias("b_part"))
     pairs = labels.where("source < node").join(a, "source").join(b, "node")
     if across is not None:
@@ -83,7 +92,7 @@ def overlay_edges(network: RoadNetwork, parts: DataFrame) -> DataFrame:
     """
     inner = inside_parts(network, parts)
     border = border_nodes(network, parts)
-    labels = relax(border.select(F.col("node_id").alias("source"), F.col("node_id").alias("node"), F.lit(0.0).alias("dist"), F.lit(0).cast("long").alias("obj")), inner.adjacency, keys=("source",))
+    labels = Contracted(inner).labels(_from_borders(border), ("source",))
     shortcuts = labels.where("source < node").join(border.select(F.col("node_id").alias("node")), "node", "left_semi").select(F.col("source").alias("start_node"), F.col("node").alias("end_node"), F.col("dist").alias("length"), F.lit(False).alias("is_cut"))
     # written, as both sides may be dealt by their end node (see Workspace.write)
     return cut_edges(network, parts).select("start_node", "end_node", "length", F.lit(True).alias("is_cut")).unionByName(Workspace(network.edges.sparkSession, "overlay").write(shortcuts))
@@ -95,7 +104,7 @@ def edges_within(network: RoadNetwork, edge_id: int, perimeter: float) -> DataFr
     The edge itself is at 0; another one is as far as the nearer of its nodes and its own length.
     """
     start = network.edges.where(F.col("edge_id") == edge_id).select(F.explode(F.array("start_node", "end_node")).alias("node")).select("node", F.lit(0.0).alias("dist"), F.lit(0).cast("long").alias("obj"))
-    labels = relax(start, network.adjacency, within=perimeter)
+    labels = Contracted(network).labels(start, within=perimeter)
     reached = network.adjacency.where(F.col("edge_id") != edge_id).join(labels, F.col("src") == F.col("node")).groupBy("edge_id").agg(F.min(F.col("dist") + F.col("w")).alias("distance")).where(F.col("distance") <= perimeter)
     return reached.unionByName(network.edges.where(F.col("edge_id") == edge_id).select("edge_id", F.lit(0.0).alias("distance")))
 

@@ -1,12 +1,13 @@
 """Shortest-path labels by relaxation: the one fixpoint operator of the engine.
 
-A label says which object is nearest to a node and how far. A round joins the labels that are new with the adjacency,
-and merges what they reach into the labels in one aggregation, so a round is one shuffle by node and one written table;
-several hops are planned as one job. Ties go to the smallest distance and then to the smallest object, at every node,
-which gives the same answer whatever the order of rounds, partitions or edges.
-
-A network whose edges are few, by a count that is checked, is sent to the tasks instead, and each task searches it from
-its own seeds with a heap; the labels are the same. Beyond that count nothing but the seeds' own keys bounds a task.
+A label says which object is nearest to a node and how far. A hop joins the frontier, the labels that are new, with the
+adjacency, and compares what it reaches with the labels there; several hops are planned as one job, in which labels and
+adjacency are shuffled once, and a job's changes are merged into the labels at its end. Jobs take more hops as they go on.
+Ties go to the smallest distance and then to the smallest object, at every node, which gives the same answer whatever the
+order of rounds, partitions or edges.
+
+On request (in_tasks) a network whose edges are few, by a count that is checked, is sent to the tasks instead, and each
+task searches it from its own seeds with a heap; the labels are the same.
 """
 
 from __future__ import annotations
@@ -22,7 +23,10 @@ from pyspark.sql import functions as F
 from nearway.network import RoadNetwork
 from nearway.storage import Workspace
 
-HOPS = 3
+#: Hops of the first job and of later ones, at most.
+HOPS, MOST_HOPS = 2, 4
+#: Hops that this process has planned, for measures.
+ROUNDS = 0
 #: Directed edges, at most, of a network that every task gets (three numbers each).
 LOCAL_EDGES = 500_000
 
@@ -34,40 +38,45 @@ def seeds_of(network: RoadNetwork, objects: DataFrame | None = None) -> DataFram
     return placed.select(ends.alias("s"), F.col("obj_id").alias("obj")).select("s.node", "s.dist", "obj")
 
 
-def relax(seeds: DataFrame, adjacency: DataFrame, keys: tuple[str, ...] = (), within: float | None = None, hops: int = HOPS, prune: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def relax(seeds: DataFrame, adjacency: DataFrame, keys: tuple[str, ...] = (), within: float | None = None, prune: Callable[[DataFrame], DataFrame] | None = None, in_tasks: bool = False) -> DataFrame:
     """keys, node, dist and obj: the least (dist, obj) with which each node is reached, for each value of the keys.
 
     `within` ends paths that are longer; prune takes the labels that are to go on and returns those worth it. Nodes
     that aren't reached have no row.
     """
-    if prune is None and (net := compact(adjacency)):
+    if in_tasks and prune is None and (net := compact(adjacency)):
         return _searched(seeds, net, keys, within)
+    global ROUNDS
     work, names = Workspace(seeds.sparkSession, "relax"), [*keys, "node"]
     steps = adjacency.select("src", "dst", "w")
 
-    def merged(labels: DataFrame) -> DataFrame:
-        best = labels.groupBy(*names).agg(F.min(F.struct("dist", "obj", "new")).alias("b"))
-        return best.select(*names, "b.dist", "b.obj", "b.new")
-
-    def hop(labels: DataFrame) -> DataFrame:
-        going = labels.where("new").drop("new")
-        going = prune(going) if prune else going
-        far = going.join(steps, going["node"] == steps["src"]).select(*keys, F.col("dst").alias("node"), (F.col("dist") + F.col("w")).alias("dist"), "obj", F.lit(True).alias("new"))
-        if within is not None:
-            far = far.where(F.col("dist") <= within)
-        # of equal labels the old one is less, so what stays new has changed
-        return merged(labels.withColumn("new", F.lit(False)).unionByName(far))
+    def least(rows: DataFrame, *more: str) -> DataFrame:
+        return rows.groupBy(*names).agg(F.min(F.struct("dist", "obj", *more)).alias("b")).select(*names, "b.*")
 
     start = seeds.select(*names, "dist", "obj")
     if within is not None:
         start = start.where(F.col("dist") <= within)
-    labels = work.write(merged(start.withColumn("new", F.lit(True))))
+    labels = work.write(least(start).withColumn("new", F.lit(True)))
+    hops = HOPS
     while not labels.where("new").isEmpty():
-        nxt = labels
-        for _ in range(hops):
-            nxt = hop(nxt)
-        done, labels = labels, work.write(nxt)
+        ROUNDS += hops
+        known = labels.select(*names, F.struct("dist", "obj").alias("old"))
+        going, changes = labels.where("new").select(*names, "dist", "obj"), None
+        for hop in range(1, hops + 1):
+            going = prune(going) if prune else going
+            far = least(going.join(steps, going["node"] == steps["src"]).select(*keys, F.col("dst").alias("node"), (F.col("dist") + F.col("w")).alias("dist"), "obj"))
+            if within is not None:
+                far = far.where(F.col("dist") <= within)
+            # equal labels have been sent on before
+            going = far.join(known, names, "left").where(F.col("old").isNull() | (F.struct("dist", "obj") < F.col("old"))).select(*names, "dist", "obj")
+            own = going.withColumn("hop", F.lit(hop))
+            changes = own if changes is None else changes.unionByName(own)
+        # of a job's changes those of its last hop are yet to be sent on
+        changed = least(changes, "hop").select(*names, F.struct("dist", "obj").alias("b"), (F.col("hop") == hops).alias("last"))
+        merged = known.join(changed, names, "full").select(*names, F.coalesce("b", "old").alias("b"), F.coalesce("last", F.lit(False)).alias("new"))
+        done, labels = labels, work.write(merged.select(*names, "b.dist", "b.obj", "new"))
         work.drop(done)
+        hops = min(2 * hops, MOST_HOPS)
     return labels.drop("new")
 
 
@@ -160,10 +169,14 @@ def relax_two(seeds: DataFrame, adjacency: DataFrame) -> DataFrame:
     return labels.drop("new")
 
 
-def shortest_paths(adjacency: DataFrame, sources: DataFrame) -> DataFrame:
+def shortest_paths(network: RoadNetwork, sources: DataFrame, in_tasks: bool = False) -> DataFrame:
     """source, node, dist, parent: shortest paths from every source; parent is the least node before on such a path."""
+    from nearway.operators.contract import Contracted
+
+    adjacency = network.adjacency
     start = sources.select(F.col("node_id").alias("source"), F.col("node_id").alias("node"), F.lit(0.0).alias("dist"), F.lit(0).cast("long").alias("obj")).distinct()
-    found = relax(start, adjacency, keys=("source",)).drop("obj")
+    found = relax(start, adjacency, ("source",), in_tasks=True) if in_tasks else Contracted(network).labels(start, ("source",))
+    found = found.drop("obj")
     before = found.select(F.col("source").alias("s"), F.col("node").alias("src"), F.col("dist").alias("d"))
     steps = adjacency.select("src", F.col("dst").alias("node"), "w")
     parents = found.join(steps, "node").join(before, (F.col("source") == F.col("s")) & (before["src"] == steps["src"])).where("abs(d + w - dist) <= 1e-9 * (1 + dist) and w > 0").groupBy("source", "node").agg(F.min(steps["src"]).alias("parent"))
@@ -173,6 +186,7 @@ def shortest_paths(adjacency: DataFrame, sources: DataFrame) -> DataFrame:
 def path_to(paths: DataFrame, target: int) -> DataFrame:
     """source, step, node: each source's path to the target, by following parents backwards."""
     work = Workspace(paths.sparkSession, "path")
+    paths = work.write(paths)
     at = paths.where(F.col("node") == target).select("source", F.lit(0).alias("back"), "node", "parent")
     found = live = work.write(at)
     parents = paths.select("source", "node", "parent")
@@ -182,13 +196,33 @@ def path_to(paths: DataFrame, target: int) -> DataFrame:
     return found.select("source", (F.max("back").over(Window.partitionBy("source")) - F.col("back")).alias("step"), "node")
 
 
-def simple_paths(adjacency: DataFrame, source: int, target: int, k: int, max_hops: int) -> DataFrame:
-    """rank, cost, nodes: the k shortest simple paths of at most max_hops edges; ties by the list of nodes."""
-    start = adjacency.sparkSession.createDataFrame([(source, 0.0, [source])], "node long, cost double, nodes array<long>")
-    live, ended = start, start.where(F.col("node") == target)
-    for _ in range(max_hops):
-        going = live.where(F.col("node") != target)
-        live = going.join(adjacency, going["node"] == adjacency["src"]).where(~F.array_contains("nodes", F.col("dst"))).select(F.col("dst").alias("node"), (F.col("cost") + F.col("w")).alias("cost"), F.concat("nodes", F.array("dst")).alias("nodes"))
-        ended = ended.unionByName(live.where(F.col("node") == target))
-    best = ended.groupBy("nodes").agg(F.min("cost").alias("cost")).orderBy("cost", "nodes").limit(k)
+def simple_paths(network: RoadNetwork, source: int, target: int, k: int, at_once: int = 4_096) -> DataFrame:
+    """rank, cost, nodes: the k shortest simple paths; ties by the list of nodes.
+
+    Paths grow from the source, those first that can be the shortest: a path's cost and the distance from its end to the
+    target is the least it can come to. Once k paths have arrived, what can't be as short as they are goes; a path's
+    length has no bound but that it is simple.
+    """
+    from nearway.operators.contract import Contracted
+
+    spark = network.edges.sparkSession
+    work, steps = Workspace(spark, "paths"), network.adjacency.groupBy("src", "dst").agg(F.min("w").alias("w"))
+    rest = Contracted(network).labels(spark.createDataFrame([(target, 0.0, 0)], "node long, dist double, obj long")).select(F.col("node").alias("dst"), F.col("dist").alias("rest"))
+    steps = work.write(steps.join(rest, "dst"))
+    live = work.write(spark.createDataFrame([(source, 0.0, 0.0, [source])], "node long, cost double, least double, nodes array<long>"))
+    ended = work.write(live.where(F.col("node") == target))
+    live, most = live.where(F.col("node") != target), float("inf")
+    while not live.isEmpty():
+        order = F.struct("least", "nodes")
+        going = live.orderBy("least", "nodes").limit(at_once)
+        last = going.agg(F.max(order).alias("m")).select("m.*").first()
+        bound = F.struct(F.lit(last["least"]).alias("least"), F.array(*[F.lit(n) for n in last["nodes"]]).cast("array<long>").alias("nodes"))
+        grown = live.where(order <= bound).join(steps, F.col("node") == F.col("src")).where(~F.array_contains("nodes", F.col("dst")))
+        grown = grown.select(F.col("dst").alias("node"), (F.col("cost") + F.col("w")).alias("cost"), (F.col("cost") + F.col("w") + F.col("rest")).alias("least"), F.concat("nodes", F.array("dst")).alias("nodes"))
+        grown = work.write(grown)
+        ended = work.write(ended.unionByName(grown.where(F.col("node") == target)).orderBy("cost", "nodes").limit(k))
+        if ended.count() == k:
+            most = ended.agg(F.max("cost")).first()[0] * (1 + 1e-12)
+        live = work.write(live.where(order > bound).unionByName(grown.where(F.col("node") != target)).where(F.col("least") <= most))
+    best = ended.orderBy("cost", "nodes").limit(k)
     return best.withColumn("rank", F.row_number().over(Window.orderBy("cost", "nodes"))).select("rank", "cost", "nodes")

@@ -2,27 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearway.network import RoadNetwork
 from nearway.operators.ann import nearest
-from nearway.operators.chains import chain_edges, objects_on_chains
-from nearway.operators.relax import relax, seeds_of
+from nearway.operators.chains import chain_edges, closed_ends, objects_on_chains
+from nearway.operators.contract import Contracted
+from nearway.operators.relax import seeds_of
+from nearway.skew import in_order, islands
 from nearway.storage import Workspace
 
 
-def runs(objects: DataFrame, line: str, at: str) -> DataFrame:
+def runs(objects: DataFrame, line: str, at: str, slot_rows: int | None = None) -> DataFrame:
     """objects with run (a number within the line), seq and n: maximal sequences of one type along each line.
 
-    At one place objects of type false come first, then by id.
+    At one place objects of type false come first, then by id. A long line is cut into slots of places, each of which
+    knows the type before it and where the runs that it shares with others begin and end.
     """
-    order = Window.partitionBy(line).orderBy(at, "is_query", "obj_id")
-    same = Window.partitionBy(line, "is_query").orderBy(at, "is_query", "obj_id")
-    island = objects.withColumn("island", F.row_number().over(order) - F.row_number().over(same))
-    own = Window.partitionBy(line, "is_query", "island")
-    out = island.withColumn("seq", F.row_number().over(own.orderBy(at, "obj_id"))).withColumn("n", F.count(F.lit(1)).over(own)).withColumn("run_first", F.min(F.struct(at, "obj_id")).over(own))
-    return out.withColumn("run", F.dense_rank().over(Window.partitionBy(line).orderBy("run_first", "is_query"))).drop("island", "run_first")
+    ordered = in_order(objects, line, at, [at, "is_query", "obj_id"], F.col("is_query"), slot_rows=slot_rows)
+    found = islands(ordered, line, F.col("before").isNull() | (F.col("before") != F.col("is_query")))
+    return found.drop("_slot", "nth", "before", "after")
 
 
 def edge_runs(network: RoadNetwork) -> DataFrame:
@@ -52,17 +52,25 @@ def shared_execution(network: RoadNetwork, marked: DataFrame) -> DataFrame:
     """q, dist, obj: the ends of every run are searched, the objects between take the better of two sums.
 
     Between two members of a run there is no answering object on the chain, so a path from an inner one leaves the run
-    past its first or its last member; up to there it follows the chain.
+    past its first or its last member; up to there it follows the chain. Where a chain ends at a node without another
+    edge and no answering object is between the run and that node, no path leaves there, so the run's other end alone is
+    searched and all others take its sum.
     """
     work = Workspace(network.edges.sparkSession, "shared")
     chains = work.write(chain_edges(network))
     answering = marked.where("not asks")
     on_chain = objects_on_chains(network, chains).drop("is_query").join(marked.select("obj_id", F.col("asks").alias("is_query")), "obj_id")
-    members = work.write(runs(on_chain, "chain_id", "at").where("is_query").select("chain_id", "run", "seq", "n", "at", "obj_id"))
-    ends = members.where("seq = 1 or seq = n")
+    made = runs(on_chain, "chain_id", "at")
+    # the first and the last run of a chain, if it asks, has nothing between it and the chain's end
+    top = made.groupBy("chain_id").agg(F.max("run").alias("top"))
+    members = made.where("is_query").select("chain_id", "run", "seq", "n", "at", "obj_id")
+    tips = closed_ends(network, chains)
+    members = work.write(members.join(top, "chain_id").join(tips, "chain_id", "left").select("chain_id", "run", "seq", "n", "at", "obj_id", (F.coalesce("first_closed", F.lit(False)) & (F.col("run") == 1)).alias("no_way_back"), (F.coalesce("last_closed", F.lit(False)) & (F.col("run") == F.col("top"))).alias("no_way_on")))
+    is_end = ((F.col("seq") == 1) & ~F.col("no_way_back")) | ((F.col("seq") == F.col("n")) & ~F.col("no_way_on"))
+    ends = members.where(is_end)
     searched = marked.join(ends.select("obj_id", F.lit(True).alias("is_end")), "obj_id", "left").where("is_end or not asks")
-    found = work.write(nearest(searched, relax(seeds_of(network, answering), network.adjacency)))
+    found = work.write(nearest(searched, Contracted(network, chains).labels(seeds_of(network, answering))))
     known = ends.join(found, F.col("obj_id") == F.col("q")).select("chain_id", "run", F.col("at").alias("end_at"), "dist", "obj")
-    inner = members.where("seq > 1 and seq < n").join(known, ["chain_id", "run"]).select(F.col("obj_id").alias("q"), (F.col("dist") + F.abs(F.col("at") - F.col("end_at"))).alias("dist"), "obj")
+    inner = members.where(~is_end).join(known, ["chain_id", "run"]).select(F.col("obj_id").alias("q"), (F.col("dist") + F.abs(F.col("at") - F.col("end_at"))).alias("dist"), "obj")
     best = inner.groupBy("q").agg(F.min(F.struct("dist", "obj")).alias("b")).select("q", "b.dist", "b.obj")
     return found.unionByName(best)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from nearway.functions.scalar import euclidean, is_integer, objects_that_fit, round_half_up
 from nearway.operators import ann, chains, generate, lookup, on_edge, parts, relax, runs, stats
-from nearway.plans import derived
+from nearway.plans import derived, files
 from nearway.sources.readers import word_count
 from nearway.sources.writers import hgr_rows, metis_rows, reindexed_edges, without_reverse_edges
 
@@ -70,6 +70,8 @@ for _variant, _prefix in (("dense", "ann"), ("mixed", "ann_mixed"), ("ring", "an
 on_network("ann_scl_false_to_true", lambda n: ann.all_nearest(n, "false_to_true", "scl"), ann_sql(False), "mixed")
 on_network("ann_naive", lambda n: ann.all_nearest(n, "true_to_false", "naive"), ann_sql(True))
 on_network("ann_mixed_naive", lambda n: ann.all_nearest(n, "true_to_false", "naive"), ann_sql(True), "mixed")
+on_network("ann_in_tasks", lambda n: ann.all_nearest(n, "true_to_false", in_tasks=True), ann_sql(True), "mixed")
+on_network("ann_naive_in_tasks", lambda n: ann.all_nearest(n, "true_to_false", "naive", in_tasks=True), ann_sql(True), "mixed")
 
 
 def _vivet(n):
@@ -94,18 +96,25 @@ DIJKSTRA = """,
 d(t, c) USING KEY (t) AS (SELECT CAST(0 AS BIGINT), CAST(0 AS BIGINT) UNION
   SELECT a.dst, min(d.c + a.w) FROM d JOIN adj a ON a.src = d.t LEFT JOIN recurring.d r ON r.t = a.dst WHERE r.c IS NULL OR d.c + a.w < r.c GROUP BY a.dst)
 """
-_from_0 = lambda n: relax.shortest_paths(n.adjacency, n.nodes.where("node_id = 0"))
+_from_0 = lambda n: relax.shortest_paths(n, n.nodes.where("node_id = 0"))
 on_network("sssp_from_node", lambda n: _from_0(n).select(F.col("node").alias("node_id"), F.col("dist").alias("distance")), DIJKSTRA + "SELECT t AS node_id, CAST(c AS DOUBLE) AS distance FROM d", "mixed")
 on_network("sssp_parents", lambda n: _from_0(n).select(F.col("node").alias("node_id"), "parent"), DIJKSTRA + "SELECT d.t AS node_id, min(p.t) AS parent FROM d LEFT JOIN (SELECT p.t, p.c, a.dst, a.w FROM d p JOIN adj a ON a.src = p.t) p ON p.dst = d.t AND p.c + p.w = d.c GROUP BY d.t", "mixed")
 on_network("path_to_node", lambda n: relax.path_to(_from_0(n), 5).select("step", F.col("node").alias("node_id")), DIJKSTRA + """,
 par AS (SELECT d.t, min(p.t) AS parent FROM d JOIN (SELECT p.t, p.c, a.dst, a.w FROM d p JOIN adj a ON a.src = p.t) p ON p.dst = d.t AND p.c + p.w = d.c GROUP BY d.t),
 back(node, b) AS (SELECT CAST(5 AS BIGINT), 0 UNION ALL SELECT parent, b + 1 FROM back JOIN par ON par.t = node)
 SELECT CAST(max(b) OVER () - b AS INTEGER) AS step, node AS node_id FROM back""", "mixed")
-on_network("k_shortest_paths", lambda n: relax.simple_paths(n.adjacency, 0, 3, 3, 6).select("rank", "cost", F.array_join("nodes", " ").alias("path")), """,
-p(node, cost, nodes, h) AS (SELECT CAST(0 AS BIGINT), CAST(0 AS BIGINT), [CAST(0 AS BIGINT)], 0 UNION ALL
-  SELECT a.dst, p.cost + a.w, list_append(p.nodes, a.dst), h + 1 FROM p JOIN adj a ON a.src = p.node WHERE h < 6 AND p.node <> 3 AND NOT list_contains(p.nodes, a.dst)),
+# three paths of three edges at most bound the cost of all others, whatever their number of edges
+on_network("k_shortest_paths", lambda n: relax.simple_paths(n, 0, 3, 3).select("rank", "cost", F.array_join("nodes", " ").alias("path")), """,
+step AS (SELECT src, dst, min(w) AS w FROM adj GROUP BY src, dst),
+rest(t, c) USING KEY (t) AS (SELECT CAST(3 AS BIGINT), CAST(0 AS BIGINT) UNION
+  SELECT a.dst, min(d.c + a.w) FROM rest d JOIN adj a ON a.src = d.t LEFT JOIN recurring.rest r ON r.t = a.dst WHERE r.c IS NULL OR d.c + a.w < r.c GROUP BY a.dst),
+few(node, cost, nodes, h) AS (SELECT CAST(0 AS BIGINT), CAST(0 AS BIGINT), [CAST(0 AS BIGINT)], 0 UNION ALL
+  SELECT a.dst, p.cost + a.w, list_append(p.nodes, a.dst), h + 1 FROM few p JOIN step a ON a.src = p.node WHERE h < 3 AND p.node <> 3 AND NOT list_contains(p.nodes, a.dst)),
+most AS (SELECT CASE WHEN count(*) < 3 THEN 1e18 ELSE max(cost) END AS c FROM (SELECT cost FROM few WHERE node = 3 ORDER BY cost LIMIT 3)),
+p(node, cost, nodes) AS (SELECT CAST(0 AS BIGINT), CAST(0 AS BIGINT), [CAST(0 AS BIGINT)] UNION ALL
+  SELECT a.dst, p.cost + a.w, list_append(p.nodes, a.dst) FROM p JOIN step a ON a.src = p.node JOIN rest ON rest.t = a.dst WHERE p.node <> 3 AND NOT list_contains(p.nodes, a.dst) AND p.cost + a.w + rest.c <= (SELECT c FROM most)),
 b AS (SELECT nodes, min(cost) AS cost FROM p WHERE node = 3 GROUP BY nodes)
-SELECT CAST(rank AS INTEGER) AS rank, CAST(cost AS DOUBLE) AS cost, array_to_string(nodes, ' ') AS path FROM (SELECT *, row_number() OVER (ORDER BY cost, nodes) AS rank FROM b) WHERE rank <= 3""", "mixed")
+SELECT CAST(rank AS INTEGER) AS rank, CAST(cost AS DOUBLE) AS cost, array_to_string(nodes, ' ') AS path FROM (SELECT *, row_number() OVER (ORDER BY cost, nodes) AS rank FROM b) WHERE rank <= 3""")
 
 # partitions
 
@@ -123,6 +132,9 @@ on_network("part_subgraphs", lambda n: parts.part_subgraphs(n, derived.node_part
 SELECT a.part_id, e.edge_id, start_node, end_node, CAST(length AS DOUBLE) AS length, (SELECT count(*) FROM objects o WHERE o.edge_id = e.edge_id) AS n_objects
 FROM edges e JOIN parts a ON a.node_id = start_node JOIN parts b ON b.node_id = end_node WHERE a.part_id = b.part_id""")
 on_network("part_local_ann", _with_parts(parts.part_local_nearest), INNER + ann_sql(True, "inner_adj", "inner_objects"))
+on_network("part_local_ann_naive", _with_parts(parts.part_local_nearest, algorithm="naive"), INNER + ann_sql(True, "inner_adj", "inner_objects"))
+on_network("part_local_ann_scl", _with_parts(parts.part_local_nearest, algorithm="scl"), INNER + ann_sql(True, "inner_adj", "inner_objects"), "mixed")
+on_network("part_local_ann_scl_false_to_true", _with_parts(parts.part_local_nearest, direction="false_to_true", algorithm="scl"), INNER + ann_sql(False, "inner_adj", "inner_objects"), "mixed")
 on_network("border_pair_sp", _with_parts(parts.border_paths), BORDER_LABELS.format(adj="adj") + "SELECT s AS a, t AS b, p.part_id AS a_part, q.part_id AS b_part, CAST(c AS DOUBLE) AS distance FROM d JOIN border p ON p.node_id = s JOIN border q ON q.node_id = t WHERE s < t", "mixed")
 on_network("border_pair_sp_across", _with_parts(parts.border_paths, across=True), BORDER_LABELS.format(adj="adj") + "SELECT s AS a, t AS b, p.part_id AS a_part, q.part_id AS b_part, CAST(c AS DOUBLE) AS distance FROM d JOIN border p ON p.node_id = s JOIN border q ON q.node_id = t WHERE s < t AND p.part_id <> q.part_id", "mixed")
 on_network("overlay_edges", _with_parts(parts.overlay_edges), INNER + BORDER_LABELS.format(adj="inner_adj") + """SELECT start_node, end_node, CAST(length AS DOUBLE) AS length, true AS is_cut FROM cut
@@ -179,8 +191,8 @@ SELECT edge_id, CAST(k - 1 AS INTEGER) AS seq, f AS from_obj, obj_id AS to_obj,
 UNION ALL SELECT edge_id, CAST(n AS INTEGER), obj_id, NULL, CAST(length - off AS DOUBLE) FROM s WHERE k = n
 UNION ALL SELECT edge_id, 0, NULL, NULL, CAST(length AS DOUBLE) FROM edges WHERE edge_id NOT IN (SELECT edge_id FROM objects)""")
 
-_pairs = lambda n: n.edges.where("edge_id % 10 = 0").selectExpr("CASE WHEN edge_id % 20 = 0 THEN start_node ELSE end_node END AS a", "CASE WHEN edge_id % 20 = 0 THEN end_node ELSE start_node END AS b")
-_pairs_sql = ", pairs AS (SELECT CASE WHEN edge_id % 20 = 0 THEN start_node ELSE end_node END AS a, CASE WHEN edge_id % 20 = 0 THEN end_node ELSE start_node END AS b FROM edges WHERE edge_id % 10 = 0)"
+_pairs = lambda n: n.edges.selectExpr("CASE WHEN edge_id % 4 < 2 THEN start_node ELSE end_node END AS a", "CASE WHEN edge_id % 4 < 2 THEN end_node ELSE start_node END AS b")
+_pairs_sql = ", pairs AS (SELECT CASE WHEN edge_id % 4 < 2 THEN start_node ELSE end_node END AS a, CASE WHEN edge_id % 4 < 2 THEN end_node ELSE start_node END AS b FROM edges)"
 on_network("edges_between_nodes", lambda n: lookup.edges_between(n, _pairs(n)), _pairs_sql + " SELECT a, b, edge_id, CAST(length AS DOUBLE) AS length FROM pairs JOIN edges ON least(a, b) = least(start_node, end_node) AND greatest(a, b) = greatest(start_node, end_node)")
 on_network("edges_from_to_nodes", lambda n: lookup.edges_between(n, _pairs(n), either_way=False), _pairs_sql + " SELECT a, b, edge_id, CAST(length AS DOUBLE) AS length FROM pairs JOIN edges ON a = start_node AND b = end_node")
 on_network("objects_between_nodes", lambda n: lookup.objects_between_nodes(n, _pairs(n)), _pairs_sql + " SELECT a, b, obj_id, CAST(CASE WHEN start_node = a THEN dist_from_start ELSE length - dist_from_start END AS DOUBLE) AS distance FROM pairs JOIN objects ON least(a, b) = least(start_node, end_node) AND greatest(a, b) = greatest(start_node, end_node)")
@@ -234,10 +246,16 @@ def _integer_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", is_integer(F.split_part("p_name", F.lit(" "), F.lit(2))).alias("is_int"))
 
 
-# generators, which SQL can't follow: tests check their rules
+# readers, writers, look-ups, generators and checks
 
-on_network("generate_uniform", lambda n: generate.uniform_both(n, 300, 300, seed=1))
-on_network("generate_clustered", lambda n: generate.clustered_both(n, 100, 100, seed=2, deviation=200.0))
-on_network("generate_mixed", lambda n: generate.mixed(n, 100, 100, seed=3, deviation=200.0))
-on_network("generate_around_edges", lambda n: generate.around_edges_and_uniform(n, 100, 100, True, 4, [0, 10], 3000.0))
-on_network("generate_filled", lambda n: generate.filled(n, 60.0, seed=5, p_true=0.3))
+for _tables, _variant in ((files.SOURCES, "ring"), (files.LOOKUPS, "mixed"), (files.GENERATORS, "dense")):
+    for _name, (_build, _sql) in _tables.items():
+        on_network(_name, _build, " " + _sql, _variant)
+for _name, (_build, _sql) in files.CHAINS.items():
+    on_network(_name, _build, WALK + _sql, "mixed")
+on_network("path_vertices", files.vertices_of_path, DIJKSTRA + """,
+par AS (SELECT d.t, min(p.t) AS parent FROM d JOIN (SELECT p.t, p.c, a.dst, a.w FROM d p JOIN adj a ON a.src = p.t) p ON p.dst = d.t AND p.c + p.w = d.c GROUP BY d.t),
+back(node, parent) AS (SELECT t, parent FROM par WHERE t = 5 UNION ALL SELECT par.t, par.parent FROM back JOIN par ON par.t = back.parent)
+SELECT parent AS a, node AS b, CAST(min(w) AS DOUBLE) AS length FROM back JOIN adj ON src = parent AND dst = node GROUP BY parent, node""", "mixed")
+on_network("ann_stream", lambda n: files.streamed(n, ann.node_labels(n, False)), ann_sql(True))
+on_network("object_map_keys", files.scalars, " SELECT edge_id, min(obj_id) AS first, max(obj_id) AS last, CAST(min(CASE WHEN dist_from_start = far THEN obj_id END) AS BIGINT) AS farthest FROM (SELECT *, max(dist_from_start) OVER (PARTITION BY edge_id) AS far FROM objects) GROUP BY edge_id")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -13,25 +14,43 @@ UNION = "spark.sql.unionOutputPartitioning"
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; where unset (tests), a local one is set."""
+    """The shared folder that the cluster names in spark.checkpoint.dir; where unset, as in tests, a local master sets one.
+
+    On any other master executors would write to disks of their own, so an unset folder is an error there.
+    """
     conf = spark.sparkContext.getConf()
     root = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="nearway-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
+def release() -> None:
+    """Deletes the tables of all workspaces, once no result that reads them is needed: for drivers that live long."""
+    for work in list(Workspace.open):
+        work.close()
+
+
 class Workspace:
     """Tables written under the shared folder.
 
-    A table is dropped by drop() as soon as nothing needs it; what results still read goes when the driver ends.
+    A table is dropped by drop() as soon as nothing needs it; what results still read goes by close() or release(), or
+    when the driver ends.
     """
 
+    open: set[Workspace] = set()
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.path = spark, f"{shared_root(spark)}/nearway/{name}-{uuid.uuid4().hex}"
         self.count, self.paths = 0, {}
-        atexit.register(self._delete, self.path)
+        Workspace.open.add(self)
+
+    def close(self) -> None:
+        Workspace.open.discard(self)
+        self._delete(self.path)
 
     def _delete(self, path: str) -> None:
         try:
@@ -63,3 +82,6 @@ class Workspace:
             _, path = self.paths.pop(id(df), (None, None))
             if path:
                 self._delete(path)
+
+
+atexit.register(release)

@@ -4,7 +4,6 @@ import pytest
 from networks import answers, network
 
 from nearway.network import RoadNetwork
-from nearway.operators import relax
 from nearway.operators.ann import all_nearest
 from nearway.operators.chains import chain_edges, chain_nodes, degrees
 from nearway.operators.parts import border_nodes, border_paths, cut_edges, part_counts, part_local_nearest
@@ -74,10 +73,9 @@ def test_offset_beyond_the_edge_is_rejected(spark):
     assert [r["obj_id"] for r in lost.collect()] == [103]
 
 
-@pytest.mark.parametrize("most", [0, 10**6])
-def test_shortest_paths(monkeypatch, tiny, most):
-    monkeypatch.setattr(relax, "LOCAL_EDGES", most)
-    found = shortest_paths(tiny.adjacency, tiny.nodes.where("node_id = 1"))
+@pytest.mark.parametrize("in_tasks", [False, True])
+def test_shortest_paths(tiny, in_tasks):
+    found = shortest_paths(tiny, tiny.nodes.where("node_id = 1"), in_tasks)
     assert {r["node"]: round(r["dist"], 2) for r in found.collect()} == {1: 0.0, 2: 5.0, 3: 3.6, 4: 8.07, 5: 4.24, 6: 9.24, 7: 11.23}
 
 

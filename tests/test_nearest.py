@@ -22,38 +22,79 @@ CASES = {
 }
 
 
-@pytest.mark.parametrize("name", CASES)
+def together(cases):
+    """Networks side by side as one, each with numbers of its own, and the exact answers; what is expected is checked."""
+    all_edges, all_objects, expected = [], [], {}
+    for k, (edges, objects, known) in enumerate(cases):
+        found = exact(edges, objects)
+        assert known is None or found == known
+        all_edges += [(1000 * k + i, 1000 * k + a, 1000 * k + b, w) for i, a, b, w in edges]
+        all_objects += [(1000 * k + o, 1000 * k + e, q, off) for o, e, q, off in objects]
+        expected |= {1000 * k + q: (d, 1000 * k + o) for q, (d, o) in found.items()}
+    return all_edges, all_objects, expected
+
+
+@pytest.mark.parametrize("in_tasks", [False, True])
 @pytest.mark.parametrize("algorithm", ["voronoi", "naive", "scl"])
-def test_cases(spark, name, algorithm):
-    edges, objects, expected = CASES[name]
-    found = all_nearest(network(spark, edges, objects), "true_to_false", algorithm)
+def test_cases(spark, algorithm, in_tasks):
+    edges, objects, expected = together(CASES.values())
+    found = all_nearest(network(spark, edges, objects), "true_to_false", algorithm, in_tasks)
     assert found.count() == sum(o[2] for o in objects)
-    assert answers(found) == (exact(edges, objects) if expected is None else expected)
+    assert answers(found) == expected
+
+
+def long_network(r, n_chains=6, length=40):
+    """Junctions joined by chains of edges, one of them a dead end, and a ring that nothing joins."""
+    edges, node, junctions = [], 100, list(range(5))
+    for c in range(n_chains):
+        at = r.choice(junctions)
+        for k in range(length):
+            node += 1
+            to = r.choice(junctions) if k == length - 1 and c else node
+            if to != at:
+                edges.append((len(edges), at, to, float(r.randint(1, 9))) if r.random() < 0.5 else (len(edges), to, at, float(r.randint(1, 9))))
+            at = to
+    for k in range(30):
+        edges.append((len(edges), 1000 + k, 1000 + (k + 1) % 30, float(r.randint(1, 5))))
+    return edges, [(k, e[0], r.random() < 0.85, float(r.randint(0, int(e[3])))) for k, e in enumerate(r.choice(edges) for _ in range(150))]
+
+
+@pytest.mark.parametrize("slot_rows", [7, 4096])
+def test_long_chains_in_slots(spark, monkeypatch, slot_rows):
+    import random
 
+    from nearway import skew
+    from nearway.operators import contract
 
-@pytest.mark.parametrize("algorithm", ["voronoi", "naive", "scl"])
-@pytest.mark.parametrize("name", ["no relaxation of a closed edge", "not joined", "cycle", "dead end", "ties"])
-def test_cases_of_networks_too_large_to_send(spark, monkeypatch, name, algorithm):
-    monkeypatch.setattr(relax, "LOCAL_EDGES", 0)
-    edges, objects, _ = CASES[name]
-    assert answers(all_nearest(network(spark, edges, objects), "true_to_false", algorithm)) == exact(edges, objects)
+    monkeypatch.setattr(skew, "SLOT_ROWS", slot_rows)
+    monkeypatch.setattr(contract, "SLOT_ROWS", slot_rows)
+    edges, objects = long_network(random.Random(slot_rows))
+    net = network(spark, edges, objects)
+    for algorithm in ("voronoi", "naive", "scl"):
+        assert answers(all_nearest(net, "true_to_false", algorithm)) == exact(edges, objects), algorithm
+    sources = net.nodes.where("node_id in (0, 101, 1003)")
+    paths = [{(x["source"], x["node"]): x["dist"] for x in relax.shortest_paths(net, sources, in_tasks).collect()} for in_tasks in (False, True)]
+    assert paths[0] == paths[1] and len(paths[0]) > 300
 
 
-@settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+def random_network(r):
+    n = r.randint(2, 9)
+    edges = [(i, *r.sample(range(n), 2), float(r.randint(1, 9))) for i in range(r.randint(1, 14))]
+    return edges, [(k, e[0], r.random() < 0.6, float(r.randint(0, int(e[3])))) for k, e in enumerate(r.choice(edges) for _ in range(r.randint(1, 14)))], None
+
+
+@settings(max_examples=2, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.integers(0, 10**6))
 def test_algorithms_agree_on_random_networks(spark, seed):
     import random
 
     r = random.Random(seed)
-    n = r.randint(2, 9)
-    edges = [(i, *r.sample(range(n), 2), float(r.randint(1, 9))) for i in range(r.randint(1, 14))]
-    edges = [(i, a, b, w) for i, a, b, w in edges]
-    objects = [(k, e[0], r.random() < 0.6, float(r.randint(0, int(e[3])))) for k, e in enumerate(r.choice(edges) for _ in range(r.randint(1, 14)))]
+    edges, objects, expected = together([random_network(r) for _ in range(25)])
     net = network(spark, edges, objects)
-    for direction, kind in (("true_to_false", True), ("false_to_true", False)):
-        for algorithm in ("voronoi", "naive", "scl"):
-            assert answers(all_nearest(net, direction, algorithm)) == exact(edges, objects, kind), (direction, algorithm)
-    chains = chain_edges(net)
+    for algorithm in ("voronoi", "naive", "scl"):
+        assert answers(all_nearest(net, "true_to_false", algorithm)) == expected, algorithm
+    assert answers(all_nearest(net, "false_to_true")) == exact(edges, objects, False)
+    chains = chain_edges(net).cache()
     assert chains.count() == len(edges) and bad_chains(net, chains).isEmpty() and misplaced_objects(net, chains).isEmpty()
 
 
