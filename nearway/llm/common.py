@@ -4,15 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from nearway.skew import join_hot
 from nearway.storage import Workspace, shared_root
 
 __all__ = ["Workspace", "crc_mod", "join_hot", "shared_root", "table", "unwrapped", "wrapped"]
 
-#: A key is hot if it has more than this share of a table's rows, but for so few rows; there are at most HOT of them.
-HOT, FEW = 1_024, 256
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the tables of a data directory; Spark alone opens the path."""
@@ -32,22 +29,3 @@ def wrapped(docs: DataFrame):
 def unwrapped(docs: DataFrame, **instead) -> list:
     """The columns of docs out of `row`, with their types; instead: what takes the place of some."""
     return [instead[c].cast(docs.schema[c].dataType).alias(c) if c in instead else F.col("row").getField(c).alias(c) for c in docs.columns]
-
-
-def join_hot(left: DataFrame, right: DataFrame, on: list[str], by: str, how: str = "inner", counted: DataFrame | None = None) -> DataFrame:
-    """left joined with right, whose rows are few for each key; the rows of left's hot keys are dealt over many tasks.
-
-    by: a column of left that tells rows of one key apart, whose hash deals them. counted: a table that has left's keys as
-    often as left, if left is costly. No more than HOT keys can have more than a share of 1 / HOT of the rows each, so
-    what is broadcast is bounded, and the rows of right that are repeated for them number 2 * HOT at most times right's
-    rows of a key.
-    """
-    counted = left if counted is None else counted
-    least = max(FEW, counted.count() // HOT)
-    hot = counted.groupBy(*on).agg(F.ceil(F.count(F.lit(1)) / F.lit(least)).cast("int").alias("_spread")).where("_spread > 1").dropna().collect()
-    if not hot:
-        return left.join(right, on, how)
-    spread = F.broadcast(left.sparkSession.createDataFrame(hot, left.select(*on).schema.add("_spread", T.IntegerType())))
-    dealt = left.join(spread, on, "left").withColumn("_salt", F.pmod(F.xxhash64(by), F.coalesce("_spread", F.lit(1))).cast("int")).drop("_spread")
-    copied = right.join(spread, on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_spread", F.lit(1)) - 1))).drop("_spread")
-    return dealt.join(copied, [*on, "_salt"], how).drop("_salt")

@@ -89,9 +89,9 @@ def test_ids_that_repeat_with_other_texts(spark):
 
 
 def test_hot_texts_and_buckets_are_dealt_over_tasks(spark, monkeypatch):
-    from nearway.llm import common
+    from nearway import skew
 
-    monkeypatch.setattr(common, "FEW", 16)
+    monkeypatch.setattr(skew, "FEW", 16)
     r = random.Random(5)
     base = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(90)]
     rows = [(k, " ".join(base)) for k in range(400)]  # one text
@@ -101,7 +101,7 @@ def test_hot_texts_and_buckets_are_dealt_over_tasks(spark, monkeypatch):
     assert {(x["doc_id"], x["class_id"]) for x in M.near_duplicates(df).collect()} == {(d, 0 if d < 5000 else d) for d, _ in rows}
     # the rows of one key take many places
     keys = spark.range(4000).selectExpr("id", "0L as k").unionByName(spark.range(50).selectExpr("id", "id + 1 as k"))
-    joined = common.join_hot(keys, spark.range(60).selectExpr("id as k", "id * 2 as v"), ["k"], "id")
+    joined = skew.join_hot(keys, spark.range(60).selectExpr("id as k", "id * 2 as v"), ["k"], "id")
     assert joined.count() == 4050 and joined.where("v <> k * 2").isEmpty()
     assert "_salt" in joined._jdf.queryExecution().toString()
 
