@@ -5,7 +5,7 @@ import pytest
 
 ROOT = Path(__file__).resolve().parent.parent
 TABLES = Path("/root/testdata/sf0.001")
-NAMES = ["ann_mixed_scl", "ann_untyped", "chain_edges", "edge_segments", "border_pair_sp", "k_shortest_paths_of_ring", "edges_between_nodes", "read_merged_objects", "read_metis", "generate_filled", "has_edges", "word_count"]
+NAMES = ["ann_mixed_scl", "ann_untyped", "chain_edges", "edge_segments", "border_pair_sp", "edges_between_nodes", "read_merged_objects", "read_metis", "generate_filled", "has_edges", "word_count"]
 
 
 def test_names():
