@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearway.llm import language, minhash_dedup, mixing, packing, quality, secrets, substring_dedup, topk, url_filter, vector_dedup
+from nearway.llm import fingerprint, language, minhash_dedup, mixing, packing, quality, secrets, substring_dedup, topk, url_filter, vector_dedup
 from nearway.llm.common import table
 
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -51,6 +51,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compare_edited(table(spark, sf_dir, "documents"))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -58,7 +62,10 @@ def tokenizer_path() -> str:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_url_filter, op2_exact_top_k, op3_minhash_dedup, op4_secret_scan, op5_near_vectors, op6_best_fit_packing, op7_language_id, op8_mixing, op9_substring_dedup, op10_quality)}
+    first = (op1_url_filter, op2_exact_top_k, op3_minhash_dedup, op4_secret_scan, op5_near_vectors)
+    second = (op6_best_fit_packing, op7_language_id, op8_mixing, op9_substring_dedup, op10_quality)
+    third = (op11_fingerprints,)
+    return {f.__name__: f for f in (*first, *second, *third)}
 
 
 OP1_SQL = """
