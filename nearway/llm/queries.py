@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nearway.llm import fingerprint, language, minhash_dedup, mixing, packing, quality, secrets, substring_dedup, topk, url_filter, vector_dedup, whitening
+from nearway.llm import alignment, fingerprint, language, minhash_dedup, mixing, packing, quality, secrets, substring_dedup, topk, url_filter, vector_dedup, whitening
 from nearway.llm.common import table
 
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -61,6 +61,16 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.report(table(spark, sf_dir, "documents"), tokenizer_path(), piece_model_path())
+
+
+def piece_model_path() -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -70,7 +80,7 @@ def tokenizer_path() -> str:
 def queries() -> dict:
     first = (op1_url_filter, op2_exact_top_k, op3_minhash_dedup, op4_secret_scan, op5_near_vectors)
     second = (op6_best_fit_packing, op7_language_id, op8_mixing, op9_substring_dedup, op10_quality)
-    third = (op11_fingerprints, op12_whitening)
+    third = (op11_fingerprints, op12_whitening, op13_alignment)
     return {f.__name__: f for f in (*first, *second, *third)}
 
 
