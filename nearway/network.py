@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearway import schema as S
+from nearway.storage import Workspace
 
 
 @dataclass(frozen=True)
@@ -51,6 +52,20 @@ class RoadNetwork:
         own = [c for c in self.objects.columns if c not in ("start_node", "end_node", "length")]
         return self.objects.select(*own).join(self.edges.select("edge_id", "start_node", "end_node", "length"), "edge_id")
 
+    @cached_property
+    def chains(self) -> DataFrame:
+        """chain_edges(), made once for this network and written."""
+        from nearway.operators.chains import chain_edges
+
+        return Workspace(self.edges.sparkSession, "network").write(chain_edges(self))
+
+    @cached_property
+    def contracted(self):
+        """The network of chains' ends, made once for this network."""
+        from nearway.operators.contract import Contracted
+
+        return Contracted(self)
+
     def with_edges(self, added: DataFrame) -> RoadNetwork:
         return replace(self, edges=self.edges.unionByName(S.conform(added, S.EDGES)).dropDuplicates(["edge_id"]))
 

@@ -1,19 +1,19 @@
 """All nearest neighbours: for every query object the nearest data object by network distance.
 
-Three ways with one answer: `voronoi` labels every node with its nearest data object once and looks all queries up;
-`naive` expands from every query; `scl` expands from the ends of runs of queries along a chain and derives the rest.
+Ways with one answer: `voronoi` labels every node with its nearest data object once and looks all queries up; `naive`
+expands from every query; `scl` expands from the ends of runs of queries along a chain and derives the rest; `parts` and
+`parts_naive` do as the first two within parts, in tasks, and exchange what crosses between parts.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearway.network import RoadNetwork
-from nearway.operators.contract import Contracted
+from nearway.operators.chains import objects_on_chains
 from nearway.operators.on_edge import nearest_on_edge, nearest_other_on_edge
-from nearway.operators.relax import Compact, compact, relax, relax_two, seeds_of
+from nearway.operators.relax import relax, relax_two, seeds_of
 from nearway.storage import Workspace
 
 DIRECTIONS = ("true_to_false", "false_to_true", "auto")
@@ -46,24 +46,31 @@ def _result(asking: DataFrame, found: DataFrame) -> DataFrame:
     return asking.join(found, asking["obj_id"] == found["q"], "left").select(F.col("obj_id").alias("query_obj_id"), F.col("obj").alias("data_obj_id"), F.col("dist").alias("distance"))
 
 
-def all_nearest(network: RoadNetwork, direction: str = "true_to_false", algorithm: str = "voronoi", in_tasks: bool = False) -> DataFrame:
+def all_nearest(network: RoadNetwork, direction: str = "true_to_false", algorithm: str = "voronoi", parts: DataFrame | None = None) -> DataFrame:
     """query_obj_id, data_obj_id, distance for every query object; null if no data object can be reached.
 
-    Ties go to the smaller data object; objects at one place are 0 apart. in_tasks sends a network of few edges (by a
-    count that is checked) to the tasks, for voronoi and naive, in place of searching by joins.
+    Ties go to the smaller data object; objects at one place are 0 apart. parts (node_id, part_id; of every node) are for
+    the algorithms `parts` and `parts_naive` alone, see two_level; without them, blocks of node numbers are taken.
     """
     kind = query_type(network, direction)
     marked = network.placed.withColumn("asks", F.col("is_query") == kind)
     asking, answering = marked.where("asks"), marked.where("not asks")
     if algorithm == "voronoi":
-        return _result(asking, nearest(marked, _labels(network, seeds_of(network, answering), in_tasks)))
+        return _result(asking, nearest(marked, network.contracted.labels(seeds_of(network, answering))))
     if algorithm == "naive":
-        return _result(asking, _naive(network, marked, in_tasks))
+        return _result(asking, _naive(network, marked))
     if algorithm == "scl":
         from nearway.operators.runs import shared_execution
 
         return _result(asking, shared_execution(network, marked))
-    raise ValueError("algorithm is voronoi, naive or scl")
+    if algorithm in ("parts", "parts_naive"):
+        from nearway.operators.two_level import Parted, expanded_by_parts
+
+        parted = Parted(network, parts)
+        if algorithm == "parts_naive":
+            return _result(asking, expanded_by_parts(parted, marked))
+        return _result(asking, nearest(marked, parted.labels(seeds_of(network, answering))))
+    raise ValueError("algorithm is voronoi, naive, scl, parts or parts_naive")
 
 
 def looked_up(network: RoadNetwork, labels: DataFrame, kind: bool) -> DataFrame:
@@ -74,49 +81,54 @@ def looked_up(network: RoadNetwork, labels: DataFrame, kind: bool) -> DataFrame:
 
 def node_labels(network: RoadNetwork, kind: bool) -> DataFrame:
     """node, dist, obj: the nearest object of a type for each node, the table that answers later queries."""
-    return _labels(network, seeds_of(network, network.objects.where(F.col("is_query") == kind)))
+    return network.contracted.labels(seeds_of(network, network.objects.where(F.col("is_query") == kind)))
 
 
-def _labels(network: RoadNetwork, seeds: DataFrame, in_tasks: bool = False) -> DataFrame:
-    return relax(seeds, network.adjacency, in_tasks=True) if in_tasks else Contracted(network).labels(seeds)
+def _lines(network: RoadNetwork) -> tuple[DataFrame, DataFrame]:
+    """chain_id, first, last, total of every chain, and objects with chain_id and at, for a network that may have none."""
+    contracted = network.contracted
+    if contracted.plain is not None:  # every edge is a chain
+        ends = network.edges.select(F.col("edge_id").alias("chain_id"), F.col("start_node").alias("first"), F.col("end_node").alias("last"), F.col("length").alias("total"))
+        return ends, network.objects.select("obj_id", F.col("edge_id").alias("chain_id"), F.col("dist_from_start").alias("at"))
+    return contracted.ends, objects_on_chains(network, network.chains).select("obj_id", "chain_id", "at")
 
 
-def _naive(network: RoadNetwork, marked: DataFrame, in_tasks: bool = False) -> DataFrame:
-    """One expansion from each asking object, which ends where something as near has been found."""
-    work = Workspace(network.edges.sparkSession, "naive")
-    asking, answering = marked.where("asks"), marked.where("not asks")
-    entry = work.write(seeds_of(network, answering).groupBy("node").agg(F.min(F.struct("dist", "obj")).alias("b")).select("node", F.col("b.dist").alias("rest"), F.col("b.obj").alias("found")))
-    own = work.write(nearest_on_edge(marked))
-    if in_tasks and (net := compact(network.adjacency)):
-        found = _expanded(asking, entry, net).unionByName(own)
-        return found.groupBy("q").agg(F.min(F.struct("dist", "obj")).alias("b")).select("q", "b.dist", "b.obj")
-    starts = seeds_of(network, asking).select(F.col("obj").alias("q"), "node", "dist", F.lit(0).cast("long").alias("obj"))
-    first = starts.join(entry, "node").select("q", (F.col("dist") + F.col("rest")).alias("bound")).unionByName(own.select("q", F.col("dist").alias("bound")))
-    bound = work.write(first.groupBy("q").agg(F.min("bound").alias("bound")))
-
-    def worth(going: DataFrame) -> DataFrame:
-        return going.join(bound, "q", "left").where("bound is null or dist <= bound").drop("bound")
-
-    labels = relax(starts, network.adjacency, keys=("q",), prune=worth)
-    found = labels.join(entry, "node").select("q", (F.col("dist") + F.col("rest")).alias("dist"), F.col("found").alias("obj")).unionByName(own)
-    return found.groupBy("q").agg(F.min(F.struct("dist", "obj")).alias("b")).select("q", "b.dist", "b.obj")
+def least_found(rows: DataFrame) -> DataFrame:
+    """q, dist, obj: the least of each query."""
+    return rows.groupBy("q").agg(F.min(F.struct("dist", "obj")).alias("b")).select("q", "b.dist", "b.obj")
 
 
-def _expanded(asking: DataFrame, entry: DataFrame, small: Compact) -> DataFrame:
-    """The expansions for a network that is small enough to be sent to every task: no shuffle, a heap for each query."""
-    at = {int(n): i for i, n in enumerate(small.nodes)}
-    # a row for each node at most
-    rest = {at[r["node"]]: (r["rest"], r["found"]) for r in entry.collect()}
-    sent = asking.sparkSession.sparkContext.broadcast((small, at, rest))
+def expand(starts: DataFrame, steps: DataFrame, entry: DataFrame, own: DataFrame) -> DataFrame:
+    """q, dist, obj: an expansion from each query, which goes no further than the nearest that it has found so far.
 
-    def expand(batches):
-        net, at, rest = sent.value
-        for b in batches:
-            found = [net.nearest([(off, at[s]), (length - off, at[e])], rest) for s, e, off, length in zip(b.start_node, b.end_node, b.dist_from_start, b.length, strict=True)]
-            some = [f is not None for f in found]
-            yield pd.DataFrame({"q": b.obj_id[some], "dist": [f[0] for f in found if f], "obj": [f[1] for f in found if f]})
+    starts: q, node, dist, obj. entry: node, rest, found, what is nearest from a node without going on. own: q, dist, obj
+    that are found without an expansion. A query's bound is a row, told anew with each job.
+    """
+    work = Workspace(starts.sparkSession, "expand")
+    bound = [work.write(own.groupBy("q").agg(F.min("dist").alias("most")))]
 
-    return asking.select("obj_id", "start_node", "end_node", "dist_from_start", "length").mapInPandas(expand, "q long, dist double, obj long")
+    def bounds(labels: DataFrame) -> DataFrame:
+        met = labels.join(entry, "node").select("q", (F.col("dist") + F.col("rest")).alias("most"))
+        bound.append(work.write(bound[-1].unionByName(met).groupBy("q").agg(F.min("most").alias("most"))))
+        return bound[-1]
+
+    labels = relax(starts, steps, keys=("q",), bounds=bounds)
+    found = labels.join(entry, "node").select("q", (F.col("dist") + F.col("rest")).alias("dist"), F.col("found").alias("obj"))
+    return least_found(found.unionByName(own))
+
+
+def _naive(network: RoadNetwork, marked: DataFrame) -> DataFrame:
+    """One expansion from each asking object over the network of chains' ends."""
+    work = Workspace(network.edges.sparkSession, "naive")
+    lines, places = _lines(network)
+    on_line = work.write(places.join(marked.select("obj_id", "asks"), "obj_id").join(lines, "chain_id"))
+    ends = F.explode(F.array(F.struct(F.col("first").alias("node"), F.col("at").alias("dist")), F.struct(F.col("last").alias("node"), (F.col("total") - F.col("at")).alias("dist"))))
+    at_ends = on_line.select("asks", "obj_id", ends.alias("e")).select("asks", "obj_id", "e.node", "e.dist")
+    entry = at_ends.where("not asks").groupBy("node").agg(F.min(F.struct(F.col("dist").alias("rest"), F.col("obj_id").alias("found"))).alias("b")).select("node", "b.*")
+    own = nearest_on_edge(on_line.select("obj_id", F.col("chain_id").alias("edge_id"), F.col("at").alias("dist_from_start"), F.col("total").alias("length"), "asks"))
+    starts = at_ends.where("asks").select(F.col("obj_id").alias("q"), "node", "dist", F.lit(0).cast("long").alias("obj"))
+    steps = network.contracted.adjacency if network.contracted.plain is None else network.contracted.plain
+    return expand(starts, steps, work.write(entry), work.write(own))
 
 
 def untyped_nearest(network: RoadNetwork) -> DataFrame:

@@ -8,8 +8,6 @@ find no end are on pure cycles, which are cut at their least node and done again
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,14 +27,19 @@ def first_intersection(network: RoadNetwork) -> DataFrame:
     return degrees(network).where("degree >= 3").agg(F.min("node_id").alias("node_id")).where("node_id is not null")
 
 
-def _doubled(darts: DataFrame, work: Workspace, n_edges: int) -> DataFrame:
-    """darts with last (null on a cycle), hops and way to it, and the least edge and node on the way."""
-    d = work.write(darts.select("dart", F.coalesce("next", "dart").alias("last"), F.col("next").isNull().alias("ended"), F.when(F.col("next").isNull(), 0).otherwise(1).cast("long").alias("hops"), F.col("w").alias("way"), F.col("edge_id").alias("least_edge"), F.col("tail").alias("least_node")))
+def _doubled(darts: DataFrame, work: Workspace) -> DataFrame:
+    """darts with last (null on a cycle), hops and way to it, and the least edge and node on the way.
+
+    Each doubling ends some darts of every chain that is not done; if none has ended, what is left are cycles.
+    """
+    live = {"n": F.count_if(~F.col("ended"))}
+    first = darts.select("dart", F.coalesce("next", "dart").alias("last"), F.col("next").isNull().alias("ended"), F.when(F.col("next").isNull(), 0).otherwise(1).cast("long").alias("hops"), F.col("w").alias("way"), F.col("edge_id").alias("least_edge"), F.col("tail").alias("least_node"))
+    d, seen = work.write_seen(_twice(_twice(first)), **live)
+    before = None
     # two doublings a table: a job costs more than a join
-    for _ in range(max(1, math.ceil(math.log2(max(n_edges, 2)) / 2) + 1)):
-        if d.where("not ended").isEmpty():
-            break
-        old, d = d, work.write(_twice(_twice(d)))
+    while seen["n"] and seen["n"] != before:
+        before, old = seen["n"], d
+        d, seen = work.write_seen(_twice(_twice(d)), **live)
         work.drop(old)
     return d
 
@@ -64,14 +67,13 @@ def chain_edges(network: RoadNetwork) -> DataFrame:
     start); start_at is the length before the edge. A pure cycle begins and ends at its least node.
     """
     work = Workspace(network.edges.sparkSession, "chains")
-    n = network.edges.count()
     inner = degrees(network).where("n_edges = 2").select(F.col("node_id").alias("inner"))
     darts = work.write(_darts(network, inner))
-    ends = _doubled(darts, work, n)
+    ends = _doubled(darts, work)
     cycles = work.write(ends.where("not ended").select(F.col("least_node").alias("cut")).distinct())
     if not cycles.isEmpty():
         darts = work.write(_darts(network, inner.join(cycles, F.col("inner") == F.col("cut"), "left_anti")))
-        ends = _doubled(darts, work, n)
+        ends = _doubled(darts, work)
     back = ends.select(F.col("dart").bitwiseXOR(F.lit(1)).alias("dart"), F.col("last").bitwiseXOR(F.lit(1)).alias("origin"), F.col("hops").alias("pos"), F.col("way").alias("way_back"), F.col("least_edge").alias("back_edge"))
     # each dart with the first and last dart of its direction; of the two directions that with the less first dart
     all_ = darts.join(ends, "dart").join(back, "dart")
@@ -84,14 +86,14 @@ def chain_edges(network: RoadNetwork) -> DataFrame:
 
 def chain_nodes(network: RoadNetwork, chains: DataFrame | None = None) -> DataFrame:
     """chain_id, pos, node_id: the nodes along every chain."""
-    e = (chain_edges(network) if chains is None else chains).join(network.edges.select("edge_id", "start_node", "end_node"), "edge_id")
+    e = (network.chains if chains is None else chains).join(network.edges.select("edge_id", "start_node", "end_node"), "edge_id")
     tail, head = F.when(F.col("reversed"), F.col("end_node")).otherwise(F.col("start_node")), F.when(F.col("reversed"), F.col("start_node")).otherwise(F.col("end_node"))
     return e.select("chain_id", "pos", tail.alias("node_id")).unionByName(e.groupBy("chain_id").agg(F.max(F.struct("pos", head.alias("h"))).alias("m")).select("chain_id", (F.col("m.pos") + 1).alias("pos"), F.col("m.h").alias("node_id")))
 
 
 def chain_stats(network: RoadNetwork, chains: DataFrame | None = None) -> DataFrame:
     """One row: chains, their edges, inner nodes, and nodes with one neighbour."""
-    e = chain_edges(network) if chains is None else chains
+    e = network.chains if chains is None else chains
     d = degrees(network).agg(F.count_if(F.col("degree") == 1).alias("n_terminals"))
     return e.agg(F.countDistinct("chain_id").alias("n_chains"), F.count(F.lit(1)).alias("n_edges")).withColumn("n_inner_nodes", F.col("n_edges") - F.col("n_chains")).crossJoin(F.broadcast(d))
 
@@ -118,7 +120,7 @@ def nodes_per_chain(network: RoadNetwork, chains: DataFrame | None = None) -> Da
 
 def to_chain_ends(network: RoadNetwork, chains: DataFrame | None = None) -> DataFrame:
     """obj_id, chain_id, to_first, to_last: each object's way along its chain to both of its ends."""
-    chains = chain_edges(network) if chains is None else chains
+    chains = network.chains if chains is None else chains
     total = chains.groupBy("chain_id").agg(F.max(F.col("start_at") + F.col("length")).alias("total"))
     return objects_on_chains(network, chains).join(total, "chain_id").select("obj_id", "chain_id", F.col("at").alias("to_first"), (F.col("total") - F.col("at")).alias("to_last"))
 

@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearway.network import RoadNetwork
-from nearway.operators.chains import chain_edges, degrees
-from nearway.operators.relax import relax
+from nearway.operators.chains import degrees
+from nearway.operators.relax import relax, steps_of
 from nearway.skew import SLOT_ROWS, join_hot
 from nearway.storage import Workspace
 
@@ -26,10 +26,10 @@ class Contracted:
         self.work = Workspace(network.edges.sparkSession, "contracted")
         self.slot_rows = SLOT_ROWS if slot_rows is None else slot_rows
         # without a node of two edges every edge is a chain, and the search goes over the network itself
-        self.plain = network.adjacency if chains is None and degrees(network).where("n_edges = 2").isEmpty() else None
+        self.plain = self.work.write(steps_of(network.adjacency)) if chains is None and degrees(network).where("n_edges = 2").isEmpty() else None
         if self.plain is not None:
             return
-        chains = self.work.write(chain_edges(network)) if chains is None else chains
+        chains = network.chains if chains is None else chains
         e = chains.join(network.edges.select("edge_id", "start_node", "end_node"), "edge_id")
         tail, head = F.when(F.col("reversed"), F.col("end_node")).otherwise(F.col("start_node")), F.when(F.col("reversed"), F.col("start_node")).otherwise(F.col("end_node"))
         self.spots = self.work.write(e.select("chain_id", "pos", F.col("start_at").alias("at"), tail.alias("node"), head.alias("head"), (F.col("start_at") + F.col("length")).alias("total")))
@@ -43,21 +43,23 @@ class Contracted:
 
     @cached_property
     def adjacency(self) -> DataFrame:
-        """src, dst, w: the shortest chain between two ends, in both directions."""
-        both = F.explode(F.array(F.struct(F.col("first").alias("src"), F.col("last").alias("dst")), F.struct(F.col("last").alias("src"), F.col("first").alias("dst"))))
-        return self.work.write(self.ends.where("first <> last").select(both.alias("e"), "total").groupBy("e.src", "e.dst").agg(F.min("total").alias("w")))
+        """src, dst, w, own: the shortest chain between two ends, in both directions, and a step from each end to itself."""
+        way = lambda src, dst, w: F.struct(F.col(src).alias("src"), F.col(dst).alias("dst"), w.alias("w"))
+        ways = [way("first", "last", F.col("total")), way("last", "first", F.col("total")), way("first", "first", F.lit(0.0)), way("last", "last", F.lit(0.0))]
+        least = self.ends.select(F.explode(F.array(*ways)).alias("e")).groupBy("e.src", "e.dst").agg(F.min("e.w").alias("w"))
+        return self.work.write(least.withColumn("own", F.col("src") == F.col("dst")))
 
-    def labels(self, seeds: DataFrame, keys: tuple[str, ...] = (), within: float | None = None) -> DataFrame:
+    def labels(self, seeds: DataFrame, keys: tuple[str, ...] = (), within: float | None = None, delta: float | None = None) -> DataFrame:
         """As relax() over the network's own adjacency: keys, node, dist and obj."""
         if self.plain is not None:
-            return relax(seeds, self.plain, keys, within)
+            return relax(seeds, self.plain, keys, within, delta=delta)
         keys_, work = list(keys), self.work
         seeds = seeds.groupBy(*keys_, "node").agg(F.min(F.struct("dist", "obj")).alias("b")).select(*keys_, "node", "b.dist", "b.obj")
         on_chain = work.write(seeds.join(self.inner, "node"))
         carried = join_hot(on_chain, self.ends, ["chain_id"], "node")
         out = F.explode(F.array(F.struct(F.col("first").alias("node"), (F.col("dist") + F.col("at")).alias("dist")), F.struct(F.col("last").alias("node"), (F.col("dist") + F.col("total") - F.col("at")).alias("dist"))))
         start = seeds.join(self.inner.select("node"), "node", "left_anti").select(*keys_, "node", "dist", "obj").unionByName(carried.select(*keys_, out.alias("e"), "obj").select(*keys_, "e.node", "e.dist", "obj"))
-        found = relax(start, self.adjacency, keys, within)  # a written table
+        found = relax(start, self.adjacency, keys, within, delta=delta)  # a written table
         # a chain's points with known labels: its ends, and seeds on it
         at_first = found.join(self.ends, F.col("node") == F.col("first")).select(*keys_, "chain_id", F.lit(0).cast("long").alias("pos"), F.lit(0.0).alias("at"), "dist", "obj")
         at_last = found.join(self.ends, F.col("node") == F.col("last")).select(*keys_, "chain_id", F.col("top").alias("pos"), F.col("total").alias("at"), "dist", "obj")

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from nearway.network import RoadNetwork
 from nearway.operators.ann import all_nearest
-from nearway.operators.contract import Contracted
 from nearway.operators.numbering import numbered
 from nearway.operators.relax import relax
 from nearway.storage import Workspace
@@ -92,7 +91,7 @@ def overlay_edges(network: RoadNetwork, parts: DataFrame) -> DataFrame:
     """
     inner = inside_parts(network, parts)
     border = border_nodes(network, parts)
-    labels = Contracted(inner).labels(_from_borders(border), ("source",))
+    labels = inner.contracted.labels(_from_borders(border), ("source",))
     shortcuts = labels.where("source < node").join(border.select(F.col("node_id").alias("node")), "node", "left_semi").select(F.col("source").alias("start_node"), F.col("node").alias("end_node"), F.col("dist").alias("length"), F.lit(False).alias("is_cut"))
     # written, as both sides may be dealt by their end node (see Workspace.write)
     return cut_edges(network, parts).select("start_node", "end_node", "length", F.lit(True).alias("is_cut")).unionByName(Workspace(network.edges.sparkSession, "overlay").write(shortcuts))
@@ -104,7 +103,7 @@ def edges_within(network: RoadNetwork, edge_id: int, perimeter: float) -> DataFr
     The edge itself is at 0; another one is as far as the nearer of its nodes and its own length.
     """
     start = network.edges.where(F.col("edge_id") == edge_id).select(F.explode(F.array("start_node", "end_node")).alias("node")).select("node", F.lit(0.0).alias("dist"), F.lit(0).cast("long").alias("obj"))
-    labels = Contracted(network).labels(start, within=perimeter)
+    labels = network.contracted.labels(start, within=perimeter)
     reached = network.adjacency.where(F.col("edge_id") != edge_id).join(labels, F.col("src") == F.col("node")).groupBy("edge_id").agg(F.min(F.col("dist") + F.col("w")).alias("distance")).where(F.col("distance") <= perimeter)
     return reached.unionByName(network.edges.where(F.col("edge_id") == edge_id).select("edge_id", F.lit(0.0).alias("distance")))
 

@@ -1,34 +1,31 @@
 """Shortest-path labels by relaxation: the one fixpoint operator of the engine.
 
-A label says which object is nearest to a node and how far. A hop joins the frontier, the labels that are new, with the
-adjacency, and compares what it reaches with the labels there; several hops are planned as one job, in which labels and
-adjacency are shuffled once, and a job's changes are merged into the labels at its end. Jobs take more hops as they go on.
-Ties go to the smallest distance and then to the smallest object, at every node, which gives the same answer whatever the
-order of rounds, partitions or edges.
-
-On request (in_tasks) a network whose edges are few, by a count that is checked, is sent to the tasks instead, and each
-task searches it from its own seeds with a heap; the labels are the same.
+A label says which object is nearest to a node and how far. A hop joins the labels that are new with the steps from their
+nodes and keeps the least label of each node; a step from every node to itself carries what has been found along, so a
+job of several hops is one line of joins with one shuffle each. A job's labels are appended as a table of their own, and
+labels of earlier jobs are only read, to drop what is no better. Jobs take more hops as they go on. Ties go to the smallest
+distance and then to the smallest object, at every node, which gives the same answer whatever the order of rounds,
+partitions or edges.
+
+With `delta` labels go on in the order of distance, a bucket of that width at a time: over light steps until the bucket
+stands still, and then once over heavy ones, those longer than the bucket is wide.
 """
 
 from __future__ import annotations
 
-import heapq
+import math
 from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearway.network import RoadNetwork
 from nearway.storage import Workspace
 
-#: Hops of the first job and of later ones, at most.
-HOPS, MOST_HOPS = 2, 4
+#: Hops of the first job and of later ones, at most; tables of labels before they are merged into one.
+HOPS, MOST_HOPS, TABLES = 2, 8, 12
 #: Hops that this process has planned, for measures.
 ROUNDS = 0
-#: Directed edges, at most, of a network that every task gets (three numbers each).
-LOCAL_EDGES = 500_000
 
 
 def seeds_of(network: RoadNetwork, objects: DataFrame | None = None) -> DataFrame:
@@ -38,145 +35,132 @@ def seeds_of(network: RoadNetwork, objects: DataFrame | None = None) -> DataFram
     return placed.select(ends.alias("s"), F.col("obj_id").alias("obj")).select("s.node", "s.dist", "obj")
 
 
-def relax(seeds: DataFrame, adjacency: DataFrame, keys: tuple[str, ...] = (), within: float | None = None, prune: Callable[[DataFrame], DataFrame] | None = None, in_tasks: bool = False) -> DataFrame:
+def steps_of(adjacency: DataFrame) -> DataFrame:
+    """src, dst, w, own: the shortest step between two nodes, and an own one of length 0 from each node to itself."""
+    both = F.explode(F.array(F.struct("src", "dst", F.col("w").cast("double").alias("w")), F.struct("src", F.col("src").alias("dst"), F.lit(0.0).alias("w"))))
+    least = adjacency.select(both.alias("e")).groupBy("e.src", "e.dst").agg(F.min("e.w").alias("w"))
+    return least.withColumn("own", F.col("src") == F.col("dst"))
+
+
+def relax(
+    seeds: DataFrame,
+    adjacency: DataFrame,
+    keys: tuple[str, ...] = (),
+    within: float | None = None,
+    bounds: Callable[[DataFrame], DataFrame] | None = None,
+    delta: float | None = None,
+) -> DataFrame:
     """keys, node, dist and obj: the least (dist, obj) with which each node is reached, for each value of the keys.
 
-    `within` ends paths that are longer; prune takes the labels that are to go on and returns those worth it. Nodes
-    that aren't reached have no row.
+    adjacency: src, dst, w, or what steps_of() has made of it, possibly with `bar`, an object that may not come to dst.
+    `within` ends paths that are longer; bounds gets the labels that a job has found and returns keys and `most`, beyond
+    which labels of these keys go no further (for each key that has labels; a null is no bound). Nodes that aren't reached
+    have no row, and no length is below 0.
     """
-    if in_tasks and prune is None and (net := compact(adjacency)):
-        return _searched(seeds, net, keys, within)
     global ROUNDS
     work, names = Workspace(seeds.sparkSession, "relax"), [*keys, "node"]
-    steps = adjacency.select("src", "dst", "w")
+    steps = adjacency if "own" in adjacency.columns else work.write(steps_of(adjacency))
+    fresh = {"n": F.count_if("fresh"), "near": F.min(F.when(F.col("fresh"), F.col("dist")))}
 
-    def least(rows: DataFrame, *more: str) -> DataFrame:
+    def least(rows: DataFrame, *more: Column | str) -> DataFrame:
         return rows.groupBy(*names).agg(F.min(F.struct("dist", "obj", *more)).alias("b")).select(*names, "b.*")
 
-    start = seeds.select(*names, "dist", "obj")
+    start = seeds.select(*names, F.col("dist").cast("double").alias("dist"), "obj")
     if within is not None:
         start = start.where(F.col("dist") <= within)
-    labels = work.write(least(start).withColumn("new", F.lit(True)))
-    hops = HOPS
-    while not labels.where("new").isEmpty():
-        ROUNDS += hops
-        known = labels.select(*names, F.struct("dist", "obj").alias("old"))
-        going, changes = labels.where("new").select(*names, "dist", "obj"), None
-        for hop in range(1, hops + 1):
-            going = prune(going) if prune else going
-            far = least(going.join(steps, going["node"] == steps["src"]).select(*keys, F.col("dst").alias("node"), (F.col("dist") + F.col("w")).alias("dist"), "obj"))
-            if within is not None:
-                far = far.where(F.col("dist") <= within)
-            # equal labels have been sent on before
-            going = far.join(known, names, "left").where(F.col("old").isNull() | (F.struct("dist", "obj") < F.col("old"))).select(*names, "dist", "obj")
-            own = going.withColumn("hop", F.lit(hop))
-            changes = own if changes is None else changes.unionByName(own)
-        # of a job's changes those of its last hop are yet to be sent on
-        changed = least(changes, "hop").select(*names, F.struct("dist", "obj").alias("b"), (F.col("hop") == hops).alias("last"))
-        merged = known.join(changed, names, "full").select(*names, F.coalesce("b", "old").alias("b"), F.coalesce("last", F.lit(False)).alias("new"))
-        done, labels = labels, work.write(merged.select(*names, "b.dist", "b.obj", "new"))
-        work.drop(done)
-        hops = min(2 * hops, MOST_HOPS)
-    return labels.drop("new")
-
-
-class Compact:
-    """A network as arrays: the edges of node i are first[i]:first[i + 1]."""
-
-    def __init__(self, src: np.ndarray, dst: np.ndarray, w: np.ndarray):
-        nodes, at = np.unique(np.concatenate([src, dst]), return_inverse=True)
-        order = np.argsort(at[: len(src)], kind="stable")
-        self.nodes = nodes
-        self.first = np.searchsorted(at[: len(src)][order], np.arange(len(nodes) + 1)).tolist()
-        self.dst, self.w = at[len(src) :][order].tolist(), w[order].tolist()
-
-    def search(self, node: np.ndarray, dist: np.ndarray, obj: np.ndarray, within: float | None) -> tuple[list, list, list]:
-        """Nodes with their least (dist, obj) from the seeds; labels leave the heap in that order."""
-        place = np.searchsorted(self.nodes, node)
-        heap = list(zip(dist.tolist(), obj.tolist(), place.tolist(), strict=True))
-        heapq.heapify(heap)
-        best: dict[int, tuple[float, int]] = {}
-        while heap:
-            d, o, i = heapq.heappop(heap)
-            if i in best or within is not None and d > within:
-                continue
-            best[i] = (d, o)
-            for k in range(self.first[i], self.first[i + 1]):
-                if self.dst[k] not in best:
-                    heapq.heappush(heap, (d + self.w[k], o, self.dst[k]))
-        return self.nodes[list(best)], [d for d, _ in best.values()], [o for _, o in best.values()]
-
-
-    def nearest(self, ends: list[tuple[float, int]], rest: dict[int, tuple[float, int]]) -> tuple[float, int] | None:
-        """The least (dist, obj) that an expansion from places finds; rest: what is nearest from a place on its edges."""
-        heap, seen, best = list(ends), set(), None
-        heapq.heapify(heap)
-        while heap:
-            d, i = heapq.heappop(heap)
-            if best is not None and d > best[0]:
+    found, seen = work.write_seen(least(start, F.lit(True).alias("fresh")), **fresh)
+    tables, hops = [found], HOPS
+    top = None if delta is None else delta
+    while seen["n"]:
+        light = steps if delta is None else steps.where((F.col("w") <= delta) | F.col("own"))
+        while True:
+            going = F.col("fresh") if top is None else F.col("fresh") & (F.col("dist") < top)
+            frontier = tables[-1].where(going)
+            if top is not None and not seen["near"] < top:
+                break
+            tables, seen = _job(work, tables, frontier, light, going, keys, within, bounds, least, hops, fresh)
+            ROUNDS, hops = ROUNDS + hops, min(2 * hops, MOST_HOPS)
+            if not seen["n"]:
                 break
-            if i in seen:
-                continue
-            seen.add(i)
-            if i in rest:
-                found = (d + rest[i][0], rest[i][1])
-                best = found if best is None else min(best, found)
-            for k in range(self.first[i], self.first[i + 1]):
-                if self.dst[k] not in seen and (best is None or d + self.w[k] <= best[0]):
-                    heapq.heappush(heap, (d + self.w[k], self.dst[k]))
-        return best
-
-
-def compact(adjacency: DataFrame) -> Compact | None:
-    """The network as arrays if it has no more than LOCAL_EDGES directed edges; no more than one over is read."""
-    edges = adjacency.select("src", "dst", "w").limit(LOCAL_EDGES + 1).toPandas()
-    if len(edges) > LOCAL_EDGES:
-        return None
-    return Compact(edges.src.to_numpy(np.int64), edges.dst.to_numpy(np.int64), edges.w.to_numpy(np.float64))
-
-
-def _searched(seeds: DataFrame, small: Compact, keys: tuple[str, ...], within: float | None) -> DataFrame:
-    """relax() for a network that was found small enough to be sent to every task."""
-    spark = seeds.sparkSession
-    net = spark.sparkContext.broadcast(small)
-    # as many seeds as nodes, at most, for each value of the keys
-    start = seeds.groupBy(*keys, "node").agg(F.min(F.struct("dist", "obj")).alias("b")).select(*keys, "node", "b.dist", "b.obj")
-    known = start.join(F.broadcast(spark.createDataFrame(pd.DataFrame({"node": small.nodes}), "node long")), "node", "left_semi")
-    schema = "".join(f"{k} {seeds.schema[k].dataType.simpleString()}, " for k in keys) + "node long, dist double, obj long"
-
-    def search(part: pd.DataFrame) -> pd.DataFrame:
-        node, dist, obj = net.value.search(part.node.to_numpy(np.int64), part.dist.to_numpy(np.float64), part.obj.to_numpy(np.int64), within)
-        return pd.DataFrame({**{k: part[k].iloc[0] for k in keys}, "node": node, "dist": dist, "obj": obj})
-
-    return known.groupBy(*keys).applyInPandas(search, schema)
+        if top is None:
+            break
+        # the bucket stands still: its labels are the least, and heavy steps lead beyond it
+        bucket = least(_all(tables)).where((F.col("dist") >= top - delta) & (F.col("dist") < top)).withColumn("fresh", F.lit(True))
+        heavy = steps.where((F.col("w") > delta) | F.col("own"))
+        tables, _ = _job(work, tables, bucket, heavy, F.col("dist") < top, keys, within, bounds, least, 1, fresh)
+        ROUNDS += 1
+        waiting = least(_all(tables)).where(F.col("dist") >= top)
+        near = waiting.agg(F.min("dist")).first()[0]
+        if near is None:
+            break
+        top = max((near // delta + 1) * delta, math.nextafter(near, math.inf))
+        found, seen = work.write_seen(waiting.where(F.col("dist") < top).withColumn("fresh", F.lit(True)), **fresh)
+        tables = [*tables, found]
+    if len(tables) == 1:
+        return tables[0].drop("fresh")
+    return work.write(least(_all(tables)))
+
+
+def _all(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
+
+
+def _job(work, tables, frontier, steps, going, keys, within, bounds, least, hops, fresh) -> tuple[list[DataFrame], dict]:
+    """tables and one more: the labels that `hops` hops from the frontier find and that are better than all before."""
+    names = [*keys, "node"]
+    if len(tables) > TABLES:
+        # what is merged has been sent on, or waits in the table that is merged last
+        merged = work.write(least(_all(tables[:-1])).withColumn("fresh", F.lit(False)))
+        work.drop(*tables[:-1])
+        tables = [merged, tables[-1]]
+    known = _all(tables).select(*names, F.struct("dist", "obj").alias("old"))
+    limit = F.lit(None).cast("double") if within is None else F.lit(float(within))
+    if bounds is None:
+        state = frontier.withColumn("most", limit)
+    else:
+        most = bounds(tables[-1])
+        state = frontier.join(most, list(keys), "left").withColumn("most", F.least("most", limit)).where("most is null or dist <= most")
+    s, e = "s.", "e."
+    for _ in range(hops):
+        goes = (F.col("s.goes") & ~F.col("e.own")) | F.col("e.own")
+        marked = state.withColumn("goes", going)
+        moved = marked.alias("s").join(steps.alias("e"), (F.col("s.node") == F.col("e.src")) & goes)
+        if "bar" in steps.columns:
+            moved = moved.where("e.own or e.bar is null or e.bar <> s.obj")
+        waits = F.when(F.col("e.own"), F.col("s.fresh") & ~F.col("s.goes")).otherwise(F.lit(True)).alias("fresh")
+        moved = moved.select(*[s + k for k in keys], F.col(e + "dst").alias("node"), (F.col("s.dist") + F.col("e.w")).alias("dist"), "s.obj", waits, "s.most")
+        moved = least(moved.where("most is null or dist <= most"), "fresh", "most")
+        state = moved.alias("m").join(known.alias("k"), [F.col(f"m.{c}") == F.col(f"k.{c}") for c in names] + [F.col("k.old") <= F.struct("m.dist", "m.obj")], "left_anti")
+    found, seen = work.write_seen(state.drop("most"), **fresh)
+    return [*tables, found], seen
 
 
 def relax_two(seeds: DataFrame, adjacency: DataFrame) -> DataFrame:
-    """node, dist, obj, rank: the two nearest different objects of each node."""
-    work = Workspace(seeds.sparkSession, "relax-two")
-    steps = adjacency.select("src", "dst", "w")
-
-    def merged(labels: DataFrame) -> DataFrame:
-        each = labels.groupBy("node", "obj").agg(F.min(F.struct("dist", "new")).alias("b")).select("node", "obj", "b.dist", "b.new")
-        return each.withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy("dist", "obj"))).where("rank <= 2")
-
-    labels = work.write(merged(seeds.select("node", "dist", "obj").withColumn("new", F.lit(True))))
-    while not labels.where("new").isEmpty():
-        going = labels.where("new")
-        far = going.join(steps, going["node"] == steps["src"]).select(F.col("dst").alias("node"), (F.col("dist") + F.col("w")).alias("dist"), "obj", F.lit(True).alias("new"))
-        done, labels = labels, work.write(merged(labels.drop("rank").withColumn("new", F.lit(False)).unionByName(far)))
-        work.drop(done)
-    return labels.drop("new")
+    """node, dist, obj, rank: the two nearest different objects of each node.
 
-
-def shortest_paths(network: RoadNetwork, sources: DataFrame, in_tasks: bool = False) -> DataFrame:
+    The nearest are found first. A second one comes from a seed, from a neighbour's nearest where that is another object,
+    or from a neighbour's second; what is nearest at a node is barred from being its second.
+    """
+    work = Workspace(seeds.sparkSession, "relax-two")
+    steps = work.write(steps_of(adjacency))
+    nearest = relax(seeds, steps)
+    own = nearest.select("node", F.col("obj").alias("bar"))
+    barred = work.write(steps.join(own.withColumnRenamed("node", "dst"), "dst", "left").select("src", "dst", "w", "own", "bar"))
+    across = nearest.join(barred.where("not own"), F.col("node") == F.col("src")).where("bar is null or bar <> obj")
+    across = across.select(F.col("dst").alias("node"), (F.col("dist") + F.col("w")).alias("dist"), "obj")
+    others = seeds.select("node", "dist", "obj").join(own, "node").where("bar <> obj").drop("bar")
+    second = relax(work.write(others.unionByName(across)), barred)
+    return nearest.withColumn("rank", F.lit(1)).unionByName(second.withColumn("rank", F.lit(2)))
+
+
+def shortest_paths(network: RoadNetwork, sources: DataFrame, delta: float | None = None) -> DataFrame:
     """source, node, dist, parent: shortest paths from every source; parent is the least node before on such a path."""
-    from nearway.operators.contract import Contracted
-
     adjacency = network.adjacency
     start = sources.select(F.col("node_id").alias("source"), F.col("node_id").alias("node"), F.lit(0.0).alias("dist"), F.lit(0).cast("long").alias("obj")).distinct()
-    found = relax(start, adjacency, ("source",), in_tasks=True) if in_tasks else Contracted(network).labels(start, ("source",))
-    found = found.drop("obj")
+    found = network.contracted.labels(start, ("source",), delta=delta).drop("obj")
     before = found.select(F.col("source").alias("s"), F.col("node").alias("src"), F.col("dist").alias("d"))
     steps = adjacency.select("src", F.col("dst").alias("node"), "w")
     parents = found.join(steps, "node").join(before, (F.col("source") == F.col("s")) & (before["src"] == steps["src"])).where("abs(d + w - dist) <= 1e-9 * (1 + dist) and w > 0").groupBy("source", "node").agg(F.min(steps["src"]).alias("parent"))
@@ -203,11 +187,9 @@ def simple_paths(network: RoadNetwork, source: int, target: int, k: int, at_once
     target is the least it can come to. Once k paths have arrived, what can't be as short as they are goes; a path's
     length has no bound but that it is simple.
     """
-    from nearway.operators.contract import Contracted
-
     spark = network.edges.sparkSession
     work, steps = Workspace(spark, "paths"), network.adjacency.groupBy("src", "dst").agg(F.min("w").alias("w"))
-    rest = Contracted(network).labels(spark.createDataFrame([(target, 0.0, 0)], "node long, dist double, obj long")).select(F.col("node").alias("dst"), F.col("dist").alias("rest"))
+    rest = network.contracted.labels(spark.createDataFrame([(target, 0.0, 0)], "node long, dist double, obj long")).select(F.col("node").alias("dst"), F.col("dist").alias("rest"))
     steps = work.write(steps.join(rest, "dst"))
     live = work.write(spark.createDataFrame([(source, 0.0, 0.0, [source])], "node long, cost double, least double, nodes array<long>"))
     ended = work.write(live.where(F.col("node") == target))

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from nearway.network import RoadNetwork
 from nearway.operators.ann import nearest
-from nearway.operators.chains import chain_edges, closed_ends, objects_on_chains
-from nearway.operators.contract import Contracted
+from nearway.operators.chains import closed_ends, objects_on_chains
 from nearway.operators.relax import seeds_of
 from nearway.skew import in_order, islands
 from nearway.storage import Workspace
@@ -33,7 +32,7 @@ def edge_runs(network: RoadNetwork) -> DataFrame:
 
 def chain_runs(network: RoadNetwork, kind: bool = True, chains: DataFrame | None = None) -> DataFrame:
     """chain_id, run, n, first_obj, last_obj: runs of the objects of one type along each chain."""
-    chains = chain_edges(network) if chains is None else chains
+    chains = network.chains if chains is None else chains
     r = runs(objects_on_chains(network, chains), "chain_id", "at").where(F.col("is_query") == kind)
     return r.groupBy("chain_id", "run").agg(F.first("n").alias("n"), F.min_by("obj_id", "seq").alias("first_obj"), F.max_by("obj_id", "seq").alias("last_obj"))
 
@@ -57,7 +56,7 @@ def shared_execution(network: RoadNetwork, marked: DataFrame) -> DataFrame:
     searched and all others take its sum.
     """
     work = Workspace(network.edges.sparkSession, "shared")
-    chains = work.write(chain_edges(network))
+    chains = network.chains
     answering = marked.where("not asks")
     on_chain = objects_on_chains(network, chains).drop("is_query").join(marked.select("obj_id", F.col("asks").alias("is_query")), "obj_id")
     made = runs(on_chain, "chain_id", "at")
@@ -69,7 +68,7 @@ def shared_execution(network: RoadNetwork, marked: DataFrame) -> DataFrame:
     is_end = ((F.col("seq") == 1) & ~F.col("no_way_back")) | ((F.col("seq") == F.col("n")) & ~F.col("no_way_on"))
     ends = members.where(is_end)
     searched = marked.join(ends.select("obj_id", F.lit(True).alias("is_end")), "obj_id", "left").where("is_end or not asks")
-    found = work.write(nearest(searched, Contracted(network, chains).labels(seeds_of(network, answering))))
+    found = work.write(nearest(searched, network.contracted.labels(seeds_of(network, answering))))
     known = ends.join(found, F.col("obj_id") == F.col("q")).select("chain_id", "run", F.col("at").alias("end_at"), "dist", "obj")
     inner = members.where(~is_end).join(known, ["chain_id", "run"]).select(F.col("obj_id").alias("q"), (F.col("dist") + F.abs(F.col("at") - F.col("end_at"))).alias("dist"), "obj")
     best = inner.groupBy("q").agg(F.min(F.struct("dist", "obj")).alias("b")).select("q", "b.dist", "b.obj")

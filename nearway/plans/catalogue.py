@@ -70,8 +70,8 @@ for _variant, _prefix in (("dense", "ann"), ("mixed", "ann_mixed"), ("ring", "an
 on_network("ann_scl_false_to_true", lambda n: ann.all_nearest(n, "false_to_true", "scl"), ann_sql(False), "mixed")
 on_network("ann_naive", lambda n: ann.all_nearest(n, "true_to_false", "naive"), ann_sql(True))
 on_network("ann_mixed_naive", lambda n: ann.all_nearest(n, "true_to_false", "naive"), ann_sql(True), "mixed")
-on_network("ann_in_tasks", lambda n: ann.all_nearest(n, "true_to_false", in_tasks=True), ann_sql(True), "mixed")
-on_network("ann_naive_in_tasks", lambda n: ann.all_nearest(n, "true_to_false", "naive", in_tasks=True), ann_sql(True), "mixed")
+for _name, _algorithm in (("ann_in_tasks", "parts"), ("ann_naive_in_tasks", "parts_naive")):
+    on_network(_name, lambda n, a=_algorithm: ann.all_nearest(n, "true_to_false", a, derived.node_parts(n)), ann_sql(True), "mixed")
 
 
 def _vivet(n):

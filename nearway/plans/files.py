@@ -153,8 +153,8 @@ GENERATORS: dict[str, tuple[Callable[[RoadNetwork], DataFrame], str]] = {
 CHAINS: dict[str, tuple[Callable[[RoadNetwork], DataFrame], str]] = {
     "nodes_per_chain": (chains.nodes_per_chain, "SELECT chain_id, count(*) + 1 AS n_nodes FROM chain GROUP BY chain_id"),
     "objects_to_chain_ends": (chains.to_chain_ends, "SELECT obj_id, chain_id, place AS to_first, total - place AS to_last FROM (SELECT chain_id, obj_id, start_at + CASE WHEN reversed THEN c.length - dist_from_start ELSE dist_from_start END AS place FROM objects o JOIN chain c USING (edge_id)) JOIN (SELECT chain_id, sum(length) AS total FROM chain GROUP BY chain_id) USING (chain_id)"),
-    "bad_chains": (lambda n: chains.bad_chains(n, chains.chain_edges(n)).agg(F.count(F.lit(1)).alias("n")), "SELECT 0::BIGINT AS n"),
-    "misplaced_objects": (lambda n: runs.misplaced_objects(n, chains.chain_edges(n)).agg(F.count(F.lit(1)).alias("n")), "SELECT 0::BIGINT AS n"),
+    "bad_chains": (lambda n: chains.bad_chains(n, n.chains).agg(F.count(F.lit(1)).alias("n")), "SELECT 0::BIGINT AS n"),
+    "misplaced_objects": (lambda n: runs.misplaced_objects(n, n.chains).agg(F.count(F.lit(1)).alias("n")), "SELECT 0::BIGINT AS n"),
     "dead_ends": (chains.dead_ends, "SELECT chain_id, min(tip) AS tip FROM (SELECT chain_id, CASE WHEN deg_a = 1 THEN a ELSE b END AS tip FROM (SELECT c.chain_id, CASE WHEN reversed THEN end_node ELSE start_node END AS a, CASE WHEN reversed THEN start_node ELSE end_node END AS b, x.n AS deg_a, y.n AS deg_b FROM chain c JOIN edges e USING (edge_id) JOIN deg x ON x.src = CASE WHEN reversed THEN end_node ELSE start_node END JOIN deg y ON y.src = CASE WHEN reversed THEN start_node ELSE end_node END) WHERE deg_a = 1 OR deg_b = 1) GROUP BY chain_id"),
 }
 

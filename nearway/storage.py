@@ -7,7 +7,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 UNION = "spark.sql.unionOutputPartitioning"
@@ -77,6 +77,15 @@ class Workspace:
         self.paths[id(out)] = (out, path)
         return out
 
+    def write_seen(self, df: DataFrame, **seen: Column) -> tuple[DataFrame, dict]:
+        """As write(), and aggregates of df's rows that are taken while they are written, which spares a job.
+
+        A task that runs again may count twice, so they only tell whether there are rows, or the least or greatest value.
+        """
+        watch = Observation()
+        out = self.write(df.observe(watch, *[c.alias(k) for k, c in seen.items()]))
+        return out, watch.get
+
     def drop(self, *tables: DataFrame) -> None:
         for df in tables:
             _, path = self.paths.pop(id(df), (None, None))
