@@ -74,7 +74,7 @@ def relax(
     while seen["n"]:
         light = steps if delta is None else steps.where((F.col("w") <= delta) | F.col("own"))
         while True:
-            going = F.col("fresh") if top is None else F.col("fresh") & (F.col("dist") < top)
+            going = "fresh" if top is None else f"fresh AND dist < {top!r}D"
             frontier = tables[-1].where(going)
             if top is not None and not seen["near"] < top:
                 break
@@ -87,7 +87,7 @@ def relax(
         # the bucket stands still: its labels are the least, and heavy steps lead beyond it
         bucket = least(_all(tables)).where((F.col("dist") >= top - delta) & (F.col("dist") < top)).withColumn("fresh", F.lit(True))
         heavy = steps.where((F.col("w") > delta) | F.col("own"))
-        tables, _ = _job(work, tables, bucket, heavy, F.col("dist") < top, keys, within, bounds, least, 1, fresh)
+        tables, _ = _job(work, tables, bucket, heavy, f"dist < {top!r}D", keys, within, bounds, least, 1, fresh)
         ROUNDS += 1
         waiting = least(_all(tables)).where(F.col("dist") >= top)
         near = waiting.agg(F.min("dist")).first()[0]
@@ -116,25 +116,23 @@ def _job(work, tables, frontier, steps, going, keys, within, bounds, least, hops
         merged = work.write(least(_all(tables[:-1])).withColumn("fresh", F.lit(False)))
         work.drop(*tables[:-1])
         tables = [merged, tables[-1]]
-    known = _all(tables).select(*names, F.struct("dist", "obj").alias("old"))
-    limit = F.lit(None).cast("double") if within is None else F.lit(float(within))
     if bounds is None:
-        state = frontier.withColumn("most", limit)
+        start = frontier.withColumn("most", F.lit(within).cast("double"))
     else:
-        most = bounds(tables[-1])
-        state = frontier.join(most, list(keys), "left").withColumn("most", F.least("most", limit)).where("most is null or dist <= most")
-    s, e = "s.", "e."
+        start = frontier.join(bounds(tables[-1]), list(keys), "left").withColumn("most", F.least("most", F.lit(within).cast("double")))
+    # one statement, which is analysed once however many hops it has
+    quoted = [f"`{c}`" for c in names]
+    listed, carried = ", ".join(quoted), "".join(f"s.{c}, " for c in quoted[:-1])
+    same, bar = " AND ".join(f"m.{c} = k.{c}" for c in quoted), "AND (e.own OR e.bar IS NULL OR e.bar <> s.obj)" if "bar" in steps.columns else ""
+    rows = f"SELECT {listed}, dist, obj, fresh, most FROM {{start}} WHERE most IS NULL OR dist <= most"
     for _ in range(hops):
-        goes = (F.col("s.goes") & ~F.col("e.own")) | F.col("e.own")
-        marked = state.withColumn("goes", going)
-        moved = marked.alias("s").join(steps.alias("e"), (F.col("s.node") == F.col("e.src")) & goes)
-        if "bar" in steps.columns:
-            moved = moved.where("e.own or e.bar is null or e.bar <> s.obj")
-        waits = F.when(F.col("e.own"), F.col("s.fresh") & ~F.col("s.goes")).otherwise(F.lit(True)).alias("fresh")
-        moved = moved.select(*[s + k for k in keys], F.col(e + "dst").alias("node"), (F.col("s.dist") + F.col("e.w")).alias("dist"), "s.obj", waits, "s.most")
-        moved = least(moved.where("most is null or dist <= most"), "fresh", "most")
-        state = moved.alias("m").join(known.alias("k"), [F.col(f"m.{c}") == F.col(f"k.{c}") for c in names] + [F.col("k.old") <= F.struct("m.dist", "m.obj")], "left_anti")
-    found, seen = work.write_seen(state.drop("most"), **fresh)
+        moved = f"""SELECT {carried} e.dst AS node, s.dist + e.w AS dist, s.obj, NOT e.own OR (s.fresh AND NOT ({going})) AS fresh, s.most
+            FROM ({rows}) s JOIN {{steps}} e ON s.node = e.src AND (e.own OR ({going})) {bar}"""
+        least_of = f"SELECT {listed}, min(struct(dist, obj, fresh, most)) AS b FROM ({moved}) WHERE most IS NULL OR dist <= most GROUP BY {listed}"
+        rows = f"""SELECT m.* FROM (SELECT {listed}, b.* FROM ({least_of})) m
+            LEFT ANTI JOIN {{known}} k ON {same} AND struct(k.dist, k.obj) <= struct(m.dist, m.obj)"""
+    state = work.spark.sql(f"SELECT {listed}, dist, obj, fresh FROM ({rows})", start=start, steps=steps, known=_all(tables).select(*names, "dist", "obj"))
+    found, seen = work.write_seen(state, **fresh)
     return [*tables, found], seen
 
 
