@@ -110,12 +110,11 @@ def _all(tables: list[DataFrame]) -> DataFrame:
 
 def _job(work, tables, frontier, steps, going, keys, within, bounds, least, hops, fresh) -> tuple[list[DataFrame], dict]:
     """tables and one more: the labels that `hops` hops from the frontier find and that are better than all before."""
-    names = [*keys, "node"]
+    names, merged_from = [*keys, "node"], []
     if len(tables) > TABLES:
         # what is merged has been sent on, or waits in the table that is merged last
         merged = work.write(least(_all(tables[:-1])).withColumn("fresh", F.lit(False)))
-        work.drop(*tables[:-1])
-        tables = [merged, tables[-1]]
+        merged_from, tables = tables[:-1], [merged, tables[-1]]
     if bounds is None:
         start = frontier.withColumn("most", F.lit(within).cast("double"))
     else:
@@ -133,6 +132,7 @@ def _job(work, tables, frontier, steps, going, keys, within, bounds, least, hops
             LEFT ANTI JOIN {{known}} k ON {same} AND struct(k.dist, k.obj) <= struct(m.dist, m.obj)"""
     state = work.spark.sql(f"SELECT {listed}, dist, obj, fresh FROM ({rows})", start=start, steps=steps, known=_all(tables).select(*names, "dist", "obj"))
     found, seen = work.write_seen(state, **fresh)
+    work.drop(*merged_from)  # the frontier may have read them
     return [*tables, found], seen
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearway.functions.scalar import euclidean, is_integer, objects_that_fit, round_half_up
-from nearway.operators import ann, chains, generate, lookup, on_edge, parts, relax, runs, stats
+from nearway.operators import ann, chains, generate, lookup, on_edge, partition, parts, relax, runs, stats
 from nearway.plans import derived, files
 from nearway.sources.readers import word_count
 from nearway.sources.writers import hgr_rows, metis_rows, reindexed_edges, without_reverse_edges
@@ -90,6 +90,8 @@ x AS (SELECT e.obj_id AS q, t.obj_id AS o, e.off + t.c AS c FROM ends e JOIN two
   UNION ALL SELECT a.obj_id, b.obj_id, abs(a.dist_from_start - b.dist_from_start) FROM objects a JOIN objects b ON a.edge_id = b.edge_id AND a.obj_id <> b.obj_id)
 SELECT q AS query_obj_id, CAST(min(c * 10000000 + o) % 10000000 AS BIGINT) AS data_obj_id, CAST(min(c * 10000000 + o) // 10000000 AS DOUBLE) AS distance FROM x GROUP BY q""")
 
+on_network("ann_by_parts", lambda n: ann.all_nearest(n, "true_to_false", "parts", partition.balanced_parts(n, 4)), ann_sql(True), "mixed")
+
 # shortest paths
 
 DIJKSTRA = """,
@@ -140,6 +142,22 @@ on_network("border_pair_sp_across", _with_parts(parts.border_paths, across=True)
 on_network("overlay_edges", _with_parts(parts.overlay_edges), INNER + BORDER_LABELS.format(adj="inner_adj") + """SELECT start_node, end_node, CAST(length AS DOUBLE) AS length, true AS is_cut FROM cut
 UNION ALL SELECT s, t, CAST(c AS DOUBLE), false FROM d WHERE s < t AND t IN (SELECT node_id FROM border)""", "mixed")
 on_network("part_counts", lambda n: parts.part_counts(n, derived.node_parts(n)), " SELECT part_id, count(*) AS n_nodes, round(100.0 * count(*) / (SELECT count(*) FROM parts), 2)::DOUBLE AS percent FROM parts GROUP BY part_id")
+PIECES = 4
+
+
+def _partition_report(n):
+    """One row: nodes, parts, whether the largest part is within 5 % of the mean, and whether fewer edges are cut than by blocks."""
+    made = partition.balanced_parts(n, PIECES)
+    sizes = made.groupBy("part_id").agg(F.count(F.lit(1)).alias("size"), F.countDistinct("node_id").alias("different"))
+    one = sizes.agg(F.sum("size").alias("n_nodes"), F.sum("different").alias("n_different"), F.count(F.lit(1)).alias("n_parts"), (F.max("size") <= F.ceil(1.05 * F.sum("size") / PIECES)).alias("balanced"))
+    cut, by_blocks = (parts.cut_edges(n, p).agg(F.count(F.lit(1)).alias(c)) for p, c in ((made, "cut"), (derived.node_parts(n, PIECES), "blocks")))
+    return one.crossJoin(cut).crossJoin(by_blocks).select("n_nodes", "n_different", "n_parts", "balanced", (F.col("cut") < F.col("blocks")).alias("fewer_cut"), F.col("blocks").alias("n_cut_by_blocks"))
+
+
+on_network("balanced_parts", _partition_report, f""",
+block AS (SELECT src AS node_id, CAST(floor(src * {PIECES} / CAST((SELECT max(src) + 1 FROM adj) AS DOUBLE)) AS INTEGER) AS part_id FROM (SELECT DISTINCT src FROM adj))
+SELECT count(*) AS n_nodes, count(*) AS n_different, {PIECES}::BIGINT AS n_parts, true AS balanced, true AS fewer_cut,
+(SELECT count(*) FROM edges JOIN block a ON a.node_id = start_node JOIN block b ON b.node_id = end_node WHERE a.part_id <> b.part_id) AS n_cut_by_blocks FROM block""", "mixed")
 on_network("virtual_source", lambda n: parts.virtual_source(n, derived.node_parts(n), 2_147_483_647), " SELECT 2147483647::BIGINT AS start_node, node_id AS end_node, 0.0::DOUBLE AS length FROM border")
 on_network("edges_within_radius", lambda n: parts.edges_within(n, 0, 2500), """,
 d(t, c) USING KEY (t) AS (SELECT node, CAST(0 AS BIGINT) FROM (SELECT start_node AS node FROM edges WHERE edge_id = 0 UNION SELECT end_node FROM edges WHERE edge_id = 0) UNION

@@ -73,9 +73,9 @@ def test_offset_beyond_the_edge_is_rejected(spark):
     assert [r["obj_id"] for r in lost.collect()] == [103]
 
 
-@pytest.mark.parametrize("in_tasks", [False, True])
-def test_shortest_paths(tiny, in_tasks):
-    found = shortest_paths(tiny, tiny.nodes.where("node_id = 1"), in_tasks)
+@pytest.mark.parametrize("delta", [None, 4.0])
+def test_shortest_paths(tiny, delta):
+    found = shortest_paths(tiny, tiny.nodes.where("node_id = 1"), delta)
     assert {r["node"]: round(r["dist"], 2) for r in found.collect()} == {1: 0.0, 2: 5.0, 3: 3.6, 4: 8.07, 5: 4.24, 6: 9.24, 7: 11.23}
 
 

@@ -32,10 +32,10 @@ def together(cases):
     return all_edges, all_objects, expected
 
 
-@pytest.mark.parametrize("algorithm, in_tasks", [("voronoi", False), ("naive", False), ("scl", False), ("voronoi", True), ("naive", True)])
-def test_cases(spark, algorithm, in_tasks):
+@pytest.mark.parametrize("algorithm", ["voronoi", "naive", "scl", "parts", "parts_naive"])
+def test_cases(spark, algorithm):
     edges, objects, expected = together(CASES.values())
-    found = all_nearest(network(spark, edges, objects), "true_to_false", algorithm, in_tasks)
+    found = all_nearest(network(spark, edges, objects), "true_to_false", algorithm)
     assert found.count() == sum(o[2] for o in objects)
     assert answers(found) == expected
 
@@ -66,10 +66,10 @@ def test_long_chains_in_slots(spark, monkeypatch, slot_rows=7):
     monkeypatch.setattr(contract, "SLOT_ROWS", slot_rows)
     edges, objects = long_network(random.Random(slot_rows))
     net = network(spark, edges, objects)
-    for algorithm, in_tasks in (("voronoi", False), ("scl", False), ("naive", True)):
-        assert answers(all_nearest(net, "true_to_false", algorithm, in_tasks)) == exact(edges, objects), algorithm
+    for algorithm in ("voronoi", "scl", "naive"):
+        assert answers(all_nearest(net, "true_to_false", algorithm)) == exact(edges, objects), algorithm
     sources = net.nodes.where("node_id in (0, 101, 1003)")
-    paths = [{(x["source"], x["node"]): x["dist"] for x in relax.shortest_paths(net, sources, in_tasks).collect()} for in_tasks in (False, True)]
+    paths = [{(x["source"], x["node"]): x["dist"] for x in relax.shortest_paths(net, sources, delta).collect()} for delta in (None, 400.0)]
     assert paths[0] == paths[1] and len(paths[0]) > 300
 
 
@@ -85,8 +85,8 @@ def test_algorithms_agree_on_random_networks(spark):
     r = random.Random(20)
     edges, objects, expected = together([random_network(r) for _ in range(60)])
     net = network(spark, edges, objects)
-    for algorithm, in_tasks in (("voronoi", False), ("scl", False), ("naive", True)):
-        assert answers(all_nearest(net, "true_to_false", algorithm, in_tasks)) == expected, algorithm
+    for algorithm in ("voronoi", "scl", "naive"):
+        assert answers(all_nearest(net, "true_to_false", algorithm)) == expected, algorithm
     assert answers(all_nearest(net, "false_to_true", "scl")) == exact(edges, objects, False)
     chains = chain_edges(net).cache()
     assert chains.count() == len(edges) and bad_chains(net, chains).isEmpty() and misplaced_objects(net, chains).isEmpty()
