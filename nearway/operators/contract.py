@@ -77,7 +77,7 @@ class Contracted:
         known = points.select(*keys, "chain_id", slot, "pos", F.lit(None).cast("long").alias("node"), "at", forth.alias("f"), back.alias("b"))
         # every chain with a point is asked for by each key
         lines = points.select(*keys, "chain_id").distinct()
-        asked = (join_hot(self.inner, lines, ["chain_id"], "node") if not keys else self.inner.join(lines, "chain_id")).select(*keys, "chain_id", slot, "pos", "node", "at", nothing.alias("f"), nothing.alias("b"))
+        asked = join_hot(self.inner, lines, ["chain_id"], "node").select(*keys, "chain_id", slot, "pos", "node", "at", nothing.alias("f"), nothing.alias("b"))
         own = Window.partitionBy(*keys, "chain_id", "slot").orderBy("pos")
         rows = known.unionByName(asked).withColumns({"l": F.min("f").over(own.rangeBetween(Window.unboundedPreceding, 0)), "r": F.min("b").over(own.rangeBetween(0, Window.unboundedFollowing))}).where("node is not null")
         lo, hi = F.col("l"), F.col("r")

@@ -49,13 +49,15 @@ def relax(
     within: float | None = None,
     bounds: Callable[[DataFrame], DataFrame] | None = None,
     delta: float | None = None,
+    known: DataFrame | None = None,
 ) -> DataFrame:
     """keys, node, dist and obj: the least (dist, obj) with which each node is reached, for each value of the keys.
 
     adjacency: src, dst, w, or what steps_of() has made of it, possibly with `bar`, an object that may not come to dst.
     `within` ends paths that are longer; bounds gets the labels that a job has found and returns keys and `most`, beyond
-    which labels of these keys go no further (for each key that has labels; a null is no bound). Nodes that aren't reached
-    have no row, and no length is below 0.
+    which labels of these keys go no further (for each key that has labels; a null is no bound). known: labels that are
+    right as they are and have been sent on, which seeds may better. Nodes that aren't reached have no row, and no length
+    is below 0.
     """
     global ROUNDS
     work, names = Workspace(seeds.sparkSession, "relax"), [*keys, "node"]
@@ -68,8 +70,12 @@ def relax(
     start = seeds.select(*names, F.col("dist").cast("double").alias("dist"), "obj")
     if within is not None:
         start = start.where(F.col("dist") <= within)
+    if known is not None:
+        known = known.select(*names, F.col("dist").cast("double").alias("dist"), "obj")
+        worse = [F.col(f"m.{c}") == F.col(f"k.{c}") for c in names] + [F.struct("k.dist", "k.obj") <= F.struct("m.dist", "m.obj")]
+        start = least(start).alias("m").join(known.alias("k"), worse, "left_anti")
     found, seen = work.write_seen(least(start, F.lit(True).alias("fresh")), **fresh)
-    tables, hops = [found], HOPS
+    tables, hops = [found] if known is None else [known.withColumn("fresh", F.lit(False)), found], HOPS
     top = None if delta is None else delta
     while seen["n"]:
         light = steps if delta is None else steps.where((F.col("w") <= delta) | F.col("own"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from nearway.functions.scalar import euclidean, is_integer, objects_that_fit, round_half_up
 from nearway.operators import ann, chains, generate, lookup, on_edge, partition, parts, relax, runs, stats
+from nearway.operators.stored import StoredLabels
 from nearway.plans import derived, files
 from nearway.sources.readers import word_count
 from nearway.sources.writers import hgr_rows, metis_rows, reindexed_edges, without_reverse_edges
@@ -90,6 +91,17 @@ x AS (SELECT e.obj_id AS q, t.obj_id AS o, e.off + t.c AS c FROM ends e JOIN two
   UNION ALL SELECT a.obj_id, b.obj_id, abs(a.dist_from_start - b.dist_from_start) FROM objects a JOIN objects b ON a.edge_id = b.edge_id AND a.obj_id <> b.obj_id)
 SELECT q AS query_obj_id, CAST(min(c * 10000000 + o) % 10000000 AS BIGINT) AS data_obj_id, CAST(min(c * 10000000 + o) // 10000000 AS DOUBLE) AS distance FROM x GROUP BY q""")
 
+on_network("ann_stored", lambda n: StoredLabels.made(n, False).nearest(), ann_sql(True), "mixed")
+
+
+def _stored_updated(n):
+    """Labels of four fifths of the objects, then the rest come and every seventh data object goes."""
+    o, gone = n.objects, "NOT is_query AND obj_id % 7 = 0"
+    stored = StoredLabels.made(n.with_objects(o.where("obj_id % 5 <> 0")), False)
+    return stored.updated(o.where(f"obj_id % 5 = 0 AND NOT ({gone})"), o.where(f"obj_id % 5 <> 0 AND {gone}")).nearest()
+
+
+on_network("ann_stored_updated", _stored_updated, ", kept AS (SELECT * FROM objects WHERE is_query OR obj_id % 7 <> 0)" + ann_sql(True, objects="kept"), "mixed")
 on_network("ann_by_parts", lambda n: ann.all_nearest(n, "true_to_false", "parts", partition.balanced_parts(n, 4)), ann_sql(True), "mixed")
 
 # shortest paths
@@ -134,6 +146,8 @@ on_network("part_subgraphs", lambda n: parts.part_subgraphs(n, derived.node_part
 SELECT a.part_id, e.edge_id, start_node, end_node, CAST(length AS DOUBLE) AS length, (SELECT count(*) FROM objects o WHERE o.edge_id = e.edge_id) AS n_objects
 FROM edges e JOIN parts a ON a.node_id = start_node JOIN parts b ON b.node_id = end_node WHERE a.part_id = b.part_id""")
 on_network("part_local_ann", _with_parts(parts.part_local_nearest), INNER + ann_sql(True, "inner_adj", "inner_objects"))
+on_network("ann_by_sql_function", _with_parts(files.nearest_by_sql), INNER + ann_sql(True, "inner_adj", "inner_objects"))
+on_network("part_tasks", _with_parts(files.part_tasks, n=derived.PARTS), " SELECT a.part_id, a.part_id AS task, count(*) AS n_edges FROM edges JOIN parts a ON a.node_id = start_node JOIN parts b ON b.node_id = end_node WHERE a.part_id = b.part_id GROUP BY a.part_id")
 on_network("part_local_ann_naive", _with_parts(parts.part_local_nearest, algorithm="naive"), INNER + ann_sql(True, "inner_adj", "inner_objects"))
 on_network("part_local_ann_scl", _with_parts(parts.part_local_nearest, algorithm="scl"), INNER + ann_sql(True, "inner_adj", "inner_objects"), "mixed")
 on_network("part_local_ann_scl_false_to_true", _with_parts(parts.part_local_nearest, direction="false_to_true", algorithm="scl"), INNER + ann_sql(False, "inner_adj", "inner_objects"), "mixed")

@@ -11,9 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from nearway.functions import network_nn
 from nearway.functions.scalar import first_key, key_of_value, last_key
 from nearway.network import RoadNetwork
-from nearway.operators import chains, generate, lookup, relax, runs
+from nearway.operators import chains, generate, lookup, parts, relax, runs
 from nearway.plans import derived
 from nearway.skew import in_order
 from nearway.sources import readers, writers
@@ -168,8 +169,39 @@ def vertices_of_path(net: RoadNetwork) -> DataFrame:
 
 
 def streamed(net: RoadNetwork, labels: DataFrame) -> DataFrame:
-    """The answers of the streaming form, over the table of all queries at once."""
-    return streaming.nearest_in_stream(net.objects.where("is_query").select("obj_id", "edge_id", "dist_from_start"), streaming.edge_candidates(net, labels, False))
+    """The answers of a stream of query files, which is stopped and begun again from its checkpoint as files arrive.
+
+    Both runs take what is there and end. The sink's log names what has been written, so a batch that is run again
+    after a loss adds nothing.
+    """
+    spark = net.edges.sparkSession
+    work = Workspace(spark, "stream")
+    candidates = work.write(streaming.edge_candidates(net, labels, False))
+    queries = net.objects.where("is_query").select("obj_id", "edge_id", "dist_from_start")
+    arrived, found, log = (f"{work.path}/{name}" for name in ("arrived", "found", "log"))
+    for turn in (0, 1):
+        part = queries.where(F.pmod(F.xxhash64("obj_id"), F.lit(2)) == turn)
+        part.repartition(3).write.mode("append").parquet(arrived)
+        stream = spark.readStream.schema(queries.schema).option("maxFilesPerTrigger", 2).parquet(arrived)
+        answers = streaming.nearest_in_stream(stream, candidates)
+        answers.writeStream.format("parquet").option("path", found).option("checkpointLocation", log).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(answers.schema).parquet(found)
+
+
+def part_tasks(net: RoadNetwork, given: DataFrame, n: int) -> DataFrame:
+    """part_id, task, n_edges: edges dealt by part, part i to task i, counted and written there without another exchange."""
+    dealt = parts.part_subgraphs(net, given).select("part_id", "edge_id").repartitionById(n, F.col("part_id"))
+    placed = Workspace(net.edges.sparkSession, "tasks").write(dealt.withColumn("task", F.spark_partition_id()))
+    return placed.groupBy("part_id", "task").agg(F.count(F.lit(1)).alias("n_edges"))
+
+
+def nearest_by_sql(net: RoadNetwork, given: DataFrame) -> DataFrame:
+    """part_local_nearest() by the SQL table function network_nn."""
+    spark = net.edges.sparkSession
+    network_nn.register(spark)
+    subgraphs = parts.part_subgraphs(net, given).select("part_id", "edge_id", "start_node", "end_node", "length", F.explode_outer("objects").alias("o"))
+    rows = subgraphs.select("part_id", "edge_id", "start_node", "end_node", "length", "o.obj_id", "o.is_query", "o.dist_from_start")
+    return spark.sql("SELECT query_obj_id, data_obj_id, distance FROM network_nn(TABLE({rows}))", rows=rows)
 
 
 def scalars(net: RoadNetwork) -> DataFrame:
