@@ -93,9 +93,13 @@ def _lines(network: RoadNetwork) -> tuple[DataFrame, DataFrame]:
     return contracted.ends, objects_on_chains(network, network.chains).select("obj_id", "chain_id", "at")
 
 
+#: Lengths are added in another order than along a path, so distances that differ by less than this share are one.
+SLACK = 1e-12
+
+
 def least_found(rows: DataFrame) -> DataFrame:
-    """q, dist, obj: the least of each query."""
-    return rows.groupBy("q").agg(F.min(F.struct("dist", "obj")).alias("b")).select("q", "b.dist", "b.obj")
+    """q, dist, obj: the least of each query; distances that are equal but for the last digits are a tie."""
+    return rows.groupBy("q").agg(F.min(F.struct(F.round("dist", 9).alias("r"), "obj", "dist")).alias("b")).select("q", "b.dist", "b.obj")
 
 
 def expand(starts: DataFrame, steps: DataFrame, entry: DataFrame, own: DataFrame) -> DataFrame:
@@ -105,10 +109,10 @@ def expand(starts: DataFrame, steps: DataFrame, entry: DataFrame, own: DataFrame
     that are found without an expansion. A query's bound is a row, told anew with each job.
     """
     work = Workspace(starts.sparkSession, "expand")
-    bound = [work.write(own.groupBy("q").agg(F.min("dist").alias("most")))]
+    bound = [work.write(own.groupBy("q").agg((F.min("dist") * (1 + SLACK)).alias("most")))]
 
     def bounds(labels: DataFrame) -> DataFrame:
-        met = labels.join(entry, "node").select("q", (F.col("dist") + F.col("rest")).alias("most"))
+        met = labels.join(entry, "node").select("q", ((F.col("dist") + F.col("rest")) * (1 + SLACK)).alias("most"))
         bound.append(work.write(bound[-1].unionByName(met).groupBy("q").agg(F.min("most").alias("most"))))
         return bound[-1]
 
@@ -124,8 +128,9 @@ def _naive(network: RoadNetwork, marked: DataFrame) -> DataFrame:
     on_line = work.write(places.join(marked.select("obj_id", "asks"), "obj_id").join(lines, "chain_id"))
     ends = F.explode(F.array(F.struct(F.col("first").alias("node"), F.col("at").alias("dist")), F.struct(F.col("last").alias("node"), (F.col("total") - F.col("at")).alias("dist"))))
     at_ends = on_line.select("asks", "obj_id", ends.alias("e")).select("asks", "obj_id", "e.node", "e.dist")
-    entry = at_ends.where("not asks").groupBy("node").agg(F.min(F.struct(F.col("dist").alias("rest"), F.col("obj_id").alias("found"))).alias("b")).select("node", "b.*")
-    own = nearest_on_edge(on_line.select("obj_id", F.col("chain_id").alias("edge_id"), F.col("at").alias("dist_from_start"), F.col("total").alias("length"), "asks"))
+    best = F.min(F.struct(F.round("dist", 9).alias("r"), F.col("obj_id").alias("found"), F.col("dist").alias("rest"))).alias("b")
+    entry = at_ends.where("not asks").groupBy("node").agg(best).select("node", "b.rest", "b.found")
+    own = nearest_on_edge(on_line.select("obj_id", F.col("chain_id").alias("edge_id"), F.col("at").alias("dist_from_start"), F.col("total").alias("length"), "asks"), digits=9)
     starts = at_ends.where("asks").select(F.col("obj_id").alias("q"), "node", "dist", F.lit(0).cast("long").alias("obj"))
     steps = network.contracted.adjacency if network.contracted.plain is None else network.contracted.plain
     return expand(starts, steps, work.write(entry), work.write(own))

@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from nearway.network import RoadNetwork
 from nearway.skew import SLOT_ROWS, in_order
 
-def nearest_on_edge(marked: DataFrame, slot_rows: int = SLOT_ROWS) -> DataFrame:
+
+def nearest_on_edge(marked: DataFrame, slot_rows: int = SLOT_ROWS, digits: int | None = None) -> DataFrame:
     """q, dist, obj: for each object that asks the nearest one on its edge that doesn't, ties to the smaller id.
 
     A backward and a forward as-of join in one sort: an edge's objects are cut into slots by offset, so that no edge
     is one task's; what a slot doesn't know of its neighbours comes from a summary with a row for each slot. marked
-    are objects with their edge's length and whether each asks.
+    are objects with their edge's length and whether each asks. digits: distances are rounded to so many, for offsets
+    that are sums, of which equal ones may differ in the last place.
     """
     rows = marked.select("edge_id", F.col("dist_from_start").alias("off"), F.col("obj_id").alias("id"), "length", "asks")
     counts = rows.groupBy("edge_id").agg(F.ceil(F.count(F.lit(1)) / slot_rows).cast("long").alias("slots"))
@@ -28,7 +30,8 @@ def nearest_on_edge(marked: DataFrame, slot_rows: int = SLOT_ROWS) -> DataFrame:
     before, after = inside.rangeBetween(Window.unboundedPreceding, 0), inside.rangeBetween(0, Window.unboundedFollowing)
     near = rows.select("*", F.max(left).over(before).alias("l"), F.min(here).over(after).alias("r")).where("asks")
     near = near.join(summary, ["edge_id", "slot"])
-    gap = lambda s, i: F.when(s.isNotNull(), F.struct(F.abs(F.col("off") - s["off"]).alias("dist"), i.alias("obj")))
+    way = lambda d: d if digits is None else F.round(d, digits)
+    gap = lambda s, i: F.when(s.isNotNull(), F.struct(way(F.abs(F.col("off") - s["off"])).alias("dist"), i.alias("obj")))
     lo, hi = F.greatest("l", "b"), F.least("r", "a")
     best = F.least(gap(lo, -lo["i"]), gap(hi, hi["i"]))
     return near.select(F.col("id").alias("q"), best.alias("best")).where("best is not null").select("q", "best.dist", "best.obj")
