@@ -25,16 +25,16 @@ COARSE, REFINE = 4_096, 3
 def balanced_parts(network: RoadNetwork, parts: int, balance: float = 0.03, coarse: int | None = None, seed: int = 1) -> DataFrame:
     """node_id, part_id (from 0): each node once, no part over (1 + balance) times the mean where nodes allow.
 
-    No cluster has more than a hundredth of a part's nodes (two at least). The graph that one task grows has no more than
-    twice `coarse` clusters, or an error says that the network is cut into too many pieces to be coarsened.
+    No cluster has more than a twenty-fifth of a part's nodes (two at least). The graph that one task grows has no more
+    than twice `coarse` clusters, or 200 for each part if that is more; an error says if a network can't be coarsened so far.
     """
     work = Workspace(network.edges.sparkSession, "partition")
-    coarse = max(COARSE if coarse is None else coarse, 8 * parts)
+    coarse = max(COARSE if coarse is None else coarse, 100 * parts)
     ends = network.edges.select(F.least("start_node", "end_node").alias("a"), F.greatest("start_node", "end_node").alias("b")).where("a <> b")
     fine = edges = work.write(ends.groupBy("a", "b").agg(F.count(F.lit(1)).alias("w")))
     members = work.write(network.nodes.select("node_id", F.col("node_id").alias("cluster")))
     n = members.count()
-    cap = max(2, n // (100 * parts))
+    cap = max(2, -(-4 * n // coarse))
     clusters, turn, still = n, seed, 0
     while clusters > coarse and still < 6:
         step = work.write(_taken_in(edges, members, cap, turn))
