@@ -182,33 +182,3 @@ def path_to(paths: DataFrame, target: int) -> DataFrame:
         live = work.write(live.where("parent is not null").select("source", (F.col("back") + 1).alias("back"), F.col("parent").alias("node")).join(parents, ["source", "node"]).select("source", "back", "node", "parent"))
         found = found.unionByName(live)
     return found.select("source", (F.max("back").over(Window.partitionBy("source")) - F.col("back")).alias("step"), "node")
-
-
-def simple_paths(network: RoadNetwork, source: int, target: int, k: int, at_once: int = 4_096) -> DataFrame:
-    """rank, cost, nodes: the k shortest simple paths; ties by the list of nodes.
-
-    Paths grow from the source, those first that can be the shortest: a path's cost and the distance from its end to the
-    target is the least it can come to. Once k paths have arrived, what can't be as short as they are goes; a path's
-    length has no bound but that it is simple.
-    """
-    spark = network.edges.sparkSession
-    work, steps = Workspace(spark, "paths"), network.adjacency.groupBy("src", "dst").agg(F.min("w").alias("w"))
-    rest = network.contracted.labels(spark.createDataFrame([(target, 0.0, 0)], "node long, dist double, obj long")).select(F.col("node").alias("dst"), F.col("dist").alias("rest"))
-    steps = work.write(steps.join(rest, "dst"))
-    live = work.write(spark.createDataFrame([(source, 0.0, 0.0, [source])], "node long, cost double, least double, nodes array<long>"))
-    ended = work.write(live.where(F.col("node") == target))
-    live, most = live.where(F.col("node") != target), float("inf")
-    while not live.isEmpty():
-        order = F.struct("least", "nodes")
-        going = live.orderBy("least", "nodes").limit(at_once)
-        last = going.agg(F.max(order).alias("m")).select("m.*").first()
-        bound = F.struct(F.lit(last["least"]).alias("least"), F.array(*[F.lit(n) for n in last["nodes"]]).cast("array<long>").alias("nodes"))
-        grown = live.where(order <= bound).join(steps, F.col("node") == F.col("src")).where(~F.array_contains("nodes", F.col("dst")))
-        grown = grown.select(F.col("dst").alias("node"), (F.col("cost") + F.col("w")).alias("cost"), (F.col("cost") + F.col("w") + F.col("rest")).alias("least"), F.concat("nodes", F.array("dst")).alias("nodes"))
-        grown = work.write(grown)
-        ended = work.write(ended.unionByName(grown.where(F.col("node") == target)).orderBy("cost", "nodes").limit(k))
-        if ended.count() == k:
-            most = ended.agg(F.max("cost")).first()[0] * (1 + 1e-12)
-        live = work.write(live.where(order > bound).unionByName(grown.where(F.col("node") != target)).where(F.col("least") <= most))
-    best = ended.orderBy("cost", "nodes").limit(k)
-    return best.withColumn("rank", F.row_number().over(Window.orderBy("cost", "nodes"))).select("rank", "cost", "nodes")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearway.functions.scalar import euclidean, is_integer, objects_that_fit, round_half_up
-from nearway.operators import ann, chains, generate, lookup, on_edge, partition, parts, relax, runs, stats
+from nearway.operators import ann, chains, deviations, generate, lookup, on_edge, partition, parts, relax, runs, stats
 from nearway.operators.stored import StoredLabels
 from nearway.plans import derived, files
 from nearway.sources.readers import word_count
@@ -118,7 +118,7 @@ par AS (SELECT d.t, min(p.t) AS parent FROM d JOIN (SELECT p.t, p.c, a.dst, a.w
 back(node, b) AS (SELECT CAST(5 AS BIGINT), 0 UNION ALL SELECT parent, b + 1 FROM back JOIN par ON par.t = node)
 SELECT CAST(max(b) OVER () - b AS INTEGER) AS step, node AS node_id FROM back""", "mixed")
 # three paths of eight edges at most bound the cost of all others, whatever their number of edges
-on_network("k_shortest_paths", lambda n: relax.simple_paths(n, 0, 3, 3).select("rank", "cost", F.array_join("nodes", " ").alias("path")), """,
+on_network("k_shortest_paths", lambda n: deviations.simple_paths(n, 0, 3, 3).select("rank", "cost", F.array_join("nodes", " ").alias("path")), """,
 step AS (SELECT src, dst, min(w) AS w FROM adj GROUP BY src, dst),
 rest(t, c) USING KEY (t) AS (SELECT CAST(3 AS BIGINT), CAST(0 AS BIGINT) UNION
   SELECT a.dst, min(d.c + a.w) FROM rest d JOIN adj a ON a.src = d.t LEFT JOIN recurring.rest r ON r.t = a.dst WHERE r.c IS NULL OR d.c + a.w < r.c GROUP BY a.dst),
@@ -130,6 +130,32 @@ p(node, cost, nodes) AS (SELECT CAST(0 AS BIGINT), CAST(0 AS BIGINT), [CAST(0 AS
 b AS (SELECT nodes, min(cost) AS cost FROM p WHERE node = 3 GROUP BY nodes)
 SELECT CAST(rank AS INTEGER) AS rank, CAST(cost AS DOUBLE) AS cost, array_to_string(nodes, ' ') AS path FROM (SELECT *, row_number() OVER (ORDER BY cost, nodes) AS rank FROM b) WHERE rank <= 3""")
 
+# a beam of 400 partial paths finds k whole ones, which bound the cost of all others
+MANY_PATHS = """,
+step AS (SELECT src, dst, min(w) AS w FROM adj GROUP BY src, dst),
+rest(t, c) USING KEY (t) AS (SELECT CAST(3 AS BIGINT), CAST(0 AS BIGINT) UNION
+  SELECT a.dst, min(d.c + a.w) FROM rest d JOIN adj a ON a.src = d.t LEFT JOIN recurring.rest r ON r.t = a.dst
+  WHERE r.c IS NULL OR d.c + a.w < r.c GROUP BY a.dst),
+onward AS MATERIALIZED (SELECT step.*, c FROM step JOIN rest ON t = dst),
+few(node, cost, nodes) AS (SELECT CAST(0 AS BIGINT), CAST(0 AS BIGINT), [CAST(0 AS BIGINT)] UNION ALL
+  SELECT * FROM (SELECT a.dst, p.cost + a.w, list_append(p.nodes, a.dst) FROM few p JOIN onward a ON a.src = p.node
+    WHERE p.node <> 3 AND NOT list_contains(p.nodes, a.dst) ORDER BY p.cost + a.w + a.c LIMIT 400)),
+most AS (SELECT CASE WHEN count(*) = {k} THEN max(cost) ELSE 1000000000 END AS c
+  FROM (SELECT cost FROM few WHERE node = 3 ORDER BY cost LIMIT {k})),
+p(node, cost, nodes) AS (SELECT CAST(0 AS BIGINT), CAST(0 AS BIGINT), [CAST(0 AS BIGINT)] UNION ALL
+  SELECT a.dst, p.cost + a.w, list_append(p.nodes, a.dst) FROM p JOIN onward a ON a.src = p.node
+  WHERE p.node <> 3 AND NOT list_contains(p.nodes, a.dst) AND p.cost + a.w + a.c <= (SELECT c FROM most))
+SELECT CAST(rank AS INTEGER) AS rank, CAST(cost AS DOUBLE) AS cost, array_to_string(nodes, ' ') AS path
+FROM (SELECT *, row_number() OVER (ORDER BY cost, nodes) AS rank FROM p WHERE node = 3) WHERE rank <= {k}"""
+
+
+def _listed(paths: DataFrame) -> DataFrame:
+    return paths.select("rank", "cost", F.array_join("nodes", " ").alias("path"))
+
+
+on_network("k_shortest_paths_50", lambda n: _listed(deviations.simple_paths(n, 0, 3, 50)), MANY_PATHS.format(k=50))
+on_network("k_shortest_paths_chains", lambda n: _listed(deviations.simple_paths(n, 0, 3, 20)), MANY_PATHS.format(k=20), "mixed")
+
 # partitions
 
 BORDER_LABELS = """,
