@@ -13,6 +13,7 @@ from nearway.functions.scalar import half_normal, objects_that_fit, random_doubl
 from nearway.network import RoadNetwork
 from nearway.operators.numbering import numbered
 from nearway.operators.parts import edges_within
+from nearway.skew import join_hot
 
 COLUMNS = ("obj_id", "edge_id", "is_query", "dist_from_start", "rating")
 
@@ -135,6 +136,48 @@ def filled_exactly(network: RoadNetwork, spacing: float, n_true: int, n_false: i
     return ranked.withColumn("is_query", F.col("k") <= n_true).select(*COLUMNS)
 
 
+def least_spacing(network: RoadNetwork, shortest_over: float | None = None, total_over: float | None = None, places: int = 5) -> float:
+    """A spacing rounded to some places: a share of the shortest edge's length or of all edges' total length.
+
+    0 for a network without edges.
+    """
+    if (shortest_over is None) == (total_over is None):
+        raise ValueError("give shortest_over or total_over")
+    shortest, total = network.edges.agg(F.min("length"), F.sum("length")).first()
+    return round((shortest or 0.0) / shortest_over if total_over is None else (total or 0.0) / total_over, places)
+
+
+def sampled(network: RoadNetwork, spacing: float, seed: int, p_true: float = 0.5, most: int | None = None, first: int = 1) -> DataFrame:
+    """Objects on a random choice of edges, a random number on each, at least `spacing` from each other.
+
+    Of E edges between E / 2 and E are picked, each number being as likely; a picked edge with room for c objects gets
+    between c / 5 and c / 2 of them (whole numbers, rounded down), so short edges may get none. Places are those of
+    that many uniform ones in the room that spacing leaves, in order, with a spacing between each and the next: no place
+    is tried and rejected, and the first and last may be at the very ends. `most` keeps so many of all, at random.
+    """
+    if not spacing > 0:
+        raise ValueError("spacing must be above 0")
+    e = numbered(network.edges.select("edge_id", "length", F.xxhash64("edge_id", F.lit(seed)).alias("h")), ["h", "edge_id"], "nth").drop("h")
+    n = e.count()
+    fits = objects_that_fit(F.col("length"), F.lit(spacing))
+    low, high = F.floor(F.col("fits") / 5).cast("long"), F.floor(F.col("fits") / 2).cast("long")
+    # one choice for the whole network: a hash of the seed alone
+    picked = e.where(F.col("nth") <= F.lit(n - n // 2) + F.pmod(F.xxhash64(F.lit(seed + 1)), F.lit(n // 2 + 1))).withColumn("fits", fits)
+    wanted = picked.withColumn("n", low + F.pmod(F.xxhash64("edge_id", F.lit(seed + 2)), high - low + 1)).where("n > 0")
+    slots = wanted.select("edge_id", "length", "n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("slot"))
+    drawn = slots.withColumn("u", random_double(seed + 3, "edge_id", "slot"))
+    # numbers in the order of all edges, so that an edge of many objects is no single task's
+    ranked = numbered(drawn, ["edge_id", "u", "slot"], "k")
+    starts = ranked.groupBy("edge_id").agg(F.min("k").alias("start"))
+    ranked = join_hot(ranked, starts, ["edge_id"], "slot").withColumn("before", F.col("k") - F.col("start"))
+    off = F.col("u") * (F.col("length") - (F.col("n") - 1) * spacing) + F.col("before") * spacing
+    rows = ranked.withColumns({"off": off, "is_query": random_double(seed + 4, "edge_id", "slot") < p_true, "obj_id": F.col("k") + (first - 1)})
+    if most is not None:
+        kept = rows.orderBy(F.xxhash64("edge_id", "slot", F.lit(seed + 5)), "edge_id", "slot").limit(most).drop("obj_id")
+        rows = numbered(kept, ["edge_id", "u", "slot"], "obj_id", first)
+    return _placed(rows, seed, F.col("off"))
+
+
 def spacing_for(network: RoadNetwork, n_objects: int) -> float:
     """Total length over the number of objects."""
     return float(network.edges.agg(F.sum("length")).first()[0] or 0.0) / max(n_objects, 1)

@@ -173,6 +173,10 @@ SELECT a.part_id, e.edge_id, start_node, end_node, CAST(length AS DOUBLE) AS len
 FROM edges e JOIN parts a ON a.node_id = start_node JOIN parts b ON b.node_id = end_node WHERE a.part_id = b.part_id""")
 on_network("part_local_ann", _with_parts(parts.part_local_nearest), INNER + ann_sql(True, "inner_adj", "inner_objects"))
 on_network("ann_by_sql_function", _with_parts(files.nearest_by_sql), INNER + ann_sql(True, "inner_adj", "inner_objects"))
+on_network("grid_parts", lambda n: parts.grid_parts(derived.node_places(n).withColumn("longitude", F.col("longitude") - 500), 3, 2), """,
+place AS (SELECT DISTINCT src AS node_id, (src * 7919) % 1000 - 500 AS x, (src * 104729) % 1000 AS y FROM adj)
+SELECT node_id, CAST(least(floor((x - x0) / (x1 - x0)::DOUBLE * 3), 2) + 3 * least(floor((y - y0) / (y1 - y0)::DOUBLE * 2), 1) AS INTEGER) AS part_id
+FROM place, (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM place)""")
 on_network("part_tasks", _with_parts(files.part_tasks, n=derived.PARTS), " SELECT a.part_id, a.part_id AS task, count(*) AS n_edges FROM edges JOIN parts a ON a.node_id = start_node JOIN parts b ON b.node_id = end_node WHERE a.part_id = b.part_id GROUP BY a.part_id")
 on_network("part_local_ann_naive", _with_parts(parts.part_local_nearest, algorithm="naive"), INNER + ann_sql(True, "inner_adj", "inner_objects"))
 on_network("part_local_ann_scl", _with_parts(parts.part_local_nearest, algorithm="scl"), INNER + ann_sql(True, "inner_adj", "inner_objects"), "mixed")
@@ -241,6 +245,13 @@ on_network("ends_on_edge_true", lambda n: on_edge.ends_on_edge(n, True), _ends_s
 on_network("ends_on_edge_false", lambda n: on_edge.ends_on_edge(n, False), _ends_sql.format(where="WHERE NOT is_query"))
 on_network("rank_objects_on_edge", lambda n: on_edge.ranked_objects(n).select("edge_id", "obj_id", "rank_on_edge"), " SELECT edge_id, obj_id, CAST(row_number() OVER (PARTITION BY edge_id ORDER BY dist_from_start, obj_id) AS INTEGER) AS rank_on_edge FROM objects")
 on_network("rank_objects_on_edge_desc", lambda n: on_edge.ranked_objects(n, descending=True).select("edge_id", "obj_id", "rank_on_edge"), " SELECT edge_id, obj_id, CAST(row_number() OVER (PARTITION BY edge_id ORDER BY dist_from_start DESC, obj_id) AS INTEGER) AS rank_on_edge FROM objects")
+RATING = "CASE WHEN obj_id % 10 <> 0 THEN CAST(obj_id * 37 % 11 AS DOUBLE) END"
+for _name, _way in (("rank_objects_by_rating", ""), ("rank_objects_by_rating_desc", "DESC")):
+    on_network(
+        _name,
+        lambda n, down=bool(_way): on_edge.ranked_objects(n.with_objects(n.objects.withColumn("rating", F.expr(RATING))), "rating", down).select("edge_id", "obj_id", "rank_on_edge"),
+        f" SELECT edge_id, obj_id, CAST(row_number() OVER (PARTITION BY edge_id ORDER BY {RATING} {_way} NULLS LAST, obj_id) AS INTEGER) AS rank_on_edge FROM objects",
+    )
 on_network("objects_from_end_node", lambda n: n.placed.select("obj_id", on_edge.offset_from(F.col("end_node")).alias("distance")), " SELECT obj_id, CAST(length - dist_from_start AS DOUBLE) AS distance FROM objects")
 on_network("objects_by_edge", lambda n: n.objects_by_edge().select("edge_id", F.array_join(F.transform("objects", lambda o: o["obj_id"].cast("string")), " ").alias("objs")), " SELECT e.edge_id, (SELECT string_agg(CAST(obj_id AS VARCHAR), ' ' ORDER BY dist_from_start, obj_id) FROM objects o WHERE o.edge_id = e.edge_id) AS objs FROM edges e")
 on_network("edge_segments", on_edge.edge_segments, """,

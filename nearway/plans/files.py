@@ -61,6 +61,19 @@ OBJECT = "SELECT obj_id, edge_id, is_query, CAST(dist_from_start AS DOUBLE) AS d
 PLACE = "SELECT node_id, CAST((node_id * 7919) % 1000 AS DOUBLE) AS longitude, CAST((node_id * 104729) % 1000 AS DOUBLE) AS latitude FROM parts"
 
 
+def _edges_by_length(net: RoadNetwork) -> DataFrame:
+    """Lines of edges from the shortest on, every one with the same id, and a line that is none."""
+    e = net.edges.select((F.col("length") * 10_000_000 + F.col("edge_id")).cast("long").alias("k"), F.concat_ws(" ", F.lit(5), "start_node", "end_node", "length").alias("value"))
+    return e.unionByName(e.limit(1).select("k", F.lit("a b c d").alias("value")))
+
+
+def _two_files(net: RoadNetwork, path: str) -> None:
+    """Lines of the edges of even number under a and of the others under b; the ring's edges have even ids."""
+    for name, rest in (("a", 0), ("b", 2)):
+        rows = net.edges.where(F.col("edge_id") % 4 == rest).orderBy("edge_id")
+        rows.select(F.concat(F.lit("edge "), "edge_id").alias("value")).write.text(f"{path}/{name}")
+
+
 def _numbered_network(net: RoadNetwork) -> RoadNetwork:
     """The ring's nodes numbered from 1 without a gap, as METIS asks."""
     return RoadNetwork(writers.reindexed_edges(net.edges), net.objects)
@@ -74,6 +87,14 @@ SOURCES: dict[str, tuple[Callable[[RoadNetwork], DataFrame], str]] = {
     "read_edges_csv": (_round_trip(lambda n, p: writers.write_edges(n.edges, p, ","), lambda s, p: readers.read_edges(s, p, ",")), EDGE),
     "read_edges_with_bom_and_returns": (_lines(lambda n: n.edges.select(F.concat(F.lit(readers.BOM), F.concat_ws("  ", "edge_id", "start_node", "end_node", "length"), F.lit("\r")).alias("value")).unionByName(n.edges.limit(1).select(F.lit("a b c").alias("value"))), readers.read_edges), EDGE),
     "read_edges_renumbered": (_round_trip(lambda n, p: writers.write_edges(n.edges, p), lambda s, p: readers.read_edges(s, p, renumber=True)), "SELECT row_number() OVER (ORDER BY edge_id) AS edge_id, start_node, end_node, CAST(length AS DOUBLE) AS length FROM edges"),
+    "read_edges_by_line": (
+        _lines(_edges_by_length, lambda s, p: readers.read_edges(s, p, by_line=True)),
+        "SELECT row_number() OVER (ORDER BY length, edge_id) AS edge_id, start_node, end_node, CAST(length AS DOUBLE) AS length FROM edges",
+    ),
+    "read_lines_of_two_files": (
+        _round_trip(_two_files, lambda s, p: readers.lines(s, [f"{p}/b", f"{p}/a"])),
+        "SELECT row_number() OVER (ORDER BY edge_id % 4, edge_id) AS line, 'edge ' || edge_id AS value FROM edges",
+    ),
     "read_edge_lengths": (_round_trip(lambda n, p: writers.write_edges(n.edges, p, ","), readers.read_edge_lengths), "SELECT CAST(length AS DOUBLE) AS length FROM edges"),
     "read_objects_txt": (_round_trip(lambda n, p: writers.write_objects(n.objects, p), readers.read_objects), OBJECT),
     "read_objects_csv": (_round_trip(lambda n, p: writers.write_objects_csv(n.objects, p), readers.read_objects_csv), OBJECT),
@@ -139,6 +160,25 @@ def _promised(n_true: str, n_false: str) -> str:
     return f"SELECT {n_true}::BIGINT AS n_true, {n_false}::BIGINT AS n_false, {n_true}::BIGINT + {n_false}::BIGINT AS n_ids, 0::BIGINT AS n_outside, 0::BIGINT AS n_bad_ratings, 0::BIGINT AS n_too_close, 0::BIGINT AS n_changed"
 
 
+def _sampled_edges(net: RoadNetwork) -> DataFrame:
+    """Each edge with its room, whether its objects keep the bounds of a picked edge, and whether enough edges were picked."""
+    spacing = generate.least_spacing(net, shortest_over=3)
+    made = generate.sampled(net, spacing, seed=7)
+    placed = made.join(net.edges.select("edge_id", "length"), "edge_id").where(F.col("dist_from_start").between(0, F.col("length")))
+    n = F.coalesce("n", F.lit(0))
+    room = F.greatest(F.floor(F.col("length") / spacing) - 1, F.lit(0)).cast("long")
+    edges = net.edges.join(placed.groupBy("edge_id").agg(F.count(F.lit(1)).alias("n")), "edge_id", "left").withColumn("room", room)
+    edges = Workspace(net.edges.sparkSession, "sampled").write(edges.withColumn("n", n))
+    # a picked edge without objects has room for four at most
+    used = edges.agg((F.count_if(F.expr("n > 0 OR room < 5")) >= F.floor(F.count(F.lit(1)) / 2)).alias("enough"), (F.count_if(F.expr("n = 0")) > 0).alias("some_left_out"))
+    kept = (F.col("n") == 0) | F.col("n").between(F.floor(F.col("room") / 5), F.floor(F.col("room") / 2))
+    return edges.select("edge_id", "room", kept.alias("kept")).crossJoin(F.broadcast(used))  # one row
+
+
+#: What SQL says of generate.sampled(): every edge's room, and that the rules are kept.
+SAMPLED = """SELECT edge_id, CAST(greatest(floor(length / s) - 1, 0) AS BIGINT) AS room, true AS kept, true AS enough, true AS some_left_out
+FROM edges, (SELECT round(min(length) / 3.0::DOUBLE, 5) AS s FROM edges)"""
+
 GENERATORS: dict[str, tuple[Callable[[RoadNetwork], DataFrame], str]] = {
     "generate_uniform": (_checks(lambda n: generate.uniform_both(n, 300, 200, seed=1)), _promised("300", "200")),
     "generate_clustered": (_checks(lambda n: generate.clustered_both(n, 100, 90, seed=2, deviation=200.0)), _promised("100", "90")),
@@ -147,6 +187,18 @@ GENERATORS: dict[str, tuple[Callable[[RoadNetwork], DataFrame], str]] = {
     "generate_around_edges": (_checks(lambda n: generate.around_edges_and_uniform(n, 100, 60, True, 4, [2, 10], 3000.0)), _promised("100", "60")),
     "generate_filled": (_checks(lambda n: generate.filled(n, 60.0, seed=5, p_true=1.0), 60.0), _promised("(SELECT sum(greatest(floor(length / 60.0) - 1, 0)) FROM edges)", "0")),
     "generate_filled_exactly": (_checks(lambda n: generate.filled_exactly(n, 60.0, 120, 50, seed=6), 60.0), _promised("120", "50")),
+    "generate_sampled": (_sampled_edges, SAMPLED),
+    "generate_sampled_capped": (
+        lambda n: _checks(lambda m: generate.sampled(m, generate.least_spacing(m, shortest_over=3), seed=8, p_true=1.0, most=500), generate.least_spacing(n, shortest_over=3))(n),
+        _promised("500", "0"),
+    ),
+    "least_spacing": (
+        lambda n: n.edges.agg(
+            F.lit(generate.least_spacing(n, shortest_over=7)).alias("by_shortest"), F.lit(generate.least_spacing(n, total_over=1_000)).alias("by_total"),
+            F.count(F.lit(1)).alias("n_edges"),
+        ),
+        "SELECT round(min(length) / 7.0::DOUBLE, 5) AS by_shortest, round(sum(length) / 1000.0::DOUBLE, 5) AS by_total, count(*) AS n_edges FROM edges",
+    ),
     "least_parameter": (lambda n: n.edges.sparkSession.createDataFrame([(generate.least_parameter(n, 1_000),)], "parameter long"), "SELECT min(p)::BIGINT AS parameter FROM range(1, 200) t(p) WHERE (SELECT sum(greatest(floor(length / ((SELECT min(length) FROM edges) / p)) - 1, 0)) FROM edges) >= 1000"),
     "spacing_for": (lambda n: n.edges.sparkSession.createDataFrame([(generate.spacing_for(n, 1_000),)], "spacing double"), "SELECT sum(length) / 1000.0::DOUBLE AS spacing FROM edges"),
 }

@@ -39,12 +39,21 @@ def read_nodes(spark: SparkSession, path: str, separator: str = " ") -> DataFram
     return f.where(skip.isNotNull()).select(at(0, "long").alias("node_id"), at(1, "double").alias("longitude"), at(2, "double").alias("latitude")).where("node_id is not null")
 
 
-def read_edges(spark: SparkSession, path: str, separator: str = " ", renumber: bool = False) -> DataFrame:
-    """edge_id, start_node, end_node, length from `id start end length`; renumbered from 1 by id if asked."""
-    e = fields(spark, path, separator).where(_at(4)).select(_num(0).alias("edge_id"), _num(1).alias("start_node"), _num(2).alias("end_node"), _num(3, "double").alias("length")).where("edge_id is not null")
-    if renumber:
-        e = numbered(e, ["edge_id"], "n").select(F.col("n").alias("edge_id"), "start_node", "end_node", "length")
-    return e
+def _split(separator: str) -> Column:
+    return F.split(F.trim("value"), r"\s+" if separator == " " else separator).alias("f")
+
+
+def read_edges(spark: SparkSession, path: str, separator: str = " ", renumber: bool = False, by_line: bool = False) -> DataFrame:
+    """edge_id, start_node, end_node, length from `id start end length`.
+
+    Renumbered from 1 by id if asked, or in the order of lines, through all files, so that repeated ids stay apart.
+    """
+    rows = lines(spark, path).select(_split(separator), "line") if by_line else fields(spark, path, separator).withColumn("line", F.lit(0))
+    e = rows.where(_at(4)).select(_num(0).alias("edge_id"), _num(1).alias("start_node"), _num(2).alias("end_node"), _num(3, "double").alias("length"), "line")
+    e = e.where("edge_id is not null")
+    if renumber or by_line:
+        e = numbered(e, ["line" if by_line else "edge_id"], "n").withColumn("edge_id", F.col("n"))
+    return e.select("edge_id", "start_node", "end_node", "length")
 
 
 def read_edge_lengths(spark: SparkSession, path: str, separator: str = ",") -> DataFrame:
