@@ -220,6 +220,12 @@ on_network("edge_len_stats", stats.edge_length_stats, " SELECT CAST(min(length)
 on_network("edges_by_length", lambda n: n.edges.orderBy(F.desc("length"), "edge_id").limit(10), " SELECT edge_id, start_node, end_node, CAST(length AS DOUBLE) AS length FROM edges ORDER BY edges.length DESC, edge_id LIMIT 10")
 on_network("populated_edges", lambda n: n.objects.select("edge_id").distinct(), " SELECT DISTINCT edge_id FROM objects")
 on_network("empty_edges", lambda n: n.edges.join(n.objects, "edge_id", "left_anti").select("edge_id"), " SELECT edge_id FROM edges WHERE edge_id NOT IN (SELECT edge_id FROM objects)", "mixed")
+on_network(
+    "empty_edges_tips",
+    lambda n: n.edges.join(n.objects.where("obj_id % 3 = 0"), "edge_id", "left_anti").select("edge_id"),
+    " SELECT edge_id FROM edges WHERE edge_id NOT IN (SELECT edge_id FROM objects WHERE obj_id % 3 = 0)",
+    "tips",
+)
 on_network("type_percent", lambda n: generate.type_percent(n.objects), " SELECT CAST(count_if(is_query) AS BIGINT) AS n_true, CAST(count_if(NOT is_query) AS BIGINT) AS n_false, round(100.0 * count_if(is_query) / count(*), 2)::DOUBLE AS true_percent, round(100.0 * count_if(NOT is_query) / count(*), 2)::DOUBLE AS false_percent FROM objects")
 on_network("second_shortest_length", lambda n: n.edges.select("length").distinct().orderBy("length").limit(2).agg(F.max("length").alias("length")), " SELECT CAST(max(length) AS DOUBLE) AS length FROM (SELECT DISTINCT length FROM edges ORDER BY length LIMIT 2)")
 on_network("edge_by_node_pair", lambda n: n.edges.where("least(start_node, end_node) = 3 and greatest(start_node, end_node) = 4").select("edge_id", "length"), " SELECT edge_id, CAST(length AS DOUBLE) AS length FROM edges WHERE least(start_node, end_node) = 3 AND greatest(start_node, end_node) = 4")
@@ -322,6 +328,9 @@ for _tables, _variant in ((files.SOURCES, "ring"), (files.LOOKUPS, "mixed"), (fi
         on_network(_name, _build, " " + _sql, _variant)
 for _name, (_build, _sql) in files.CHAINS.items():
     on_network(_name, _build, WALK + _sql, "mixed")
+on_network("dead_ends_tips", chains.dead_ends, WALK + files.CHAINS["dead_ends"][1], "tips")
+on_network("ann_scl_tips", lambda n: ann.all_nearest(n, "true_to_false", "scl"), ann_sql(True), "tips")
+on_network("ann_scl_tips_false_to_true", lambda n: ann.all_nearest(n, "false_to_true", "scl"), ann_sql(False), "tips")
 on_network("path_vertices", files.vertices_of_path, DIJKSTRA + """,
 par AS (SELECT d.t, min(p.t) AS parent FROM d JOIN (SELECT p.t, p.c, a.dst, a.w FROM d p JOIN adj a ON a.src = p.t) p ON p.dst = d.t AND p.c + p.w = d.c GROUP BY d.t),
 back(node, parent) AS (SELECT t, parent FROM par WHERE t = 5 UNION ALL SELECT par.t, par.parent FROM back JOIN par ON par.t = back.parent)

@@ -3,7 +3,7 @@
 Suppliers make a ring of nodes and edges, customers are further edges, parts are objects. Lengths and offsets are whole
 numbers, so sums are exact in any order. In `dense` every customer is a chord of the ring; in `mixed` each has a node of
 its own, and LONG customers in a row are a chain from one supplier to another (the first and the last may end nowhere);
-`ring` has suppliers alone.
+in `tips` TIP customers in a row are a chain that ends nowhere; `ring` has suppliers alone.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from nearway.storage import Workspace
 
 #: Customers of a chain of `mixed`.
 LONG, PARTS = 75, 3
+#: Customers of a chain of `tips`.
+TIP = 6
 #: For each variant how a customer's edge begins and ends (k: number of suppliers), if it has one, and a part's type.
 VARIANTS = {
     "dense": ("c_custkey % {k}", "(c_custkey * 31 + 7) % {k}", "p_size % 3 = 0"),
@@ -25,6 +27,7 @@ VARIANTS = {
         f"CASE WHEN c_custkey % {LONG} = {LONG - 1} THEN (c_custkey * 31 + 7) % {{k}} ELSE {{k}} + c_custkey END",
         "p_partkey % 97 <> 0",
     ),
+    "tips": (f"CASE WHEN c_custkey % {TIP} = 0 THEN c_custkey % {{k}} ELSE {{k}} + c_custkey - 1 END", "{k} + c_custkey", "p_partkey % 5 = 0"),
     "ring": (None, None, "p_partkey % 97 <> 0"),
 }
 
