@@ -64,3 +64,39 @@ def test_discriminant_matches_densities():
 
     want = [1 / (1 + np.exp(density(v, a) + np.log(500 / 800) - density(v, b) - np.log(300 / 800))) for v in x]
     assert np.allclose(m.score(x), want, rtol=1e-4)
+
+
+def plain_features(text):
+    """FEATURES of one text, one by one over its bytes."""
+    import math
+    from collections import Counter
+
+    data = text.encode()
+    solid = [b for b in data if b not in b"\t\n\x0b\x0c\r "]
+    upper, digit = [b for b in solid if 65 <= b <= 90], [b for b in solid if 48 <= b <= 57]
+    letter = [b for b in solid if 65 <= b <= 90 or 97 <= b <= 122 or b >= 128]
+    mark = [b for b in solid if chr(b) in ".,;:!?'\"()-"]
+    found = data.split()
+    folded = [bytes(b + 32 if 65 <= b <= 90 else b for b in w) for w in found]
+    n, sizes = len(found), [len(w) for w in found]
+    mean = sum(sizes) / n if n else 0.0
+    spread = math.sqrt(max(sum((s - mean) ** 2 for s in sizes) / n, 0)) if n else 0.0
+    fives = [tuple(folded[i : i + 5]) for i in range(max(n - 4, min(n, 1)))]
+    odds = lambda part, whole: math.log((part + 0.5) / (whole - part + 0.5))
+    return [
+        math.log1p(n), math.log1p(mean), math.log1p(spread), odds(len(letter), len(solid)), odds(len(upper), len(letter)),
+        odds(len(digit), len(solid)), odds(len(mark), len(solid)), odds(len(solid) - len(letter) - len(digit) - len(mark), len(solid)),
+        odds(len(set(folded)), n), odds(sum(a == b for a, b in zip(folded, folded[1:])), n), odds(sum(s <= 3 for s in sizes), n),
+        math.log((n + 1) / (sum(b in b".!?" for b in data) + 1)), math.log((n + 1) / (data.count(b"\n") + 1)),
+        odds(len(set(fives)), len(fives)), odds(max(Counter(folded).values(), default=0), n),
+    ]
+
+
+def test_features_match_plain_counts():
+    r = random.Random(3)
+    signs = "aB é3.,!? \n\t-#中x  "
+    texts = ["", " ", "A a a b", "one", "\x0b\x0cx\r\n", good(r, 30), bad(r, 30), "w " * 5000, "x" * 20_000]
+    texts += ["".join(r.choice(signs) for _ in range(r.randint(0, 300))) for _ in range(300)]
+    got = Q.features(*buffers(pa.array(texts)))
+    for text, x in zip(texts, got, strict=True):
+        assert np.allclose(x, plain_features(text), atol=1e-6), text[:80]
