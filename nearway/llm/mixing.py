@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from nearway.llm.common import Workspace, unwrapped, wrapped
 
-#: Rows that a range of keys is meant to hold.
-RANGE_ROWS = 4_000
+#: Rows that a range of keys is meant to hold, and equal rows that one task makes anew.
+RANGE_ROWS, SAME_ROWS = 4_000, 65_536
 
 
 def word_count(text: Column) -> Column:
@@ -53,11 +53,20 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: f
     last of these is cut. A document without an id is known by its text. A null text has no words and gives none; a null
     source is a source of its own, after the others; repeated rows count each, and stand together; an empty table gives
     an empty result, and a table without words targets of 0. Other columns play no part, whatever their names.
+    Rows of one id and size are a row with a number, before they are sent, and become rows again over many tasks.
     """
     # words are counted once, into a table of numbers
     work = Workspace(docs.sparkSession, "mixing")
-    rows = work.write(_sized(docs, id_col, text_col, source_col).drop("text"))
-    return _taken(rows, rows, weights, most, range_rows).select("doc_id", "size", "source_size", F.coalesce("target", F.lit(0.0)).alias("target"), "taken")
+    sized = _sized(docs, id_col, text_col, source_col).drop("text")
+    rows, seen = work.write_seen(sized.groupBy("source", "key", "doc_id", "size").agg(F.count(F.lit(1)).alias("times")), most=F.max("times"))
+    taken = _taken(rows, rows, weights, most, range_rows)
+    chunk = F.sequence(F.lit(0).cast("long"), F.floor((F.col("times") - 1) / SAME_ROWS))
+    taken = taken.withColumn("chunk", F.explode(chunk))
+    if (seen["most"] or 0) > SAME_ROWS:
+        taken = taken.repartition("key", "chunk")
+    low = F.col("chunk") * SAME_ROWS
+    each = taken.withColumn("nth", F.explode(F.sequence(low, F.least(low + SAME_ROWS, F.col("times")) - 1)))
+    return each.select("doc_id", "size", "source_size", F.coalesce("target", F.lit(0.0)).alias("target"), _words_of("nth"))
 
 
 def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, *more: Column) -> DataFrame:
@@ -68,24 +77,34 @@ def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, *more:
 
 
 def _taken(rows: DataFrame, sizes: DataFrame, weights: tuple[float, ...], most: float, range_rows: int) -> DataFrame:
-    """rows with source_size, target and taken; sizes are the same rows' sources, sizes and keys, written."""
+    """rows with source_size, target, epochs, rest and taken; sizes are the same rows' sources, sizes and keys, written.
+
+    A row may stand for so many equal ones (times); taken is then that of the first, and rest what is left before it.
+    """
+    weight = F.col("size") * F.col("times") if "times" in rows.columns else F.col("size")
     # as many key ranges as there are range_rows of rows; the count is one number
     n_ranges = max(1, -(-sizes.count() // range_rows))
     slot = (F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * n_ranges / 2**32).cast("long")
-    ranges = sizes.groupBy("source", slot.alias("slot")).agg(F.sum("size").alias("slot_size"))
+    ranges = sizes.groupBy("source", slot.alias("slot")).agg(F.sum(weight).alias("slot_size"))
     aims = targets(ranges.groupBy("source").agg(F.sum("slot_size").alias("source_size")), weights, most)
     earlier = Window.partitionBy("source").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.withColumn("slots_before", F.coalesce(F.sum("slot_size").over(earlier), F.lit(0))).drop("slot_size")
     plan = ranges.join(aims.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     # the same partitioning serves the window and the join
     inside = Window.partitionBy("source", "slot").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("slot", slot).withColumn("in_slot", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    rows = rows.withColumn("slot", slot).withColumn("in_slot", F.coalesce(F.sum(weight).over(inside), F.lit(0)))
     plan = plan.select(F.col("source").alias("p_source"), F.col("slot").alias("p_slot"), "slots_before", "source_size", "target")
     out = rows.join(plan, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("slot") == F.col("p_slot")))
     size, budget = F.col("size"), F.floor("target")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     rest = budget - epochs * F.col("source_size") - F.col("slots_before") - F.col("in_slot")
-    return out.withColumn("taken", (epochs * size + F.greatest(F.lit(0), F.least(size, rest))).cast("long"))
+    return out.withColumns({"epochs": epochs, "rest": rest}).withColumn("taken", _words_of())
+
+
+def _words_of(nth: str | None = None) -> Column:
+    """Words taken of the nth (from 0) of equal rows."""
+    size, rest = F.col("size"), F.col("rest") if nth is None else F.col("rest") - F.col(nth) * F.col("size")
+    return (F.col("epochs") * size + F.greatest(F.lit(0), F.least(size, rest))).cast("long").alias("taken")
 
 
 def mixed_rows(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: float = 3, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", range_rows: int = RANGE_ROWS) -> DataFrame:

@@ -90,3 +90,25 @@ def test_a_very_long_text(spark):
     got = {x["doc_id"]: x for x in M.mix_sources(df).collect()}
     assert (got[1]["size"], got[2]["size"]) == (200_000, 100_000)
     assert sum(len(x["text"].split()) for x in M.mixed_rows(df).collect()) == got[1]["taken"] + got[2]["taken"]
+
+
+@pytest.mark.parametrize("same_rows", [7, 65_536])
+def test_one_id_of_a_third_of_all_rows(spark, monkeypatch, same_rows):
+    """Equal rows are counted before they are sent, and each still has its own place and words."""
+    monkeypatch.setattr(M, "SAME_ROWS", same_rows)
+    r = random.Random(4)
+    rows = [(7, "a", "w w w")] * 150 + [(7, "a", "w w")] * 20 + [(None, "a", "n n")] * 30 + [(i, r.choice("ab"), "w " * r.randint(0, 9)) for i in range(100, 350)]
+    r.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(5)
+    got = sorted((x["source_size"], x["doc_id"] or -1, x["size"], x["taken"]) for x in M.mix_sources(df, range_rows=16).collect())
+    size, sizes = lambda t: len(t.split()), {}
+    for _, s, t in rows:
+        sizes[s] = sizes.get(s, 0) + size(t)
+    goal, want = brute_targets(sizes, (5, 2, 1), 3), []
+    key = lambda i, t: hashlib.md5((hashlib.md5(t.encode()).hexdigest() if i is None else str(i)).encode()).hexdigest()
+    for s in sizes:
+        epochs, before = int(goal[s] // sizes[s]), 0
+        for _, _, n, i in sorted((key(i, t), -1 if i is None else i, size(t), i) for i, of, t in rows if of == s):
+            want.append((sizes[s], -1 if i is None else i, n, epochs * n + max(0, min(n, int(goal[s]) - epochs * sizes[s] - before))))
+            before += n
+    assert got == sorted(want)
