@@ -25,7 +25,7 @@ NEARLY = 1e-9
 WAITING = "parent string, at int, dst long, w double, least double"
 
 
-def simple_paths(network: RoadNetwork, source: int, target: int, k: int, at_once: int = 64) -> DataFrame:
+def simple_paths(network: RoadNetwork, source: int, target: int, k: int, at_once: int = 256) -> DataFrame:
     """rank, cost, nodes: the k shortest simple paths; ties by the list of nodes.
 
     There are fewer rows where there are fewer paths, and one of no length if the target is the source. Of parallel edges
@@ -46,8 +46,8 @@ def simple_paths(network: RoadNetwork, source: int, target: int, k: int, at_once
         best = paths.where("simple").orderBy("cost").limit(k).agg(F.count(F.lit(1)).alias("n"), F.max("cost").alias("m")).first()
         most = best["m"] * (1 + NEARLY) if best["n"] == k else most
         waiting = work.write(waiting.unionByName(_deviations(made, steps, target)).where(F.col("least") <= most))
-        chosen = work.write(waiting.orderBy("least", "parent", "at", "dst").limit(at_once))
-        if chosen.isEmpty():
+        chosen, seen = work.write_seen(waiting.orderBy("least", "parent", "at", "dst").limit(at_once), n=F.count(F.lit(1)))
+        if not seen["n"]:
             break
         waiting = waiting.join(chosen, ["parent", "at", "dst"], "left_anti")
         made = work.write(_made(_prefixes(chosen, paths), jumps))
