@@ -18,15 +18,17 @@ def join_hot(left: DataFrame, right: DataFrame, on: list[str], by: str, how: str
     by: a column of left that tells rows of one key apart, whose hash deals them. counted: a table that has left's keys as
     often as left, if left is costly. No more than HOT keys can have more than a share of 1 / HOT of the rows each, so
     what is broadcast is bounded, and the rows of right that are repeated for them number 2 * HOT at most times right's
-    rows of a key.
+    rows of a key. Rows without a key meet nothing: if they are hot and how keeps them, they are dealt and nothing is repeated.
     """
     counted = left if counted is None else counted
     least = max(FEW, counted.count() // HOT)
-    hot = counted.groupBy(*on).agg(F.ceil(F.count(F.lit(1)) / F.lit(least)).cast("int").alias("_spread")).where("_spread > 1").dropna().collect()
+    hot = counted.groupBy(*on).agg(F.ceil(F.count(F.lit(1)) / F.lit(least)).cast("int").alias("_spread")).where("_spread > 1").collect()
     if not hot:
         return left.join(right, on, how)
-    spread = F.broadcast(left.sparkSession.createDataFrame(hot, left.select(*on).schema.add("_spread", T.IntegerType())))
-    dealt = left.join(spread, on, "left").withColumn("_salt", F.pmod(F.xxhash64(by), F.coalesce("_spread", F.lit(1))).cast("int")).drop("_spread")
+    known = [row for row in hot if None not in row]
+    spread = F.broadcast(left.sparkSession.createDataFrame(known, left.select(*on).schema.add("_spread", T.IntegerType())))
+    keyless = F.when(F.greatest(*[F.col(c).isNull() for c in on], F.lit(False)), F.lit(2 * HOT))
+    dealt = left.join(spread, on, "left").withColumn("_salt", F.pmod(F.xxhash64(by), F.coalesce("_spread", keyless, F.lit(1))).cast("int")).drop("_spread")
     copied = right.join(spread, on, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_spread", F.lit(1)) - 1))).drop("_spread")
     return dealt.join(copied, [*on, "_salt"], how).drop("_salt")
 

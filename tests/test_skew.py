@@ -54,6 +54,10 @@ def test_hot_keys_are_dealt_and_joined_whole(spark, monkeypatch):
     assert joined.columns == ["k", "id", "v"] and joined.count() == 3000 and joined.where("v <> 2 * k").isEmpty()
     dealt = joined.where("k = 0").select(F.spark_partition_id().alias("p")).distinct().count()
     assert dealt >= 1 and skew.join_hot(left, right, ["k"], "id", "left").count() == 3003
+    # rows without a key are kept and dealt as well
+    keyless = spark.range(500).selectExpr("id", "if(id < 20, id, null) as k")
+    kept = skew.join_hot(keyless, right, ["k"], "id", "left")
+    assert kept.count() == 500 and kept.where("v = 2 * k").count() == 20 and "_salt" in kept._jdf.queryExecution().toString()
 
 
 def test_a_cluster_must_name_its_shared_folder(spark, monkeypatch):
