@@ -172,7 +172,9 @@ def _linked(docs: DataFrame, similarity: float, shingle: int, id_col: str, text_
     sizes = work.write(keys.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min(order).alias("least")).where("size > 1"))
     members = work.write(join_hot(keys, sizes, ["band"], "node"))
     compared = nodes.join(members.select("node").distinct(), "node", "left_semi").select("rid", "key", "node", "bands")
-    held = texts.select("rid", "key", "text").join(compared, ["rid", "key"]).dropDuplicates(["rid", "key"])
+    # repeated rows of a hot document are dealt by where they are read, and are one row of each task's before they meet
+    read = texts.select("rid", "key", "text").withColumn("at", F.monotonically_increasing_id())
+    held = join_hot(read, compared, ["rid", "key"], "at", counted=signed).dropDuplicates(["rid", "key"])
     sets = work.write(held.select("node", "text", "bands").mapInArrow(lambda it: _multisets(it, shingle), "node long, sh array<long>, bands array<long>"))
 
     # all pairs of small buckets; of large ones, members chosen by a fixed hash (one at least) with all
@@ -217,11 +219,13 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, shingle: int = 5,
     """
     work = Workspace(docs.sparkSession, "minhash")
     signed, nodes, links = _linked(docs, similarity, shingle, id_col, text_col, work)
-    # ids with several texts link these
-    several = signed.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("d1").alias("d"), F.max("d1").alias("e")).where("d <> e").select("doc_id")
-    theirs = work.write(signed.join(several, "doc_id", "left_semi").where("n > 0").select("doc_id", "d1", "d2").distinct().join(nodes.select("d1", "d2", "node"), ["d1", "d2"]).select("doc_id", "node"))
-    if not theirs.isEmpty():
-        links = links.unionByName(theirs.join(theirs.groupBy("doc_id").agg(F.min("node").alias("a")), "doc_id").select("a", F.col("node").alias("b")))
+    # ids with several texts link these; one id may have very many, and one text very many ids
+    several = work.write(signed.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("d1").alias("d"), F.max("d1").alias("e")).where("d <> e").select("doc_id"))
+    if not several.isEmpty():
+        told = work.write(join_hot(signed.where("n > 0").select("doc_id", "d1", "d2").distinct(), several, ["doc_id"], "d1", how="left_semi", counted=signed.select("doc_id")))
+        theirs = work.write(join_hot(told, nodes.select("d1", "d2", "node"), ["d1", "d2"], "doc_id").select("doc_id", "node"))
+        least = theirs.groupBy("doc_id").agg(F.min("node").alias("a"))
+        links = links.unionByName(join_hot(theirs, least, ["doc_id"], "node").select("a", F.col("node").alias("b")))
     classes = _least_of_classes(nodes, links, F.min("least_id").alias("class_id"), work)
     found = join_hot(signed.where("n > 0").select("doc_id", "d1", "d2"), classes.select("d1", "d2", "class_id"), ["d1", "d2"], "doc_id").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"))
     out = found.unionByName(signed.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id")))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearway.llm.common import Workspace, unwrapped, wrapped
+from nearway.skew import HOT
 
 #: Rows that a range of keys is meant to hold, and equal rows that one task makes anew.
 RANGE_ROWS, SAME_ROWS = 4_000, 65_536
@@ -80,11 +81,14 @@ def _taken(rows: DataFrame, sizes: DataFrame, weights: tuple[float, ...], most:
     """rows with source_size, target, epochs, rest and taken; sizes are the same rows' sources, sizes and keys, written.
 
     A row may stand for so many equal ones (times); taken is then that of the first, and rest what is left before it.
+    If rows have a `part`, those of one key are dealt by size and part where they are more than a task should order.
     """
     weight = F.col("size") * F.col("times") if "times" in rows.columns else F.col("size")
     # as many key ranges as there are range_rows of rows; the count is one number
     n_ranges = max(1, -(-sizes.count() // range_rows))
     slot = (F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * n_ranges / 2**32).cast("long")
+    if "part" in sizes.columns:
+        slot = _dealt(sizes, slot, n_ranges, range_rows)
     ranges = sizes.groupBy("source", slot.alias("slot")).agg(F.sum(weight).alias("slot_size"))
     aims = targets(ranges.groupBy("source").agg(F.sum("slot_size").alias("source_size")), weights, most)
     earlier = Window.partitionBy("source").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
@@ -101,6 +105,25 @@ def _taken(rows: DataFrame, sizes: DataFrame, weights: tuple[float, ...], most:
     return out.withColumns({"epochs": epochs, "rest": rest}).withColumn("taken", _words_of())
 
 
+def _dealt(sizes: DataFrame, slot: Column, n_ranges: int, range_rows: int) -> Column:
+    """slot, cut further where a key has more rows than several ranges: by key, and that key's rows by size and part.
+
+    The order of slots stays that of key and size. No more than HOT keys have more than a share of 1 / HOT of all rows.
+    """
+    most = max(4 * range_rows, n_ranges * range_rows // HOT)
+    hot = sizes.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(slot).alias("slot")).where(F.col("n") > most).collect()
+    if not hot:
+        return slot
+    within, own = slot.isin(sorted({x["slot"] for x in hot})), F.col("key").isin([x["key"] for x in hot])
+    parts = min(HOT, -(-max(x["n"] for x in hot) // range_rows))
+    return F.struct(
+        slot.alias("slot"),
+        F.when(within, F.col("key")).otherwise("").alias("key"),
+        F.when(own, F.col("size")).otherwise(0).alias("size"),
+        F.when(own, F.pmod("part", F.lit(parts))).otherwise(0).alias("part"),
+    )
+
+
 def _words_of(nth: str | None = None) -> Column:
     """Words taken of the nth (from 0) of equal rows."""
     size, rest = F.col("size"), F.col("rest") if nth is None else F.col("rest") - F.col(nth) * F.col("size")
@@ -111,11 +134,12 @@ def mixed_rows(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: fl
     """docs as the mix of mix_sources takes them: each whole copy is a row, and a cut document's last row has its first words.
 
     A document of which nothing is taken goes, one without words too (a mix of words takes none of it). Every row is
-    taken on its own, those that share an id or have none too. Rows move once, with their texts, to their key ranges.
+    taken on its own, those that share an id or have none too. Rows move once, with their texts, to their key ranges;
+    texts that share an id may be many, and take as many ranges.
     """
-    work = Workspace(docs.sparkSession, "mixed")
-    sizes = work.write(_sized(docs, id_col, text_col, source_col).drop("text", "doc_id"))
-    rows = _taken(_sized(docs, id_col, text_col, source_col, wrapped(docs)), sizes, weights, most, range_rows).where("taken > 0")
+    work, part = Workspace(docs.sparkSession, "mixed"), F.xxhash64(text_col).alias("part")
+    sizes = work.write(_sized(docs, id_col, text_col, source_col, part).drop("text", "doc_id"))
+    rows = _taken(_sized(docs, id_col, text_col, source_col, wrapped(docs), part), sizes, weights, most, range_rows).where("taken > 0")
     whole, cut_to = F.floor(F.col("taken") / F.col("size")).cast("int"), F.col("taken") % F.col("size")
     copies = F.concat(F.array_repeat(F.lit(-1).cast("long"), whole), F.when(cut_to > 0, F.array(cut_to)).otherwise(F.expr("cast(array() as array<bigint>)")))
     rows = rows.select("row", "text", F.explode(copies).alias("words"))

@@ -125,7 +125,9 @@ def _gone_runs(rows: DataFrame, work: Workspace) -> DataFrame:
     mixed = first.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("h")
     rest = join_hot(first.select("h", "d1", F.col("kept.doc_id").alias("of"), F.col("kept.word").alias("at"), F.col("copies").alias("times")), mixed, ["h"], "d1").select("of", "at", "times")
     overlap = copied.where(f"not ({apart}) and not (doc_id = kept.doc_id and word = kept.word)").select(F.col("doc_id").alias("of"), F.inline(F.array(F.struct(F.col("kept.word").alias("at"), F.col("copies").alias("times")), F.struct(F.col("word").alias("at"), F.lit(0).cast("long").alias("times")))))  # counted with the first
-    lists = rest.unionByName(overlap).groupBy("of").agg(F.collect_set(F.struct("at", "times")).alias("begins"))  # at most as many as a document has words
+    # at most as many as the longest text of an id has words
+    begins = rest.unionByName(overlap).groupBy("of", "at").agg(F.max("times").alias("times"))
+    lists = begins.groupBy(F.col("of").alias("doc_id")).agg(F.collect_list(F.struct("at", "times")).alias("begins"))
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -150,7 +152,9 @@ def _gone_runs(rows: DataFrame, work: Workspace) -> DataFrame:
                 base = points[ends[:-1]][text]
                 yield pa.RecordBatch.from_arrays([pa.array(ids[i:j][text], pa.int64()), *(pa.array(c.astype(np.int32)) for c in (at - w.first[text], points[w.start[at]] - base, points[w.end[at + RUN - 1]] - base)), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array(stands)], ["doc_id", "word", "start", "end", "d1", "d2", "times"])
 
-    found = rows.join(lists, F.col("doc_id") == F.col("of")).select("doc_id", "text", "begins")
+    # rows of a hot id are dealt by where they are read
+    read = rows.withColumn("at", F.monotonically_increasing_id())
+    found = join_hot(read, lists, ["doc_id"], "at", counted=rows.select("doc_id")).select("doc_id", "text", "begins")
     runs = work.write(found.mapInArrow(part, "doc_id long, word int, start int, end int, d1 long, d2 long, times long"))
     earliest = runs.groupBy("d1", "d2").agg(F.sum("times").alias("copies"), F.min(F.struct("doc_id", "word")).alias("kept")).where("copies > 1")
     # a run that overlaps the one that is kept stays
@@ -199,15 +203,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """docs without the spans of repeated_passages (or of repeated_spans), and what each row lost.
 
     The last column, `removed` (with an underscore more for each such name that docs has), is an array of its spans with
-    their original offsets; a row that lost nothing has a null there and keeps its text as it is.
+    their original offsets; a row that lost nothing has a null there and keeps its text as it is. Rows without an id, null
+    and empty texts lose nothing, rows that share an id lose the same places, and an empty table gives an empty result.
     """
     spans = (repeated_passages if passages else repeated_spans)(docs, id_col, text_col, least_words)
     name = "removed"
     while name in docs.columns:
         name += "_"
-    lists = spans.groupBy(F.col("doc_id").alias("of")).agg(F.array_sort(F.collect_list(F.struct("start", "end", "kept_doc_id"))).alias("removed"))  # at most as many as a document has words
-    rows = docs.select(wrapped(docs), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    found = rows.join(lists, F.col("id") == F.col("of"), "left").select("row", "text", "removed")
+    lists = spans.groupBy(F.col("doc_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("start", "end", "kept_doc_id"))).alias("removed"))  # at most as many as a document has words
+    rows = docs.select(wrapped(docs), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("at"))
+    found = join_hot(rows, lists, ["id"], "at", how="left", counted=rows.select("id")).select("row", "text", "removed")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -106,6 +106,22 @@ def test_hot_texts_and_buckets_are_dealt_over_tasks(spark, monkeypatch):
     assert "_salt" in joined._jdf.queryExecution().toString()
 
 
+def test_a_hot_id_and_a_very_long_text(spark, monkeypatch):
+    """A third of all rows repeat one row, an id has many texts, a text many ids, and one text is of 100,000 words."""
+    from nearway import skew
+
+    monkeypatch.setattr(skew, "FEW", 16)
+    r = random.Random(6)
+    text = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    one, long = text(40), text(100_000)
+    rows = [(1, one)] * 150 + [(2, one + " more")] + [(3, text(30)) for _ in range(90)] + [(k, "the same text for many ids") for k in range(100, 190)]
+    rows += [(3, "the same text for many ids"), (900, long), (901, long + " end"), (902, text(50)), (903, ""), (904, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    want = {d: d for d, _ in rows} | {2: 1, 901: 900} | dict.fromkeys(range(100, 190), 3)
+    got = [(x["doc_id"], x["class_id"]) for x in M.near_duplicates(df).collect()]
+    assert len(got) == len(rows) and set(got) == set(want.items())
+
+
 def test_recall_on_the_given_documents(spark):
     """All pairs of different texts with a similarity of 0.8 or more, by brute force, are in one class."""
     from pathlib import Path

@@ -112,3 +112,23 @@ def test_one_id_of_a_third_of_all_rows(spark, monkeypatch, same_rows):
             want.append((sizes[s], -1 if i is None else i, n, epochs * n + max(0, min(n, int(goal[s]) - epochs * sizes[s] - before))))
             before += n
     assert got == sorted(want)
+
+
+def test_texts_of_one_id_take_many_ranges(spark, monkeypatch):
+    """A third of all rows share an id: what is taken of each is as mix_sources says, and no range has them all."""
+    r = random.Random(8)
+    rows = [(7, "a", " ".join(r.choice("pqrstuvw") for _ in range(r.randint(1, 12)))) for _ in range(200)]
+    rows += [(i, r.choice("ab"), "w " * r.randint(1, 9)) for i in range(100, 500)]
+    r.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(5)
+    slots, taken = [], M._taken
+    monkeypatch.setattr(M, "_taken", lambda *a: slots.append(taken(*a)) or slots[-1])
+    words = {}
+    for x in M.mixed_rows(df, range_rows=8).collect():
+        words.setdefault(x["doc_id"], []).append(len(x["text"].split()))
+    sizes = [x["n"] for x in slots[0].groupBy("source", "slot").count().withColumnRenamed("count", "n").collect()]
+    assert max(sizes) < 40 and len(sizes) > 60
+    want = {}
+    for x in M.mix_sources(df, range_rows=8).collect():
+        want.setdefault(x["doc_id"], []).append(x["taken"])
+    assert {d: sum(n) for d, n in words.items()} == {d: sum(n) for d, n in want.items() if sum(n)}

@@ -151,3 +151,20 @@ def test_every_run_that_stands_earlier_goes_and_no_other(spark):
     cover = lambda found: {(x["doc_id"], i) for x in found for k in [ends[x["doc_id"], x["start"]]] for i in range(k, k + x["words"])}
     got, units = cover(S.repeated_passages(df).collect()), cover(S.repeated_spans(df).collect())
     assert gone <= got <= gone | units and len(gone) > 3000
+
+
+def test_rows_of_a_hot_id_and_rows_without_one(spark, monkeypatch):
+    """A third of all rows share an id and a third have none: dealt over many tasks, the same spans go."""
+    from nearway import skew
+
+    made, passage = texts()
+    rows = [(7, f"{passage} own {k % 5}") for k in range(60)] + [(None, made[k]) for k in range(60)] + [(100 + k, t) for k, t in enumerate(made)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    found = []
+    for few in (10_000, 8):
+        monkeypatch.setattr(skew, "FEW", few)
+        spans = sorted(map(tuple, S.repeated_passages(df).collect()))
+        rest = sorted((x["doc_id"] or 0, x["text"], str(x["removed"])) for x in S.remove_repeats(df).collect())
+        found.append((spans, rest))
+    assert found[0] == found[1] and len(found[0][1]) == len(rows)
+    assert sum(passage in t for d, t, _ in rest if d > 100) == 0 and sum(t in made for d, t, _ in rest if d == 0) == 60
