@@ -88,7 +88,9 @@ def _gone_lines(rows: DataFrame, work: Workspace) -> DataFrame:
     all_lines = work.write(rows.mapInArrow(part, "doc_id long, line int, word int, start int, end int, n int, d1 long, d2 long, fresh boolean"))
     groups = work.write(all_lines.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("kept_doc_id")).where("copies > 1"))
     gone = join_hot(all_lines, groups, ["d1", "d2"], "doc_id").where("not (doc_id = kept_doc_id and fresh)")
-    return work.write(gone.select("doc_id", "line", "word", "start", "end", "n", "kept_doc_id", "copies").dropDuplicates(["doc_id", "line", "start"]))
+    gone = work.write(gone.select("doc_id", "line", "word", "start", "end", "n", "kept_doc_id", "copies").dropDuplicates(["doc_id", "line", "start"]))
+    work.drop(all_lines, groups)
+    return gone
 
 
 def _gone_runs(rows: DataFrame, work: Workspace) -> DataFrame:
@@ -118,9 +120,11 @@ def _gone_runs(rows: DataFrame, work: Workspace) -> DataFrame:
     marks = work.write(rows.mapInArrow(mark, f"{ints}, h long, d1 long, d2 long"))
     first = work.write(marks.groupBy("d1", "d2", "lead").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("doc_id", "word")).alias("kept"), F.min("h").alias("h")))
     # of what has the same words as an earlier stretch all runs go, unless the two overlap
-    copied = work.write(join_hot(marks, first.where("copies > 1").drop("h"), ["d1", "d2", "lead"], "doc_id"))
+    copied = join_hot(marks, first.where("copies > 1").drop("h"), ["d1", "d2", "lead"], "doc_id")
+    copied = work.write(copied.select("doc_id", "word", "start", "end", "n", "kept", "copies"))
+    work.drop(marks)
     apart = "doc_id <> kept.doc_id or word >= kept.word + n"
-    whole = copied.where(apart).select("doc_id", "word", "start", "end", "n", F.col("kept.doc_id").alias("kept_doc_id"), "copies")
+    whole = work.write(copied.where(apart).select("doc_id", "word", "start", "end", "n", F.col("kept.doc_id").alias("kept_doc_id"), "copies"))
     # the rest are firsts, and what overlaps them; their runs are looked at if their anchor has other words round it too
     mixed = first.groupBy("h").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("h")
     rest = join_hot(first.select("h", "d1", F.col("kept.doc_id").alias("of"), F.col("kept.word").alias("at"), F.col("copies").alias("times")), mixed, ["h"], "d1").select("of", "at", "times")
@@ -156,11 +160,13 @@ def _gone_runs(rows: DataFrame, work: Workspace) -> DataFrame:
     read = rows.withColumn("at", F.monotonically_increasing_id())
     found = join_hot(read, lists, ["doc_id"], "at", counted=rows.select("doc_id")).select("doc_id", "text", "begins")
     runs = work.write(found.mapInArrow(part, "doc_id long, word int, start int, end int, d1 long, d2 long, times long"))
+    work.drop(first, copied)
     earliest = runs.groupBy("d1", "d2").agg(F.sum("times").alias("copies"), F.min(F.struct("doc_id", "word")).alias("kept")).where("copies > 1")
     # a run that overlaps the one that is kept stays
     gone = join_hot(runs, earliest, ["d1", "d2"], "doc_id").where(f"doc_id <> kept.doc_id or word >= kept.word + {RUN}")
-    gone = gone.select("doc_id", "word", "start", "end", F.lit(RUN).alias("n"), F.col("kept.doc_id").alias("kept_doc_id"), "copies")
-    return work.write(whole).unionByName(work.write(gone))
+    gone = work.write(gone.select("doc_id", "word", "start", "end", F.lit(RUN).alias("n"), F.col("kept.doc_id").alias("kept_doc_id"), "copies"))
+    work.drop(runs)
+    return whole.unionByName(gone)
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
