@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from nearway.network import RoadNetwork
@@ -24,10 +24,20 @@ def runs(objects: DataFrame, line: str, at: str, slot_rows: int | None = None) -
     return found.drop("_slot", "nth", "before", "after")
 
 
+def _listed(r: DataFrame, line: str, at: str) -> DataFrame:
+    """line, run, is_query, n, first_obj, last_obj: a row for each of runs(), numbered by its first place and first object.
+
+    No more than two runs of a line begin at one place, so two numbers change places at most.
+    """
+    ends = [F.first("n").alias("n"), F.min_by("obj_id", "seq").alias("first_obj"), F.max_by("obj_id", "seq").alias("last_obj"), F.min(at).alias("_place")]
+    whole, here = r.groupBy(line, "run", "is_query").agg(*ends), Window.partitionBy(line, "_place")
+    number = F.min("run").over(here) + F.row_number().over(here.orderBy("first_obj", "is_query")) - 1
+    return whole.withColumn("run", number.cast("int")).drop("_place")
+
+
 def edge_runs(network: RoadNetwork) -> DataFrame:
-    """edge_id, run, is_query, n, first_obj, last_obj: runs of one type on each edge."""
-    r = runs(network.objects, "edge_id", "dist_from_start")
-    return r.groupBy("edge_id", "run", "is_query").agg(F.first("n").alias("n"), F.min_by("obj_id", "seq").alias("first_obj"), F.max_by("obj_id", "seq").alias("last_obj"))
+    """edge_id, run, is_query, n, first_obj, last_obj: runs of one type on each edge, of equal places the one with the lesser first object first."""
+    return _listed(runs(network.objects, "edge_id", "dist_from_start"), "edge_id", "dist_from_start")
 
 
 def chain_runs(network: RoadNetwork, kind: bool = True, chains: DataFrame | None = None) -> DataFrame:
