@@ -41,10 +41,10 @@ def edge_runs(network: RoadNetwork) -> DataFrame:
 
 
 def chain_runs(network: RoadNetwork, kind: bool = True, chains: DataFrame | None = None) -> DataFrame:
-    """chain_id, run, n, first_obj, last_obj: runs of the objects of one type along each chain."""
+    """chain_id, run, n, first_obj, last_obj: runs of the objects of one type along each chain, numbered as edge_runs() does."""
     chains = network.chains if chains is None else chains
-    r = runs(objects_on_chains(network, chains), "chain_id", "at").where(F.col("is_query") == kind)
-    return r.groupBy("chain_id", "run").agg(F.first("n").alias("n"), F.min_by("obj_id", "seq").alias("first_obj"), F.max_by("obj_id", "seq").alias("last_obj"))
+    r = _listed(runs(objects_on_chains(network, chains), "chain_id", "at"), "chain_id", "at")
+    return r.where(F.col("is_query") == kind).drop("is_query")
 
 
 def run_stats(run_table: DataFrame) -> DataFrame:
