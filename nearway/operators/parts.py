@@ -9,7 +9,6 @@ from nearway.network import RoadNetwork
 from nearway.operators import minplus
 from nearway.operators.ann import all_nearest
 from nearway.operators.numbering import numbered
-from nearway.operators.relax import relax
 from nearway.storage import Workspace
 
 
@@ -63,69 +62,41 @@ def part_local_nearest(network: RoadNetwork, parts: DataFrame, direction: str =
     return all_nearest(inside_parts(network, parts), direction, algorithm)
 
 
-def _from_borders(border: DataFrame) -> DataFrame:
-    return border.select(F.col("node_id").alias("source"), F.col("node_id").alias("node"), F.lit(0.0).alias("dist"), F.lit(0).cast("long").alias("obj"))
-
-
 def border_paths(network: RoadNetwork, parts: DataFrame, across: bool | None = None, block: int = 512) -> DataFrame:
     """a, b (a < b), a_part, b_part, distance of every two border nodes that are joined.
 
-    across: only pairs of different parts, or only of the same; None: both. Border nodes are cut into blocks of a part, at
-    most `block` each, and distances into matrices of a block by a block, which begin as the overlay's steps. For each block
-    in turn every matrix takes what is shorter by way of that block: its row and column of matrices, closed by its own, are
-    joined and multiplied, the least sum in place of the sum. Three matrices meet in a task at most.
+    across: only pairs of different parts, or only of the same; None: both. Distances are those of the overlay, by
+    matrices of blocks of its chains' ends, at most `block` each.
     """
     from nearway.operators.two_level import Parted
 
     work = Workspace(network.edges.sparkSession, "borders")
-    parted = Parted(network, parts)
-    border = border_nodes(network, parts)
-    dealt = numbered(border, ["part_id", "node_id"], "nth", first=0)
-    low = dealt.groupBy("part_id").agg(F.min("nth").alias("low"), F.ceil(F.count(F.lit(1)) / block).alias("pieces"), F.count(F.lit(1)).alias("size"))
-    cell = F.floor((F.col("nth") - F.col("low")) * F.col("pieces") / F.col("size")).cast("int")
-    dealt = dealt.join(low, "part_id").select("node_id", "part_id", "nth", cell.alias("cell"))
-    blocks = dealt.groupBy("part_id", "cell").agg(F.min("nth").alias("first"), F.count(F.lit(1)).alias("n"))
-    blocks = work.write(numbered(blocks, ["part_id", "cell"], "block", first=0))
-    places = work.write(dealt.join(blocks, ["part_id", "cell"]).select("node_id", "part_id", "block", (F.col("nth") - F.col("first")).cast("int").alias("at"), F.col("n").cast("int").alias("n")))
-    p, q = (places.select(F.col("node_id").alias(c), F.col("block").alias(x), F.col("at").alias(f"at_{x}"), F.col("n").alias(f"n_{x}")) for c, x in (("src", "i"), ("dst", "j")))
-    # splitting large parts gives the overlay further border nodes; they are taken out by their own steps
-    overlay = parted.overlay if parted.border.count() == places.count() else _between(parted, border)
-    sides = blocks.select(F.col("block").alias("i"), F.col("n").alias("n_i")).crossJoin(F.broadcast(blocks.select(F.col("block").alias("j"), F.col("n").alias("n_j"))))
-    steps = overlay.join(p, "src").join(q, "dst").groupBy("i", "j").agg(F.collect_list(F.struct("at_i", "at_j", "w")).alias("steps"))
-    matrices = work.write(sides.join(steps, ["i", "j"], "left").select("i", "j", "n_i", "n_j", "steps").mapInPandas(minplus.from_steps, minplus.MATRIX))
-    for k in range(blocks.count()):
-        centre = matrices.where(f"i = {k} AND j = {k}").select(F.col("d").alias("own"))
-        arms = matrices.where(f"(i = {k}) <> (j = {k})").crossJoin(F.broadcast(centre)).mapInPandas(minplus.through_own(k), minplus.MATRIX)
-        done = work.write(arms.unionByName(matrices.where(f"i = {k} AND j = {k}").mapInPandas(minplus.closed, minplus.MATRIX)))
-        column, row = done.where(f"j = {k} AND i <> {k}").select("i", F.col("d").alias("down")), done.where(f"i = {k} AND j <> {k}").select("j", F.col("d").alias("along"))
-        rest = matrices.where(f"i <> {k} AND j <> {k}").join(column, "i").join(row, "j").mapInPandas(minplus.through_arms, minplus.MATRIX)
-        before, matrices = matrices, work.write(rest.unionByName(done))
-        work.drop(before, done)
-    found = matrices.mapInPandas(minplus.to_pairs, "i long, j long, at_i int, at_j int, distance double")
-    name = lambda c, x: places.select(F.col("node_id").alias(c), F.col("part_id").alias(f"{c}_part"), F.col("block").alias(x), F.col("at").alias(f"at_{x}"))
-    pairs = found.join(name("a", "i"), ["i", "at_i"]).join(name("b", "j"), ["j", "at_j"]).where("a < b")
+    border = work.write(border_nodes(network, parts))
+    # splitting large parts gives the overlay further border nodes, which take part as all do
+    steps = Parted(network, parts).overlay.where("src < dst").select(F.lit(0).alias("g"), F.col("src").alias("a"), F.col("dst").alias("b"), "w")
+    pairs = minplus.all_pairs(steps, border, block)
     if across is not None:
         pairs = pairs.where(F.col("a_part") != F.col("b_part") if across else F.col("a_part") == F.col("b_part"))
-    return pairs.select("a", "b", "a_part", "b_part", "distance")
-
+    kind = parts.schema["part_id"].dataType
+    return pairs.select("a", "b", F.col("a_part").cast(kind).alias("a_part"), F.col("b_part").cast(kind).alias("b_part"), "distance")
 
-def _between(parted, border: DataFrame) -> DataFrame:
-    """The overlay's paths between border nodes, where it has others as well: src, dst, w."""
-    found = relax(_from_borders(border), parted.overlay, keys=("source",))
-    return found.join(border.select(F.col("node_id").alias("node")), "node", "left_semi").select(F.col("source").alias("src"), F.col("node").alias("dst"), F.col("dist").alias("w"))
 
-
-def overlay_edges(network: RoadNetwork, parts: DataFrame) -> DataFrame:
+def overlay_edges(network: RoadNetwork, parts: DataFrame, block: int = 512) -> DataFrame:
     """start_node, end_node, length, is_cut: cut edges, and shortcuts between border nodes of one part.
 
     A shortcut's length is that of the shortest path inside the part, so paths in the overlay are paths in the network.
+    It is found by matrices of blocks of the part's border nodes, see border_paths().
     """
-    inner = inside_parts(network, parts)
-    border = border_nodes(network, parts)
-    labels = inner.contracted.labels(_from_borders(border), ("source",))
-    shortcuts = labels.where("source < node").join(border.select(F.col("node_id").alias("node")), "node", "left_semi").select(F.col("source").alias("start_node"), F.col("node").alias("end_node"), F.col("dist").alias("length"), F.lit(False).alias("is_cut"))
+    from nearway.operators.two_level import Parted
+
+    work = Workspace(network.edges.sparkSession, "overlay")
+    border, cut = work.write(border_nodes(network, parts)), cut_edges(network, parts)
+    of = lambda c, g: parts.select(F.col("node_id").alias(c), F.col("part_id").alias(g))
+    inside = Parted(network, parts).overlay.where("src < dst").join(of("src", "g"), "src").join(of("dst", "h"), "dst").where("g = h")
+    shortcuts = minplus.all_pairs(inside.select("g", F.col("src").alias("a"), F.col("dst").alias("b"), "w"), border, block)
+    shortcuts = shortcuts.select(F.col("a").alias("start_node"), F.col("b").alias("end_node"), F.col("distance").alias("length"), F.lit(False).alias("is_cut"))
     # written, as both sides may be dealt by their end node (see Workspace.write)
-    return cut_edges(network, parts).select("start_node", "end_node", "length", F.lit(True).alias("is_cut")).unionByName(Workspace(network.edges.sparkSession, "overlay").write(shortcuts))
+    return cut.select("start_node", "end_node", "length", F.lit(True).alias("is_cut")).unionByName(work.write(shortcuts))
 
 
 def edges_within(network: RoadNetwork, edge_id: int, perimeter: float) -> DataFrame:

@@ -122,3 +122,34 @@ def test_partition_is_balanced_and_cuts_few(spark, coarse):
 def test_more_parts_than_nodes(spark):
     net = network(spark, [(1, 1, 2, 1.0)])
     assert {x["node_id"] for x in partition.balanced_parts(net, 5).collect()} == {1, 2}
+
+
+def test_border_pairs_take_chains_together(spark, monkeypatch):
+    """Distances go over chains' ends alone, in matrices of few entries; nodes of a chain that is joined with nothing else are paired too."""
+    # a square of nodes 0-3 with a diagonal, chains between and beside them, a tip, a cycle and a chain of its own
+    edges = [(0, 0, 1, 3.0), (1, 1, 2, 4.0), (2, 2, 3, 1.0), (3, 3, 0, 9.0), (4, 0, 2, 20.0), (5, 3, 40, 2.0), (6, 40, 41, 2.0), (7, 41, 42, 1.0)]
+    edges += [(10 + i, 10 + i, 11 + i, 1.0 + i) for i in range(5)] + [(20, 0, 10, 2.0), (21, 15, 2, 2.0), (22, 15, 1, 30.0)]
+    edges += [(30 + i, 30 + i, 30 + (i + 1) % 4, 1.0) for i in range(4)] + [(50 + i, 50 + i, 51 + i, 2.0) for i in range(3)]
+    net = network(spark, edges)
+    p = net.nodes.select("node_id", F.pmod(F.col("node_id"), F.lit(2)).cast("int").alias("part_id"))
+    border = [x["node_id"] for x in parts.border_nodes(net, p).collect()]
+    far = {a: from_one(edges, a) for a in border}
+    want = {(a, b): far[a][b] for a in border for b in border if a < b and b in far[a]}
+    monkeypatch.setattr(minplus, "CELL", 3)
+    sizes, write = [], minplus.Workspace.write
+
+    def seen(work, df):
+        out = write(work, df)
+        if df.columns == [c.split()[0] for c in minplus.MATRIX.split(", ")]:
+            sizes.append(out.agg(F.coalesce(F.sum(F.size("d")), F.lit(0))).first()[0])
+        return out
+
+    monkeypatch.setattr(minplus.Workspace, "write", seen)
+    rows = parts.border_paths(net, p, block=2).collect()
+    assert len(rows) == len(want) and {(x["a"], x["b"]): x["distance"] for x in rows} == want
+    assert 0 < max(sizes) <= 49 < len(border) ** 2  # seven ends of chains at most
+    inner = [e for e in edges if e[1] % 2 == e[2] % 2]
+    far = {a: from_one(inner, a) for a in border}
+    want = {(a, b): far[a][b] for a in border for b in border if a < b and b in far[a]}
+    made = parts.overlay_edges(net, p, block=2).where("not is_cut").collect()
+    assert len(made) == len(want) and {(x["start_node"], x["end_node"]): x["length"] for x in made} == want
