@@ -27,6 +27,8 @@ from nearway.llm.packing import encoder
 
 #: Links of a block of documents, but for one document that has more; entries of a memo before it is begun anew.
 BLOCK_LINKS, MEMO = 1 << 21, 1 << 20
+#: Tokens of memoised groups before they are begun anew.
+PATHS = 1 << 17
 SPACE = "▁"
 
 
@@ -41,7 +43,8 @@ class Transducer:
         self.residuals: list[tuple[bool, bytes]] = []
         self.states: dict[tuple[bool, bytes], int] = {(True, b""): 0, (False, b""): 0}
         self.next: dict[tuple[int, int], int] = {}
-        self.closed: dict[int, str] = {}  # pairs of tokens with the same bytes, by their number, as a group is written
+        self.paths: dict[int, tuple | str | bool] = {}  # groups' tokens in the order in which they are read, from their first link on
+        self.n_paths = 0
 
     def _state(self, first_leads: bool, residual: bytes) -> int:
         key = first_leads, residual
@@ -71,42 +74,52 @@ class Transducer:
         self.next[state, token] = to
         return to
 
+    def _path(self, state: int, a: str, b: str) -> tuple | str | bool:
+        """What follows tokens: a group as it is written, False if bytes differ, else (first leads, what follows, state, a, b)."""
+        return f"{a}|{b}" if state == 0 else state > 0 and (bool(state & 1), {}, state, a, b)
+
+    def _kept(self, paths: dict, key: int, path: tuple | str | bool) -> tuple | str | bool:
+        if self.n_paths >= min(PATHS, MEMO):
+            self.paths.clear()
+            self.n_paths = 0
+        paths[key] = path
+        self.n_paths += 1
+        return path
+
     def run(self, a: list[int], b: list[int]) -> tuple[list[str], list[int]] | None:
         """Groups as `a1,a2|b1`, and links as a * (second side's ids) + b; None if the bytes differ."""
-        groups, links, closed, n, step = [], [], self.closed, self.n, self.step
+        groups, links, paths, n, n_a, n_b = [], [], self.paths, self.n, len(a), len(b)
         i = j = 0
-        while i < len(a) and j < len(b):
+        while i < n_a and j < n_b:
             x, y = a[i], b[j]
             link = x * n + y
-            name = closed.get(link)
             i, j = i + 1, j + 1
             links.append(link)
-            if name is not None:
-                groups.append(name)
-                continue
-            state, i0, j0 = step(step(0, x), y), i - 1, j - 1
-            while state > 0:
-                if state & 1:
-                    if j == len(b):
+            path = paths.get(link)
+            if path is None:
+                path = self._kept(paths, link, self._path(self.step(self.step(0, x), y), str(x), str(y)))
+            while path.__class__ is tuple:
+                if path[0]:
+                    if j == n_b:
                         return None
                     token = y = b[j]
                     j += 1
                 else:
-                    if i == len(a):
+                    if i == n_a:
                         return None
                     token = x = a[i]
                     i += 1
                 links.append(x * n + y)
-                state = step(state, token)
-            if state < 0:
+                to = path[1].get(token)
+                if to is None:
+                    first, onward, state, a_ids, b_ids = path
+                    ids = (a_ids, f"{b_ids},{token}") if first else (f"{a_ids},{token}", b_ids)
+                    to = self._kept(onward, token, self._path(self.step(state, token), *ids))
+                path = to
+            if path is False:
                 return None
-            name = ",".join(map(str, a[i0:i])) + "|" + ",".join(map(str, b[j0:j]))
-            groups.append(name)
-            if i - i0 == 1 and j - j0 == 1:
-                if len(closed) >= MEMO:
-                    closed.clear()
-                closed[link] = name
-        return (groups, links) if i == len(a) and j == len(b) else None
+            groups.append(path)
+        return (groups, links) if i == n_a and j == n_b else None
 
 
 class Tokenizers:

@@ -138,3 +138,11 @@ def test_very_long_texts(spark):
     one = {x["doc_id"]: x for x in A.report(df, BYTES, PIECES).collect()}
     assert one[1]["n_links"] == one[1]["n_a"] + one[1]["n_b"] - one[1]["n_groups"] > 150_000
     assert one[2]["n_links"] > 0 and df.where(F.length("text") == 300_000).count() == 1
+
+
+def test_groups_seen_before_take_no_step(monkeypatch):
+    t = A.Transducer([b"ab", b"c", b"abc"], [b"a", b"bc", b"abc", b"ab", b"c"])
+    first = t.run([0, 1, 2], [0, 1, 3, 4])
+    assert first == (["0,1|0,1", "2|3,4"], [0, 1, 6, 13, 14])
+    monkeypatch.setattr(t, "step", None)
+    assert t.run([2, 0, 1], [3, 4, 0, 1]) == (["2|3,4", "0,1|0,1"], [13, 14, 0, 1, 6])
