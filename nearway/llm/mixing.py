@@ -94,11 +94,12 @@ def _taken(rows: DataFrame, sizes: DataFrame, weights: tuple[float, ...], most:
     earlier = Window.partitionBy("source").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.withColumn("slots_before", F.coalesce(F.sum("slot_size").over(earlier), F.lit(0))).drop("slot_size")
     plan = ranges.join(aims.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    # the same partitioning serves the window and the join
-    inside = Window.partitionBy("source", "slot").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("slot", slot).withColumn("in_slot", F.coalesce(F.sum(weight).over(inside), F.lit(0)))
-    plan = plan.select(F.col("source").alias("p_source"), F.col("slot").alias("p_slot"), "slots_before", "source_size", "target")
-    out = rows.join(plan, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("slot") == F.col("p_slot")))
+    # the same partitioning serves the window and the join; structs are equal where they hold the same null, and a null-safe
+    # comparison would have rows moved once more for the join, whenever they are ready before the plan is
+    place = F.struct("source", "slot")
+    inside = Window.partitionBy("place").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("slot", slot).withColumn("place", place).withColumn("in_slot", F.coalesce(F.sum(weight).over(inside), F.lit(0)))
+    out = rows.join(plan.select(place.alias("p_place"), "slots_before", "source_size", "target"), F.col("place") == F.col("p_place"))
     size, budget = F.col("size"), F.floor("target")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     rest = budget - epochs * F.col("source_size") - F.col("slots_before") - F.col("in_slot")
@@ -139,7 +140,9 @@ def mixed_rows(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), most: fl
     """
     work, part = Workspace(docs.sparkSession, "mixed"), F.xxhash64(text_col).alias("part")
     sizes = work.write(_sized(docs, id_col, text_col, source_col, part).drop("text", "doc_id"))
-    rows = _taken(_sized(docs, id_col, text_col, source_col, wrapped(docs), part), sizes, weights, most, range_rows).where("taken > 0")
+    # a text moves as a part of its row alone
+    rows = _sized(docs, id_col, text_col, source_col, wrapped(docs), part).drop("text")
+    rows = _taken(rows, sizes, weights, most, range_rows).where("taken > 0").withColumn("text", F.col("row").getField(text_col))
     whole, cut_to = F.floor(F.col("taken") / F.col("size")).cast("int"), F.col("taken") % F.col("size")
     copies = F.concat(F.array_repeat(F.lit(-1).cast("long"), whole), F.when(cut_to > 0, F.array(cut_to)).otherwise(F.expr("cast(array() as array<bigint>)")))
     rows = rows.select("row", "text", F.explode(copies).alias("words"))

@@ -132,3 +132,28 @@ def test_texts_of_one_id_take_many_ranges(spark, monkeypatch):
     for x in M.mix_sources(df, range_rows=8).collect():
         want.setdefault(x["doc_id"], []).append(x["taken"])
     assert {d: sum(n) for d, n in words.items()} == {d: sum(n) for d, n in want.items() if sum(n)}
+
+
+def test_texts_move_once(spark, tmp_path):
+    """Between where texts are read and the end of the plan there is one exchange, however the plan's rows are joined."""
+    df = spark.createDataFrame([(i, "ab"[i % 2] if i % 7 else None, "w " * (i % 9)) for i in range(300)], "doc_id long, source string, text string")
+    df.write.parquet(str(tmp_path / "docs"))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    for k, v in zip(before, ("-1", "false"), strict=True):
+        spark.conf.set(k, v)
+    try:
+        out = M.mixed_rows(spark.read.parquet(str(tmp_path / "docs")), range_rows=20)
+        plan = out._jdf.queryExecution().executedPlan().toString().splitlines()
+        got = sorted((x["doc_id"], x["source"] or "", x["text"]) for x in out.collect())
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    at = next(i for i, line in enumerate(plan) if "FileScan" in line and "text" in line.split("Batched")[0])
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    above, low = [], depth(plan[at])
+    for line in reversed(plan[:at]):
+        if depth(line) < low:
+            above, low = [*above, line], depth(line)
+    assert sum("Exchange" in line for line in above) == 1
+    assert got == sorted((x["doc_id"], x["source"] or "", x["text"]) for x in M.mixed_rows(df, range_rows=20).collect())
+    assert any(s == "" for _, s, _ in got)
