@@ -53,21 +53,49 @@ class Contracted:
         """As relax() over the network's own adjacency: keys, node, dist and obj."""
         if self.plain is not None:
             return relax(seeds, self.plain, keys, within, delta=delta)
-        keys_, work = list(keys), self.work
-        seeds = seeds.groupBy(*keys_, "node").agg(F.min(F.struct("dist", "obj")).alias("b")).select(*keys_, "node", "b.dist", "b.obj")
-        on_chain = work.write(seeds.join(self.inner, "node"))
-        carried = join_hot(on_chain, self.ends, ["chain_id"], "node")
-        out = F.explode(F.array(F.struct(F.col("first").alias("node"), (F.col("dist") + F.col("at")).alias("dist")), F.struct(F.col("last").alias("node"), (F.col("dist") + F.col("total") - F.col("at")).alias("dist"))))
-        start = seeds.join(self.inner.select("node"), "node", "left_anti").select(*keys_, "node", "dist", "obj").unionByName(carried.select(*keys_, out.alias("e"), "obj").select(*keys_, "e.node", "e.dist", "obj"))
+        keys_ = list(keys)
+        on_chain, start = self._carried(seeds, keys_)
         found = relax(start, self.adjacency, keys, within, delta=delta)  # a written table
-        # a chain's points with known labels: its ends, and seeds on it
-        at_first = found.join(self.ends, F.col("node") == F.col("first")).select(*keys_, "chain_id", F.lit(0).cast("long").alias("pos"), F.lit(0.0).alias("at"), "dist", "obj")
-        at_last = found.join(self.ends, F.col("node") == F.col("last")).select(*keys_, "chain_id", F.col("top").alias("pos"), F.col("total").alias("at"), "dist", "obj")
-        points = on_chain.select(*keys_, "chain_id", "pos", "at", "dist", "obj").unionByName(at_first).unionByName(at_last)
-        inner = self._inner(work.write(points), keys_)
+        points = self._points(on_chain, found, self.ends, keys_)
+        inner = self._inner(self.work.write(points), keys_)
         if within is not None:
             inner = inner.where(F.col("dist") <= within)
-        return found.select(*keys_, "node", "dist", "obj").unionByName(work.write(inner))
+        return found.select(*keys_, "node", "dist", "obj").unionByName(self.work.write(inner))
+
+    def relabelled(self, known: DataFrame, seeds: DataFrame) -> DataFrame:
+        """As relax() over the network's own adjacency with `known`, labels of some nodes that seeds may better: node, dist and obj.
+
+        Of known labels those of chains' ends take part in the search. Inner nodes are labelled anew on chains that have a
+        seed on them or an end whose label is new, and keep what they have on all others.
+        """
+        known = known.select("node", F.col("dist").cast("double").alias("dist"), "obj")
+        if self.plain is not None:
+            return relax(seeds, self.plain, known=known)
+        on_chain, start = self._carried(seeds, [])
+        at_ends = self.work.write(known.join(self.adjacency.where("own").select(F.col("src").alias("node")), "node", "left_semi"))
+        found = relax(start, self.adjacency, known=at_ends)
+        fresh = found.join(at_ends, ["node", "dist", "obj"], "left_anti").select("node")
+        touched = [on_chain.select("chain_id"), *[self.ends.join(fresh, F.col(c) == F.col("node"), "left_semi").select("chain_id") for c in ("first", "last")]]
+        touched = self.work.write(touched[0].unionByName(touched[1]).unionByName(touched[2]).distinct())
+        points = self._points(on_chain, found, self.ends.join(touched, "chain_id", "left_semi"), [])
+        every = known.unionByName(found.select("node", "dist", "obj")).unionByName(self._inner(self.work.write(points), []))
+        return self.work.write(every.groupBy("node").agg(F.min(F.struct("dist", "obj")).alias("b")).select("node", "b.*"))
+
+    def _carried(self, seeds: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+        """Seeds at inner nodes with their places, and all seeds as the search begins with them: at ends of chains."""
+        seeds = seeds.groupBy(*keys, "node").agg(F.min(F.struct("dist", "obj")).alias("b")).select(*keys, "node", "b.dist", "b.obj")
+        on_chain = self.work.write(seeds.join(self.inner, "node"))
+        carried = join_hot(on_chain, self.ends, ["chain_id"], "node")
+        out = F.explode(F.array(F.struct(F.col("first").alias("node"), (F.col("dist") + F.col("at")).alias("dist")), F.struct(F.col("last").alias("node"), (F.col("dist") + F.col("total") - F.col("at")).alias("dist"))))
+        start = seeds.join(self.inner.select("node"), "node", "left_anti").select(*keys, "node", "dist", "obj")
+        return on_chain, start.unionByName(carried.select(*keys, out.alias("e"), "obj").select(*keys, "e.node", "e.dist", "obj"))
+
+    @staticmethod
+    def _points(on_chain: DataFrame, found: DataFrame, ends: DataFrame, keys: list[str]) -> DataFrame:
+        """Chains' points with known labels: their ends, and seeds on them."""
+        at_first = found.join(ends, F.col("node") == F.col("first")).select(*keys, "chain_id", F.lit(0).cast("long").alias("pos"), F.lit(0.0).alias("at"), "dist", "obj")
+        at_last = found.join(ends, F.col("node") == F.col("last")).select(*keys, "chain_id", F.col("top").alias("pos"), F.col("total").alias("at"), "dist", "obj")
+        return on_chain.select(*keys, "chain_id", "pos", "at", "dist", "obj").unionByName(at_first).unionByName(at_last)
 
     def _inner(self, points: DataFrame, keys: list[str]) -> DataFrame:
         """keys, node, dist and obj of every inner node, from the points before and after it on its chain."""

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from nearway import schema as S
 from nearway.network import RoadNetwork
 from nearway.operators.ann import looked_up
-from nearway.operators.relax import relax, seeds_of
+from nearway.operators.relax import seeds_of
 from nearway.storage import Workspace
 
 
@@ -43,7 +43,7 @@ class StoredLabels:
         """Labels once objects have come (rows of objects) and gone (obj_id); the type of the labels alone matters.
 
         Nodes that were nearest to what is gone begin from their neighbours' labels and from the objects on their own
-        edges; what has come begins from its edge's nodes; the search goes on as far as something is bettered.
+        edges; what has come begins from its edge's nodes; the search goes on over chains' ends as far as something is bettered.
         """
         added = None if added is None else S.conform(added, S.OBJECTS)
         network, kind = self.network, F.col("is_query") == self.kind
@@ -66,7 +66,7 @@ class StoredLabels:
             seeds = come if seeds is None else seeds.unionByName(come)
         if seeds is None:
             return self
-        made = relax(seeds, network.adjacency, known=known)
+        made = network.contracted.relabelled(known, seeds)
         return StoredLabels(changed, self.kind, _kept(made, self.buckets), self.buckets)
 
 

@@ -1,7 +1,10 @@
+import random
+
 import pytest
 from networks import answers, exact, network
 
 from nearway.functions import network_nn
+from nearway.operators import relax
 from nearway.operators.stored import StoredLabels
 
 EDGES = [(i, i, (i + 1) % 12, 2.0 + i % 3) for i in range(12)] + [(20, 0, 6, 5.0), (21, 3, 30, 4.0), (30, 50, 51, 3.0)]
@@ -29,6 +32,28 @@ def test_updates_equal_a_fresh_table_and_look_ups_do_not_shuffle_labels(spark):
     assert "Bucketed: true" in plan and plan.count("Exchange") == 1  # that of the nodes asked for
 
 
+def test_updates_follow_chains_and_not_their_edges(spark):
+    """What is gone was nearest along whole chains of some sixty edges; rounds follow the chains between their ends."""
+    r, edges = random.Random(3), []
+    for c, (a, b) in enumerate([(0, 1), (1, 2), (2, 0), (0, 3), (3, 2), (3, 3), (1, 4)]):
+        path = [a, *range(100 * (c + 1), 100 * (c + 1) + 60), b]
+        edges += [(100 * c + i, x, y, float(r.randint(1, 9))) for i, (x, y) in enumerate(zip(path, path[1:]))]
+    ids, length = [e[0] for e in edges], {e[0]: e[3] for e in edges}
+    put = lambda o, e, asks: (o, e, asks, float(r.randint(0, int(length[e]))))
+    asking = [put(i, r.choice(ids), True) for i in range(60)]
+    data = [put(1000 + i, e, False) for i, e in enumerate([5, 130, 260, 410, 655])]
+    come = [put(2000 + i, e, False) for i, e in enumerate([315, 520])]
+    gone = {1000, 1001, 1003}
+    stored = StoredLabels.made(network(spark, edges, asking + data), False, buckets=4)
+    before = relax.ROUNDS
+    after = stored.updated(spark.createDataFrame(come, "obj_id long, edge_id long, is_query boolean, dist_from_start double"), spark.createDataFrame([(i,) for i in gone], "obj_id long"))
+    assert relax.ROUNDS - before <= 14
+    left = asking + [o for o in data if o[0] not in gone] + come
+    assert answers(after.nearest()) == exact(edges, left)
+    fewer = after.updated(removed=spark.createDataFrame([(2000,)], "obj_id long"))
+    assert answers(fewer.nearest()) == exact(edges, [o for o in left if o[0] != 2000])
+
+
 def test_sql_function_names_what_its_table_lacks(spark):
     network_nn.register(spark)
     spark.range(3).createOrReplaceTempView("no_edges")
