@@ -2,10 +2,12 @@
 
 The tree leads every node to the target. A path is known by its last deviation: it shares a prefix with a path found
 before, leaves it by a step that is not the tree's, and follows the tree from there. So each path comes from one parent,
-no cheaper than it, and the least that waits are made into nodes first, k or more a round. A tree's tail may come back
-to the prefix: such a path is no answer, but is deviated from up to where it comes back. Candidates are kept as a step
-beside their parent, without nodes. Tails are read off the tree by jumps of 1, 2, 4, ... steps, so a round takes as many
-joins as the longest path has binary digits. Work grows with k and with the paths that come back.
+no cheaper than it, and the least that waits are made into nodes first, k or more a round and in each round up to twice
+as many as before. Where the tree would take a step back at once, the path goes on by the best other step, and costs that
+at least. A tree's tail may come back to the prefix later: such a path is no answer, but is deviated from up to where it
+comes back. Candidates are kept as a step beside their parent, without nodes. Tails are read off the tree by jumps of
+1, 2, 4, ... steps, so a round takes as many joins as the longest path has binary digits. Work grows with k and with the
+paths that come back.
 
 All this goes over chains' ends with one inner node for each chain, so that parallel chains differ in their nodes and a
 step into a chain is a step or two from its other end; what lies between is put in at last.
@@ -22,14 +24,16 @@ from nearway.storage import Workspace
 
 #: Costs that differ by no more than this share count as equal when candidates are dropped.
 NEARLY = 1e-9
-WAITING = "parent string, at int, dst long, w double, least double"
+#: Paths that a round makes, at most, since one task chooses them.
+MOST_AT_ONCE = 16_384
+WAITING = "parent string, at int, dst long, w double, via long, over double, least double"
 
 
 def simple_paths(network: RoadNetwork, source: int, target: int, k: int, at_once: int = 256) -> DataFrame:
     """rank, cost, nodes: the k shortest simple paths; ties by the list of nodes.
 
     There are fewer rows where there are fewer paths, and one of no length if the target is the source. Of parallel edges
-    the shortest counts. at_once: paths that a round makes, k at least.
+    the shortest counts. at_once: paths that the first round makes, k at least.
     """
     spark, at_once = network.edges.sparkSession, max(k, at_once)
     work = Workspace(spark, "deviations")
@@ -37,6 +41,7 @@ def simple_paths(network: RoadNetwork, source: int, target: int, k: int, at_once
     legs = work.write(_legs(network, source, target))
     steps = work.write(legs.select("src", "dst", "w").join(rest.withColumnRenamed("node", "dst"), "dst"))
     jumps = _jumps(work, steps, rest)
+    steps = work.write(_onward(steps, jumps[0]))
     root = spark.createDataFrame([("", source, 0.0, 0)], "pid string, start long, base double, size int")
     root = root.join(rest, F.col("start") == F.col("node"), "left_semi")  # nothing leads from there if it has no label
     made = work.write(_made(root.withColumns({"prefix": F.array().cast("array<long>"), "costs": F.array().cast("array<double>")}), jumps))
@@ -50,6 +55,7 @@ def simple_paths(network: RoadNetwork, source: int, target: int, k: int, at_once
         if not seen["n"]:
             break
         waiting = waiting.join(chosen, ["parent", "at", "dst"], "left_anti")
+        at_once = max(at_once, min(2 * at_once, MOST_AT_ONCE))
         made = work.write(_made(_prefixes(chosen, paths), jumps))
         paths = paths.unionByName(made)
     ended = paths.where(F.col("simple") & (F.col("cost") <= most)).select("pid", "cost", "nodes")
@@ -109,21 +115,41 @@ def _jumps(work: Workspace, steps: DataFrame, rest: DataFrame) -> list[DataFrame
         out.append(twice)
 
 
+def _onward(steps: DataFrame, first: DataFrame) -> DataFrame:
+    """src, dst, w, rest, via, over: what is left at least after each step, as no path takes the same step back.
+
+    Where the tree goes back from dst to src, via is the node that the least other way goes on to and over the step there;
+    steps that nothing else follows aren't kept. A node has one step of the tree, so no more rows are joined than steps.
+    """
+    tree = steps.join(first.select(F.col("node").alias("dst"), "to"), "dst", "left")
+    back = tree.where("to = src").select("src", "dst")
+    after = steps.select(F.col("src").alias("dst"), F.col("dst").alias("via"), F.col("w").alias("over"), F.col("rest").alias("then"))
+    least = F.min(F.struct((F.col("over") + F.col("then")).alias("rest"), "via", "over")).alias("o")
+    other = back.join(after, "dst").where("via <> src").groupBy("src", "dst").agg(least)
+    turned = steps.drop("rest").join(other, ["src", "dst"]).select("src", "dst", "w", "o.rest", "o.via", "o.over")
+    none = {"via": F.lit(None).cast("long"), "over": F.lit(None).cast("double")}
+    return tree.where("to is null or to <> src").select("src", "dst", "w", "rest").withColumns(none).unionByName(turned)
+
+
 def _prefixes(chosen: DataFrame, paths: DataFrame) -> DataFrame:
-    """pid, start, base, prefix, costs: what each chosen candidate shares with its parent, and where its tail begins."""
+    """pid, start, base, size, prefix, costs: where each chosen candidate's tail begins, and what comes before.
+
+    size counts the nodes shared with the parent; a step that the tree would take back is in the prefix too.
+    """
     shared = chosen.join(paths.select(F.col("pid").alias("parent"), "nodes", "costs"), "parent")
-    upto = F.col("at") + 1
+    upto, reached = F.col("at") + 1, F.get("costs", F.col("at")) + F.col("w")
+    with_step = lambda c, x: F.when(F.col("via").isNull(), F.slice(c, 1, upto)).otherwise(F.concat(F.slice(c, 1, upto), F.array(x)))
     return shared.select(
-        F.concat_ws("/", "parent", F.concat_ws(":", "at", "dst")).alias("pid"), F.col("dst").alias("start"),
-        (F.get("costs", F.col("at")) + F.col("w")).alias("base"), upto.alias("size"),
-        F.slice("nodes", 1, upto).alias("prefix"), F.slice("costs", 1, upto).alias("costs"),
+        F.concat_ws("/", "parent", F.concat_ws(":", "at", "dst")).alias("pid"), F.coalesce("via", "dst").alias("start"),
+        (reached + F.coalesce("over", F.lit(0.0))).alias("base"), upto.alias("size"),
+        with_step("nodes", F.col("dst")).alias("prefix"), with_step("costs", reached).alias("costs"),
     )
 
 
 def _made(begun: DataFrame, jumps: list[DataFrame]) -> DataFrame:
     """pid, nodes, costs (up to each node), cost, dev, upto, simple: prefixes followed by the tree's way to the target.
 
-    dev is the index of the tail's first node; nodes before the index upto differ from each other.
+    dev is the index of the first node after the deviation; nodes before the index upto differ from each other.
     """
     rows = begun.select("pid", "base", F.lit(0).alias("pos"), F.col("start").alias("node"))
     for i in reversed(range(len(jumps))):
@@ -143,7 +169,7 @@ def _made(begun: DataFrame, jumps: list[DataFrame]) -> DataFrame:
 
 
 def _deviations(made: DataFrame, steps: DataFrame, target: int) -> DataFrame:
-    """parent, at, dst, w, least: every step that leaves a tail for a node that its path hasn't met before."""
+    """parent, at, dst, w, via, over, least: every step that leaves a tail for a node that its path hasn't met before."""
     met = made.select("pid", "dev", "upto", F.posexplode(F.arrays_zip("nodes", "costs")).alias("at", "n")).select("pid", "dev", "upto", "at", "n.nodes", "n.costs")
     met = met.select("pid", "dev", "upto", "at", F.col("nodes").alias("src"), F.col("costs").alias("before"))
     follows = F.lead("src").over(Window.partitionBy("pid").orderBy("at"))
@@ -152,4 +178,4 @@ def _deviations(made: DataFrame, steps: DataFrame, target: int) -> DataFrame:
     back = met.select("pid", F.col("at").alias("seen"), F.col("src").alias("dst")).alias("m")
     again = (F.col("l.pid") == F.col("m.pid")) & (F.col("l.dst") == F.col("m.dst")) & (F.col("m.seen") < F.col("l.at"))
     fresh = left.join(back, again, "left_anti")
-    return fresh.select(F.col("pid").alias("parent"), "at", "dst", "w", (F.col("before") + F.col("w") + F.col("rest")).alias("least"))
+    return fresh.select(F.col("pid").alias("parent"), "at", "dst", "w", "via", "over", (F.col("before") + F.col("w") + F.col("rest")).alias("least"))

@@ -182,3 +182,21 @@ def test_k_shortest_paths_along_chains_cycles_and_parallel_edges(spark):
     for source, target, k in ((0, 2, 4), (11, 16, 7), (21, 24, 50), (13, 13, 3), (0, 90, 2)):
         got = deviations.simple_paths(net, source, target, k).collect()
         assert [(x["rank"], x["cost"], x["nodes"]) for x in got] == brute(source, target, k), (source, target, k)
+
+
+def test_k_shortest_paths_take_few_rounds_where_ways_lead_back(spark, monkeypatch):
+    """No path is made of a step that must be taken back, and later rounds make more paths than the first."""
+    made, real = [], deviations._made
+
+    def counted(begun, jumps):
+        made.append(begun.count())
+        assert len(made) <= 4, made
+        return real(begun, jumps)
+
+    monkeypatch.setattr(deviations, "_made", counted)
+    # a line from 0 to 3 with three dead ends at each node, and twelve other ways, as long as each other
+    edges = [(i, i, i + 1, 1.0) for i in range(3)] + [(100 + i, i % 3, 100 + i, 1.0) for i in range(9)]
+    edges += [(200 + i, 0, 20 + i, 5.0) for i in range(12)] + [(300 + i, 20 + i, 3, 5.0) for i in range(12)]
+    got = deviations.simple_paths(network(spark, edges), 0, 3, 2, 2).collect()
+    assert [(x["rank"], x["cost"], x["nodes"]) for x in got] == [(1, 3.0, [0, 1, 2, 3]), (2, 10.0, [0, 20, 3])]
+    assert made == [1, 2, 4, 6]
