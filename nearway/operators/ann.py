@@ -68,8 +68,10 @@ def all_nearest(network: RoadNetwork, direction: str = "true_to_false", algorith
 
         parted = Parted(network, parts)
         if algorithm == "parts_naive":
-            return _result(asking, expanded_by_parts(parted, marked))
-        return _result(asking, nearest(marked, parted.labels(seeds_of(network, answering))))
+            found = expanded_by_parts(parted, marked)
+        else:
+            found = nearest(marked, parted.labels(seeds_of(network, answering)))
+        return parted.work.write(_result(asking, found))
     raise ValueError("algorithm is voronoi, naive, scl, parts or parts_naive")
 
 

@@ -13,7 +13,7 @@ def numbered(df: DataFrame, by: list[str], name: str, first: int = 1) -> DataFra
 
     The ranges are written once, so that what is counted is what is numbered.
     """
-    work = Workspace(df.sparkSession, "numbering")
+    work = Workspace(df.sparkSession, "numbering", lean=True)
     dealt = work.write(df.repartitionByRange(*by).withColumn("_range", F.spark_partition_id()))
     counts = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("n"))  # a row for each task
     before = counts.select("_range", F.coalesce(F.sum("n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))

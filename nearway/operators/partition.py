@@ -28,7 +28,7 @@ def balanced_parts(network: RoadNetwork, parts: int, balance: float = 0.03, coar
     No cluster has more than a twenty-fifth of a part's nodes (two at least). The graph that one task grows has no more
     than twice `coarse` clusters, or 200 for each part if that is more; an error says if a network can't be coarsened so far.
     """
-    work = Workspace(network.edges.sparkSession, "partition")
+    work = Workspace(network.edges.sparkSession, "partition", lean=True)
     coarse = max(COARSE if coarse is None else coarse, 100 * parts)
     ends = network.edges.select(F.least("start_node", "end_node").alias("a"), F.greatest("start_node", "end_node").alias("b")).where("a <> b")
     fine = edges = work.write(ends.groupBy("a", "b").agg(F.count(F.lit(1)).alias("w")))

@@ -117,7 +117,7 @@ class Parted:
     """A network cut into parts that one task each can search."""
 
     def __init__(self, network: RoadNetwork, parts: DataFrame | None = None, most: int | None = None):
-        self.network, self.work = network, Workspace(network.edges.sparkSession, "parted")
+        self.network, self.work = network, Workspace(network.edges.sparkSession, "parted", lean=True)
         self.parts = bounded_parts(network, parts, PART_EDGES if most is None else most, self.work)
         self.inner = self.work.write(_inner(network, self.parts))
         cut = _placed(network, self.parts).where("start_part <> end_part")
@@ -184,7 +184,7 @@ def expanded_by_parts(parted: Parted, marked: DataFrame) -> DataFrame:
 
     What is nearest to a border node inside its part is told once; an expansion goes no further than its nearest so far.
     """
-    work, network = Workspace(marked.sparkSession, "by-parts"), parted.network
+    work, network = Workspace(marked.sparkSession, "by-parts", lean=True), parted.network
     asking, answering = marked.where("asks"), marked.where("not asks")
     places = parted.parts.withColumnRenamed("node_id", "node")
     own = work.write(nearest_on_edge(marked))

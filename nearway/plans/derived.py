@@ -35,7 +35,7 @@ VARIANTS = {
 def network(spark: SparkSession, sf_dir: str, variant: str = "dense") -> RoadNetwork:
     start, end, kind = VARIANTS[variant]
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
-    work, supplier = Workspace(spark, "derived"), read("supplier")
+    work, supplier = Workspace(spark, "derived", lean=True), read("supplier")
     k = supplier.count()
     edges = supplier.selectExpr("s_suppkey * 2 AS edge_id", f"s_suppkey % {k} AS start_node", f"(s_suppkey + 1) % {k} AS end_node", "cast(100 + (s_suppkey * 7919) % 900 AS double) AS length")
     if start:

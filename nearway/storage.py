@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 UNION = "spark.sql.unionOutputPartitioning"
+#: Bytes of a table, at most, that a join sends to all executors by way of the driver, where a workspace has lean joins.
+BROADCAST, SENT = "spark.sql.autoBroadcastJoinThreshold", 1 << 20
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -38,12 +40,13 @@ class Workspace:
     """Tables written under the shared folder.
 
     A table is dropped by drop() as soon as nothing needs it; what results still read goes by close() or release(), or
-    when the driver ends.
+    when the driver ends. With lean joins tables of more than SENT are shuffled to be joined and never gathered by the driver.
     """
 
     open: set[Workspace] = set()
 
-    def __init__(self, spark: SparkSession, name: str):
+    def __init__(self, spark: SparkSession, name: str, lean: bool = False):
+        self.lean = lean
         self.spark, self.path = spark, f"{shared_root(spark)}/nearway/{name}-{uuid.uuid4().hex}"
         self.count, self.paths = 0, {}
         Workspace.open.add(self)
@@ -65,14 +68,17 @@ class Workspace:
         path = f"{self.path}/{self.count:03d}"
         # Spark 4.1 lets a union keep the partitioning that its inputs share, even where adaptive execution has since given
         # them different numbers of partitions; the job then fails. A union of such inputs is planned within write().
-        before = self.spark.conf.get(UNION) if self.spark.version >= "4.1" else None
-        if before == "true":
-            self.spark.conf.set(UNION, "false")
+        set_to = {UNION: "false"} if self.spark.version >= "4.1" and self.spark.conf.get(UNION) == "true" else {}
+        if self.lean and self.spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold() > SENT:
+            set_to[BROADCAST] = str(SENT)
+        before = {k: self.spark.conf.get(k) for k in set_to}
         try:
+            for k, v in set_to.items():
+                self.spark.conf.set(k, v)
             df.write.parquet(path)
         finally:
-            if before == "true":
-                self.spark.conf.set(UNION, before)
+            for k, v in before.items():
+                self.spark.conf.set(k, v)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = (out, path)
         return out

@@ -7,8 +7,10 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
+from nearway import storage
 from nearway.operators import ann, minplus, partition, parts, relax, two_level
 from tests.networks import answers, exact, network
 
@@ -153,3 +155,22 @@ def test_border_pairs_take_chains_together(spark, monkeypatch):
     want = {(a, b): far[a][b] for a in border for b in border if a < b and b in far[a]}
     made = parts.overlay_edges(net, p, block=2).where("not is_cut").collect()
     assert len(made) == len(want) and {(x["start_node"], x["end_node"]): x["length"] for x in made} == want
+
+
+def test_parts_are_joined_without_the_driver(spark, monkeypatch):
+    """Tables beyond a bound are shuffled to be joined, in the result too, and the session's own setting stays."""
+    plans, real = [], DataFrameWriter.parquet
+
+    def seen(self, path, *args, **kwargs):
+        if any(x in path for x in ("/parted-", "/partition-")):
+            plans.append(self._df._jdf.queryExecution().executedPlan().toString())
+        return real(self, path, *args, **kwargs)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", seen)
+    monkeypatch.setattr(storage, "SENT", 1, raising=False)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    edges, objs = made(3, n=12, extra=4, objects=20)
+    net = network(spark, edges, objs)
+    assert answers(ann.all_nearest(net, "true_to_false", "parts", partition.balanced_parts(net, 2))) == exact(edges, objs)
+    assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == before
